@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language, mixing, pii, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op8_pii": pii.op8_pii,
+    "op9_language": language.op9_language,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
