@@ -115,7 +115,7 @@ def _lookalikes() -> dict[int, str]:
 
 
 _LOOKALIKES = _lookalikes()
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = frozenset(map(chr, _LOOKALIKES)) | frozenset(_INVISIBLE)
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = "|".join(_SPELLED)
@@ -127,7 +127,8 @@ _DOT_BRACKET = re.compile(r"[ ]{0,3}[\[({<][ ]{0,3}(?:dot|\.)[ ]{0,3}[\])}>][ ]{
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _DOT_SPOKEN = r"(?:[ ]{1,3}(?:dot|punkt|punto|point)[ ]{1,3}|[ ]{1,3}\.[ ]{1,3})"
 # "name at host dot com": the bare words count between what can be an address, and need a dot word or a dot, no fewer
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT_SPOKEN}|\.))*[A-Za-z0-9_%+-]{{1,64}}(?P<at>[ ]{{1,3}}(?:at|arroba)[ ]{{1,3}}|@){_LABEL}(?:(?:{_DOT_SPOKEN}){_LABEL})+(?![A-Za-z0-9])", re.I)
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT_SPOKEN}|\.)){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?P<at>[ ]{{1,3}}(?:at|arroba)[ ]{{1,3}}|@){_LABEL}(?:(?:{_DOT_SPOKEN}){_LABEL}){{1,6}}(?![A-Za-z0-9])", re.I)
+_IP_SPOKEN = re.compile(rf"\b[0-9]{{1,3}}(?:(?:{_DOT_SPOKEN})[0-9]{{1,3}}){{3}}\b", re.I)
 _SPOKEN_DOT = re.compile(_DOT_SPOKEN, re.I)
 _SPOKEN_AT = re.compile(r"[ ]{1,3}(?:at|arroba)[ ]{1,3}", re.I)
 _NUMBER_WORDS = re.compile(rf"\b(?:(?:plus[ ]+|\+[ ]?)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point)[ ]+)(?:{_DIGIT_WORD}|[0-9]+)){{3,60}})\b", re.I)
@@ -196,7 +197,7 @@ def _plain(text: str) -> Rewritten:
 def _disguised(text: str) -> tuple[bool, bool, bool]:
     """Whether the text may hold bracketed signs, spoken dots, and four spelled digits."""
     low = text.lower()
-    dots = any(d in low for d in _DOTS_SPOKEN) and ("@" in low or " at " in low or " arroba " in low)
+    dots = any(d in low for d in _DOTS_SPOKEN)
     return _BRACKETED.search(text) is not None, dots, _PAIR.search(" " + low) is not None
 
 
@@ -212,6 +213,8 @@ def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
             edits.append((a, m.end("at"), "@"))
         for d in _SPOKEN_DOT.finditer(text, m.start(), m.end()):
             edits.append((d.start(), d.end(), "."))
+    for m in _IP_SPOKEN.finditer(text) if dots else ():
+        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, m.start(), m.end())]
     for m in _NUMBER_WORDS.finditer(text) if digits else ():
         parts = list(_NUMBER_PART.finditer(text, m.start(), m.end()))
         words = sum(1 for p in parts if p["word"])
@@ -237,7 +240,8 @@ def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """The base spans and all spans; added ones touch no base span of their kind."""
+    """The base spans and all spans; an added one lies inside no other of
+    its kind."""
     base = base_spans(text)
     plain = _plain(text) if _odd(text) else None
     flat = plain.text() if plain else text
@@ -245,7 +249,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     said = _said(flat, *marks) if any(marks) else None
     if not plain and not (said and said.src):
         return base, base
-    out, taken = list(base), list(base)
+    out = list(base)
     forms = []
     if plain:
         forms.append((flat, lambda i: plain.start(i), lambda i: plain.end(i)))
@@ -256,9 +260,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     for form, start, end in forms:
         for kind, a, b in base_spans(form):
             s = (kind, start(a), end(b))
-            if not any(k == kind and s[1] < z and y < s[2] for k, y, z in taken):
+            if not any(k == kind and y <= s[1] and s[2] <= z for k, y, z in out):
                 out.append(s)
-                taken.append(s)
     return base, _order(out)
 
 
