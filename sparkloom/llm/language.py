@@ -187,31 +187,51 @@ class Labeller:
 
     def label(self, words: list[bytes]) -> np.ndarray:
         """Row numbers in self.sums of words; there are at most CACHE different ones."""
-        fresh = list(set(words) - self.known.keys())
-        if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {}, list(set(words))
+        known = self.known
+        fresh = [w for w in set(words) if w not in known]
+        if len(known) + len(fresh) > CACHE:
+            known.clear()
+            fresh = list(set(words))
         fresh.sort(key=len)
-        at = len(self.known)
-        i = 0
+        at, i = len(known), 0
         while i < len(fresh):
-            n = len(fresh[i])
-            j = i
+            n, j = len(fresh[i]), i
             while j < len(fresh) and len(fresh[j]) == n and j - i < 4096:
                 j += 1
-            x = np.frombuffer(b"".join(w + b" " for w in fresh[i:j]), np.uint8).reshape(j - i, n + 1)
+            x = np.frombuffer(b" ".join([*fresh[i:j], b""]), np.uint8).reshape(j - i, n + 1)
             self.sums[at : at + j - i] = self.net.positions(x).sum(axis=0)
-            self.known.update(zip(fresh[i:j], range(at, at + j - i), strict=True))
+            known.update(zip(fresh[i:j], range(at, at + j - i), strict=True))
             at, i = at + j - i, j
-        known = self.known
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def document(self, words: list[bytes]) -> np.ndarray:
-        total, size = np.zeros(len(self.net.langs)), 0
-        for i in range(0, len(words), CACHE // 2):
-            part = words[i : i + CACHE // 2]
-            total += self.sums[self.label(part)].sum(axis=0, dtype=np.float64)
-            size += sum(map(len, part)) + len(part)
-        return total / max(1, size)
+    def documents(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """Mean position probabilities of each text, None where it has no word; the words of
+        about CACHE / 2 words' texts are labelled together, and longer texts in parts."""
+        some: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            words = words_of(text)
+            if size + len(words) > CACHE // 2:
+                yield from self._pooled(some)
+                some, size = [], 0
+            some.append(words)
+            size += len(words)
+        yield from self._pooled(some)
+
+    def _pooled(self, docs: list[list[bytes]]) -> Iterator[np.ndarray | None]:
+        if len(docs) == 1 and len(docs[0]) > CACHE // 2:
+            words = docs[0]
+            total = sum(self.sums[self.label(words[i : i + CACHE // 2])].sum(axis=0, dtype=np.float64) for i in range(0, len(words), CACHE // 2))
+            yield total / sum(len(w) + 1 for w in words)
+            return
+        rows = self.label([w for d in docs for w in d])
+        at = 0
+        for d in docs:
+            if d:
+                yield self.sums[rows[at : at + len(d)]].sum(axis=0, dtype=np.float64) / (sum(map(len, d)) + len(d))
+            else:
+                yield None
+            at += len(d)
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -223,16 +243,12 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Labeller(net) if net else None
         for x in frames:
-            pred, score = [], []
-            for text, letters in zip(x["text"], x["letters"], strict=True):
-                words = words_of(text) if letters and own else []
-                if not words:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                p = own.document(words)
-                pred.append(net.langs[int(p.argmax())])
-                score.append(min(1.0, float(p.max())))
+            pred, score = ["und"] * len(x), [0.0] * len(x)
+            at = np.flatnonzero(x["letters"].to_numpy(bool)) if own else []
+            for i, p in zip(at, own.documents([x["text"].iat[i] for i in at]) if own else (), strict=True):
+                if p is not None:
+                    pred[i] = net.langs[int(p.argmax())]
+                    score[i] = min(1.0, float(p.max()))
             yield pd.DataFrame({"doc_id": x["doc_id"], "lang_pred": pred, "score": score})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
