@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows a single sort task of a two-level rank should get.
 RANK_ROWS = 50_000
@@ -89,3 +92,15 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, rows: in
     salts = F.when(F.col(count) > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     small = small.withColumn("_salt", F.explode(salts))
     return big.join(small, [key, "_salt"], "left").drop("_salt")
+
+
+def map_texts(docs: DataFrame, change, schema: T.StructType | None = None) -> DataFrame:
+    """docs with each Arrow batch passed to change(batch) -> batch; columns other than those it
+    changes keep their types and values.  schema: the result's, if it isn't docs'."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield change(b)
+
+    return docs.mapInArrow(run, schema or docs.schema)

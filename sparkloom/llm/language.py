@@ -11,11 +11,13 @@ a word that occurs again in a task is looked up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from . import common
 LONGEST = 48
 #: Words whose labels a task keeps.
 CACHE = 200_000
+_labellers: dict[int, Labeller] = {}
 _FOLD = bytes((i + 32 if 65 <= i <= 90 else i) if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
@@ -256,6 +259,25 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", "text", letters.alias("letters")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows of docs whose language is identified with a score of ``least`` or more, as they
+    are.  Rows go that ``identify`` would call und; where there was nothing to learn from,
+    those without a letter."""
+    letter = re.compile(r"[^\W\d_]")
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        keep = [bool(t) and letter.search(t) is not None for t in texts]
+        if net:
+            at = [i for i, k in enumerate(keep) if k]
+            own = _labellers.setdefault(id(net), Labeller(net))  # one for a task
+            for i, p in zip(at, own.documents([texts[i] for i in at]), strict=True):
+                keep[i] = p is not None and float(p.max()) >= least
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return common.map_texts(docs, change)
+
+
 def learn(docs: DataFrame, per_lang: int = 300, words: int = 150) -> Network | None:
     """A network from a sample of at most per_lang documents a language."""
     samples = [s for s in training_sample(docs, per_lang, words) if s[1]]

@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,5 +301,23 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span in ``text`` replaced by its kind in angle brackets, and n_chars, if
+    it is a column of docs, that of the new text.  A null text stays null."""
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [t if t is None else redacted(t, all_spans(t)[1]) for t in batch.column("text").to_pylist()]
+        names = batch.schema.names
+        batch = batch.set_column(names.index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
+        if "n_chars" in names:
+            field = batch.schema.field("n_chars")
+            old = batch.column("n_chars").to_pylist()
+            sizes = pa.array([o if t is None else len(t) for t, o in zip(new, old, strict=True)], pa.int64())
+            batch = batch.set_column(names.index("n_chars"), field, sizes.cast(field.type))
+        return batch
+
+    return common.map_texts(docs, change)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents")).drop("redacted")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, sharding, simhash
+from . import fingerprints, language, licenses, mixing, pii, sentencepiece, sharding, simhash, vectors, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_nearest": vectors.op4_nearest,
+    "op5_sentencepiece": sentencepiece.op5_sentencepiece,
+    "op6_warc": warc.op6_warc,
+    "op7_licenses": licenses.op7_licenses,
     "op8_pii": pii.op8_pii,
     "op9_language": language.op9_language,
     "op10_simhash": simhash.op10_simhash,

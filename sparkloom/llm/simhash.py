@@ -23,9 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -197,6 +199,21 @@ def _star(e: DataFrame, rows: int, large: bool, name: str) -> DataFrame:
     return common.written(out.filter("x != m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), name)
 
 
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """rows(doc_id, fp, ..) with ``root`` (a fingerprint that stands for the component) and
+    ``component_id``."""
+    nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    n, n_rows = nodes.agg(F.count("*"), F.sum("n")).first()
+    parts = common.written(components(links(nodes.select("fp"), n, radius)), "parts")
+    linked = nodes.join(parts, F.col("fp") == F.col("node"))
+    ids = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    linked = linked.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    ids = ids.withColumnRenamed("root", "_id")
+    found = nodes.join(linked, F.col("fp") == F.col("_fp"), "left").join(ids, F.col("_root") == F.col("_id"), "left")
+    found = found.select("fp", "n", F.coalesce("_root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
+    return common.salted_join(rows, found, "fp", "n", n_rows or 0, F.col("doc_id")).drop("n")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id of the component) of every row.
 
@@ -205,16 +222,30 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3)
     component_id.  Other columns than doc_id and text aren't read.  An empty table
     gives an empty table."""
     rows = common.written(fingerprints(docs, words_in_shingle), "fingerprints")
-    nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    n, n_rows = nodes.agg(F.count("*"), F.sum("n")).first()
-    parts = components(links(nodes.select("fp"), n, radius))
-    linked = nodes.join(parts, F.col("fp") == F.col("node"))
-    ids = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = linked.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    ids = ids.withColumnRenamed("root", "_id")
-    found = nodes.join(linked, F.col("fp") == F.col("_fp"), "left").join(ids, F.col("_root") == F.col("_id"), "left")
-    found = found.select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
-    return common.salted_join(rows, found, "fp", "n", n_rows or 0, F.col("doc_id")).select("doc_id", "fp", "component_id")
+    return _grouped(rows, radius).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> DataFrame:
+    """One row of docs for each component of near duplicates, as it is: that of the least
+    doc_id (nulls after others), of repeated rows any one."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, words_in_shingle) for t in batch.column("text").to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "_fp"])
+
+    rows = common.map_texts(docs, change, schema)
+    ids = common.written(rows.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
+    ids = ids.groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"), F.col("rows").alias("rows"))
+    kept = common.written(_grouped(ids, radius).groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.fp").alias("_kept"), F.col("kept.rows").alias("_rows")), "kept")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")))
+    single = rows.filter("_rows = 1").select(*docs.columns)
+    if kept.filter("_rows > 1").isEmpty():
+        return single
+    first = Window.partitionBy("doc_id", "_fp").orderBy(F.lit(1))
+    repeated = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(first)).filter("_at = 1")
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
