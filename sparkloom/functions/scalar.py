@@ -5,6 +5,7 @@ ANSI mode would raise; rounding modes, text chunks, durations, identifiers."""
 
 from __future__ import annotations
 
+import json
 import os
 import secrets
 import time
@@ -13,6 +14,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -186,19 +188,22 @@ def json_type(c: Column | str) -> Column:
     return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
 
 
-@F.pandas_udf("boolean")
-def json_contains(a: pd.Series, b: pd.Series) -> pd.Series:
+def _holds(x, y) -> bool:
+    if isinstance(y, dict):
+        return isinstance(x, dict) and all(k in x and _holds(x[k], v) for k, v in y.items())
+    if isinstance(y, list):
+        return isinstance(x, list) and all(any(_holds(e, v) for e in x) for v in y)
+    return x == y and isinstance(x, bool) == isinstance(y, bool)
+
+
+def json_contains(a: Column | str, b: Column | str) -> Column:
     """Whether JSON a holds JSON b: objects by key, arrays by element, recursively."""
-    import json
 
-    def holds(x, y) -> bool:
-        if isinstance(y, dict):
-            return isinstance(x, dict) and all(k in x and holds(x[k], v) for k, v in y.items())
-        if isinstance(y, list):
-            return isinstance(x, list) and all(any(holds(e, v) for e in x) for v in y)
-        return x == y and isinstance(x, bool) == isinstance(y, bool)
+    @F.pandas_udf(T.BooleanType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else _holds(json.loads(p), json.loads(q)) for p, q in zip(x, y, strict=True)], dtype="object")
 
-    return pd.Series([None if p is None or q is None else holds(json.loads(p), json.loads(q)) for p, q in zip(a, b, strict=True)], dtype="boolean")
+    return run(_col(a), _col(b))
 
 
 # Identifiers
@@ -219,7 +224,7 @@ def _uuid7() -> str:
 
 
 def _generator(make):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def gen(x: pd.Series) -> pd.Series:
         return pd.Series([make() for _ in range(len(x))])
 
