@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -112,10 +114,13 @@ def ts_moving_avg(v: str, n: int, w: WindowSpec) -> Column:
     return F.when(F.row_number().over(w) >= n, F.avg(v).over(_rolling(w, n)))
 
 
-def ts_ema(v: str, alpha: float, w: WindowSpec, tail: int | None = None) -> Column:
-    """Exponential moving average from the first value on.  tail: fold the last ``tail`` values
-    alone, for long series; what is left out weighs (1 - alpha)^tail."""
-    values = F.collect_list(v).over(w.rowsBetween(-(tail - 1), 0) if tail else w.rowsBetween(Window.unboundedPreceding, 0))
+def ts_ema(v: str, alpha: float, w: WindowSpec) -> Column:
+    """Exponential moving average from the first value on.
+
+    Values so far back that they weigh under 1e-18 are left out, below a double's precision,
+    so that a frame has a bounded number of rows however long the series is."""
+    tail = 1 if alpha >= 1 else 1 + math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    values = F.collect_list(v).over(w.rowsBetween(-(tail - 1), 0))
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), values[0], lambda s, x: F.lit(1 - alpha) * s + F.lit(alpha) * x)
 
 

@@ -48,9 +48,9 @@ def _(t):
     return t.events.select("event_id", S.json_get("props", "k").alias("k"), S.json_keys("props")[0].alias("first_key"), S.json_has_key("props", "k").alias("has"))
 
 
-@query("json_edits", "SELECT event_id, '{\"k\":\"' || (props->>'k') || '\",\"t\":\"' || event_type || '\"}' AS s, '{}' AS r FROM events WHERE event_id < 400")
+@query("json_edits", "SELECT event_id, '{\"k\":\"' || (props->>'k') || '\",\"t\":\"' || event_type || '\"}' AS s, '{}' AS r FROM events")
 def _(t):
-    return t.events.filter("event_id < 400").select("event_id", S.json_set("props", "t", F.col("event_type")).alias("s"), S.json_remove("props", "k").alias("r"))
+    return t.events.select("event_id", S.json_set("props", "t", F.col("event_type")).alias("s"), S.json_remove("props", "k").alias("r"))
 
 
 @query("variant_path", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")

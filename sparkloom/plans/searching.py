@@ -10,6 +10,8 @@ from sparkloom.operators import vector as V
 from sparkloom.plans.registry import query
 
 Q = [((i * 37) % 64 - 32) / 64.0 for i in range(64)]
+Q2 = [((i * 29) % 64 - 32) / 64.0 for i in range(64)]
+QL2 = "[" + ", ".join(f"{x!r}::DOUBLE" for x in Q2) + "]"
 QL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in Q) + "]"
 E = "CAST(embedding AS DOUBLE[])"
 _METRICS = {
@@ -52,10 +54,10 @@ def _(t):
     return V.quantized_topk(t.embeddings, "embedding", Q, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
 
 
-@query("multi_vector_maxsim", f"""WITH q AS (SELECT vec_id AS q, {E} AS qv FROM embeddings WHERE vec_id < 4), s AS (SELECT e.label AS doc, q.q, max(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.qv)) AS s FROM embeddings e, q WHERE e.vec_id >= 4 GROUP BY 1, 2) SELECT doc, round(sum(s), 6) AS score FROM s GROUP BY doc""")
+@query("multi_vector_maxsim", f"""WITH q AS (SELECT * FROM (VALUES (0, {QL}), (1, {QL2})) v(q, qv)), s AS (SELECT e.label AS doc, q.q, max(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.qv)) AS s FROM embeddings e, q GROUP BY 1, 2) SELECT doc, round(sum(s), 6) AS score FROM s GROUP BY doc""")
 def _(t):
-    q = t.embeddings.filter("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    d = t.embeddings.filter("vec_id >= 4").select(F.col("label").alias("doc"), "embedding")
+    q = t.spark.createDataFrame([(0, Q), (1, Q2)], "q int, qv array<double>")
+    d = t.embeddings.select(F.col("label").alias("doc"), "embedding")
     return V.maxsim(q, d, "doc", "embedding", 100).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -110,14 +112,14 @@ def _(t):
     return t.documents.filter(X.matches("text", '"of the"')).select("doc_id")
 
 
-@query("fts_fuzzy", f"SELECT doc_id FROM (SELECT doc_id, list_distinct({TOK}) AS tk FROM documents) WHERE len(list_filter(tk, lambda w: levenshtein(w, 'vieux') <= 1)) > 0")
+@query("fts_fuzzy", f"SELECT doc_id FROM (SELECT doc_id, list_distinct({TOK}) AS tk FROM documents) WHERE len(list_filter(tk, lambda w: levenshtein(regexp_replace(w, '[^\x00-\x7F]', '#', 'g'), 'vieux') <= 1)) > 0")
 def _(t):
     return t.documents.filter(X.fuzzy_match("text", "vieux")).select("doc_id")
 
 
-@query("fts_highlight", "SELECT doc_id, regexp_replace(left(text, 200), '\\b(the|of)\\b', '<b>\\1</b>', 'gi') AS h FROM documents WHERE lang = 'en'")
+@query("fts_highlight", "SELECT doc_id, regexp_replace(text, '\\b(the|of)\\b', '<b>\\1</b>', 'gi') AS h FROM documents WHERE lang = 'en'")
 def _(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", X.highlight(F.substring("text", 1, 200), ["the", "of"]).alias("h"))
+    return t.documents.filter("lang = 'en'").select("doc_id", X.highlight("text", ["the", "of"]).alias("h"))
 
 
 @query("fts_ngrams", "SELECT count(*) AS n, count(DISTINCT g) AS d FROM (SELECT substr(n_name, i, 3) AS g FROM (SELECT lower(n_name) AS n_name, unnest(range(1, length(n_name) - 1)) AS i FROM nation))")

@@ -31,26 +31,26 @@ def _(t):
     return t.events.filter("ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-06'").select("event_id", "value")
 
 
-_FILL = """WITH b AS (SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS bucket, count(*)::DOUBLE AS n FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2),
-s AS (SELECT event_type, unnest(generate_series(min(bucket), max(bucket), INTERVAL '6 hours')) AS bucket FROM b GROUP BY 1),
-j AS (SELECT s.event_type, s.bucket, b.n FROM s LEFT JOIN b USING (event_type, bucket)) """
+_FILL = """WITH b AS (SELECT user_id, time_bucket(INTERVAL '6 hours', ts) AS bucket, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+s AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL '6 hours')) AS bucket FROM b GROUP BY 1),
+j AS (SELECT s.user_id, s.bucket, b.n FROM s LEFT JOIN b USING (user_id, bucket)) """
 
 
 def _counts(t):
-    d = t.events.filter("user_id % 5 = 0").groupBy("event_type", TS.time_bucket("ts", 21600).alias("bucket"))
+    d = t.events.groupBy("user_id", TS.time_bucket("ts", 21600).alias("bucket"))
     return d.agg(F.count("*").cast("double").alias("n"))
 
 
 def _fill(t, method):
-    return TS.gap_fill(_counts(t), "bucket", 21600, ["event_type"], "n", method, 0.0).select("event_type", text("bucket").alias("bucket"), F.round("n", 6).alias("n"))
+    return TS.gap_fill(_counts(t), "bucket", 21600, ["user_id"], "n", method, 0.0).select("user_id", text("bucket").alias("bucket"), F.round("n", 6).alias("n"))
 
 
-query("ts_gap_fill_null", _FILL + f"SELECT event_type, strftime(bucket, '{DFMT}') AS bucket, n FROM j")(lambda t: _fill(t, "null"))
-query("ts_gap_fill_prev", _FILL + f"SELECT event_type, strftime(bucket, '{DFMT}') AS bucket, last_value(n IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket) AS n FROM j")(lambda t: _fill(t, "prev"))
-query("ts_gap_fill_literal", _FILL + f"SELECT event_type, strftime(bucket, '{DFMT}') AS bucket, coalesce(n, 0) AS n FROM j")(lambda t: _fill(t, "literal"))
+query("ts_gap_fill_null", _FILL + f"SELECT user_id, strftime(bucket, '{DFMT}') AS bucket, n FROM j")(lambda t: _fill(t, "null"))
+query("ts_gap_fill_prev", _FILL + f"SELECT user_id, strftime(bucket, '{DFMT}') AS bucket, last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY bucket) AS n FROM j")(lambda t: _fill(t, "prev"))
+query("ts_gap_fill_literal", _FILL + f"SELECT user_id, strftime(bucket, '{DFMT}') AS bucket, coalesce(n, 0) AS n FROM j")(lambda t: _fill(t, "literal"))
 query("ts_gap_fill_linear", _FILL + f""", w AS (SELECT *, epoch(bucket) AS e, last_value(n IGNORE NULLS) OVER b AS v0, first_value(n IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN n IS NOT NULL THEN epoch(bucket) END IGNORE NULLS) OVER b AS t0, first_value(CASE WHEN n IS NOT NULL THEN epoch(bucket) END IGNORE NULLS) OVER a AS t1 FROM j
-WINDOW b AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_type, strftime(bucket, '{DFMT}') AS bucket, round(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (e - t0) / (t1 - t0) END, 6) AS n FROM w""")(lambda t: _fill(t, "linear"))
+WINDOW b AS (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, strftime(bucket, '{DFMT}') AS bucket, round(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (e - t0) / (t1 - t0) END, 6) AS n FROM w""")(lambda t: _fill(t, "linear"))
 
 
 @query("join_asof", "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts >= v.ts")
@@ -72,10 +72,10 @@ def _(t):
     return TS.latest_as_of(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", F.expr("TIMESTAMP_NTZ '2024-01-15'")).select("user_id", "event_id", "value")
 
 
-@query("convert_currency_lookup", "WITH r AS (SELECT o_orderpriority AS k, o_orderdate AS at, max(o_orderkey) % 10 + 1.0::DOUBLE AS rate FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1, 2) SELECT o.o_orderkey, round(o.o_totalprice * r.rate, 2) AS converted FROM (SELECT * FROM orders WHERE o_orderkey % 7 = 0) o ASOF LEFT JOIN r ON o.o_orderpriority = r.k AND o.o_orderdate >= r.at")
+@query("convert_currency_lookup", "WITH r AS (SELECT o_orderpriority AS k, o_orderdate AS at, max(o_orderkey) % 10 + 1.0::DOUBLE AS rate FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) SELECT o.o_orderkey, round(o.o_totalprice * r.rate, 2) AS converted FROM orders o ASOF LEFT JOIN r ON o.o_orderpriority = r.k AND o.o_orderdate >= r.at")
 def _(t):
-    r = t.orders.filter("o_orderkey % 50 = 0").groupBy("o_orderpriority", F.col("o_orderdate").alias("at")).agg((F.max("o_orderkey") % 10 + F.lit(1.0)).alias("rate"))
-    o = t.orders.filter("o_orderkey % 7 = 0").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    r = t.orders.filter("o_orderstatus = 'F'").groupBy("o_orderpriority", F.col("o_orderdate").alias("at")).agg((F.max("o_orderkey") % 10 + F.lit(1.0)).alias("rate"))
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     return TS.convert_currency(o, r, "o_orderpriority", "o_orderdate", "at", "o_totalprice", "rate").select("o_orderkey", F.round("converted", 2).alias("converted"))
 
 
@@ -98,11 +98,11 @@ for _band, _sql in {"lower": "avg(value) OVER r - 2 * stddev_pop(value) OVER r",
     _series(f"ts_bollinger_{_band}", lambda w, b=_band: TS.ts_bollinger("value", 5, 2.0, w)[b], f"CASE WHEN rn >= 5 THEN {_sql} END", 6)
 
 
-@query("ts_ema", """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id < 20),
+@query("ts_ema", """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 e AS (SELECT event_id, user_id, rn, value AS x FROM s WHERE rn = 1 UNION ALL SELECT s.event_id, s.user_id, s.rn, 0.7 * e.x + 0.3 * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.rn = e.rn + 1) SELECT event_id, round(x, 4) AS x FROM e""")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.filter("user_id < 20").select("event_id", F.round(TS.ts_ema("value", 0.3, w), 4).alias("x"))
+    return t.events.select("event_id", F.round(TS.ts_ema("value", 0.3, w), 4).alias("x"))
 
 
 @query("ts_interpolate", """WITH n AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS v, epoch_us(ts) AS us FROM events),
