@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """docs with its columns named _in0, _in1, .., which meet no name that an operator gives; the
+    new names by the old; and the columns that give the old names back."""
+    new = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new, [F.col(n).alias(c) for c, n in new.items()]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -142,19 +142,22 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float, seed:
 def mixed(docs: DataFrame, weights: list[float], share: float, most: float, seed: int = 42) -> DataFrame:
     """docs with every row as often as the mix takes it (0 times: gone), as it is.
 
-    Rows that repeat a doc_id, source and size share their copies out among them."""
+    Rows that repeat a doc_id, source and size share their copies out among them.  Columns of
+    any other name are kept."""
     picks = mix(docs, weights, share, most, seed)
     key = ["doc_id", "source", "size"]
     picks = picks.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))  # repeats of one row alone
     picks = picks.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2"))
+    docs, name, back = common.set_aside(docs)
+    text = F.col(name["text"])
+    rows = docs.withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col(name["doc_id"]).eqNullSafe(F.col("_k0")) & F.col(name["source"]).eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2"))
     rows = rows.join(picks.filter(F.element_at("_copies", 1) > 0), same)
     one = rows.filter(F.size("_copies") == 1).withColumn("_n", F.element_at("_copies", 1))
-    at = F.row_number().over(Window.partitionBy("_k0", "_k1", "_k2").orderBy("text"))
+    at = F.row_number().over(Window.partitionBy("_k0", "_k1", "_k2").orderBy(text))
     many = rows.filter(F.size("_copies") > 1).withColumn("_at", at).withColumn("_n", F.element_at("_copies", F.col("_at"))).drop("_at")
     taken = one.unionByName(many).filter("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*back)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

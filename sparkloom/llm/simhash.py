@@ -227,25 +227,28 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3)
 
 def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> DataFrame:
     """One row of docs for each component of near duplicates, as it is: that of the least
-    doc_id (nulls after others), of repeated rows any one."""
+    doc_id (nulls after others), of repeated rows any one.  Columns of any other name are
+    kept.  An empty table stays empty."""
+    docs, name, back = common.set_aside(docs)
+    doc_id, at = F.col(name["doc_id"]), docs.columns.index(name["text"])
     schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words_in_shingle) for t in batch.column("text").to_pylist()], np.uint64)
+        fps = np.array([fingerprint(t, words_in_shingle) for t in batch.column(at).to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "_fp"])
 
     rows = common.map_texts(docs, change, schema)
-    ids = common.written(rows.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
+    ids = common.written(rows.select(doc_id.alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
     ids = ids.groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"), F.col("rows").alias("rows"))
     kept = common.written(_grouped(ids, radius).groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.fp").alias("_kept"), F.col("kept.rows").alias("_rows")), "kept")
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")))
-    single = rows.filter("_rows = 1").select(*docs.columns)
+    rows = rows.join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")))
+    single = rows.filter("_rows = 1").select(*back)
     if kept.filter("_rows > 1").isEmpty():
         return single
-    first = Window.partitionBy("doc_id", "_fp").orderBy(F.lit(1))
+    first = Window.partitionBy("_id", "_fp").orderBy(F.lit(1))
     repeated = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(first)).filter("_at = 1")
-    return single.unionByName(repeated.select(*docs.columns))
+    return single.unionByName(repeated.select(*back))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
