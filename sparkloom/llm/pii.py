@@ -127,8 +127,12 @@ _AT_BRACKET = re.compile(r"[ ]{0,3}[\[({<][ ]{0,3}(?:at|@)[ ]{0,3}[\])}>][ ]{0,3
 _DOT_BRACKET = re.compile(r"[ ]{0,3}[\[({<][ ]{0,3}(?:dot|\.)[ ]{0,3}[\])}>][ ]{0,3}", re.I)
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _DOT_SPOKEN = r"(?:[ ]{1,3}(?:dot|punkt|punto|point)[ ]{1,3}|[ ]{1,3}\.[ ]{1,3})"
-# "name at host dot com": the bare words count between what can be an address, and need a dot word or a dot, no fewer
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT_SPOKEN}|\.)){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?P<at>[ ]{{1,3}}(?:at|arroba)[ ]{{1,3}}|@){_LABEL}(?:(?:{_DOT_SPOKEN}){_LABEL}){{1,6}}(?![A-Za-z0-9])", re.I)
+_BRACKET = r"[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{0})[ ]{{0,3}}[\])}}>][ ]{{0,3}}"
+_ANY_DOT = rf"(?:{_DOT_SPOKEN}|{_BRACKET.format('dot|[.]')}|\.)"
+#: Domains that bare words may end in; those that are words of prose (at, in, is, it, me, no, so, to, us) are left out.
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|ai|co|eu|uk|de|fr|es|ch|nl|pl|ru|jp|cn|br|ca|au|nz|se|fi|dk|pt|cz|gr|ie|kr|mx|ar|cl|za|ua|tr|test|example|invalid|localhost"
+# "name at host dot com": bare words count only if what follows can be a domain
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}{_ANY_DOT}){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?P<at>[ ]{{1,3}}(?:at|arroba|@)[ ]{{1,3}}|{_BRACKET.format('at|@')}|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,5}}(?:{_DOT_SPOKEN}|{_BRACKET.format('dot|[.]')})(?:{_ENDS})(?![A-Za-z0-9])", re.I)
 _IP_SPOKEN = re.compile(rf"\b[0-9]{{1,3}}(?:(?:{_DOT_SPOKEN})[0-9]{{1,3}}){{3}}\b", re.I)
 _SPOKEN_DOT = re.compile(_DOT_SPOKEN, re.I)
 _SPOKEN_AT = re.compile(r"[ ]{1,3}(?:at|arroba)[ ]{1,3}", re.I)
@@ -208,10 +212,9 @@ def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
         edits.append((m.start(), m.end(), "@"))
     for m in _DOT_BRACKET.finditer(text) if brackets else ():
         edits.append((m.start(), m.end(), "."))
-    for m in _SPOKEN.finditer(text) if dots else ():
-        a = m.start("at")
-        if text[a] != "@":
-            edits.append((a, m.end("at"), "@"))
+    for m in _SPOKEN.finditer(text) if dots or brackets else ():
+        if m["at"] != "@":
+            edits.append((*m.span("at"), "@"))
         for d in _SPOKEN_DOT.finditer(text, m.start(), m.end()):
             edits.append((d.start(), d.end(), "."))
     for m in _IP_SPOKEN.finditer(text) if dots else ():

@@ -193,7 +193,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
     def meet(x: pd.DataFrame) -> pd.DataFrame:
         is_q = x["is_q"].to_numpy(bool)
         if not is_q.any() or is_q.all():
-            return pd.DataFrame({"qh": [], "h": [], "score": []})
+            return pd.DataFrame({"qh": np.empty(0, object), "h": np.empty(0, object), "score": np.empty(0)})
         q, c = x[is_q], x[~is_q]
         found = scan(_matrix(q["v"]), _matrix(c["v"]), index.rotation, k + 1)
         qh, ch = q["h"].to_numpy(), c["h"].to_numpy()
