@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.plans import registry
 
-MODULES = ("relational", "scalars", "timeseries", "searching", "graphs")
+MODULES = ("relational", "scalars", "timeseries", "searching", "graphs", "changing", "keyvalues")
 
 
 def _load() -> None:
