@@ -56,6 +56,8 @@ class Pieces:
         self.rank = {p: order[scores[i]] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.byte_of = {i: int(p[3:5], 16) for p, i in self.bytes.items()}
+        #: What a piece decodes to; a byte from 80 up as the surrogate that escapes it.
+        self.shown = [chr(b + (0xDC00 if b > 0x7F else 0)) if (b := self.byte_of.get(i)) is not None else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
         self.table: tuple | None = None
         self.words: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[str, str], bool] = {}
@@ -270,19 +272,11 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ")
-        else:
-            out, raw = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    raw.append(self.byte_of[i])
-                    continue
-                if raw:
-                    out.append(raw.decode("utf-8", "replace"))
-                    raw.clear()
-                out.append(self.pieces[i].replace(SPACE, " "))
-            text = "".join([*out, raw.decode("utf-8", "replace")])
+        """The text of ids.  Byte pieces stand for the bytes of characters that no piece holds;
+        bytes that make no character are shown as U+FFFD."""
+        text = "".join(map(self.shown.__getitem__, ids))
+        if not self.byte_of.keys().isdisjoint(ids):
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
