@@ -156,8 +156,10 @@ def training_sample(docs: DataFrame, per_lang: int, words: int) -> list[tuple[st
     """Up to ``words`` words of each of up to ``per_lang`` documents of each language, both
     chosen by hash; documents whose crc32(doc_id) mod 5 is 0 are held out."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_at", F.row_number().over(by_hash)).filter(F.col("_at") <= per_lang)
+    # the first per_lang of each of 64 parts of a language, then of those: a bounded number meets in a task
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_part", F.pmod("_h", F.lit(64)))
+    for parts in (["lang", "_part"], ["lang"]):
+        ids = ids.withColumn("_at", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "doc_id"))).filter(F.col("_at") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id")).distinct()  # per_lang for each language
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
