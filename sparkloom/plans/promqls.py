@@ -17,7 +17,7 @@ def samples(t):
 
 
 #: Windows of a day before each step, a row for each sample
-W = f"""e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS ty, epoch_ms(ts) AS t, value AS v, event_id FROM events),
+W = f"""e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS ty, epoch_us(ts) // 1000 AS t, value AS v, event_id FROM events),
 s AS (SELECT CAST({START} + i * {STEP} AS BIGINT) AS step FROM range({(END - START) // STEP + 1}) x(i)),
 w AS (SELECT s.step, e.* FROM s JOIN e ON e.t > s.step - {RANGE} AND e.t <= s.step)"""
 UT = "'type=\"' || ty || '\",user=\"' || u || '\"'"
@@ -52,7 +52,7 @@ add("promql_rate", "rate(value[1d])", f"WITH {_GROWN} SELECT {UT} AS labels, ste
 add("promql_rate_sum", "sum by (type) (rate(value[1d]))", f"WITH {_GROWN}, r AS (SELECT ty, u, step, sum(CASE WHEN pv IS NULL THEN 0 WHEN v >= pv THEN v - pv ELSE v END) / (max(span) / 1000.0::DOUBLE) AS value FROM d WHERE n >= 2 AND span > 0 GROUP BY ty, u, step) SELECT {TY} AS labels, step, round(sum(value), 8) AS value FROM r GROUP BY ty, step", 8)
 add("promql_increase_without", "avg without (user) (increase(value{type=~\"click|view\"}[1d]))", f"WITH {_GROWN}, r AS (SELECT ty, u, step, sum(CASE WHEN pv IS NULL THEN 0 WHEN v >= pv THEN v - pv ELSE v END) AS value FROM d WHERE n >= 2 AND span > 0 AND ty IN ('click', 'view') GROUP BY ty, u, step) SELECT {TY} AS labels, step, round(avg(value), 6) AS value FROM r GROUP BY ty, step")
 add("promql_resets_changes", "resets(value[1d]) + changes(value[1d])", f"WITH {_GROWN} SELECT {UT} AS labels, step, CAST(sum(CASE WHEN v < pv THEN 1 ELSE 0 END) + sum(CASE WHEN v <> pv THEN 1 ELSE 0 END) AS DOUBLE) AS value FROM d GROUP BY ty, u, step")
-add("promql_instant_lookback", "value", f"WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS ty, epoch_ms(ts) AS t, value AS v FROM events), s AS (SELECT CAST({START} + i * {STEP} AS BIGINT) AS step FROM range({(END - START) // STEP + 1}) x(i)) SELECT '__name__=\"value\",' || {UT} AS labels, step, max_by(v, t) AS value FROM s JOIN e ON e.t >= step - {RANGE} AND e.t <= step GROUP BY ty, u, step", lookback=RANGE)
+add("promql_instant_lookback", "value", f"WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS ty, epoch_us(ts) // 1000 AS t, value AS v FROM events), s AS (SELECT CAST({START} + i * {STEP} AS BIGINT) AS step FROM range({(END - START) // STEP + 1}) x(i)) SELECT '__name__=\"value\",' || {UT} AS labels, step, max_by(v, t) AS value FROM s JOIN e ON e.t >= step - {RANGE} AND e.t <= step GROUP BY ty, u, step", lookback=RANGE)
 add("promql_topk", "topk(2, max_over_time(value[1d]))", f"WITH {W}, m AS (SELECT {UT} AS labels, step, max(v) AS value FROM w GROUP BY ty, u, step) SELECT labels, step, value FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY value DESC, labels) AS r FROM m) WHERE r <= 2")
 add("promql_binary_scalar_bool", "(sum(count_over_time(value[1d])) * 2 - 1) > bool 100", f"WITH {W} SELECT '' AS labels, step, CASE WHEN count(*) * 2 - 1 > 100 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM w GROUP BY step")
 add("promql_matching_group_left", "sum by (type, user) (count_over_time(value[1d])) / on (type) group_left () sum by (type) (count_over_time(value[1d]))", f"WITH {W} SELECT {UT} AS labels, step, round(count(*) / sum(count(*)) OVER (PARTITION BY ty, step), 9) AS value FROM w GROUP BY ty, u, step", 9)

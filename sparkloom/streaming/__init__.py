@@ -1,0 +1 @@
+"""Streams: change feeds, streaming views, late data, sinks."""
