@@ -17,7 +17,7 @@ def _pairs(text: Column) -> Column:
     """k=v,k2=v2 with backslash escapes to an array of struct(key, value)."""
     parts = F.filter(F.split(text, _UNESCAPED + ","), lambda p: p != "")
     split = F.transform(parts, lambda p: F.split(p, _UNESCAPED + "=", 2))
-    return F.transform(split, lambda p: F.struct(_plain(p[0]).alias("key"), p[1].alias("value")))
+    return F.transform(split, lambda p: F.named_struct(F.lit("key"), _plain(p[0]), F.lit("value"), p[1]))
 
 
 def line_protocol(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -31,7 +31,7 @@ def line_protocol(lines: DataFrame, column: str = "value") -> DataFrame:
     p = lines.select(part(1).alias("_h"), part(2).alias("_f"), F.nullif(part(3), F.lit("")).cast("long").alias("ts"), "_l")
     p = p.filter(F.when(F.col("_h") == "", F.raise_error(F.concat(F.lit("no line protocol: "), F.col("_l"))).cast("boolean")).otherwise(F.lit(True)))
     measurement = _plain(F.regexp_extract("_h", r"^((?:\\.|[^,\\])+)", 1))
-    tags = F.map_from_entries(F.transform(_pairs(F.regexp_replace("_h", r"^(?:\\.|[^,\\])+,?", "")), lambda x: F.struct(x["key"].alias("key"), _plain(x["value"]).alias("value"))))
+    tags = F.map_from_entries(F.transform(_pairs(F.regexp_replace("_h", r"^(?:\\.|[^,\\])+,?", "")), lambda x: F.named_struct(F.lit("key"), x["key"], F.lit("value"), _plain(x["value"]))))
     fields = F.regexp_extract_all("_f", F.lit(r'((?:\\.|[^,=\\])+=(?:"(?:\\.|[^"\\])*"|[^,"]*))'), 1)
     rows = p.select(measurement.alias("measurement"), tags.alias("tags"), F.explode(fields).alias("_kv"), "ts")
     v = F.regexp_extract("_kv", r"(?s)^(?:\\.|[^=\\])+=(.*)$", 1)
