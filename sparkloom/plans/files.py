@@ -57,7 +57,7 @@ def _(t):
 def _(t):
     lines = L.to_line_protocol(t.events.select("user_id", "event_type", "value", "ts", F.col("user_id").alias("u"), F.col("event_type").alias("type")), "events", ["u", "type"], ["value"], "ts")
     p = L.line_protocol(lines)
-    return p.select(F.col("tags")["u"].alias("user"), F.col("tags")["type"].alias("type"), F.col("number").alias("value"), (F.col("ts") / 1000).cast("long").alias("us"))
+    return p.select(F.col("tags")["u"].alias("user"), F.col("tags")["type"].alias("type"), F.col("number").alias("value"), F.expr("ts div 1000").alias("us"))
 
 
 @query("ingest_dedup", "SELECT event_id FROM events WHERE event_type <> 'view'")
