@@ -78,18 +78,20 @@ def fit(sample: np.ndarray, lists: int, k: int, recall: float, seed: int = 3) ->
     return Index(rotation, c, min(lists, probes))
 
 
-def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, chunk: int = 512) -> list[tuple[int, int, float]]:
-    """(query row, candidate row, score) of about the k best candidates of each query."""
+def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray | None = None, chunk: int = 512) -> list[tuple[int, int, float]]:
+    """(query row, candidate row, score) of about the k best candidates of each query; floor: scores
+    that count at least, one a query."""
     d = q.shape[1]
     qr, xr = q @ rotation, x @ rotation
     cuts = list(range(0, d, BLOCK)) + [d]
     rest = lambda m: np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1], 0.0))
     q_rest, x_rest = rest(qr), rest(xr)
+    floor = np.full(len(q), -np.inf) if floor is None else floor
     best = np.full((len(q), k), -np.inf)
     kept_at: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(x), chunk):
         part = xr[at : at + chunk]
-        worst = best.min(axis=1)
+        worst = np.maximum(best.min(axis=1), floor)
         partial = qr[:, : cuts[1]] @ part[:, : cuts[1]].T
         qi, xi = np.nonzero(np.ones_like(partial, bool)) if len(cuts) == 2 else np.nonzero(partial + _bound(q_rest[:, None, cuts[1]], x_rest[None, at : at + chunk, cuts[1]], d - cuts[1]) >= worst[:, None])
         p = partial[qi, xi]
@@ -112,7 +114,7 @@ def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, chunk: int
         more[qi[order][few], place[few]] = score[order][few]
         best = -np.partition(-np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
     qi, xi, score = (np.concatenate(a) if a else np.empty(0) for a in kept_at)
-    go = score >= best.min(axis=1)[qi.astype(int)] if len(qi) else np.zeros(0, bool)
+    go = score >= np.maximum(best.min(axis=1), floor)[qi.astype(int)] if len(qi) else np.zeros(0, bool)
     return list(zip(qi[go].tolist(), xi[go].tolist(), score[go].tolist(), strict=True))
 
 
@@ -175,39 +177,53 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
                 continue
             order = _nearest(_matrix(x["v"]), index.centroids, len(index.centroids))
             enough = (np.cumsum(sizes[order], axis=1) < wanted).sum(axis=1) + 1
-            out = [(h, int(i)) for h, o, e in zip(x["h"], order, np.maximum(enough, index.probes), strict=True) for i in o[:e] if sizes[i]]
-            yield pd.DataFrame(out, columns=["h", "list"])
+            out = [(h, int(i), n) for h, o, e in zip(x["h"], order, np.maximum(enough, index.probes), strict=True) for n, i in enumerate(o[:e]) if sizes[i]]
+            yield pd.DataFrame(out, columns=["h", "list", "turn"])
 
-    probes = common.written(nodes.filter("q").select("h", "v").mapInPandas(probe, "h string, list int"), "probes")
+    probes = common.written(nodes.filter("q").select("h", "v").mapInPandas(probe, "h string, list int, turn int"), "probes")
     loads = dict(probes.groupBy("list").count().collect())
     shares = np.array([max(1, -(-loads.get(i, 0) // QUERIES)) for i in range(len(sizes))])
     table = spark.createDataFrame([(i, int(c), int(s)) for i, (c, s) in enumerate(zip(cells, shares, strict=True))], "list int, cells int, shares int")
     salted = lambda df, own, other: df.join(F.broadcast(table), "list").withColumn(own, F.pmod(F.xxhash64("h", F.lit(5)), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
     full = nodes.select("h", "v")
-    sides = []
-    for df, own, other, is_q in ((listed, "cell", "share", False), (probes, "share", "cell", True)):
-        # both sides once per cell they meet in; the queries' copies are what a search costs
-        sides.append(salted(df, own, other).join(full, "h").select("list", "cell", "share", "h", "v", F.lit(is_q).alias("is_q")))
-    dealt = sides[0].unionByName(sides[1])
+    columns = ["list", "cell", "share", "h", "v", "floor", "is_q"]
+    # both sides once per cell they meet in; the queries' copies are what a search costs
+    held = salted(listed, "cell", "share").join(full, "h").withColumns({"floor": F.lit(None).cast("double"), "is_q": F.lit(False)}).select(*columns)
 
     def meet(x: pd.DataFrame) -> pd.DataFrame:
         is_q = x["is_q"].to_numpy(bool)
         if not is_q.any() or is_q.all():
             return pd.DataFrame({"qh": np.empty(0, object), "h": np.empty(0, object), "score": np.empty(0)})
         q, c = x[is_q], x[~is_q]
-        found = scan(_matrix(q["v"]), _matrix(c["v"]), index.rotation, k + 1)
+        found = scan(_matrix(q["v"]), _matrix(c["v"]), index.rotation, k + 1, q["floor"].to_numpy(np.float64))
         qh, ch = q["h"].to_numpy(), c["h"].to_numpy()
-        return pd.DataFrame({"qh": [qh[i] for i, _, _ in found], "h": [ch[j] for _, j, _ in found], "score": [s for *_, s in found]})
+        rows_, cols = (np.array([f[i] for f in found], np.int64) for i in (0, 1))
+        return pd.DataFrame({"qh": qh[rows_], "h": ch[cols], "score": np.array([s for *_, s in found], np.float64)})
 
     common.bounded_batches(spark, rows=10_000)
-    met = dealt.groupBy("list", "cell", "share").applyInPandas(meet, "qh string, h string, score double")
-    near = Window.partitionBy("qh").orderBy(F.desc("score"), "first")
+
+    def searched(asked: DataFrame, name: str) -> DataFrame:
+        """The best of what asked(h, list, floor) meets."""
+        own = salted(asked, "share", "cell").join(full, "h").withColumn("is_q", F.lit(True)).select(*columns)
+        met = held.unionByName(own).groupBy("list", "cell", "share").applyInPandas(meet, "qh string, h string, score double")
+        best = F.rank().over(Window.partitionBy("qh").orderBy(F.desc("score")))
+        return common.written(met.withColumn("_at", best).filter(F.col("_at") <= k + 1).drop("_at"), name)
+
+    # the nearest lists first: the score that a query has k + 1 candidates from is what others must reach
+    near = searched(probes.filter("turn < 2").withColumn("floor", F.lit(float("-inf"))), "near")
+    floors = near.groupBy(F.col("qh").alias("h")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    rest = searched(probes.filter("turn >= 2").join(floors, "h", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "rest")
     heads = nodes.select("h", "ids", F.col("ids")[0].alias("first"))
-    top = met.join(heads, "h").withColumn("_at", F.rank().over(near)).filter(F.col("_at") <= k + 1).select("qh", "ids", "score")
-    top = common.written(top, "met")
-    # queries that share a vector share its results, but for themselves
+    at = F.rank().over(Window.partitionBy("qh").orderBy(F.desc("score"), "first"))
+    top = near.unionByName(rest).join(heads, "h").withColumn("_at", at).filter(F.col("_at") <= k + 1)
+    top = top.groupBy("qh").agg(F.collect_list(F.struct("ids", "score")).alias("hits"))  # k + 1, or more where scores and ids tie
+    # queries that share a vector share its results, but for themselves; a vector may have very many
     queries = rows.filter("q").select(F.col("vec_id").alias("query_id"), F.col("h").alias("qh"))
-    out = queries.join(top, "qh").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
+    counts = queries.groupBy("qh").agg(F.count("*").alias("n"))
+    top = common.written(top.join(counts, "qh"), "met")
+    asked = top.agg(F.sum("n")).first()[0] or 0
+    out = common.salted_join(queries, top, "qh", "n", asked, F.col("query_id")).select("query_id", F.explode("hits").alias("hit"))
+    out = out.select("query_id", F.explode("hit.ids").alias("vec_id"), F.col("hit.score").alias("score")).filter("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
