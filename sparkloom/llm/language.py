@@ -11,6 +11,7 @@ a word that occurs again in a task is looked up.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,8 @@ from . import common
 LONGEST = 48
 #: Words whose labels a task keeps.
 CACHE = 200_000
-_labellers: dict[int, Labeller] = {}
+#: The labeller that a worker's tasks share: one at most, by its network's digest.
+_shared: dict[str, Labeller] = {}
 _FOLD = bytes((i + 32 if 65 <= i <= 90 else i) if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
@@ -50,6 +52,12 @@ class Network:
     langs: list[str]
     p: dict[str, np.ndarray]
 
+    def digest(self) -> str:
+        h = hashlib.sha256(repr(self.langs).encode())
+        for k in sorted(self.p):
+            h.update(self.p[k].tobytes())
+        return h.hexdigest()
+
     @classmethod
     def fresh(cls, langs: list[str], hidden: int, seed: int) -> Network:
         rng, p = np.random.default_rng(seed), {}
@@ -239,6 +247,16 @@ class Labeller:
             at += len(d)
 
 
+def labeller(net: Network) -> Labeller:
+    """The worker's labeller of an equal network, with the words that it has met; that of another
+    network goes."""
+    key = net.digest()
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = Labeller(net)
+    return _shared[key]
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every row; und and 0.0 where the text is null or has
     no letter, or where there was nothing to learn from.  Ties go to the language
@@ -246,7 +264,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Labeller(net) if net else None
+        own = labeller(net) if net else None
         for x in frames:
             pred, score = ["und"] * len(x), [0.0] * len(x)
             at = np.flatnonzero(x["letters"].to_numpy(bool)) if own else []
@@ -272,7 +290,7 @@ def keep_identified(docs: DataFrame, net: Network | None, least: float) -> DataF
         keep = [bool(t) and letter.search(t) is not None for t in texts]
         if net:
             at = [i for i, k in enumerate(keep) if k]
-            own = _labellers.setdefault(id(net), Labeller(net))  # one for a task
+            own = labeller(net)
             for i, p in zip(at, own.documents([texts[i] for i in at]), strict=True):
                 keep[i] = p is not None and float(p.max()) >= least
         return batch.filter(pa.array(keep, pa.bool_()))
