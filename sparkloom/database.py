@@ -148,7 +148,7 @@ class Database:
     def _fn_array_slice(self, args: list[str], as_of: int | None) -> DataFrame:
         bounds = {}
         box = args[1].strip().strip("'").strip()
-        XX\s*(-?\d+|null)\s*([\])])", box):
+        for d, lo, hi, close in re.findall(r"\"?(\w+)\"?\s*:\s*[\[(]\s*(-?\d+|null)\s*,\s*(-?\d+|null)\s*([\])])", box):
             bounds[d] = (None if lo == "null" else int(lo), None if hi == "null" else int(hi) - (close == ")"))
         attrs = literal(args[2]) if len(args) > 2 else "*"
         limit = int(args[3]) if len(args) > 3 else None

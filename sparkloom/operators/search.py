@@ -192,6 +192,20 @@ def parse(text: str) -> Node:
     return out
 
 
+def plain_query(text: str) -> Node:
+    """Every word, whatever signs stand between."""
+    return Node("and", [Node("word", word=w) for w in re.findall(r"\w+", text.lower())])
+
+
+def phrase_query(text: str) -> Node:
+    return Node("phrase", re.findall(r"\w+", text.lower()))
+
+
+def web_query(text: str) -> Node:
+    """As search boxes have it: words, "phrases", OR, and a leading - for not."""
+    return parse(re.sub(r"[&|!():*]", " ", text))
+
+
 def matches(text: Column | str, q: str | Node) -> Column:
     n = parse(q) if isinstance(q, str) else q
     t = tokens(text)

@@ -98,6 +98,27 @@ def quantized_topk(df: DataFrame, vector: str, query: list[float], k: int, key:
     return topk(coarse.select(*df.columns), vector, query, k, key, "l2")
 
 
+def binary_topk(df: DataFrame, vector: str, query: list[float], coarse: int, k: int, key: str, metric: str = "l2") -> DataFrame:
+    """Search on the signs of components, 64 of them in a long, by the number that differ; the
+    ``coarse`` nearest are ranked again on the vectors."""
+
+    def word(signs: Column, at: int, n: int) -> Column:
+        bit = lambda i: F.when(F.get(signs, F.lit(at + i)), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+        out = bit(0)
+        for i in range(1, n):
+            out = out.bitwiseOR(bit(i))
+        return out
+
+    signs = F.transform(vector, lambda x: x > 0)
+    own = F.array(*(F.lit(x > 0) for x in query))
+    differ = F.lit(0)
+    for at in range(0, len(query), 64):
+        n = min(64, len(query) - at)
+        differ = differ + F.bit_count(word(signs, at, n).bitwiseXOR(word(own, at, n)))
+    near = df.withColumn("_differ", differ).orderBy("_differ", key).limit(coarse)
+    return topk(near.drop("_differ"), vector, query, k, key, metric)
+
+
 def per_query_topk(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:
     best = Window.partitionBy(query).orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
