@@ -17,11 +17,11 @@ from sparkloom.plans.searching import _BM25, _METRICS, QL, Q, TOK
 # User functions
 
 
-@query("udf_sql_expression", "SELECT p_partkey, round(p_retailprice * (1 - p_size / 100.0::DOUBLE), 2) AS x FROM part")
+@query("udf_sql_expression", "SELECT p_partkey, round(p_retailprice * (1 - p_size / 100.0::DOUBLE), 6) AS x FROM part")
 def _(t):
     user.sql_function(t.spark, "reduced", {"price": "double", "size": "int"}, "double", "price * (1 - size / 100.0D)")
     t.views("part")
-    return t.spark.sql("SELECT p_partkey, round(reduced(p_retailprice, p_size), 2) AS x FROM part")
+    return t.spark.sql("SELECT p_partkey, round(reduced(p_retailprice, p_size), 6) AS x FROM part")
 
 
 @query("udf_arrow_scalar", "SELECT c_custkey, reverse(c_name) || '!' AS x FROM customer")

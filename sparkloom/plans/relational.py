@@ -19,7 +19,7 @@ sql_query("filter_ilike", "SELECT c_custkey FROM customer WHERE c_mktsegment ILI
 sql_query("filter_column_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey > l_partkey")
 sql_query("filter_boolean_nested", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 200000) AND NOT (o_orderpriority = '5-LOW')")
 sql_query("case_coalesce_nullif", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CASE WHEN o_totalprice > 200000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS band, coalesce(nullif(o_orderstatus, 'P'), 'none') AS s FROM orders")
-sql_query("arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, l_orderkey % 10 AS m, -l_linenumber AS neg FROM lineitem")
+sql_query("arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, l_orderkey % 10 AS m, -l_linenumber AS neg FROM lineitem")
 sql_query("cast_values", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS d, CAST(p_partkey AS VARCHAR(20)) AS s, CAST(p_retailprice AS BIGINT) - CAST(floor(p_retailprice) AS BIGINT) IN (0, 1) AS near FROM part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS d, CAST(p_partkey AS VARCHAR) AS s, CAST(p_retailprice AS BIGINT) - CAST(floor(p_retailprice) AS BIGINT) IN (0, 1) AS near FROM part")
 sql_query("try_cast", "SELECT event_id, try_cast(get_json_object(props, '$.k') AS BIGINT) AS k, try_cast(event_type AS BIGINT) AS none FROM events", "SELECT event_id, try_cast(props->>'k' AS BIGINT) AS k, try_cast(event_type AS BIGINT) AS none FROM events")
 sql_query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
