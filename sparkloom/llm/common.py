@@ -3,8 +3,6 @@ and joins that hold under skew, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,35 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows a single sort task of a two-level rank should get.
-RANK_ROWS = 50_000
+from sparkloom.shared import shared_dir, written
 
+__all__ = ["bounded_batches", "map_texts", "read", "salted_join", "set_aside", "shared_dir", "two_level_rank", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs in this process (tests), a temporary folder
-    is set; on a cluster that is an error, as no local folder would be shared."""
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads survive lost
-    executors and don't compute it again.  It is deleted when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows a single sort task of a two-level rank should get.
+RANK_ROWS = 50_000
 
 
 def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:

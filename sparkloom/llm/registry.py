@@ -17,4 +17,6 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only archives can be said in SQL: the rest draws, estimates, learns, or hashes by functions that
+#: SQL doesn't have, and is tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ORACLE_SQL}

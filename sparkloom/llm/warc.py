@@ -234,3 +234,15 @@ def round_trip(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFram
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.read(spark, sf_dir, "pages"))
+
+
+#: Base32 of the hex digest, five bits at a time.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keeper FROM p),
+b AS (SELECT *, array_to_string([lpad(bin(strpos('0123456789abcdef', x[i]) - 1), 4, '0') FOR i IN range(1, 41)], '') AS bits FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum([CAST(bits[5 * i + 1 + k] AS INT) * (16 >> k) FOR k IN range(5)]) AS INT)] FOR i IN range(32)], '') AS payload_digest,
+CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b
+"""

@@ -86,3 +86,9 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     assert out == [("response", None), ("revisit", 5)]
     out = warc.round_trip(pages(spark, [(None, "u", "x"), (None, "u", "x"), (1, "u", "y")])).collect()
     assert sorted((r["page_id"] is None, r["record_type"]) for r in out) == [(False, "response"), (True, "response"), (True, "response")]
+
+
+def test_pages_equal_the_sql(spark, folder):
+    from tests.oracle import difference, rows_of_spark, rows_of_sql
+
+    assert not difference(rows_of_spark(warc.op6_warc(spark, folder)), rows_of_sql(folder, warc.ORACLE_SQL))
