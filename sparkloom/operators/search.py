@@ -143,7 +143,7 @@ class Node:
 def parse(text: str) -> Node:
     """tsquery: & and |, ! for not, parentheses, quotes for phrases, :* for prefixes; words
     side by side mean &, a leading - means !."""
-    toks = re.findall(r'"[^"]*"|[&|!()]|-?[\w]+(?::\*)?', text)
+    toks = re.findall(r'-?"[^"]*"|[&|!()]|-?[\w]+(?::\*)?', text)
     at = 0
 
     def peek() -> str | None:
@@ -180,6 +180,8 @@ def parse(text: str) -> Node:
                 raise ValueError(f"unclosed parenthesis: {text!r}")
             at += 1
             return inside
+        if tok[:2] == '-"':
+            return Node("not", [Node("phrase", [w.lower() for w in re.findall(r"\w+", tok)])])
         if tok[0] == '"':
             return Node("phrase", [w.lower() for w in re.findall(r"\w+", tok)])
         if tok[0] == "-":
