@@ -23,11 +23,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -57,16 +55,17 @@ def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document."""
+    """doc_id, text_hash (XXH64 of the text, null as a text of its own) and fp (the 64 bits as a
+    signed long) of every document."""
     common.bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             fps = np.array([fingerprint(t, words_in_shingle) for t in x["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "text_hash": x["text_hash"], "fp": fps.view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def masks(blocks: int, radius: int = 3) -> list[int]:
@@ -222,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3)
     component_id.  Other columns than doc_id and text aren't read.  An empty table
     gives an empty table."""
     rows = common.written(fingerprints(docs, words_in_shingle), "fingerprints")
-    return _grouped(rows, radius).select("doc_id", "fp", "component_id")
+    return _grouped(rows.drop("text_hash"), radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> DataFrame:
@@ -230,23 +229,18 @@ def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> Dat
     doc_id (nulls after others), of repeated rows any one.  Columns of any other name are
     kept.  An empty table stays empty."""
     docs, name, back = common.set_aside(docs)
-    doc_id, at = F.col(name["doc_id"]), docs.columns.index(name["text"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-
-    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words_in_shingle) for t in batch.column(at).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "_fp"])
-
-    rows = common.map_texts(docs, change, schema)
-    ids = common.written(rows.select(doc_id.alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
-    ids = ids.groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"), F.col("rows").alias("rows"))
-    kept = common.written(_grouped(ids, radius).groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.fp").alias("_kept"), F.col("kept.rows").alias("_rows")), "kept")
-    rows = rows.join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")))
+    doc_id, text = F.col(name["doc_id"]), F.col(name["text"])
+    ids = common.written(fingerprints(docs.select(doc_id.alias("doc_id"), text.alias("text")), words_in_shingle), "fingerprints")
+    ids = ids.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *(F.col(c).alias(c) for c in ("doc_id", "text_hash", "rows")))
+    kept = _grouped(ids, radius).groupBy("root").agg(F.min(order).alias("kept"))
+    kept = common.written(kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"), F.col("kept.rows").alias("_rows")), "kept")
+    # the texts are hashed again, not fingerprinted again
+    rows = docs.join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")))
     single = rows.filter("_rows = 1").select(*back)
     if kept.filter("_rows > 1").isEmpty():
         return single
-    first = Window.partitionBy("_id", "_fp").orderBy(F.lit(1))
+    first = Window.partitionBy("_id", "_hash").orderBy(F.lit(1))
     repeated = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(first)).filter("_at = 1")
     return single.unionByName(repeated.select(*back))
 
