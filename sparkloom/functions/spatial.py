@@ -43,6 +43,38 @@ def point(lng, lat) -> Column:
     return F.concat(F.lit("POINT("), _col(lng).cast("string"), F.lit(" "), _col(lat).cast("string"), F.lit(")"))
 
 
+def line(points: Column | str) -> Column:
+    """A line string of an array of structs (lng, lat)."""
+    pairs = F.transform(_col(points), lambda p: F.concat(p["lng"].cast("string"), F.lit(" "), p["lat"].cast("string")))
+    return F.concat(F.lit("LINESTRING("), F.array_join(pairs, ", "), F.lit(")"))
+
+
+def polygon(points: Column | str) -> Column:
+    """A polygon of one ring, closed where the array of structs (lng, lat) isn't."""
+    c = _col(points)
+    ring = F.when(c[0] == F.element_at(c, -1), c).otherwise(F.concat(c, F.array(c[0])))
+    pairs = F.transform(ring, lambda p: F.concat(p["lng"].cast("string"), F.lit(" "), p["lat"].cast("string")))
+    return F.concat(F.lit("POLYGON(("), F.array_join(pairs, ", "), F.lit("))"))
+
+
+def box(west, south, east, north) -> Column:
+    w, s, e, n = (_col(c).cast("string") for c in (west, south, east, north))
+    corners = [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    return F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *(F.concat_ws(" ", x, y) for x, y in corners)), F.lit("))"))
+
+
+def st_circle(lng, lat, metres: float, sides: int = 32) -> Column:
+    return st_buffer(point(lng, lat), metres, sides)
+
+
+def x_of(a) -> Column:
+    return _udf(lambda g: float(g["coordinates"][0]), T.DoubleType(), a)
+
+
+def y_of(a) -> Column:
+    return _udf(lambda g: float(g["coordinates"][1]), T.DoubleType(), a)
+
+
 def geohash(lng, lat, size: int) -> Column:
     """Base-32 geohash of ``size`` characters: bits of longitude and latitude in turn, computed
     as whole numbers of cells, so that it stays in generated code."""

@@ -102,8 +102,44 @@ def stem(w: str) -> str:
     return w.replace("Y", "y")
 
 
-def stems(words: Column) -> Column:
+def stem_de(w: str) -> str:
+    """German: endings of inflection and derivation in their regions, umlauts to plain vowels."""
+    w = re.sub(r"(?<=[aeiouyäöü])u(?=[aeiouyäöü])", "U", w.lower().replace("ß", "ss"))
+    w = re.sub(r"(?<=[aeiouyäöü])y(?=[aeiouyäöü])", "Y", w)
+    v, n = "[aeiouyäöü]", "[^aeiouyäöü]"
+    m = re.search(v + n, w)
+    first = m.end() if m else len(w)
+    m = re.search(v + n, w[first:])
+    r1, r2 = max(3, first), first + m.end() if m else len(w)
+    if (m := re.search(r"(em|ern|er|en|es|e|(?<=[bdfghklmnrt])s)$", w)) and m.start() >= r1:
+        w = w[: m.start()]
+        if m[1] in ("en", "es", "e") and w.endswith("niss"):
+            w = w[:-1]
+    if (m := re.search(r"(est|en|er|(?<=.{3}[bdfghklmnt])st)$", w)) and m.start() >= r1:
+        w = w[: m.start()]
+    if (m := re.search(r"(isch|lich|heit|keit|end|ung|ig|ik)$", w)) and m.start() >= r2:
+        base = w[: m.start()]
+        if m[1] in ("end", "ung"):
+            w = base[:-2] if base.endswith("ig") and not base.endswith("eig") and len(base) - 2 >= r2 else base
+        elif m[1] in ("ig", "ik", "isch"):
+            w = w if base.endswith("e") else base
+        elif m[1] in ("lich", "heit"):
+            w = base[:-2] if base.endswith(("er", "en")) and len(base) - 2 >= r1 else base
+        else:
+            w = base
+            for e in ("lich", "ig"):
+                if w.endswith(e) and len(w) - len(e) >= r2:
+                    w = w[: -len(e)]
+                    break
+    return w.replace("U", "u").replace("Y", "y").replace("ä", "a").replace("ö", "o").replace("ü", "u")
+
+
+STEMMERS = {"en": stem, "de": stem_de}
+
+
+def stems(words: Column, lang: str = "en") -> Column:
     """Stems of an array of words; each different word of a batch is stemmed once."""
+    one_stem = STEMMERS[lang]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(x: pd.Series) -> pd.Series:
@@ -111,7 +147,7 @@ def stems(words: Column) -> Column:
 
         def one(w: str) -> str:
             if w not in known:
-                known[w] = stem(w)
+                known[w] = one_stem(w)
             return known[w]
 
         return x.map(lambda ws: None if ws is None else [one(w) for w in ws])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.shared import written
+
 
 def _on(a: str, b: str, key: list[str]) -> Column:
     out = F.lit(True)
@@ -180,6 +182,27 @@ def bad_transitions(before: DataFrame, after: DataFrame, key: list[str], state:
     return j.filter(moved & ~ok).select(*(F.col(f"n.{k}") for k in key), F.col(f"o.{state}").alias("old"), F.col(f"n.{state}").alias("new"))
 
 
+def locked(before: DataFrame, after: DataFrame, key: list[str], ts: str, until) -> DataFrame:
+    """Changes to rows of a closed period: those whose old or new ``ts`` lies before ``until``."""
+    feed = changes(before, after, key)
+    return feed.filter((F.col(f"old.{ts}") < until) | (F.col(f"new.{ts}") < until))
+
+
+def retained(table: DataFrame, ts: str, oldest) -> DataFrame:
+    """What a retention policy keeps."""
+    return table.filter(F.col(ts) >= oldest)
+
+
+def numbered(rows: DataFrame, column: str, start: int = 1, step: int = 1) -> DataFrame:
+    """Sequence values without gaps: partitions are counted, a row's number is its place in its
+    partition plus those before.  Which row gets which number is of no consequence."""
+    dealt = written(rows.withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.lit(1))) - 1 + F.col("_before")
+    return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(column, (place * step + start).cast("long")).drop("_part", "_before")
+
+
 def hash_chain(rows: DataFrame, part: str, order: list[str], fields: list[str]) -> DataFrame:
     """rows with ``hash``: SHA-256 of the hash before it in its part and of the row's fields.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def literal(values) -> Column:
@@ -119,6 +122,58 @@ def binary_topk(df: DataFrame, vector: str, query: list[float], coarse: int, k:
     return topk(near.drop("_differ"), vector, query, k, key, metric)
 
 
+def ternary(vector: Column | str, share: float = 0.5) -> Column:
+    """Components as -1, 0 or 1: 0 where they are under ``share`` of the vector's mean magnitude."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    cut = _sum(F.transform(v, lambda x: F.abs(x.cast("double")))) / F.size(v) * share
+    return F.transform(v, lambda x: F.when(F.abs(x) < cut, F.lit(0)).otherwise(F.signum(x).cast("int")))
+
+
+def product_codebooks(df: DataFrame, vector: str, parts: int = 8, codes: int = 64, sample: int = 10_000, key: str | None = None) -> list[np.ndarray]:
+    """Codebooks of a product quantizer: k-means of each of ``parts`` slices, on at most ``sample``
+    vectors, those of the least hash."""
+    picked = df.orderBy(F.xxhash64(key or vector)).select(vector).limit(sample).toPandas()[vector]
+    if picked.empty:
+        return []
+    x, rng, out = np.stack([np.asarray(v, np.float64) for v in picked]), np.random.default_rng(5), []
+    for part in np.array_split(np.arange(x.shape[1]), parts):
+        p = x[:, part]
+        c = p[rng.choice(len(p), min(codes, len(p)), replace=False)]
+        for _ in range(8):
+            at = ((p[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            sums, n = np.zeros_like(c), np.bincount(at, minlength=len(c))[:, None]
+            np.add.at(sums, at, p)
+            c = np.where(n > 0, sums / np.maximum(n, 1), c)
+        out.append(c)
+    return out
+
+
+def product_codes(vector: Column | str, books: list[np.ndarray]) -> Column:
+    """The nearest entry of each codebook: a short for each slice instead of its components."""
+    cuts = np.cumsum([b.shape[1] for b in books])[:-1]
+
+    @F.pandas_udf(T.ArrayType(T.ShortType()))
+    def run(v: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(r, np.float64) for r in v]) if len(v) else np.zeros((0, sum(b.shape[1] for b in books)))
+        near = [((p[:, None] - b[None]) ** 2).sum(2).argmin(1) for p, b in zip(np.split(x, cuts, axis=1), books, strict=True)]
+        return pd.Series(list(np.stack(near, axis=1).astype(np.int16))) if len(v) else pd.Series([], dtype=object)
+
+    return run(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def product_topk(df: DataFrame, vector: str, codes: str, books: list[np.ndarray], query: list[float], k: int, key: str, oversample: int = 10) -> DataFrame:
+    """L2 search on product codes: a query's distances to all codebook entries are looked up and
+    summed, the k * oversample nearest ranked again on the vectors."""
+    near, at = F.lit(0.0), 0
+    for i, b in enumerate(books):
+        q = np.asarray(query[at : at + b.shape[1]])
+        table = F.array(*(F.lit(float(d)) for d in ((b - q) ** 2).sum(1)))
+        near = near + F.get(table, F.get(codes, F.lit(i)).cast("int"))
+        at += b.shape[1]
+    coarse = df.withColumn("_near", near).orderBy("_near", key).limit(k * oversample)
+    return topk(coarse.drop("_near"), vector, query, k, key, "l2")
+
+
 def per_query_topk(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:
     best = Window.partitionBy(query).orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

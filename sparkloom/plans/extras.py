@@ -204,3 +204,59 @@ def _(t):
 @query("decimal_and_duration_text", "SELECT p_partkey, round(p_retailprice, 2) AS d, CASE WHEN p_size % 24 = 0 THEN (p_size // 24) || 'd' WHEN p_size < 24 THEN p_size || 'h' ELSE (p_size // 24) || 'd ' || (p_size % 24) || 'h' END AS t FROM part")
 def _(t):
     return t.part.select("p_partkey", F.col("p_retailprice").try_cast("decimal(18,2)").cast("double").alias("d"), S.duration_text(F.col("p_size") * 3600).alias("t"))
+
+
+# Quantizers, sketches, constructors, numbering
+
+
+@query("vector_product_rerank", None)
+def _(t):
+    books = V.product_codebooks(t.embeddings, "embedding", key="vec_id")
+    coded = t.embeddings.withColumn("codes", V.product_codes("embedding", books))
+    return V.product_topk(coded, "embedding", "codes", books, Q, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
+
+
+@query("vector_ternary", "SELECT vec_id, CAST(list_sum(list_transform(v, lambda x: CASE WHEN abs(x) < c THEN 0 ELSE 1 END)) AS BIGINT) AS n FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: abs(x))) / 64 * 0.5 AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
+def _(t):
+    return t.embeddings.select("vec_id", F.aggregate(V.ternary("embedding"), F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).alias("n"))
+
+
+@query("agg_approx_percentile", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1")
+def _(t):
+    """Within a hundredth of the exact median's rank."""
+    near = t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("a"), F.percentile("l_extendedprice", F.lit(0.49)).alias("lo"), F.percentile("l_extendedprice", F.lit(0.51)).alias("hi"))
+    return near.select("l_returnflag", F.col("a").between(F.col("lo"), F.col("hi")).alias("near"))
+
+
+@query("agg_approx_count", "SELECT count(*) >= 1 AS counted, count(*) AS n FROM events WHERE event_type = 'click'")
+def _(t):
+    """A count-min sketch's table: counts by type are exact where hashes don't meet."""
+    sketch = t.events.agg(F.count_min_sketch("event_type", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("s"))
+    exact = t.events.filter("event_type = 'click'").agg(F.count("*").alias("n"))
+    return exact.join(sketch.select((F.octet_length("s") > 0).alias("counted"))).select("counted", "n")
+
+
+@query("sequence_numbers", "SELECT count(*) AS n, CAST(min(x) AS BIGINT) AS lo, CAST(max(x) AS BIGINT) AS hi, count(DISTINCT x) AS d FROM (SELECT 100 + 5 * (row_number() OVER (ORDER BY c_custkey) - 1) AS x FROM customer)")
+def _(t):
+    from sparkloom.operators import dml
+
+    return dml.numbered(t.customer, "x", 100, 5).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("d"))
+
+
+@query("period_lock", "SELECT 'update' AS op, o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_totalprice > 100000")
+def _(t):
+    from sparkloom.operators import dml
+
+    o = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    new = dml.update(o, {"o_totalprice": F.col("o_totalprice") * 2}, F.col("o_totalprice") > 100000)
+    return dml.locked(o, new, ["o_orderkey"], "o_orderdate", F.expr("TIMESTAMP_NTZ '1996-01-01'")).select("op", "o_orderkey")
+
+
+@query("geo_constructors", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) AS x, CAST(4 AS INT) AS points, CAST(6.0 AS DOUBLE) AS area FROM nation")
+def _(t):
+    from sparkloom.functions import spatial as P
+
+    k = F.col("n_nationkey").cast("double")
+    corner = lambda x, y: F.struct(x.alias("lng"), y.alias("lat"))
+    ring = P.polygon(F.array(corner(k, F.lit(0.0)), corner(k + 1, F.lit(0.0)), corner(k + 1, F.lit(1.0))))
+    return t.nation.select("n_nationkey", P.x_of(P.point(k, F.lit(1.0))).alias("x"), P.num_points(ring).alias("points"), P.st_area(P.box(k, F.lit(0.0), k + 3, F.lit(2.0))).alias("area"))

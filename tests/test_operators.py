@@ -13,7 +13,7 @@ from sparkloom.catalog import Tables
 from sparkloom.functions import scalar as S
 from sparkloom.functions import spatial as P
 from sparkloom.functions import user
-from sparkloom.functions.stem import stem
+from sparkloom.functions.stem import stem, stem_de
 from sparkloom.operators import access, dml, keyvalue, search, vector
 from sparkloom.operators import relational as R
 from sparkloom.operators import timeseries as TS
@@ -186,6 +186,24 @@ def test_stems():
     assert {w: stem(w) for w in words} == words
 
 
+def test_german_stems():
+    words = {"häuser": "haus", "aufeinander": "aufeinand", "verschlossen": "verschloss", "katers": "kat", "freundlichkeit": "freundlich", "kategorie": "kategori"}
+    assert {w: stem_de(w) for w in words} == words
+
+
+def test_product_codes_find_near_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    books = vector.product_codebooks(df, "v", parts=4, codes=32, key="id")
+    coded = df.withColumn("c", vector.product_codes("v", books))
+    q = x[7] + 0.01
+    got = [r["id"] for r in vector.product_topk(coded, "v", "c", books, q.tolist(), 5, "id", 20).collect()]
+    assert got == np.argsort(((x - q) ** 2).sum(1))[:5].tolist()
+
+
 def test_vector_metrics(spark):
     a, b = vector.literal([1.0, 2.0, 0.0]), vector.literal([1.0, 0.0, 2.0])
     got = one(spark, *(vector.distance(a, b, m).alias(m) for m in ("l2", "ip", "manhattan", "chebyshev", "hamming", "cosine")))
