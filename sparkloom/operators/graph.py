@@ -164,7 +164,7 @@ def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     state = written(nodes(edges).withColumn("community", F.col("node")), "labels")
     for i in range(iterations):
         votes = e.join(state, e["dst"] == state["node"]).groupBy("src", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("b")).select(F.col("src").alias("node"), (-F.col("b.c")).alias("new"))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("few"), "community")).alias("b")).select(F.col("src").alias("node"), F.col("b.community").alias("new"))
         both = written(state.join(best, "node", "left").select("node", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")), f"labels{i}")
         state = both.select("node", "community")
         if both.filter("moved").isEmpty():
@@ -324,13 +324,13 @@ def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds:
             same = F.col("other") == F.col("community")
             gain = F.col("w") - resolution * F.col("k") * (F.col("tot_other") - F.when(same, F.col("k")).otherwise(0.0)) / total
             stay = F.max(F.when(same, gain)).alias("stay")
-            best = F.max(F.when(~same, F.struct(gain.alias("gain"), (-F.col("other")).alias("c")))).alias("best")
+            best = F.min(F.when(~same, F.struct((-gain).alias("loss"), F.col("other").alias("c")))).alias("best")
             lone = sizes.withColumnsRenamed({"tot": "tot_own"})
             picked = own.groupBy("node", "k", "community").agg(stay, best).join(lone, "community")
             stay_gain = F.coalesce("stay", -resolution * F.col("k") * (F.col("tot_own") - F.col("k")) / total)
-            new = -F.col("best.c")
+            new = F.col("best.c")
             way = new < F.col("community") if r % 2 == 0 else new > F.col("community")
-            moves = way & (F.col("best.gain") > stay_gain + 1e-12)
+            moves = way & (-F.col("best.loss") > stay_gain + 1e-12)
             state = written(picked.select("node", "k", F.when(moves, new).otherwise(F.col("community")).alias("community"), F.coalesce(moves, F.lit(False)).alias("moved")), f"louvain{level}_{r}")
             moved = not state.filter("moved").isEmpty()
             state = state.drop("moved")

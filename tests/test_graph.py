@@ -167,6 +167,14 @@ def test_communities_of_two_cliques(spark):
     assert table(split, "node", "community")[0] != table(split, "node", "community")[14]
 
 
+def test_communities_of_named_nodes(spark):
+    rows = [(f"n{a:02}", f"n{b:02}") for g in (range(5), range(10, 15)) for a, b in itertools.combinations(g, 2)] + [("n04", "n10")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    for f in (G.louvain, G.label_propagation):
+        got = table(f(e), "node", "community")
+        assert len({got[f"n{v:02}"] for v in range(5)}) == 1 and got["n00"] != got["n14"]
+
+
 def test_patterns(spark):
     e = spark.createDataFrame([("a", "b", "knows"), ("b", "c", "knows"), ("c", "d", "likes"), ("d", "a", "knows"), ("a", "c", "likes")], "src string, dst string, label string")
     n = spark.createDataFrame([(x, "P" if x != "d" else "Q", i) for i, x in enumerate("abcd")], "id string, label string, age int")
