@@ -164,10 +164,15 @@ def training_sample(docs: DataFrame, per_lang: int, words: int) -> list[tuple[st
     """Up to ``words`` words of each of up to ``per_lang`` documents of each language, both
     chosen by hash; documents whose crc32(doc_id) mod 5 is 0 are held out."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    # the first per_lang of each of 64 parts of a language, then of those: a bounded number meets in a task
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_part", F.pmod("_h", F.lit(64)))
-    for parts in (["lang", "_part"], ["lang"]):
-        ids = ids.withColumn("_at", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "doc_id"))).filter(F.col("_at") <= per_lang)
+    # only hashes that can be among a language's least come to its ranking: twice as many as it takes,
+    # or all of a language with few documents
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("_n"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("_n")).select(F.col("lang").alias("_lang"), (share * 2.0**64 - 2.0**63).alias("_least"))
+    # a row for each language; the network, which every task gets, has as many
+    ids = ids.join(F.broadcast(counts), (F.col("lang") == F.col("_lang")) & (F.col("_h").cast("double") <= F.col("_least")))
+    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = ids.withColumn("_at", F.row_number().over(by_hash)).filter(F.col("_at") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id")).distinct()  # per_lang for each language
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
