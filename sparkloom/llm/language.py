@@ -12,7 +12,6 @@ a word that occurs again in a task is looked up.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -288,11 +287,9 @@ def keep_identified(docs: DataFrame, net: Network | None, least: float) -> DataF
     """The rows of docs whose language is identified with a score of ``least`` or more, as they
     are.  Rows go that ``identify`` would call und; where there was nothing to learn from,
     those without a letter."""
-    letter = re.compile(r"[^\W\d_]")
-
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        keep = [bool(t) and letter.search(t) is not None for t in texts]
+        keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if net:
             at = [i for i, k in enumerate(keep) if k]
             own = labeller(net)
