@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import NAMES
-from sparkloom.operators import dml, graph, keyvalue, relational, search, vector
+from sparkloom.operators import dml, graph, keyvalue, relational, search, timeseries, vector
 from sparkloom.operators.match import match
 from sparkloom.operators.ndarray import Array
 from sparkloom.plans import sql
@@ -82,6 +82,7 @@ class Database:
     arrays: dict[str, Array] = field(default_factory=dict)
     indexes: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     views: dict[str, str] = field(default_factory=dict)
+    trees: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     _n: int = 0
 
     # Collections
@@ -428,6 +429,84 @@ class Database:
     def _sorted_count(self, m: re.Match, _: str) -> DataFrame:
         return self.table(self.indexes[m[1]][0]).agg(F.count("*").alias("count"))
 
+    # Functions that are statements
+
+    def _kv(self, m: re.Match, _: str) -> DataFrame:
+        """KV_INCR, KV_DECR, KV_INCR_FLOAT, KV_CAS and KV_GETSET on a collection of (key, value)."""
+        op, args = m[1].upper(), split_top(m[2])
+        name, key, *rest = (literal(a.split("=>")[-1]) for a in args)
+        if name not in self.tables:
+            kind = {"KV_INCR": "long", "KV_DECR": "long", "KV_INCR_FLOAT": "double"}.get(op, "string")
+            self.put(name, self.spark.createDataFrame([], f"key string, value {kind}"), ["key"])
+        t = self.table(name)
+        kind = t.schema["value"].dataType
+        one = self.spark.range(1).select(F.lit(key).alias("key"))
+        if op in ("KV_INCR", "KV_DECR", "KV_INCR_FLOAT"):
+            by = -rest[0] if op == "KV_DECR" else rest[0]
+            self.put(name, keyvalue.incremented(t, one.withColumn("delta", F.lit(by).cast(kind)), "key", "value", "delta").select("key", F.col("value").cast(kind)))
+            return self.table(name).filter(F.col("key") == key).select("value")
+        if op == "KV_CAS":
+            wants = one.withColumn("expected", F.lit(rest[0]).cast(kind)).withColumn("new", F.lit(rest[1]).cast(kind))
+            hit = t.filter((F.col("key") == key) & F.col("value").eqNullSafe(F.lit(rest[0]).cast(kind)))
+            out = one.select((F.lit(not hit.isEmpty())).alias("success"))
+            self.put(name, keyvalue.compare_and_set(t, "key", "value", wants))
+            return out
+        before = t.filter(F.col("key") == key).select("value")
+        self.put(name, dml.upsert(t, one.withColumn("value", F.lit(rest[0]).cast(kind)), ["key"]))
+        return before
+
+    def _graph_index(self, m: re.Match, _: str) -> DataFrame:
+        self.trees[m[1]] = (m[2], m[3], m[4])
+        return self.table(m[2])
+
+    def _below(self, tree: str, root) -> DataFrame:
+        table, parent, key = self.trees[tree]
+        t = self.table(table)
+        links = t.select(F.col(parent).alias("_parent"), F.col(key).alias("_child"))
+        seed = self.spark.range(1).select(F.lit(root).cast(t.schema[key].dataType).alias("_child"))
+        return relational.reachable(seed, links, "_child", "_parent", "_child")
+
+    def _tree(self, m: re.Match, _: str) -> DataFrame:
+        args = split_top(m[2])
+        if m[1].upper() == "TREE_CHILDREN":
+            root = literal(args[1])
+            return self._below(args[0], root).filter(F.col("_child") != root).withColumnRenamed("_child", "id")
+        table, _parent, key = self.trees[args[1]]
+        below = self._below(args[1], literal(args[2]))
+        t = self.table(literal(args[3]) if len(args) > 3 else table)
+        return t.join(below, F.col(key) == F.col("_child"), "left_semi").agg(F.sum(args[0]).alias("sum"))
+
+    def _lookup(self, m: re.Match, _: str) -> DataFrame:
+        name, args = m[1].upper(), [literal(a) for a in split_top(m[2])]
+        if name == "TEMPORAL_LOOKUP":
+            table, value, at, key, ts = args
+            own = self.table(table).filter(F.col(key) == value)
+            return timeseries.latest_as_of(own, [key], ts, F.lit(at).cast(own.schema[ts].dataType)).select(*own.columns)
+        if name == "CONVERT_CURRENCY_LOOKUP":
+            amount, source, target, table, at, key, rate, ts, *digits = args
+            own = self.table(table).filter(F.col(key) == f"{source}/{target}")
+            best = own.filter(F.col(ts) <= F.lit(at).cast(own.schema[ts].dataType)).agg(F.max_by(rate, ts).alias("rate"))
+            return best.select(F.round(F.lit(float(amount)) * F.col("rate"), int(digits[0]) if digits else 2).alias("converted"))
+        if name == "ESTIMATE_COUNT":
+            return self.table(args[0]).agg(F.approx_count_distinct(args[1], 0.02).alias("count"))
+        if name == "LAST_VALUES":
+            t = self.table(args[0])
+            return timeseries.latest_as_of(t, self._key(args[0]), "ts", F.lit("9999-01-01").cast(t.schema["ts"].dataType))
+        t = self.table(args[0])
+        return timeseries.latest_as_of(t.filter(F.col(self._key(args[0])[0]) == args[1]), self._key(args[0]), "ts", F.lit("9999-01-01").cast(t.schema["ts"].dataType))
+
+    def _analyze(self, m: re.Match, _: str) -> DataFrame:
+        """Rows, distinct values, nulls, least and greatest of each column, in one pass."""
+        t = self.table(m[1])
+        plain = [f.name for f in t.schema if f.dataType.typeName() not in ("map", "array", "struct", "variant", "binary")]
+        stats = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("distinct"), F.col(f"{c}_z").alias("nulls"), F.col(f"{c}_a").alias("least"), F.col(f"{c}_b").alias("greatest")) for c in plain))
+        aggs = [x for c in plain for x in (F.approx_count_distinct(c).alias(f"{c}_n"), F.count_if(F.col(c).isNull()).alias(f"{c}_z"), F.min(c).cast("string").alias(f"{c}_a"), F.max(c).cast("string").alias(f"{c}_b"))]
+        return t.agg(F.count("*").alias("rows"), *aggs).select("rows", F.explode(stats).alias("s")).select("s.*", "rows")
+
+    def _explain(self, m: re.Match, _: str) -> DataFrame:
+        plan = self.select(m[1])._jdf.queryExecution().toString()
+        return self.spark.createDataFrame([(x,) for x in plan.split("\n")], "plan string")
+
     def _view_create(self, m: re.Match, _: str) -> DataFrame:
         self.views[m[1]] = m[2]
         return self.put(m[1], self.select(m[2]))
@@ -468,6 +547,12 @@ _STATEMENTS = [
         (r"COPY\s+(\w+)\s+FROM\s+'([^']*)'(.*)$", Database._copy_from),
         (r"COPY\s+(\w+|\(.*\))\s+TO\s+'([^']*)'", Database._copy_to),
         (rf"SELECT\s+RANK\s*\(\s*(\w+)\s*,\s*{_V}\s*\)$", Database._rank),
+        (r"SELECT\s+(KV_INCR_FLOAT|KV_INCR|KV_DECR|KV_CAS|KV_GETSET)\s*\((.*)\)$", Database._kv),
+        (r"CREATE\s+GRAPH\s+INDEX\s+(\w+)\s+ON\s+(\w+)\s*\(\s*(\w+)\s*->\s*(\w+)\s*\)", Database._graph_index),
+        (r"SELECT\s+(TREE_CHILDREN|TREE_SUM)\s*\((.*?)\)(?:\s+FROM\s.*)?$", Database._tree),
+        (r"SELECT\s+(?:\*\s+FROM\s+)?(TEMPORAL_LOOKUP|CONVERT_CURRENCY_LOOKUP|ESTIMATE_COUNT|LAST_VALUES?)\s*\((.*)\)$", Database._lookup),
+        (r"ANALYZE\s+(\w+)$", Database._analyze),
+        (r"EXPLAIN\s+(.*)$", Database._explain),
         (r"SELECT\s+SORTED_COUNT\s*\(\s*(\w+)\s*\)$", Database._sorted_count),
     )
 ]

@@ -96,3 +96,28 @@ def test_extensions_in_select(db, folder):
     db.folder = folder
     assert db.execute("SELECT time_bucket('1 day', ts) AS d, count(*) AS n FROM events GROUP BY 1").count() == 30
     assert rows(db.execute("SELECT field, sum(n) FROM FACET_COUNTS(orders, 'o_totalprice > 0', ['o_orderstatus', 'o_orderpriority'], 10) GROUP BY field")) == [("o_orderpriority", 1500), ("o_orderstatus", 1500)]
+
+
+def test_key_value_statements(db):
+    assert rows(db.execute("SELECT KV_INCR('scores', 'p', 10)")) == [(10,)]
+    assert rows(db.execute("SELECT KV_DECR('scores', 'p', 3)")) == [(7,)]
+    assert rows(db.execute("SELECT KV_INCR_FLOAT('damage', 'p', 95.5)")) == [(95.5,)]
+    assert rows(db.execute("SELECT KV_GETSET('state', 'p', 'idle')")) == []
+    assert rows(db.execute("SELECT KV_CAS('state', 'p', 'idle', 'busy')")) == [(True,)]
+    assert rows(db.execute("SELECT KV_CAS('state', 'p', 'idle', 'gone')")) == [(False,)]
+    assert rows(db.execute("SELECT KV_GETSET('state', 'p', 'x')")) == [("busy",)]
+
+
+def test_trees_and_lookups(db, spark):
+    db.put("accounts", spark.createDataFrame([("root", None, 1.0), ("a", "root", 2.0), ("b", "root", 4.0), ("c", "a", 8.0), ("z", None, 99.0)], "id string, parent_id string, balance double"), ["id"])
+    db.execute("CREATE GRAPH INDEX tree ON accounts (parent_id -> id)")
+    assert rows(db.execute("SELECT TREE_CHILDREN(tree, 'root')")) == [("a",), ("b",), ("c",)]
+    assert rows(db.execute("SELECT TREE_SUM(balance, tree, 'a') FROM accounts LIMIT 1")) == [(10.0,)]
+    db.put("rates", spark.createDataFrame([("EUR/USD", "2024-01-01 00:00:00", 1.1), ("EUR/USD", "2024-02-01 00:00:00", 1.2)], "pair string, ts string, rate double").selectExpr("pair", "cast(ts AS timestamp_ntz) AS ts", "rate"), ["pair"])
+    assert rows(db.execute("SELECT CONVERT_CURRENCY_LOOKUP(100, 'EUR', 'USD', 'rates', '2024-01-15', 'pair', 'rate', 'ts', 2)")) == [(110.0,)]
+    assert db.execute("SELECT * FROM TEMPORAL_LOOKUP('rates', 'EUR/USD', '2024-03-01', 'pair', 'ts')").first()["rate"] == 1.2
+    assert db.execute("SELECT LAST_VALUE('rates', 'EUR/USD')").first()["rate"] == 1.2 and db.execute("SELECT LAST_VALUES('rates')").count() == 1
+    assert rows(db.execute("SELECT ESTIMATE_COUNT('accounts', 'id')")) == [(5,)]
+    stats = {r["column"]: r for r in db.execute("ANALYZE accounts").collect()}
+    assert stats["parent_id"]["nulls"] == 2 and stats["balance"]["greatest"] == "99.0" and stats["id"]["rows"] == 5
+    assert db.execute("EXPLAIN SELECT id FROM accounts").filter("plan LIKE '%Physical Plan%'").count() == 1
