@@ -26,11 +26,13 @@ def dot(a, b) -> Column:
 
 
 def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
-    """metric: l2, cosine, ip (negative inner product), manhattan, chebyshev, hamming, jaccard,
+    """metric: l2, l2_squared, cosine, ip (negative inner product), manhattan, chebyshev, hamming, jaccard,
     pearson.  Cosine, Jaccard and Pearson of zero vectors are null."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     if metric == "l2":
         return F.sqrt(_pairs(a, b, lambda x, y: (x - y) * (x - y)))
+    if metric == "l2_squared":
+        return _pairs(a, b, lambda x, y: (x - y) * (x - y))
     if metric == "ip":
         return -dot(a, b)
     if metric == "cosine":

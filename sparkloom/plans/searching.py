@@ -36,12 +36,12 @@ def _(t):
     return V.topk(t.embeddings, "embedding", Q, 5, "vec_id", "l2", F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("d"))
 
 
-@query("vector_sql_operators", f"SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 10")
+@query("vector_sql_operators", f"SELECT vec_id, round(power({_METRICS['l2']}, 2), 5) AS d, round({_METRICS['cosine']}, 6) AS c, round({_METRICS['ip']}, 5) AS i FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 10")
 def _(t):
     from sparkloom.plans import sql
 
     q = "[" + ", ".join(map(repr, Q)) + "]"
-    return sql.run(t, f"SELECT vec_id, round(embedding <-> {q}, 6) AS d FROM embeddings ORDER BY embedding <-> {q}, vec_id LIMIT 10")
+    return sql.run(t, f"SELECT vec_id, round(embedding <-> {q}, 5) AS d, round(vector_cosine_distance(embedding, {q}), 6) AS c, round(embedding <#> {q}, 5) AS i FROM embeddings ORDER BY embedding <-> {q}, vec_id LIMIT 10")
 
 
 @query("vector_matryoshka", f"WITH c AS (SELECT * FROM embeddings ORDER BY list_distance({E}[1:16], {QL}[1:16]), vec_id LIMIT 50) SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM c ORDER BY {_METRICS['l2']}, vec_id LIMIT 10")

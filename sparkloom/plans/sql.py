@@ -1,7 +1,8 @@
 """SQL front end: Spark SQL with the extensions that multi-model queries use.
 
-Rewritten before Spark parses the text: the vector operators <->, <=> and <#> between
-column names or bracketed literals, time_bucket('1 hour', ts), FOR SYSTEM_TIME AS OF on a
+Rewritten before Spark parses the text: the vector operators <-> (squared L2), <=> (cosine
+distance) and <#> (negative inner product) between column names or bracketed literals, and
+their functions, time_bucket('1 hour', ts), FOR SYSTEM_TIME AS OF on a
 versioned table, and JSON ->> paths of one key."""
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from sparkloom.catalog import NAMES, Tables
 
 _OPERAND = r"(?:[A-Za-z_][\w.]*|\[[^\]]*\]|ARRAY\([^)]*\))"
 _VECTOR = re.compile(rf"({_OPERAND})\s*(<->|<=>|<#>)\s*(\[[^\]]*\]|{_OPERAND})")
+_CALL = re.compile(rf"\b(vector_distance|vector_cosine_distance|vector_neg_inner_product)\(\s*({_OPERAND})\s*,\s*(\[[^\]]*\]|{_OPERAND})\s*\)", re.I)
+_CALLS = {"vector_distance": "<->", "vector_cosine_distance": "<=>", "vector_neg_inner_product": "<#>"}
 _BUCKET = re.compile(r"time_bucket\(\s*(?:INTERVAL\s*)?'(\d+)\s*(\w+?)s?'\s*,\s*([\w.]+)\s*\)", re.I)
 _AS_OF = re.compile(r"(\w+)\s+FOR\s+SYSTEM_TIME\s+AS\s+OF\s+(\d+)", re.I)
 _ARROW = re.compile(r"([\w.]+)\s*->>\s*'(\w+)'")
@@ -24,12 +27,12 @@ def _vector(m: re.Match) -> str:
     a, b = (f"array({x[1:-1]})" if x.startswith("[") else x for x in (m[1], m[3]))
     pairs = f"zip_with({a}, {b}, (x, y) -> double(x) * double(y))"
     total = lambda e: f"aggregate({e}, 0D, (s, x) -> s + x)"
-    if m[2] == "<->":
-        return f"sqrt({total(f'zip_with({a}, {b}, (x, y) -> (double(x) - double(y)) * (double(x) - double(y)))')})"
+    if m[2] == "<->":  # squared, as nearest-neighbour order needs no root
+        return f"({total(f'zip_with({a}, {b}, (x, y) -> (double(x) - double(y)) * (double(x) - double(y)))')})"
     if m[2] == "<#>":
         return f"(-{total(pairs)})"
     norm = lambda v: total(f"transform({v}, x -> double(x) * double(x))")
-    return f"(1 - try_divide({total(pairs)}, sqrt({norm(a)}) * sqrt({norm(b)})))"
+    return f"(1 - coalesce(try_divide({total(pairs)}, sqrt({norm(a)}) * sqrt({norm(b)})), 0D))"  # 1 where a norm is 0
 
 
 def _bucket(m: re.Match) -> str:
@@ -47,6 +50,7 @@ def rewrite(text: str) -> str:
     """The text in Spark SQL; quoted strings that hold no extension stay as they are."""
     text = _AS_OF.sub(_as_of, text)
     text = _BUCKET.sub(_bucket, text)
+    text = _CALL.sub(lambda m: f"{m[2]} {_CALLS[m[1].lower()]} {m[3]}", text)
     text = _VECTOR.sub(_vector, text)
     return _ARROW.sub(r"get_json_object(\1, '$.\2')", text)
 
