@@ -170,3 +170,13 @@ def _(t):
 @query("estimate_count", None)
 def _(t):
     return t.orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("n"))
+
+
+# Further forms
+sql_query("lateral_aggregate", "SELECT c.c_custkey, x.n, x.most FROM customer c, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10) x")
+sql_query("join_natural", "SELECT n_name, n FROM nation NATURAL JOIN (SELECT n_nationkey, count(*) AS n FROM nation GROUP BY n_nationkey) x")
+sql_query("join_comma", "SELECT r_name, count(*) AS n FROM region, nation WHERE r_regionkey = n_regionkey GROUP BY r_name")
+sql_query("subquery_not_exists", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50)")
+sql_query("agg_distinct_forms", "SELECT l_returnflag, round(avg(DISTINCT l_quantity), 6) AS a, CAST(array_size(collect_set(l_linenumber)) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(avg(DISTINCT l_quantity), 6) AS a, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_returnflag")
+sql_query("typed_literals", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP_NTZ '1997-03-01' AND o_orderdate < DATE '1997-04-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < DATE '1997-04-01'")
+sql_query("type_of", "SELECT DISTINCT typeof(n_name) AS a, typeof(n_nationkey) AS b FROM nation", "SELECT DISTINCT 'string' AS a, 'int' AS b FROM nation")
