@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.shared import written
+
 STOP = {
     "en": ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"),
     "de": ("der", "die", "das", "und", "oder", "ein", "eine", "in", "im", "ist", "mit", "von", "zu", "den", "dem", "des", "auf", "nicht"),
@@ -67,6 +69,13 @@ def postings(docs: DataFrame, key: str, text: str, stop: str | None = None) -> D
     return t.select(key, F.explode("_t").alias("term"), F.size("_t").alias("dl")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def _count(word: str) -> Column:
+    """How often the lower-cased text _t has a word, without making an array of its words."""
+    if not re.fullmatch(r"[^\W_]+", word):
+        return F.lit(0)
+    return F.coalesce(F.regexp_count("_t", F.lit(rf"{word}(?<![\p{{L}}\p{{N}}]{word})(?![\p{{L}}\p{{N}}])")), F.lit(0))
+
+
 def _is(word: str):
     return lambda w: w == word
 
@@ -74,11 +83,16 @@ def _is(word: str):
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int | None = None, k1: float = 1.2, b: float = 0.75, synonyms: dict[str, list[str]] | None = None, stop: str | None = None) -> DataFrame:
     """key, score of the documents that hold a query term, best first.
 
-    Terms are counted where the text lies: no posting of another term is made, and what
-    is shuffled is a row of counts for the corpus."""
+    Terms are counted where the text lies: no posting of another term is made, and the counts are
+    a table in the shared folder from which statistics and scores come."""
     terms = list(dict.fromkeys(query + [s for q in query for s in (synonyms or {}).get(q, [])]))
-    t = docs.select(key, tokens(text, stop).alias("_t")).withColumn("dl", F.size("_t"))
-    tf = t.select(key, "dl", *(F.size(F.filter("_t", _is(q))).alias(f"tf{i}") for i, q in enumerate(terms)))
+    if stop is None:
+        t = docs.select(key, F.lower(text).alias("_t"))
+        tf = t.select(key, F.coalesce(F.regexp_count("_t", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("dl"), *(_count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
+    else:
+        t = docs.select(key, tokens(text, stop).alias("_t")).withColumn("dl", F.size("_t"))
+        tf = t.select(key, "dl", *(F.size(F.filter("_t", _is(q))).alias(f"tf{i}") for i, q in enumerate(terms)))
+    tf = written(tf, "term_counts")  # texts are read once; what is kept is a few numbers a document
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))
     joined = tf.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
