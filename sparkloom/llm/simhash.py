@@ -18,13 +18,13 @@ duplicates.  All of it is exact:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -198,12 +198,12 @@ def _star(e: DataFrame, rows: int, large: bool, name: str) -> DataFrame:
     return common.written(out.filter("x != m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), name)
 
 
-def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+def _grouped(rows: DataFrame, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """rows(doc_id, fp, ..) with ``root`` (a fingerprint that stands for the component) and
-    ``component_id``."""
+    ``component_id``.  find: gives the links of n distinct fingerprints."""
     nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     n, n_rows = nodes.agg(F.count("*"), F.sum("n")).first()
-    parts = common.written(components(links(nodes.select("fp"), n, radius)), "parts")
+    parts = common.written(components(find(nodes.select("fp"), n)), "parts")
     linked = nodes.join(parts, F.col("fp") == F.col("node"))
     ids = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3)
     component_id.  Other columns than doc_id and text aren't read.  An empty table
     gives an empty table."""
     rows = common.written(fingerprints(docs, words_in_shingle), "fingerprints")
-    return _grouped(rows.drop("text_hash"), radius).select("doc_id", "fp", "component_id")
+    return _grouped(rows.drop("text_hash"), lambda fps, n: links(fps, n, radius)).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> DataFrame:
@@ -231,9 +231,16 @@ def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3) -> Dat
     docs, name, back = common.set_aside(docs)
     doc_id, text = F.col(name["doc_id"]), F.col(name["text"])
     ids = common.written(fingerprints(docs.select(doc_id.alias("doc_id"), text.alias("text")), words_in_shingle), "fingerprints")
+    return keep_least(docs, name, back, ids, lambda fps, n: links(fps, n, radius))
+
+
+def keep_least(docs: DataFrame, name: dict[str, str], back: list[Column], ids: DataFrame, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The row of the least doc_id of each component of ids(doc_id, text_hash, fp), of docs as
+    common.set_aside gives them; find as in _grouped."""
+    doc_id, text = F.col(name["doc_id"]), F.col(name["text"])
     ids = ids.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), *(F.col(c).alias(c) for c in ("doc_id", "text_hash", "rows")))
-    kept = _grouped(ids, radius).groupBy("root").agg(F.min(order).alias("kept"))
+    kept = _grouped(ids, find).groupBy("root").agg(F.min(order).alias("kept"))
     kept = common.written(kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"), F.col("kept.rows").alias("_rows")), "kept")
     # the texts are hashed again, not fingerprinted again
     rows = docs.join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")))
