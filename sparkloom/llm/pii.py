@@ -120,7 +120,11 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = frozenset(map(chr, _LOOKALIKES)) | frozenset(_INVISIBLE)
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = "|".join(_SPELLED)
-_PAIR = re.compile(rf"[^a-z](?:{_DIGIT_WORD})[ ,-]{{1,4}}(?:{_DIGIT_WORD})(?![a-z])")
+_NUMBER_SEP = r"(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point)[ ]+)"
+#: Two neighbours of _NUMBER_WORDS of which one is a word: every run that is rewritten holds such a pair.
+_PAIR = re.compile(rf"\b(?:{_DIGIT_WORD}){_NUMBER_SEP}(?:(?:{_DIGIT_WORD})\b|[0-9])|[0-9]{_NUMBER_SEP}(?:{_DIGIT_WORD})\b", re.I)
+#: Letters that match i and s where case is ignored.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _BRACKETED = re.compile(r"[\[({<][ ]{0,3}(?:at|dot|@|\.)[ ]{0,3}[\])}>]", re.I)
 _DOTS_SPOKEN = (" dot ", " punkt ", " punto ", " point ", " . ")
 _AT_BRACKET = re.compile(r"[ ]{0,3}[\[({<][ ]{0,3}(?:at|@)[ ]{0,3}[\])}>][ ]{0,3}", re.I)
@@ -136,8 +140,8 @@ _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}{_ANY_DOT
 _IP_SPOKEN = re.compile(rf"\b[0-9]{{1,3}}(?:(?:{_DOT_SPOKEN})[0-9]{{1,3}}){{3}}\b", re.I)
 _SPOKEN_DOT = re.compile(_DOT_SPOKEN, re.I)
 _SPOKEN_AT = re.compile(r"[ ]{1,3}(?:at|arroba)[ ]{1,3}", re.I)
-_NUMBER_WORDS = re.compile(rf"\b(?:(?:plus[ ]+|\+[ ]?)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point)[ ]+)(?:{_DIGIT_WORD}|[0-9]+)){{3,60}})\b", re.I)
-_NUMBER_PART = re.compile(rf"(?P<word>\b(?:{_DIGIT_WORD})\b)|(?P<dot>[ ]+(?:dot|point)[ ]+)|(?P<plus>plus[ ]+)|(?P<gap>[ ]*[ ,-][ ]*)", re.I)
+_NUMBER_WORDS = re.compile(rf"(?:\bplus[ ]+|\+[ ]*)?\b(?:{_DIGIT_WORD}|[0-9]+)(?:{_NUMBER_SEP}(?:{_DIGIT_WORD}|[0-9]+))+\b", re.I)
+_NUMBER_PART = re.compile(rf"(?P<word>\b(?:{_DIGIT_WORD})\b)|(?P<digits>[0-9]+)|(?P<dot>[ ]+(?:dot|point)[ ]+|[ ]*\.[ ]*)|(?P<plus>(?:plus|\+)[ ]+)|(?P<gap>[ ]*[ ,-][ ]*)", re.I)
 
 
 class Rewritten:
@@ -200,10 +204,10 @@ def _plain(text: str) -> Rewritten:
 
 
 def _disguised(text: str) -> tuple[bool, bool, bool]:
-    """Whether the text may hold bracketed signs, spoken dots, and four spelled digits."""
+    """Whether the text may hold bracketed signs, spoken dots, and spelled digits next to others."""
     low = text.lower()
     dots = any(d in low for d in _DOTS_SPOKEN)
-    return _BRACKETED.search(text) is not None, dots, _PAIR.search(" " + low) is not None
+    return _BRACKETED.search(text) is not None, dots, _PAIR.search(text) is not None
 
 
 def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
@@ -221,20 +225,19 @@ def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
         edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, m.start(), m.end())]
     for m in _NUMBER_WORDS.finditer(text) if digits else ():
         parts = list(_NUMBER_PART.finditer(text, m.start(), m.end()))
-        words = sum(1 for p in parts if p["word"])
-        if words < 4:
+        if not any(p["word"] for p in parts):
             continue
-        before = ""
-        for p in parts:
+        kinds = [p.lastgroup for p in parts]
+        for i, p in enumerate(parts):
             if p["word"]:
-                edits.append((p.start(), p.end(), _SPELLED[p[0].lower()]))
+                edits.append((p.start(), p.end(), _SPELLED[p[0].translate(_FOLD).lower()]))
             elif p["dot"]:
                 edits.append((p.start(), p.end(), "."))
             elif p["plus"]:
                 edits.append((p.start(), p.end(), "+"))
-            elif before == "word":
-                edits.append((p.start(), p.end(), ""))
-            before = p.lastgroup or ""
+            elif p["gap"] and "word" in kinds[i - 1 : i + 2]:
+                # digits stay apart from a word, as "10.0.0.1 one" is no longer address
+                edits.append((p.start(), p.end(), " " if "digits" in kinds[i - 1 : i + 2] else ""))
     out, done = Rewritten(text), 0
     for a, b, new in sorted(edits):
         if a >= done:
@@ -243,6 +246,16 @@ def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
     return out
 
 
+def _strays(text: str, found: str, span: Span, spans: list[Span]) -> bool:
+    """Whether a number of the rewritten text only takes one spelled digit of the prose beside it
+    to a number that stands in digits ("+1 555 123 4567 one day")."""
+    kind, a, b = span
+    if kind == "email":
+        return False
+    digits = sum(map(str.isdigit, found))
+    return any(k == kind and y < b and a < z and digits - sum(map(str.isdigit, text[y:z])) < 2 for k, y, z in spans)
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans and all spans; an added one lies inside no other of
     its kind."""
@@ -256,15 +269,16 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     out = list(base)
     forms = []
     if plain:
-        forms.append((flat, lambda i: plain.start(i), lambda i: plain.end(i)))
+        forms.append((flat, lambda i: plain.start(i), lambda i: plain.end(i), False))
     if said:
         up = (lambda i: plain.start(i)) if plain else (lambda i: i)
         up_end = (lambda i: plain.end(i)) if plain else (lambda i: i)
-        forms.append((said.text(), lambda i: up(said.start(i)), lambda i: up_end(said.end(i))))
-    for form, start, end in forms:
+        forms.append((said.text(), lambda i: up(said.start(i)), lambda i: up_end(said.end(i)), True))
+    for form, start, end, spelled in forms:
+        digits = list(out) if spelled else []
         for kind, a, b in base_spans(form):
             s = (kind, start(a), end(b))
-            if not any(k == kind and y <= s[1] and s[2] <= z for k, y, z in out):
+            if not any(k == kind and y <= s[1] and s[2] <= z for k, y, z in out) and not _strays(text, form[a:b], s, digits):
                 out.append(s)
     return base, _order(out)
 

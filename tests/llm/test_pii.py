@@ -110,3 +110,31 @@ def test_time_is_linear_in_hostile_texts():
         began = time.time()
         pii.all_spans(text)
         assert time.time() - began < 8, text[:8]
+
+
+@pytest.mark.parametrize(
+    ("kind", "said"),
+    [
+        ("ip", "eight dot eight dot eight dot eight"),
+        ("ip", "one.two.three.four"),
+        ("ip", "eight . eight . eight . eight"),
+        ("ip", "8.8.8.eight"),
+        ("ip", "one point 2 point three point 4"),
+        ("card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+        ("card", "four, 111, one, 111, one, 111, one, 111"),
+        ("card", "4111 1111 1111 111 one"),
+        ("phone", "+4 four 7 seven 0 zero 9 zero 0 one 2 three"),
+        ("phone", "plus 44 seven 700900123"),
+    ],
+)
+def test_spelled_digits_apart_are_found_whatever_else_is_said(kind, said):
+    for before, after in (("see ", " now"), ("one, two. see ", " now"), ("", "")):
+        text = before + said + after
+        want = (kind, len(before), len(before) + len(said))
+        assert want in pii.all_spans(text)[1]
+
+
+def test_numbers_in_digits_take_no_word_of_prose():
+    for text in ("from 10.0.0.1 one sees it", "choose one. 10.0.0.1 is it", "ring +1 555 123 4567 one day", "one 4111 1111 1111 1111 is it", "one, two or three. four of them", "nİne, ſix 7 ſeven"):
+        base, spans = pii.all_spans(text)
+        assert spans == base
