@@ -7,7 +7,9 @@ share of the template's words that align.
 
 A text is searched wherever it could hold a template: a window around each place
 where a word of the template stands that is rare in prose, so that repeated notices
-are found too.
+are found too.  A wide window may hold two copies and then has few words that occur once;
+so windows of the template's own length, laid by where the word stands in it, are also
+aligned where the wide one doesn't give the whole template in one piece.
 """
 
 from __future__ import annotations
@@ -116,6 +118,8 @@ class Scanner:
         for name in likely:
             template, signs = self.templates[name], self.signs[name]
             reach = 2 * len(template)
+            need, own = self.least * len(template), frozenset(template)
+            spots = {w: [p for p, x in enumerate(template) if x == w] for w in signs}
             places = [i for i, w in enumerate(words) if w in signs]
             found = []
             done: set[tuple[int, int]] = set()
@@ -125,9 +129,22 @@ class Scanner:
                 pairs = align(words[a:z], template)
                 # a window may hold words of a neighbouring notice: keep the densest stretch around i
                 pairs = self._around(pairs, i - a, len(template))
-                if len(pairs) < self.least * len(template):
+                at_words = [(a + x, y) for x, y in pairs]
+                if len(pairs) < len(template) or pairs[-1][0] - pairs[0][0] >= len(template):
+                    tries = [at_words] if len(pairs) >= need else []
+                    for first in (i - p for p in spots[words[i]]):
+                        for slack in (0, len(template) // 5):
+                            a, z = max(0, first - slack), min(len(words), first + len(template) + slack)
+                            if sum(w in own for w in words[a:z]) < need:
+                                continue
+                            pairs = self._around(align(words[a:z], template), i - a, len(template))
+                            if len(pairs) >= need:
+                                tries.append([(a + x, y) for x, y in pairs])
+                    # the most words aligned, less the words between that aren't
+                    at_words = max(tries, key=lambda t: 2 * len(t) - (t[-1][0] - t[0][0]), default=[])
+                if len(at_words) < need:
                     continue
-                s, e = a + pairs[0][0], a + pairs[-1][0]
+                pairs, s, e = at_words, at_words[0][0], at_words[-1][0]
                 if (s, e) not in done:
                     done.add((s, e))
                     found.append((len(pairs) / len(template), s, e))

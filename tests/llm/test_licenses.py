@@ -52,6 +52,20 @@ def test_prose_has_no_licence_and_repeats_count():
     assert [f[0] for f in scanner.scan(text)] == ["mit-notice"] * 3
 
 
+def test_copies_back_to_back_are_all_found():
+    rng, scanner = random.Random(4), licenses.Scanner()
+    for name, template in licenses.TEMPLATES.items():
+        for n in (2, 3, 5):
+            for between in (".\n", " so we say "):
+                text = made.sentence(rng, "de", 90) + ". " + between.join([template] * n) + ". " + made.sentence(rng, "fr", 90)
+                found = [f for f in scanner.scan(text) if f[0] == name]
+                assert len(found) == n and all(f[3] == 1.0 and text[f[1] : f[2]] == template for f in found), (name, n)
+    words = licenses.TEMPLATES["bsd"].split()
+    other = " ".join([*words[:4], "added", *words[4:9], "changed", *words[10:]])
+    text = made.sentence(rng, "de", 90) + ". " + ". ".join([other] * 3) + ". " + made.sentence(rng, "fr", 90)
+    assert [f[0] for f in scanner.scan(text)] == ["bsd"] * 3
+
+
 def test_documents(spark):
     docs = made.documents(spark)
     out = licenses.scan(docs).collect()
