@@ -145,6 +145,29 @@ def _(t):
     return G.louvain(tree(t))
 
 
+# The same over the parts, a graph that grows with the input
+
+
+@query("graph_components_parts", None)
+def _(t):
+    return G.components(parts(t))
+
+
+@query("graph_sssp_parts", None)
+def _(t):
+    return G.sssp(parts(t), 7).select("node", F.round("distance", 6).alias("distance"))
+
+
+@query("graph_label_propagation_parts", None)
+def _(t):
+    return G.label_propagation(parts(t))
+
+
+@query("graph_louvain_parts", None)
+def _(t):
+    return G.louvain(parts(t))
+
+
 @query("graph_temporal_neighbors", "SELECT DISTINCT o_custkey AS src, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
 def _(t):
     e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("o_orderdate").alias("since"))
