@@ -3,8 +3,10 @@
 An archive is a Parquet table: a row for each chunk of a record, with the record's
 identifier, the chunk's number and whether it is the last.  A record's chunks in
 order are its bytes, a WARC 1.1 record; all chunks in order are a WARC file, which
-``export`` writes.  A payload is cut as it is read and hashed chunk by chunk, so that
-no record is put together in memory on either side.
+``export`` writes.  A reader hashes a payload chunk by chunk.  Memory follows the
+largest record all the same: ``write`` holds a page's whole payload, whose digest is taken
+of the whole html, and ``read`` holds a record's chunks until its last one, as they are
+passed on if a split of the files cuts the record.  Chunk rows hold no digest state.
 
 Of records with equal payloads, the one with the largest page_id is the response; the
 others are revisits, which have headers alone.
