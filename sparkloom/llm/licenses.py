@@ -5,6 +5,11 @@ anchors; the longest increasing run of them, in template order, is kept, and the
 between are aligned the same way, after equal words at their ends.  Coverage is the
 share of the template's words that align.
 
+Templates are fragments: notices, file headers and the opening sentences of licences.
+Coverage 1.0 means that the fragment stands in the text, not the whole licence.  A text
+that holds only later parts (conditions, disclaimers), or a licence without a template
+(Unlicense, AGPL, EPL and others), gives nothing.
+
 A text is searched wherever it could hold a template: a window around each place
 where a word of the template stands that is rare in prose, so that repeated notices
 are found too.  A wide window may hold two copies and then has few words that occur once;
