@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
-from sparkloom.shared import shared_dir
+from sparkloom.shared import fresh_path
 from sparkloom.sources import files as C
 from sparkloom.sources import protocols as L
 
 
 def place(t, ending: str) -> str:
-    return f"{shared_dir(t.spark)}/sparkloom/{uuid.uuid4().hex}/copy.{ending}"
+    return fresh_path(t.spark, f"copy.{ending}")
 
 
 ROWS = "SELECT c_custkey, c_name, c_acctbal FROM customer"

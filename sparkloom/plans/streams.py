@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
-from sparkloom.shared import shared_dir
+from sparkloom.shared import fresh_path
 from sparkloom.streaming import views as V
 
 D = "%Y-%m-%d %H:%M:%S"
@@ -49,7 +48,7 @@ def _(t):
 
 @query("streaming_upsert_sink", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def _(t):
-    path = f"{shared_dir(t.spark)}/sparkloom/{uuid.uuid4().hex}/latest"
+    path = fresh_path(t.spark, "latest")
     V.run_available(stream(t).select("user_id", "event_id"), "append", batch=V.upsert_sink(path, ["user_id"], "event_id"))
     return V.read_version(t.spark, path)
 

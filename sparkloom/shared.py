@@ -27,8 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends here, and lost
     executors lose nothing.  The table is deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}/{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there is deleted when the
+    driver ends."""
+    path = f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at.getParent())
+    return path

@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparkloom.shared import shared_dir
+from sparkloom.shared import fresh_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -38,7 +37,7 @@ def run_available(df: DataFrame, mode: str, name: str = "view", batch: Callable[
     mode: append, complete or update.  update keeps each batch's changed rows with their batch
     number in ``_batch``; complete keeps the last batch."""
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}"
+    base = fresh_path(spark, "run")
     out = f"{base}/{name}"
     schema = df.schema
     w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode)
