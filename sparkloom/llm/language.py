@@ -160,35 +160,41 @@ def train(samples: list[tuple[str, list[bytes]]], hidden: int = 8, steps: int =
 
 
 def training_sample(docs: DataFrame, per_lang: int, words: int) -> list[tuple[str, list[bytes]]]:
-    """Up to ``words`` words of each of up to ``per_lang`` documents of each language, both
-    chosen by hash; documents whose crc32(doc_id) mod 5 is 0 are held out."""
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    """Up to ``words`` words of each of up to ``per_lang`` different texts of each language, those
+    whose hash is least; documents whose crc32(doc_id) mod 5 is 0 are held out.
+
+    Texts, not rows, are ranked: copies, and rows that repeat or have no doc_id, count once, so that
+    neither they nor the rows of one doc_id can crowd others out or exceed the bound."""
+    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("text").alias("_h"))
     # only hashes that can be among a language's least come to its ranking: twice as many as it takes,
-    # or all of a language with few documents
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # or all of a language with few texts
+    texts = F.approx_count_distinct("_h", 0.02)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("_n"))
-    counts = ids.groupBy("lang").agg(F.count("*").alias("_n")).select(F.col("lang").alias("_lang"), (share * 2.0**64 - 2.0**63).alias("_least"))
+    counts = usable.groupBy("lang").agg(texts.alias("_n")).select(F.col("lang").alias("_lang"), (share * 2.0**64 - 2.0**63).alias("_least"))
     # a row for each language; the network, which every task gets, has as many
-    ids = ids.join(F.broadcast(counts), (F.col("lang") == F.col("_lang")) & (F.col("_h").cast("double") <= F.col("_least")))
-    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = ids.withColumn("_at", F.row_number().over(by_hash)).filter(F.col("_at") <= per_lang)
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()  # per_lang for each language
+    low = usable.select("lang", "_h").join(F.broadcast(counts), (F.col("lang") == F.col("_lang")) & (F.col("_h").cast("double") <= F.col("_least")))
+    ranked = low.select("lang", "_h").distinct().withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
+    picks = ranked.filter(F.col("_at") <= per_lang).select(F.col("lang").alias("_lang"), F.col("_h").alias("_pick"))  # per_lang for each language
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()  # the picks met in this task: no more than there are
         for x in frames:
             out = []
-            for i, t in zip(x["doc_id"], x["text"], strict=True):
+            for lang, t, h in zip(x["lang"], x["text"], x["_h"], strict=True):
+                if (lang, h) in seen:
+                    continue
+                seen.add((lang, h))
                 own = words_of(t)
                 if len(own) > words:
-                    picks = np.random.default_rng(abs(hash(int(i))) if isinstance(i, (int, np.integer)) else len(t)).choice(len(own), words, replace=False)
-                    own = [own[j] for j in sorted(picks)]
-                out.append(own)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "lang": x["lang"], "words": out})
+                    at = np.random.default_rng(h + (1 << 63)).choice(len(own), words, replace=False)
+                    own = [own[j] for j in sorted(at)]
+                out.append((lang, h, own))
+            yield pd.DataFrame(out, columns=["lang", "h", "words"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = picked.mapInPandas(run, f"doc_id {kind}, lang string, words array<binary>").collect()
-    return [(r["lang"], [bytes(w) for w in r["words"]]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"]))]
+    picked = usable.join(F.broadcast(picks), (F.col("lang") == F.col("_lang")) & (F.col("_h") == F.col("_pick")), "left_semi")
+    found = picked.mapInPandas(run, "lang string, h long, words array<binary>")
+    rows = found.groupBy("lang", "h").agg(F.first("words").alias("words")).collect()
+    return [(r["lang"], [bytes(w) for w in r["words"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
 def held_out():
@@ -264,7 +270,8 @@ def labeller(net: Network) -> Labeller:
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every row; und and 0.0 where the text is null or has
     no letter, or where there was nothing to learn from.  Ties go to the language
-    that sorts first.  Reads doc_id and text alone."""
+    that sorts first; repeated rows give repeated results, an empty table an empty one.  Very
+    long texts are read whole, in parts.  Reads doc_id and text alone."""
     common.bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +308,9 @@ def keep_identified(docs: DataFrame, net: Network | None, least: float) -> DataF
 
 
 def learn(docs: DataFrame, per_lang: int = 300, words: int = 150) -> Network | None:
-    """A network from a sample of at most per_lang documents a language."""
+    """A network from a sample of at most per_lang different texts a language; None where no text
+    has a language and a letter (an empty table too).  Very long texts give ``words`` words."""
+    common.bounded_batches(docs.sparkSession)
     samples = [s for s in training_sample(docs, per_lang, words) if s[1]]
     return train(samples) if samples else None
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,6 +54,18 @@ def test_learning_is_the_same_again_and_never_sees_held_out_rows(spark):
     assert a.langs == b.langs and all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
+@pytest.mark.parametrize("doc_id", [i for i in range(1, 15) if zlib.crc32(str(i).encode()) % 5][:9] + [None])
+@pytest.mark.parametrize("same", [True, False])
+def test_repeated_ids_neither_exceed_the_sample_nor_crowd_a_language_out(spark, doc_id, same):
+    rng = random.Random(doc_id)
+    text = made.sentence(rng, "en", 9)
+    rows = [(doc_id, text if same else f"{text} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en", "s", 0, 0, 0, 0, "", "") for i in range(10_000)]
+    rows += [(20 * i + 1, made.sentence(rng, "de", 9), "de", "s", 0, 0, 0, 0, "", "") for i in range(40)]
+    sample = language.training_sample(made.documents(spark, rows), 300, 150)
+    by = Counter(lang for lang, _ in sample)
+    assert by["en"] == (1 if same else 300) and 25 <= by["de"] <= 40
+
+
 def test_the_labeller_equals_reading_each_word_alone():
     net = language.Network.fresh(["a", "b"], 4, 3)
     text = "Straße ünd the Mañana " * 3 + "x" * 120
