@@ -53,6 +53,31 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("share,most", [(3.0, 2.0), (1.5, 2.0), (1.0, 1.0), (0.4, 2.0), (1.99, 2.0)])
+def test_targets_where_some_or_all_sources_are_capped(spark, share, most):
+    docs = made.documents(spark)
+    sizes = {r["source"]: r["source_size"] for r in mixing.mix(docs, [5, 2, 1], share, most).collect()}
+    want = {s: min(t, most * sizes[s]) for s, t in targets(sizes, [5, 2, 1], share, most).items()}
+    out = mixing.mix(docs, [5, 2, 1], share, most).collect()
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in out)
+    if share >= most:
+        assert all(r["taken"] == most * r["size"] for r in out)
+
+
+def test_a_row_that_repeats_very_often(spark):
+    from pyspark.sql import functions as F
+
+    row = made.documents(spark, [(1, "six words are in this text", "en", "a", 0, 0, 0, 0, "", "")])
+    rest = made.documents(spark, [(i, "two words", "en", "b", 0, 0, 0, 0, "", "") for i in range(2, 2000)])
+    docs = row.crossJoin(spark.range(100_000).select()).unionByName(rest)
+    out = mixing.mix(docs, [5, 2], 1.1, 2.0)
+    got = {r["source"]: r for r in out.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()}
+    assert got["a"]["n"] == 100_000 and abs(got["a"]["taken"] - got["a"]["target"]) <= 3 and got["a"]["most"] - got["a"]["least"] == 1
+    assert abs(got["b"]["taken"] - got["b"]["target"]) <= 1
+    kept = mixing.mixed(docs, [5, 2], 1.1, 2.0)
+    assert kept.filter("source = 'a'").count() * 6 == got["a"]["taken"]
+
+
 def test_many_blocks_meet_in_a_tree_and_keep_their_expectation(spark):
     from pyspark.sql import functions as F
 
