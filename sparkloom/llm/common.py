@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.shared import shared_dir, written
+from sparkloom.shared import fresh_path, shared_dir, written
 
-__all__ = ["bounded_batches", "map_texts", "read", "salted_join", "set_aside", "shared_dir", "two_level_rank", "written"]
+__all__ = ["bounded_batches", "fresh_path", "map_texts", "read", "salted_join", "set_aside", "shared_dir", "two_level_rank", "written"]
 
 #: Rows a single sort task of a two-level rank should get.
 RANK_ROWS = 50_000

@@ -1,12 +1,13 @@
 """WARC archives as tables of chunks.
 
 An archive is a Parquet table: a row for each chunk of a record, with the record's
-identifier, the chunk's number and whether it is the last.  A record's chunks in
-order are its bytes, a WARC 1.1 record; all chunks in order are a WARC file, which
-``export`` writes.  A reader hashes a payload chunk by chunk.  Memory follows the
-largest record all the same: ``write`` holds a page's whole payload, whose digest is taken
-of the whole html, and ``read`` holds a record's chunks until its last one, as they are
-passed on if a split of the files cuts the record.  Chunk rows hold no digest state.
+identifier, the chunk's number, whether it is the last, and the SHA-1 of the payload up to
+its end.  A record's chunks in order are its bytes, a WARC 1.1 record; all chunks in order
+are a WARC file, which ``export`` writes.  Python holds a chunk at a time on either side:
+``write`` gets a payload cut into chunks by Spark, ``read`` hashes chunks as they come and
+holds each against the digest that it carries.  A record that a split of the files cuts is
+read again, by itself, in order of its chunks.  (Spark holds a page's html, a value of
+the input table, as it does whatever reads it.)
 
 Of records with equal payloads, the one with the largest page_id is the response; the
 others are revisits, which have headers alone.
@@ -17,9 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,23 +49,6 @@ def header(page_id, url: str | None, size: int, digest: str, refers_to) -> bytes
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def chunks(head: bytes, payload: bytes, size: int) -> Iterator[bytes]:
-    """A record's bytes, cut to ``size``: the first chunk begins with the whole header."""
-    view = memoryview(payload)
-    first = max(0, size - len(head))
-    at = min(first, len(view))
-    if at == len(view) and len(head) + at + len(_END) <= size:
-        yield head + view[:at] + _END
-        return
-    yield head + view[:at]
-    while at < len(view):
-        part = view[at : at + size]
-        at += len(part)
-        yield bytes(part) + (_END if at == len(view) else b"")
-    if len(view) <= first:
-        yield _END
-
-
 class RecordReader:
     """Reads a record's chunks in order: header fields, then payload size and SHA-1."""
 
@@ -72,7 +57,8 @@ class RecordReader:
         self.left, self.size, self.sha, self.head = 0, 0, hashlib.sha1(usedforsecurity=False), b""
         self.tail = b""
 
-    def feed(self, data: bytes) -> None:
+    def feed(self, data: bytes, digest: bytes | None = None) -> None:
+        """digest: the payload's SHA-1 up to here, if known."""
         if self.fields is None:
             self.head += data
             cut = self.head.find(_END)
@@ -89,6 +75,8 @@ class RecordReader:
         self.size += len(part)
         self.left -= len(part)
         self.tail += data[len(part) :]
+        if digest is not None and self.fields["WARC-Type"] == "response" and self.sha.digest() != digest:
+            raise ValueError(f"payload of {self.fields['WARC-Record-ID']} has another digest after {self.size} bytes")
 
     def finish(self) -> tuple:
         """page, payload bytes, payload digest, type and page referred to, checked."""
@@ -107,14 +95,15 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> No
     """Writes the archive of pages(page_id, url, html) to the folder ``path``.
 
     Payload: the html in UTF-8; null is empty.  Payloads of under ``least`` bytes are all
-    responses.  Of rows with the same page_id and payload one is the response.  Which
-    payloads are equal is found from digests; a digest that very many pages share is
-    salted.  The pages that share payloads are a table of ids, which is broadcast if it is
-    below the session's threshold; else the html is shuffled by page_id once."""
+    responses, as are those of pages without an id.  Of rows with the same page_id and payload one is the response: that of
+    the least url, nulls first.  Which payloads are equal is found from digests; a digest that very many
+    pages share is salted.  The pages that share payloads are a table of ids, which is
+    broadcast if it is below the session's threshold; else the html is shuffled by page_id
+    once.  Other columns aren't read; an empty table gives an archive without rows."""
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", html.alias("html"))
     size = F.octet_length("html")
-    keyed = base.filter(size >= least).select("page_id", F.unhex(F.sha1("html")).alias("digest"))
+    keyed = base.filter((size >= least) & F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha1("html")).alias("digest"))
     groups = keyed.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
     groups = common.written(groups, "payload_groups")
     n = pages.count()
@@ -122,100 +111,101 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> No
     # one row a page that revisits; rows that repeat the keeper's page_id revisit it but for one, see below
     roles = common.written(roles.groupBy("page_id", "digest").agg(F.max("keeper").alias("keeper"), F.count("*").alias("same")), "revisits")
     rows = base.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("size", size)
-    roles = roles.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "keeper", "same")
-    rows = rows.join(roles, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    # a keeper with repeated rows: the copies are numbered (there are few: repeats of one page_id and payload)
-    from pyspark.sql import Window
-
-    many = F.col("same") > 1
-    plain = rows.filter(F.coalesce(~many, F.lit(True))).withColumn("copy", F.lit(0))
-    copies = rows.filter(many).withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
-    rows = plain.unionByName(copies)
-    refers = F.when(F.col("keeper").isNotNull() & ((F.col("page_id") != F.col("keeper")) | (F.col("copy") > 0)), F.col("keeper"))
-    rows = rows.select("page_id", "url", F.when(refers.isNull(), F.col("html").cast("binary")).alias("payload"), "size", "digest", refers.alias("refers_to"), "copy")
+    of_role = roles.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "keeper", "same")
+    rows = rows.join(of_role, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    again = (F.col("same") > 1) & (F.col("page_id") == F.col("keeper"))
+    refers = F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))
+    fields = ["page_id", "url", "payload", "size", "digest", "refers_to"]
+    out = rows.filter(~F.coalesce(again, F.lit(False))).select("page_id", "url", F.when(refers.isNull(), F.col("html").cast("binary")).alias("payload"), "size", "digest", refers.alias("refers_to"))
+    if not roles.filter(again).isEmpty():
+        # a keeper with repeated rows: its response is made from any of them, its revisits from counts
+        alike = rows.filter(again)
+        urls = common.written(alike.groupBy("page_id", "digest", "url").agg(F.first("size").alias("size"), F.count("*").alias("n")), "repeated_urls")
+        order = F.struct(F.col("url").isNotNull().alias("some"), "url")
+        least_url = urls.groupBy(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).agg(F.min(order)["url"].alias("_url"))
+        same = (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest"))
+        payload = alike.groupBy("page_id", "digest", "size").agg(F.first(F.col("html").cast("binary")).alias("payload"))
+        response = payload.join(least_url, same).select("page_id", F.col("_url").alias("url"), "payload", "size", "digest", F.lit(None).cast("long").alias("refers_to"))
+        left = F.col("n") - F.when(F.col("url").eqNullSafe(F.col("_url")), 1).otherwise(0)
+        starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1, F.lit(10_000).cast("long"))).alias("start")
+        spread = urls.join(least_url, same).withColumn("left", left).filter("left > 0").select("page_id", "url", "size", "digest", "left", starts).repartition("page_id", "url", "start")
+        revisit = spread.withColumn("_at", F.explode(F.sequence(F.col("start"), F.least(F.col("left"), F.col("start") + 10_000) - 1)))
+        revisit = revisit.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", F.col("page_id").alias("refers_to"))
+        out = out.unionByName(response.select(fields)).unionByName(revisit)
+    # payloads reach Python in chunks
+    parts = F.greatest(F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / F.lit(chunk)), F.lit(1)).cast("int")
+    out = out.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("last", F.col("chunk") == parts - 1)
+    out = out.withColumn("payload", F.substring("payload", F.col("chunk") * F.lit(chunk) + 1, F.lit(chunk)))
+    out = out.select("page_id", "url", "payload", "size", "digest", "refers_to", "chunk", "last")
     common.bounded_batches(pages.sparkSession, rows=200)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, records, record, sha = TaskContext.get().partitionId(), 0, "", hashlib.sha1(usedforsecurity=False)
         for x in frames:
-            out, held = [], 0
-            for p, url, payload, n, digest, ref, copy in zip(x["page_id"], x["url"], x["payload"], x["size"], x["digest"], x["refers_to"], x["copy"], strict=True):
-                page = None if pd.isna(p) else int(p)
+            out = []
+            for p, url, payload, n, digest, ref, k, last in zip(x["page_id"], x["url"], x["payload"], x["size"], x["digest"], x["refers_to"], x["chunk"], x["last"], strict=True):
+                page = "" if pd.isna(p) else int(p)
                 to = None if pd.isna(ref) else int(ref)
-                name = base64.b32encode(bytes(digest)).decode()
-                head = header("" if page is None else page, url, int(n), name, to)
-                record = uuid.uuid5(_SPACE, f"{page} {name} {copy} {url}").hex
-                held_chunk = None
-                for k, part in enumerate(chunks(head, b"" if to is not None else bytes(payload), chunk)):
-                    if held_chunk is not None:
-                        out.append((record, *held_chunk, False))
-                    held_chunk = (k, part)
-                    held += len(part)
-                    if held > 4 << 20:
-                        yield pd.DataFrame(out, columns=["record", "chunk", "data", "last"])
-                        out, held = [], 0
-                out.append((record, *held_chunk, True))
-            yield pd.DataFrame(out, columns=["record", "chunk", "data", "last"])
-
-    rows.mapInPandas(run, "record string, chunk int, data binary, last boolean").write.mode("error").parquet(path)
+                data, head = b"" if payload is None else bytes(payload), b""
+                if k == 0:  # a record's chunks come one after another
+                    name = base64.b32encode(bytes(digest)).decode()
+                    head, sha = header(page, url, int(n), name, to), hashlib.sha1(usedforsecurity=False)
+                    record = uuid.uuid5(_SPACE, f"{page} {name} {url} {task} {records}").hex
+                    records += 1
+                sha.update(data)
+                if last and to is None and sha.digest() != bytes(digest):
+                    raise ValueError(f"payload of page {page} has another digest")
+                out.append((record, k, head + data + (_END if last else b""), bool(last), sha.digest()))
+            yield pd.DataFrame(out, columns=["record", "chunk", "data", "last", "digest"])
+
+    out.mapInPandas(run, "record string, chunk int, data binary, last boolean, digest binary").write.mode("error").parquet(path)
 
 
 def read(archive: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of an
     archive's chunk table.
 
-    A task parses the records whose chunks it has from first to last; chunks of records
-    that a split of the files cuts are passed on, joined and parsed by record."""
+    A task parses the records whose chunks it has from first to last.  Of a record that is cut
+    it gives the identifier, and its chunks are read again by record.  A chunk whose payload
+    hasn't the digest that it carries, and a record that is cut short, are errors."""
     common.bounded_batches(archive.sparkSession, rows=200)
-    fields = "record string, chunk int, data binary, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    fields = "record string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     names = [f.split()[0] for f in fields.split(", ")]
+    archive = archive.select("record", "chunk", "data", "last", "digest")
 
-    def parse(rows: Iterable[tuple], cut_ok: bool) -> Iterator[tuple]:
-        """Records that are whole; else, if cut_ok, their chunks."""
-        own, parts, reader = None, [], None
-        for record, chunk, data, last in rows:
-            if record != own or reader is None:
-                yield from ((own, c, d, *[None] * 5) for c, d in parts)
-                own, parts, reader = record, [], RecordReader() if chunk == 0 or not cut_ok else None
-            if reader is None:
-                yield (record, chunk if not last else -chunk - 1, data, *[None] * 5)
-                continue
-            if cut_ok:
-                parts.append((chunk if not last else -chunk - 1, data))
-            reader.feed(data)
-            if last:
-                yield (None, 0, None, *reader.finish())
-                own, parts, reader = None, [], None
-        if parts:
-            yield from ((own, c, d, *[None] * 5) for c, d in parts)
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((r, c, bytes(d), z) for x in frames for r, c, d, z in zip(x["record"], x["chunk"], x["data"], x["last"], strict=True))
-        yield from _frames(parse(rows, True), names)
-
-    def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((r, c, bytes(d), bool(z)) for x in frames for r, c, d, z in zip(x["record"], x["chunk"], x["data"], x["last"], strict=True))
-        yield from _frames(parse(rows, False), names)
-
-    parsed = archive.select("record", "chunk", "data", "last").mapInPandas(first, fields)
-    parsed = common.written(parsed, "parsed")
+    def parse(frames: Iterator[pd.DataFrame], cut_ok: bool) -> Iterator[pd.DataFrame]:
+        own, at, reader = None, 0, RecordReader()
+        for x in frames:
+            out = []
+            for record, chunk, data, last, digest in zip(x["record"], x["chunk"], x["data"], x["last"], x["digest"], strict=True):
+                if own is not None and (record != own or chunk != at):  # its other chunks are elsewhere
+                    out.append((own, *[None] * 5))
+                    own = None
+                if chunk == 0:
+                    own, at, reader = record, 0, RecordReader()
+                if own is None:
+                    continue
+                reader.feed(bytes(data), bytes(digest))
+                at += 1
+                if last:
+                    out.append((None, *reader.finish()))
+                    own = None
+            yield pd.DataFrame(out, columns=names)
+        if own is not None:
+            if not cut_ok:
+                raise ValueError("a WARC record is cut short")
+            yield pd.DataFrame([(own, *[None] * 5)], columns=names)
+
+    parsed = common.written(archive.mapInPandas(lambda frames: parse(frames, True), fields), "parsed")
     whole = parsed.filter(F.col("record").isNull())
-    cut = parsed.filter(F.col("record").isNotNull()).select("record", F.when(F.col("chunk") < 0, -F.col("chunk") - 1).otherwise(F.col("chunk")).alias("chunk"), "data", (F.col("chunk") < 0).alias("last"))
-    joined = cut.repartition("record").sortWithinPartitions("record", "chunk").mapInPandas(rest, fields)
-    out = whole.unionByName(joined)
+    cut = parsed.filter(F.col("record").isNotNull()).select(F.col("record").alias("_cut"))
+    n = cut.count()  # one a split of the files, unless rows were dealt anew
+    if n:
+        ids = F.broadcast(cut) if n <= 100_000 else cut
+        again = archive.join(ids, F.col("record") == F.col("_cut"), "left_semi")
+        whole = whole.unionByName(again.repartition("record").sortWithinPartitions("record", "chunk").mapInPandas(lambda frames: parse(frames, False), fields))
     as_long = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long").alias(c)
-    return out.select(as_long("page_id"), "payload_bytes", "payload_digest", "record_type", as_long("refers_to"))
-
-
-def _frames(rows: Iterator[tuple], names: list[str], size: int = 2000, most: int = 8 << 20) -> Iterator[pd.DataFrame]:
-    out, held = [], 0
-    for r in rows:
-        out.append(r)
-        held += len(r[2] or b"")
-        if len(out) >= size or held > most:
-            yield pd.DataFrame(out, columns=names)
-            out, held = [], 0
-    if out:
-        yield pd.DataFrame(out, columns=names)
+    return whole.select(as_long("page_id"), "payload_bytes", "payload_digest", "record_type", as_long("refers_to"))
 
 
 def export(archive: DataFrame, file) -> int:
@@ -228,8 +218,9 @@ def export(archive: DataFrame, file) -> int:
 
 
 def round_trip(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFrame:
+    """Writes an archive, which is deleted when the driver ends, and reads it."""
     spark = pages.sparkSession
-    path = f"{common.shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}/archive"
+    path = common.fresh_path(spark, "archive")
     write(pages, path, chunk, least)
     return read(spark.read.parquet(path))
 

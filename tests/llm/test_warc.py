@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import uuid
+from collections import Counter
 
 import pytest
 
@@ -80,6 +81,26 @@ def test_a_cut_or_changed_record_is_an_error(spark):
         warc.read(rows.withColumn("data", F.expr("cast(replace(cast(data AS string), '>one<', '>owe<') AS binary)"))).collect()
 
 
+def test_chunks_carry_running_digests_and_no_worker_holds_a_record(spark):
+    big = "".join(chr(97 + i % 26) for i in range(1 << 20)) * 24  # 24 MB in chunks of 64 kB
+    path = f"{common.shared_dir(spark)}/{uuid.uuid4().hex}"
+    warc.write(pages(spark, [(1, "u", big), (2, "u", "small")]), path, chunk=64 << 10)
+    rows = spark.read.parquet(path).orderBy("record", "chunk").collect()
+    assert max(len(r["data"]) for r in rows) < (64 << 10) + 1000 and len(rows) == 24 * 16 + 1
+    sha = hashlib.sha1()
+    for r in (r for r in rows if r["record"] == max(rows, key=lambda r: r["chunk"])["record"]):
+        data = bytes(r["data"]).split(b"\r\n\r\n", 1)[1] if r["chunk"] == 0 else bytes(r["data"])
+        sha.update(data.removesuffix(b"\r\n\r\n"))
+        assert bytes(r["digest"]) == sha.digest()
+    assert sorted(map(tuple, warc.read(spark.read.parquet(path)).collect())) == brute([(1, "u", big), (2, "u", "small")])
+
+
+def test_rows_that_repeat_a_page_very_often(spark):
+    rows = [(7, "v", "same")] * 30_000 + [(7, None, "same"), (3, "w", "same")]
+    out = Counter(tuple(r)[3:] for r in warc.round_trip(pages(spark, rows)).collect())
+    assert out == {("response", None): 1, ("revisit", 7): 30_001}
+
+
 def test_empty_table_repeated_rows_and_null_ids(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
     out = sorted(tuple(r)[3:] for r in warc.round_trip(pages(spark, [(5, "u", "same"), (5, "u", "same")])).collect())
