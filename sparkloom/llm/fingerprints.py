@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,8 +24,10 @@ P = (1 << 31) - 1
 BASES = (911_382_323, 1_972_663_751)
 SPAN = 8
 KEEP = 48
-#: Bytes of text that a task of the neighbour pass should get.
-PART_BYTES = 16 << 20
+#: Bytes of text that a task of the neighbour pass gets at most, about.
+PART_BYTES = 256 << 20
+#: Ranges whose ends are linked in one task.
+LINKED = 1000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -152,55 +154,54 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     common_next (characters that the text and the next begin with) of every row.
 
-    The next document is the next row by (doc_id, text), nulls first, and after the last
-    the first; a table of one row is its own next.  A null text counts as empty.  Texts
-    are shuffled once: rows are dealt to ranges of doc_id, and each range also gets
-    the first row of the range after it."""
+    The next document is the next row by doc_id, nulls first (rows of one doc_id by the XXH64 of
+    their texts, then by text), and after the last the first; a table of one row is its own
+    next.  Rows that repeat follow each other.  A null text counts as empty.  Very long texts
+    are hashed whole, in arrays of some 100 bytes a character.  Other columns aren't read, whatever
+    their names.  An empty table gives an empty table.
+
+    Texts are shuffled once, into sorted ranges; a row meets the next one in its range.  What
+    the last row of a range needs, the first row of the range after it, comes from the same
+    shuffle: a row for each range, linked LINKED ranges at a time.  Equal rows, which may be very
+    many, fall into several ranges by their place in the input."""
     spark = docs.sparkSession
     common.bounded_batches(spark, rows=500, mb=8)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    marks = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", marks, 20 * parts)).first()[0] or [])) if marks else []
-    part = F.lit(0)
-    if bounds:
-        # places in sorted bounds, in two steps of about sqrt(parts) comparisons
-        step = max(1, round(len(bounds) ** 0.5))
-        groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-        below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
-        as_longs = lambda xs: F.array(*(F.lit(x) for x in xs))
-        heads = below(as_longs([g[0] for g in groups]))
-        inner = F.element_at(F.array(*(as_longs(g) for g in groups)), F.greatest(heads, F.lit(1)))
-        part = F.when(F.col("doc_id").isNull() | (heads == 0), F.lit(0)).otherwise((heads - 1) * step + below(inner))
-    rows = rows.withColumn("part", part.cast("int"))
-    firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first")).select("part", "first.*").collect()  # a row for each range
-    firsts.sort(key=lambda r: r["part"])
-    before = [(r["some"], r["doc_id"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    before_rows = spark.createDataFrame(before, f"_some boolean, _first {kind}, _before int")
-    same = F.col("doc_id").eqNullSafe(F.col("_first"))
-    rows = rows.join(F.broadcast(before_rows), same, "left")
-    host = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("_before").alias("part"), F.lit(True).alias("guest"))
-    places = F.when(F.col("_before").isNull(), F.array(host)).otherwise(F.array(host, guest))
-    dealt = rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("guest", "doc_id", "text")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, over = None, False
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    order = ["doc_id", "hash", "text", "place"]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(parts, "doc_id", "hash", "place")
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for x in frames:
             out = []
-            for i, text, guest_row in zip(x["doc_id"], x["text"], x["guest"], strict=True):
-                if over:
-                    break
+            for i, text in zip(x["doc_id"], x["text"], strict=True):
                 d = _Doc(i, text)
                 if last is not None:
                     out.append(_row(last, d))
-                last, over = d, bool(guest_row)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"])
+                last = d
+            yield pd.DataFrame(out, columns=names)
 
-    return dealt.mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long")
+    def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield pd.DataFrame([_row(_Doc(i, a), _Doc(None, b)) for i, a, b in zip(x["doc_id"], x["text"], x["next"], strict=True)], columns=names)
+
+    # the first and the last row of each range that has rows
+    row = F.struct(*order)
+    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    ends = ends.withColumn("group", F.floor(F.col("part") / LINKED))
+    by_part = Window.partitionBy("group").orderBy("part")
+    ends = ends.withColumn("next", F.lead("first.text").over(by_part)).withColumn("head", F.first("first.text").over(by_part))
+    ends = ends.select("group", "last.doc_id", "last.text", "next", "head")
+    by_group = Window.orderBy("group")  # a row for each LINKED ranges
+    last = ends.filter("next IS NULL").withColumn("next", F.coalesce(F.lead("head").over(by_group), F.first("head").over(by_group)))
+    linked = ends.filter("next IS NOT NULL").unionByName(last).select("doc_id", "text", "next")
+    return dealt.sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(within, schema).unionByName(linked.mapInPandas(across, schema))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,9 +50,12 @@ def test_likeness_estimates_the_share_of_common_spans():
     assert fp.likeness(f(a), f(a)) == 1.0 and fp.likeness(f(a), f("zzzzzzzzzzzzz")) == 0.0
 
 
-def check(docs, monkeypatch, part_bytes):
+def check(docs, monkeypatch, part_bytes, linked=1000):
     monkeypatch.setattr(fp, "PART_BYTES", part_bytes)
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+    monkeypatch.setattr(fp, "LINKED", linked)
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, signed(r["text"] or ""), r["text"] or "") for r in docs.collect()))
+    rows = [(some, d, t) for some, d, _, t in rows]
     want = Counter()
     for i, (some, doc_id, text) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][2]
@@ -73,6 +78,26 @@ def test_documents_in_one_part_and_in_many(spark, monkeypatch):
     docs = made.documents(spark)
     check(docs, monkeypatch, 16 << 20)
     check(docs, monkeypatch, 2000)
+    check(docs, monkeypatch, 2000, linked=3)
+
+
+def test_very_many_rows_of_one_doc_id(spark, monkeypatch):
+    rows = [(None, f"text {i % 50}", "en", "a", 0, 0, 0, 0, "", "") for i in range(400)] + [(7, "seven " * 30, "en", "a", 0, 0, 0, 0, "", "")]
+    docs = made.documents(spark, rows)
+    monkeypatch.setattr(fp, "PART_BYTES", 100)
+    out = fp.with_next(docs).collect()
+    texts = sorted((r[1] for r in rows[:-1]), key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)) + [rows[-1][1]]
+    edited = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1], strict=True))
+    assert Counter(r["edited_sha256"] for r in out) == edited
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = made.documents(spark)
+    out = fp.with_next(docs)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"- Exchange rangepartitioning", final)) == 1 and final.count("Exchange rangepartitioning") > final.count("- Exchange rangepartitioning")
 
 
 def test_empty_and_single(spark):
