@@ -10,8 +10,14 @@ below the query's worst result so far is abandoned.  Survivors' scores are compu
 double precision on the original vectors.
 
 Equal vectors are one candidate with its least ids, and equal queries one query, so
-groups of copies cost nothing extra.  A list is cut into cells of at most CELL
-candidates and QUERIES queries, so that no task holds a large list.
+groups of copies cost nothing extra.  Lists are packed, and a large list cut, into cells of
+about CELL candidates and QUERIES queries: a query goes once to a cell, however many of its
+lists it probes, and no task holds a large list.
+
+What a search costs follows the vectors: where they cluster, a query probes few lists.
+Where directions are nearly random, as in the test data, neighbours lie in very many
+lists, and the share of the candidates that a recall takes hardly falls with their number
+(figures in the README); scanning then grows with queries times candidates.
 """
 
 from __future__ import annotations
@@ -28,6 +34,9 @@ from . import common
 
 CELL = 4096
 QUERIES = 1024
+#: Candidates in the lists that a query probes first, for a score that others must reach; at least
+#: so many are met.
+FIRST = 640
 BLOCK = 16
 #: Deviations of the hypothesis test.
 Z = 3.0
@@ -37,19 +46,29 @@ Z = 3.0
 class Index:
     rotation: np.ndarray
     centroids: np.ndarray
+    #: Mean length of each list's vectors.
+    length: np.ndarray
     probes: int
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.centroids, 1)[:, 0]
+        return _nearest(x, self.centroids)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        return _nearest(q, self.centroids, self.probes)
+    def order(self, q: np.ndarray) -> np.ndarray:
+        return _order(q, self.centroids * self.length[:, None])
 
 
-def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    s = unit @ centroids.T
-    return np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(x: np.ndarray, centroids: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """The nearest centroid of each row, a block of rows at a time."""
+    unit = _unit(x)
+    return np.concatenate([np.argmax(unit[i : i + rows] @ centroids.T, axis=1) for i in range(0, len(x), rows)]).astype(np.int32)
+
+
+def _order(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.argsort(-(_unit(x) @ centroids.T), axis=1, kind="stable").astype(np.int32)
 
 
 def fit(sample: np.ndarray, lists: int, k: int, recall: float, seed: int = 3) -> Index:
@@ -58,29 +77,33 @@ def fit(sample: np.ndarray, lists: int, k: int, recall: float, seed: int = 3) ->
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _unit(sample)
     lists = max(1, min(lists, len(sample)))
     c = unit[rng.choice(len(unit), lists, replace=False)]
-    for _ in range(8):
-        at = _nearest(unit, c, 1)[:, 0]
+    for _ in range(6):
+        at = _nearest(unit, c)
         sums = np.zeros_like(c)
         np.add.at(sums, at, unit)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
-    at = _nearest(unit, c, 1)[:, 0]
+    at = _nearest(unit, c)
+    # a list of long vectors is worth more to an inner product
+    counts = np.maximum(np.bincount(at, minlength=lists), 1)
+    length = np.bincount(at, np.linalg.norm(sample, axis=1), minlength=lists) / counts
+    length = np.where(length > 0, length, length[length > 0].mean())
     q = rng.choice(len(sample), min(200, len(sample)), replace=False)
     s = sample[q] @ sample.T
     s[np.arange(len(q)), q] = -np.inf
     top = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
-    order = np.argsort(_nearest(sample[q], c, lists), axis=1)  # the place of each list in a query's order
+    order = np.argsort(_order(sample[q], c * length[:, None]), axis=1)  # the place of each list in a query's order
     need = np.sort(np.take_along_axis(order, at[top], axis=1).ravel())
     probes = lists if not need.size else int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
-    return Index(rotation, c, min(lists, probes))
+    return Index(rotation, c, length, min(lists, probes))
 
 
-def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray | None = None, chunk: int = 512) -> list[tuple[int, int, float]]:
-    """(query row, candidate row, score) of about the k best candidates of each query; floor: scores
-    that count at least, one a query."""
+def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray | None = None, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, candidate rows and scores of about the k best candidates of each query; floor:
+    scores that count at least, one a query."""
     d = q.shape[1]
     qr, xr = q @ rotation, x @ rotation
     cuts = list(range(0, d, BLOCK)) + [d]
@@ -113,9 +136,38 @@ def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, floor: np.n
         more = np.full((len(q), k), -np.inf)
         more[qi[order][few], place[few]] = score[order][few]
         best = -np.partition(-np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
-    qi, xi, score = (np.concatenate(a) if a else np.empty(0) for a in kept_at)
-    go = score >= np.maximum(best.min(axis=1), floor)[qi.astype(int)] if len(qi) else np.zeros(0, bool)
-    return list(zip(qi[go].tolist(), xi[go].tolist(), score[go].tolist(), strict=True))
+    qi, xi, score = (np.concatenate(a) if a else np.empty(0, np.int64) for a in kept_at)
+    go = score >= np.maximum(best.min(axis=1), floor)[qi] if len(qi) else np.zeros(0, bool)
+    return qi[go], xi[go], score[go]
+
+
+def packs(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The pack of each list: lists in turn while they hold ``most`` vectors together at most; a
+    larger list is a pack of its own."""
+    out, at, held = [], 0, 0
+    for n in sizes.tolist():
+        if held and held + n > most:
+            at, held = at + 1, 0
+        out.append(at)
+        held += n
+    return np.array(out)
+
+
+def scan_lists(q: np.ndarray, at: np.ndarray, asked: np.ndarray, x: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, candidate rows and scores of about the k best candidates of each query q in the
+    lists that it probes: asked[i] by query at[i]; own: each candidate's list."""
+    by_q, by_x = np.argsort(asked, kind="stable"), np.argsort(own, kind="stable")
+    asked, own = asked[by_q], own[by_x]
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+    floor = floor.copy()
+    for name in np.unique(own).tolist():
+        qi = at[by_q[np.searchsorted(asked, name) : np.searchsorted(asked, name, "right")]]
+        xi = by_x[np.searchsorted(own, name) : np.searchsorted(own, name, "right")]
+        if len(qi):
+            rows, cols, scores = scan(q[qi], x[xi], rotation, k, floor[qi])
+            for o, v in zip(out, (qi[rows], xi[cols], scores), strict=True):
+                o.append(v)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def _bound(q_rest: np.ndarray, x_rest: np.ndarray, left: int) -> np.ndarray:
@@ -132,10 +184,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
     vectors(vec_id, embedding); a vector that is null, zero, empty, of another length than
     most, or that holds null or non-finite components takes no part, nor does a null
     vec_id.  Rows that repeat a vec_id are candidates of their own, but not of that id's
-    query.  Ties in score go to the smaller vec_id.  The sample is the ``sample`` vectors
-    of the least hash; the number of lists is about the square root of the number of
-    distinct vectors, 64 at least and max_lists at most.  Probing goes on until a query has
-    k candidates, if there are so many."""
+    query.  Ties in score go to the smaller vec_id.  Other columns aren't read, whatever their
+    names.  The sample is the ``sample`` vectors of the least hash; the number of lists is about
+    four times the square root of the number of distinct vectors, 64 at least, max_lists and a
+    fifth of the sample at most.  A query meets FIRST candidates at least, if there
+    are so many.  An empty table gives an empty table."""
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
@@ -156,9 +209,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
     nodes = common.written(flags.join(ids, "h"), "distinct")
     n = nodes.count()
     picked = nodes.orderBy("h").limit(sample).select("v").toPandas()["v"]  # the documented sample
-    lists = int(min(max_lists, max(64, round(n**0.5))))
+    lists = int(min(max_lists, max(64, round(4 * n**0.5))))
     # a list needs some vectors in the sample
-    index = fit(_matrix(picked), min(lists, max(1, len(picked) // 32)), k, recall)
+    index = fit(_matrix(picked), min(lists, max(1, len(picked) // 5)), k, recall)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -168,51 +221,64 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
     listed = common.written(nodes.select("h", "v").mapInPandas(place, "h string, list int"), "lists")
     counts = dict(listed.groupBy("list").count().collect())  # a row for each list: at most max_lists
     sizes = np.array([counts.get(i, 0) for i in range(len(index.centroids))])
-    cells = np.maximum(1, -(-sizes // CELL))
-    wanted = min(k + 1, n)
+    pack = packs(sizes, CELL)
+    held_by = np.bincount(pack, sizes, minlength=pack.max() + 1)
+    cells = np.maximum(1, -(-held_by // CELL)).astype(int)
+    first = min(max(FIRST, k + 1), n)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             if not len(x):
                 continue
-            order = _nearest(_matrix(x["v"]), index.centroids, len(index.centroids))
-            enough = (np.cumsum(sizes[order], axis=1) < wanted).sum(axis=1) + 1
-            out = [(h, int(i), n) for h, o, e in zip(x["h"], order, np.maximum(enough, index.probes), strict=True) for n, i in enumerate(o[:e]) if sizes[i]]
-            yield pd.DataFrame(out, columns=["h", "list", "turn"])
-
-    probes = common.written(nodes.filter("q").select("h", "v").mapInPandas(probe, "h string, list int, turn int"), "probes")
-    loads = dict(probes.groupBy("list").count().collect())
-    shares = np.array([max(1, -(-loads.get(i, 0) // QUERIES)) for i in range(len(sizes))])
-    table = spark.createDataFrame([(i, int(c), int(s)) for i, (c, s) in enumerate(zip(cells, shares, strict=True))], "list int, cells int, shares int")
-    salted = lambda df, own, other: df.join(F.broadcast(table), "list").withColumn(own, F.pmod(F.xxhash64("h", F.lit(5)), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+            order = index.order(_matrix(x["v"]))
+            met = np.cumsum(sizes[order], axis=1)
+            near = (met < first).sum(axis=1) + 1
+            probed = np.maximum(near, index.probes)
+            out = []
+            for h, o, e, s in zip(x["h"], order, probed, near, strict=True):
+                for begins, some in ((True, o[:s]), (False, o[s:e])):
+                    some = some[sizes[some] > 0]
+                    out += [(h, int(p), begins, some[pack[some] == p]) for p in np.unique(pack[some])]
+            yield pd.DataFrame(out, columns=["h", "pack", "begins", "lists"])
+
+    probes = common.written(nodes.filter("q").select("h", "v").mapInPandas(probe, "h string, pack int, begins boolean, lists array<int>"), "probes")
+    loads = {(r["pack"], r["begins"]): r["count"] for r in probes.groupBy("pack", "begins").count().collect()}
     full = nodes.select("h", "v")
-    columns = ["list", "cell", "share", "h", "v", "floor", "is_q"]
-    # both sides once per cell they meet in; the queries' copies are what a search costs
-    held = salted(listed, "cell", "share").join(full, "h").withColumns({"floor": F.lit(None).cast("double"), "is_q": F.lit(False)}).select(*columns)
+    of_list = spark.createDataFrame([(i, int(p)) for i, p in enumerate(pack)], "list int, pack int")
+    columns = ["pack", "cell", "share", "h", "v", "floor", "own", "lists"]
+    held = listed.join(F.broadcast(of_list), "list").join(full, "h").withColumns({"floor": F.lit(None).cast("double"), "own": F.col("list"), "lists": F.lit(None).cast("array<int>")})
 
     def meet(x: pd.DataFrame) -> pd.DataFrame:
-        is_q = x["is_q"].to_numpy(bool)
+        is_q = x["own"].isna().to_numpy()
         if not is_q.any() or is_q.all():
             return pd.DataFrame({"qh": np.empty(0, object), "h": np.empty(0, object), "score": np.empty(0)})
         q, c = x[is_q], x[~is_q]
-        found = scan(_matrix(q["v"]), _matrix(c["v"]), index.rotation, k + 1, q["floor"].to_numpy(np.float64))
-        qh, ch = q["h"].to_numpy(), c["h"].to_numpy()
-        rows_, cols = (np.array([f[i] for f in found], np.int64) for i in (0, 1))
-        return pd.DataFrame({"qh": qh[rows_], "h": ch[cols], "score": np.array([s for *_, s in found], np.float64)})
+        asked = q["lists"].to_numpy()
+        at = np.repeat(np.arange(len(q)), [len(a) for a in asked])
+        found = scan_lists(_matrix(q["v"]), at, np.concatenate(asked), _matrix(c["v"]), c["own"].to_numpy(np.int64), index.rotation, k + 1, q["floor"].to_numpy(np.float64))
+        rows_, cols, scores = found
+        return pd.DataFrame({"qh": q["h"].to_numpy()[rows_], "h": c["h"].to_numpy()[cols], "score": scores})
 
     common.bounded_batches(spark, rows=10_000)
 
-    def searched(asked: DataFrame, name: str) -> DataFrame:
-        """The best of what asked(h, list, floor) meets."""
-        own = salted(asked, "share", "cell").join(full, "h").withColumn("is_q", F.lit(True)).select(*columns)
-        met = held.unionByName(own).groupBy("list", "cell", "share").applyInPandas(meet, "qh string, h string, score double")
+    def searched(begins: bool, floors: DataFrame | None, name: str) -> DataFrame:
+        """The best of what the queries meet in the lists that they probe first, or in the rest."""
+        shares = [max(1, -(-loads.get((p, begins), 0) // QUERIES)) for p in range(len(cells))]
+        table = F.broadcast(spark.createDataFrame([(p, int(c), s) for p, (c, s) in enumerate(zip(cells, shares, strict=True))], "pack int, cells int, shares int"))
+        spread = lambda n: F.pmod(F.xxhash64("h", F.lit(5)), F.col(n)).cast("int")
+        copied = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = probes.filter(F.col("begins") == begins).drop("begins")
+        own = own.join(floors, "h", "left") if floors is not None else own.withColumn("floor", F.lit(None).cast("double"))
+        own = own.join(table, "pack").join(full, "h").withColumns({"floor": F.coalesce("floor", F.lit(float("-inf"))), "own": F.lit(None).cast("int"), "share": spread("shares"), "cell": copied("cells")})
+        there = held.join(table, "pack").withColumn("cell", spread("cells")).withColumn("share", copied("shares"))
+        met = there.select(*columns).unionByName(own.select(*columns)).groupBy("pack", "cell", "share").applyInPandas(meet, "qh string, h string, score double")
         best = F.rank().over(Window.partitionBy("qh").orderBy(F.desc("score")))
         return common.written(met.withColumn("_at", best).filter(F.col("_at") <= k + 1).drop("_at"), name)
 
     # the nearest lists first: the score that a query has k + 1 candidates from is what others must reach
-    near = searched(probes.filter("turn < 2").withColumn("floor", F.lit(float("-inf"))), "near")
+    near = searched(True, None, "near")
     floors = near.groupBy(F.col("qh").alias("h")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    rest = searched(probes.filter("turn >= 2").join(floors, "h", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "rest")
+    rest = searched(False, floors, "rest")
     heads = nodes.select("h", "ids", F.col("ids")[0].alias("first"))
     at = F.rank().over(Window.partitionBy("qh").orderBy(F.desc("score"), "first"))
     top = near.unionByName(rest).join(heads, "h").withColumn("_at", at).filter(F.col("_at") <= k + 1)

@@ -54,6 +54,28 @@ def test_recall_on_clustered_vectors(spark):
     assert all(s == pytest.approx(exact[q, i], rel=1e-12) for q, g in got.items() for i, s in g if (q, i) in exact)
 
 
+def test_recall_on_the_real_table(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.1"
+    got = {}
+    for r in vectors.op4_nearest(spark, path).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{path}/embeddings.parquet' ORDER BY vec_id").fetchnumpy()
+    ids, x = rows["vec_id"], np.stack([np.asarray(v, float) for v in rows["embedding"]])
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        top = set(ids[np.argsort(-s)[:20]].tolist())
+        hits, total = hits + len(top & got[ids[at]]), total + 20
+    assert len(got) * 20 == total and hits / total >= 0.9
+
+
+def test_packs_hold_whole_lists():
+    assert vectors.packs(np.array([3, 3, 4, 0, 11, 2, 8, 1]), 10).tolist() == [0, 0, 0, 0, 1, 2, 2, 3]
+
+
 def test_odd_vectors_ties_copies_and_few_candidates(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, []), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (140, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     rows += [(7, [1.0, 5.0]), (5, [1.0, 5.0]), (9, [-1.0, 0.0]), (160, [1.0, 0.0]), (3, [1.0, 0.0])]
@@ -78,7 +100,7 @@ def test_scan_abandons_few_true_neighbours():
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     s = q @ x.T
     got = {}
-    for i, j, v in vectors.scan(q, x, rotation, 10):
+    for i, j, v in zip(*vectors.scan(q, x, rotation, 10), strict=True):
         assert v == pytest.approx(s[i, j])
         got.setdefault(i, set()).add(j)
     hits = sum(len(set(np.argsort(-s[i])[:10].tolist()) & got[i]) for i in range(40))
