@@ -9,16 +9,19 @@ duplicates.  All of it is exact:
   whole blocks.  Each choice of b-3 blocks is a table keyed by those bits; b grows
   with the number of fingerprints so that a key has few.  A key with very many is
   split by tables of 52 bits, under which at most 4096 distinct fingerprints fit.
-* Under a key, every fingerprint has its distances to PIVOTS reference
-  fingerprints.  By the triangle inequality, a pair whose distances to any pivot
-  differ by over 3 doesn't link; the survivors are verified by popcount.  Only links
-  that span a key's components are written, never all pairs.
+* A table holds each fingerprint's Hamming distances to PIVOTS reference fingerprints,
+  computed once and carried through the shuffle in two longs.  Under a key, pairs whose
+  distances to the first pivot differ by over 3 are never formed, as rows are sorted by
+  it; by the triangle inequality, a pair whose distances to any other pivot differ by
+  over 3 doesn't link either.  The survivors are verified by popcount.  Only links that
+  span a key's components are written, never all pairs.
 * Components by alternating stars over tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -85,79 +88,97 @@ def _coordinates(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
 
-def spanning_links(fps: np.ndarray, radius: int = 3) -> list[tuple[int, int]]:
-    """Index pairs that span the components of fps under Hamming distance <= radius."""
-    at, rest, out = _coordinates(fps), np.arange(len(fps)), []
-    while rest.size:
-        stack, rest = [int(rest[0])], rest[1:]
-        while stack and rest.size:
+def _distances() -> list[Column]:
+    """The distance table of the column fp: distances to eight pivots in each long, a byte each."""
+    to = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p) - (1 << 64) if p >> np.uint64(63) else int(p)))).cast("long") for p in PIVOTS]
+    pack = lambda own: reduce(Column.bitwiseOR, (F.shiftleft(d, 8 * i) for i, d in enumerate(own)))
+    return [pack(to[:8]).alias("d0"), pack(to[8:]).alias("d1")]
+
+
+def spanning_links(fps: np.ndarray, radius: int = 3, at: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs that span the components of fps under Hamming distance <= radius; at: their
+    distances to the pivots."""
+    at = _coordinates(fps) if at is None else at
+    order = np.argsort(at[:, 0], kind="stable")
+    fps, at, first = fps[order], at[order], at[order, 0].astype(int)
+    low, high = np.searchsorted(first, first - radius), np.searchsorted(first, first + radius, "right")
+    free, out = np.ones(len(fps), bool), []
+    for start in range(len(fps)):
+        if not free[start]:
+            continue
+        free[start], stack = False, [start]
+        while stack:
             i = stack.pop()
-            near = np.abs(at[rest] - at[i]).max(axis=1) <= radius
-            hit = near.copy()
-            hit[near] = np.bitwise_count(fps[rest[near]] ^ fps[i]) <= radius
-            if hit.any():
-                found = rest[hit].tolist()
-                out += [(i, j) for j in found]
-                stack += found
-                rest = rest[~hit]
+            near = low[i] + np.flatnonzero(free[low[i] : high[i]])
+            near = near[np.abs(at[near] - at[i]).max(axis=1) <= radius] if near.size else near
+            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
+            free[near] = False
+            out += [(int(order[i]), int(order[j])) for j in near]
+            stack += near.tolist()
     return out
 
 
-def _links_of_sorted(t: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal (t, key)."""
+def _links_of_sorted(t: np.ndarray, key: np.ndarray, fps: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal (t, key), whose rows are sorted by the distance to the first
+    pivot."""
     new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]
     first = np.flatnonzero(new)
     sizes = np.diff(np.r_[first, len(t)])
     a, b = [], []
     for s, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        pairs = spanning_links(fps[s : s + n], radius)
+        pairs = spanning_links(fps[s : s + n], radius, at[s : s + n])
         a += [s + i for i, _ in pairs]
         b += [s + j for _, j in pairs]
     run = np.repeat(np.arange(len(first)), sizes)
-    small = np.repeat((sizes <= SMALL) & (sizes > 1), sizes)
-    idx = np.flatnonzero(small)
-    at = _coordinates(fps[idx])
+    idx = np.flatnonzero(np.repeat((sizes <= SMALL) & (sizes > 1), sizes))
+    i = idx  # rows whose partner o places on may still be near the first pivot's distance
     for o in range(1, SMALL):
-        if o >= len(idx):
-            break
-        i = np.flatnonzero(run[idx[o:]] == run[idx[:-o]])
+        i = i[i + o < len(t)]
+        i = i[(run[i + o] == run[i]) & (at[i + o, 0] - at[i, 0] <= radius)]
         if not i.size:
             break
-        i = i[np.abs(at[i + o] - at[i]).max(axis=1) <= radius]
-        i = i[np.bitwise_count(fps[idx[i + o]] ^ fps[idx[i]]) <= radius]
-        a += idx[i].tolist()
-        b += idx[i + o].tolist()
+        near = i[np.abs(at[i + o] - at[i]).max(axis=1) <= radius]
+        near = near[np.bitwise_count(fps[near + o] ^ fps[near]) <= radius]
+        a += near.tolist()
+        b += (near + o).tolist()
     return fps[np.array(a, np.int64)].view(np.int64), fps[np.array(b, np.int64)].view(np.int64)
 
 
 def _find_links(keyed: DataFrame, radius: int) -> DataFrame:
+    columns = ("t", "key", "fp", "d0", "d1")
+
+    def links_of(c: list[np.ndarray]) -> pd.DataFrame:
+        at = np.stack([np.ascontiguousarray(x) for x in c[3:]], axis=1).view(np.int8)
+        a, b = _links_of_sorted(c[0], c[1], np.ascontiguousarray(c[2]).view(np.uint64), at, radius)
+        return pd.DataFrame({"a": a, "b": b})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        kept: list[np.ndarray] = [np.empty(0, np.int64)] * len(columns)
         for x in frames:
-            cols = [np.concatenate([k, x[c].to_numpy(np.int64)]) for k, c in zip(kept, ("t", "key", "fp"), strict=True)]
+            cols = [np.concatenate([k, x[c].to_numpy(np.int64)]) for k, c in zip(kept, columns, strict=True)]
             if not len(cols[0]):
                 continue
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             cut = int(last[-1]) + 1 if last.size else 0
             kept = [c[cut:] for c in cols]  # the last key may go on; at most MOST rows
             if cut:
-                a, b = _links_of_sorted(cols[0][:cut], cols[1][:cut], cols[2][:cut].view(np.uint64), radius)
-                yield pd.DataFrame({"a": a, "b": b})
+                yield links_of([c[:cut] for c in cols])
         if len(kept[0]):
-            a, b = _links_of_sorted(kept[0], kept[1], np.ascontiguousarray(kept[2]).view(np.uint64), radius)
-            yield pd.DataFrame({"a": a, "b": b})
+            yield links_of(kept)
 
-    return keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInPandas(run, "a long, b long")
+    by_first = F.col("d0").bitwiseAND(F.lit(255))
+    return keyed.repartition("t", "key").sortWithinPartitions("t", "key", by_first).mapInPandas(run, "a long, b long")
 
 
 def _keyed(fps: DataFrame, blocks: int, radius: int) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks, radius))))
-    return fps.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+    return fps.select("fp", "d0", "d1", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "d0", "d1")
 
 
 def links(fps: DataFrame, n: int, radius: int = 3, most: int = MOST) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints fps(fp) as all pairs within
     ``radius`` bits would.  n: the number of fingerprints."""
+    fps = common.written(fps.select("fp", *_distances()), "distances")
     keyed = _keyed(fps, _blocks(n), radius)
     counts = keyed.groupBy("t", "key").count().filter(F.col("count") > most)
     hot = common.written(counts.select(F.col("t").alias("_t"), F.col("key").alias("_key")), "hot_keys")
@@ -165,7 +186,7 @@ def links(fps: DataFrame, n: int, radius: int = 3, most: int = MOST) -> DataFram
         return _find_links(keyed, radius)
     same = (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key"))
     cold = keyed.join(hot, same, "left_anti")
-    again = keyed.join(hot, same, "left_semi").select("fp").distinct()
+    again = keyed.join(hot, same, "left_semi").select("fp", "d0", "d1").distinct()
     return _find_links(cold, radius).unionByName(_find_links(_keyed(again, 16, radius), radius))
 
 
