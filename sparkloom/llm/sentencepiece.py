@@ -15,9 +15,10 @@ Two folds:
   is the one whose neighbouring pieces all survive each other's merges: a
   segmentation is BPE's if and only if BPE turns each two neighbours into
   themselves.  At most one edge into each place continues the path before it so;
-  the fold keeps that one.  It runs in Arrow batches next to the documents, for
-  exploding and shuffling the substrings of whole documents would exceed the disk
-  that they take (figures in the README).
+  the fold keeps that one.  Every word is encoded by it.  It runs in Arrow batches next to
+  the documents, each word once in a while (a task keeps CACHE of them), for exploding and
+  shuffling words or substrings of whole documents would exceed the disk and the time that
+  they may take (figures in the README).
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ SPACE = "▁"
 _WORD = re.compile("▁*[^▁]+|▁+")
 #: Words and pairs of pieces that a task keeps.
 CACHE = 500_000
-#: Words of up to so many characters are merged outright; beyond, merging is quadratic.
-SHORT = 24
+#: Longer words aren't kept.
+KEPT = 64
 _NONE = 1 << 60
 
 
@@ -58,7 +59,6 @@ class Pieces:
         self.byte_of = {i: int(p[3:5], 16) for p, i in self.bytes.items()}
         #: What a piece decodes to; a byte from 80 up as the surrogate that escapes it.
         self.shown = [chr(b + (0xDC00 if b > 0x7F else 0)) if (b := self.byte_of.get(i)) is not None else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
-        self.table: tuple | None = None
         self.words: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[str, str], bool] = {}
 
@@ -72,7 +72,7 @@ class Pieces:
         return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], special)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "stable": {}, "table": None}
+        return self.__dict__ | {"words": {}, "stable": {}}
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short string: the best-ranked neighbours merge, leftmost first."""
@@ -100,13 +100,7 @@ class Pieces:
         return found
 
     def path(self, word: str) -> list[str]:
-        """BPE's segmentation of a word, by the fold over its lattice: time is linear in
-        the word.  For short words it is quicker to merge; the path is the same."""
-        if len(word) <= SHORT:
-            return self.merge(word)
-        return self.lattice_path(word)
-
-    def lattice_path(self, word: str) -> list[str]:
+        """BPE's segmentation of a word, by the fold over its lattice: time is linear in the word."""
         ids, n = self.ids, len(word)
         last = [""] * (n + 1)  # the piece that ends the path to each place; none yet: empty
         for end in range(1, n + 1):
@@ -128,88 +122,14 @@ class Pieces:
             out += [i] if i is not None else [self.bytes[f"<0x{b:02X}>"] for b in p.encode("utf-8", "surrogatepass")]
         return tuple(out)
 
-    def merge_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Keys left << 32 | right of symbols that merge, sorted, with rank and symbol of the
-        whole.  A symbol is a piece's id, or a character beyond them.  None if pieces tie."""
-        if self.table is None:
-            keys, n = [], len(self.pieces)
-            symbol = lambda p: self.ids[p] if p in self.ids else n + ord(p) if len(p) == 1 else None
-            for p, i in self.ids.items():
-                if p[:2] != SPACE * 2:
-                    for k in range(1, len(p)):
-                        a, b = symbol(p[:k]), symbol(p[k:])
-                        if a is not None and b is not None:
-                            keys.append((a << 32 | b, self.rank[p], i))
-            rows = np.array(sorted(keys), np.int64).reshape(-1, 3)
-            ranks = {r: i for _, r, i in keys}
-            self.table = tuple(rows.T.copy()) if all(ranks[r] == i for _, r, i in keys) else ()
-        return self.table or None
-
-    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of many short words: all merge at once, each its best pair in a round."""
-        keys, rank, whole = self.merge_table()
-        n, out = len(self.pieces), []
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars, at = np.unique(codes, return_inverse=True)
-        codes = np.array([self.ids.get(chr(c), n + int(c)) for c in chars], np.int64)[at]
-        size = np.array([len(w) for w in words])
-        width = int(size.max())
-        sym = np.full((len(words), width + 1), -1, np.int64)
-        sym[:, :width][np.arange(width) < size[:, None]] = codes
-
-        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
-            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[k] == key
-            return np.where(hit, rank[k], _NONE), whole[k]
-
-        found, made = look(sym[:, :-1], sym[:, 1:])
-        live = np.arange(len(words))
-        s, r, m = sym, found, made
-        place = np.arange(width + 1)
-        while len(live):
-            best = r.argmin(axis=1)
-            row = np.arange(len(live))
-            go = r[row, best] != _NONE
-            if not go.all():
-                sym[live] = s
-                live, s, r, m, best = live[go], s[go], r[go], m[go], best[go]
-                row = np.arange(len(live))
-            if not len(live):
-                break
-            s[row, best] = m[row, best]
-            s = np.take_along_axis(s, np.minimum(place + (place > best[:, None]), width), axis=1)
-            shift = np.minimum(place[:-1] + (place[:-1] >= best[:, None]), width - 1)
-            r, m = np.take_along_axis(r, shift, axis=1), np.take_along_axis(m, shift, axis=1)
-            r[:, -1] = _NONE
-            r[row, best], m[row, best] = look(s[row, best], s[row, np.minimum(best + 1, width)])
-            left = np.maximum(best - 1, 0)
-            r_left, m_left = look(s[row, left], s[row, best])
-            inner = best > 0
-            r[row[inner], left[inner]], m[row[inner], left[inner]] = r_left[inner], m_left[inner]
-        count = (sym >= 0).sum(axis=1)
-        odd = (sym >= n).any(axis=1)
-        for ids, k, o, w in zip(sym.tolist(), count.tolist(), odd.tolist(), words, strict=True):
-            if o:
-                out.append(self._ids([chr(i - n) if i >= n else self.pieces[i] for i in ids[:k]]))
-            else:
-                out.append(tuple(ids[:k]))
-        return out
-
     def learn_words(self, words: list[str]) -> None:
-        """Has the ids of all words in self.words, but for long words."""
+        """Has the ids of all words in self.words, but for those of over KEPT characters."""
         known = self.words
-        fresh = [w for w in set(words) if w not in known and len(w) <= SHORT]
+        fresh = [w for w in set(words) if w not in known and len(w) <= KEPT]
         if len(known) + len(fresh) > CACHE:
             known.clear()
-            fresh = [w for w in set(words) if len(w) <= SHORT]
-        if self.merge_table() is None:
-            known.update((w, self._ids(self.path(w))) for w in fresh)
-            return
-        known.update((w, self._ids(self.merge(w))) for w in fresh if w[:2] == SPACE * 2)
-        fresh = sorted((w for w in fresh if w[:2] != SPACE * 2), key=len)
-        for i in range(0, len(fresh), 8192):
-            known.update(zip(fresh[i : i + 8192], self.merge_many(fresh[i : i + 8192]), strict=True))
+            fresh = [w for w in set(words) if len(w) <= KEPT]
+        known.update((w, self._ids(self.path(w))) for w in fresh)
 
     def _words(self, text: str, first: bool = True) -> list[str]:
         return _WORD.findall((SPACE if first else "") + text.replace(" ", SPACE))
@@ -218,7 +138,7 @@ class Pieces:
         self.learn_words(words)
         known, out = self.words, []
         for w in words:
-            out += known[w] if len(w) <= SHORT else self._ids(self.lattice_path(w))
+            out += known[w] if len(w) <= KEPT else self._ids(self.path(w))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -243,7 +163,7 @@ class Pieces:
                 for own in words:
                     ids: list[int] = []
                     for w in own:
-                        ids += known[w] if len(w) <= SHORT else self._ids(self.lattice_path(w))
+                        ids += known[w] if len(w) <= KEPT else self._ids(self.path(w))
                     out.append(ids)
                 at = end
             else:
@@ -285,7 +205,8 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     ids are those of the model's own encoder; only a ▁ of the text itself is encoded as
     bytes, so that decoding gives each text back exactly.  Repeated rows give repeated
-    results.  Reads doc_id and text alone."""
+    results, an empty table an empty one.  Very long texts are encoded whole, in parts that
+    no piece crosses.  Reads doc_id and text alone."""
     common.bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

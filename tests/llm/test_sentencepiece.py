@@ -47,7 +47,14 @@ def test_the_lattice_path_is_the_merges_result(pieces):
     rng = random.Random(6)
     for _ in range(300):
         w = sp.SPACE + "".join(rng.choice("etaoinsrhldcu") for _ in range(rng.randint(1, 40)))
-        assert pieces.lattice_path(w) == pieces.merge(w)
+        assert pieces.path(w) == pieces.merge(w)
+
+
+def test_the_real_table_against_the_models_own_encoder(spark, pieces, model, folder):
+    out = {r["doc_id"]: list(r["ids"]) for r in sp.encode(spark.read.parquet(f"{folder}/documents.parquet"), pieces).collect()}
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(out) == len(rows)
+    assert all(out[r["doc_id"]] == model.encode(r["text"] or "") for r in rows if sp.SPACE not in (r["text"] or ""))
 
 
 def test_documents(spark, pieces, model):
