@@ -290,10 +290,19 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", "text", letters.alias("letters")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
-    """The rows of docs whose language is identified with a score of ``least`` or more, as they
-    are.  Rows go that ``identify`` would call und; where there was nothing to learn from,
-    those without a letter."""
+def least_score(net: Network, sureness: float) -> float:
+    """The score that lies ``sureness`` of the way from an even guess among the languages to 1."""
+    even = 1 / len(net.langs)
+    return even + (1 - even) * sureness
+
+
+def keep_identified(docs: DataFrame, net: Network | None, sureness: float) -> DataFrame:
+    """The rows of docs whose language is identified with a score of least_score(net, sureness) or
+    more, as they are.  Rows go that ``identify`` would call und; where there was nothing to
+    learn from, those without a letter.  Repeated rows stay or go together; columns of any
+    other name are kept; an empty table stays empty."""
+    least = least_score(net, sureness) - 1e-9 if net else 0.0
+
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]

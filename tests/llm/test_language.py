@@ -47,6 +47,17 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.97 * len(out)
 
 
+def test_noise_is_rejected_and_held_out_documents_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    net, rng = language.learn(docs), random.Random(1)
+    noise = made.documents(spark, [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)), "en", "s", 0, 0, 0, 0, "", "") for i in range(200)])
+    assert language.keep_identified(noise, net, 0.3).count() <= 40
+    real = docs.filter(language.held_out() & F.col("text").rlike(r"\p{L}"))
+    assert language.keep_identified(real, net, 0.3).count() >= 0.995 * real.count()
+    right = language.identify(real, net).join(real.select("doc_id", "lang"), "doc_id").filter("lang = lang_pred").count()
+    assert right >= 0.98 * real.filter("lang IS NOT NULL").count()
+
+
 def test_learning_is_the_same_again_and_never_sees_held_out_rows(spark):
     docs = corpus(spark, 200)
     wrong = docs.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit("zz")).otherwise(F.col("lang")))
@@ -100,4 +111,5 @@ def test_documents_without_letters_and_nothing_to_learn_from(spark):
     assert language.learn(unlabelled) is None
     assert {r["lang_pred"] for r in language.identify(unlabelled, None).collect()} == {"und"}
     assert language.keep_identified(docs, None, 0.3).filter("doc_id = 2004").count() == 1
+    assert language.keep_identified(made.empty(spark), net, 0.3).collect() == []
     assert language.learn(made.empty(spark)) is None and language.identify(made.empty(spark), None).collect() == []

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from sparkloom.llm import language, pii, sentencepiece
 from tests.llm import made
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_nearcopies import brute_groups
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -22,10 +22,10 @@ def test_stages_against_brute_force(spark, tmp_path):
         at = stages[name] = spark.read.parquet(f"{tmp_path}/{name}")
     before = docs.collect()
     net = language.learn(docs)
-    sure = {(r["doc_id"], r["score"] >= corpus_pipeline.LEAST_SCORE and r["lang_pred"] != "und") for r in language.identify(docs, net).collect()}
+    sure = {(r["doc_id"], r["score"] >= language.least_score(net, corpus_pipeline.LEAST_SURENESS) - 1e-9 and r["lang_pred"] != "und") for r in language.identify(docs, net).collect()}
     kept = stages["language"].collect()
     assert Counter(r["doc_id"] for r in kept) == Counter(r["doc_id"] for r in before if (r["doc_id"], True) in sure)
-    roots = brute_components([brute_fingerprint(r["text"]) for r in kept])
+    roots = brute_groups([r["text"] for r in kept])
     least = defaultdict(list)
     for r, root in zip(kept, roots, strict=True):
         least[root].append((r["doc_id"] is None, r["doc_id"] or 0))
