@@ -5,10 +5,10 @@ anchors; the longest increasing run of them, in template order, is kept, and the
 between are aligned the same way, after equal words at their ends.  Coverage is the
 share of the template's words that align.
 
-Templates are fragments: notices, file headers and the opening sentences of licences.
-Coverage 1.0 means that the fragment stands in the text, not the whole licence.  A text
-that holds only later parts (conditions, disclaimers), or a licence without a template
-(Unlicense, AGPL, EPL and others), gives nothing.
+Templates named ``-text`` are whole licences (MIT, ISC, BSD, Unlicense, zlib).  The others are
+fragments: notices, file headers and the sentences that licences begin with; there,
+coverage 1.0 means that the fragment stands in the text, not the whole licence.  A text that
+holds less than LEAST of any template, or a licence without one, gives nothing.
 
 A text is searched wherever it could hold a template: a window around each place
 where a word of the template stands that is rare in prose, so that repeated notices
@@ -33,6 +33,9 @@ _WORD = re.compile(r"[a-z0-9]+")
 #: Words of templates that are no sign of one.
 _COMMON = frozenset("a an and any are as at be by for from in is it its may no not of on or that the this to under with without you your work above all copy file free have if more other see set shall such they use version 0 1 2 3 4".split())
 
+#: Share of a template's words that must align.
+LEAST = 0.8
+#: The licences' own words, without punctuation.
 TEMPLATES = {
     "mit-notice": "released under the mit license",
     "apache-2.0-notice": "licensed under the apache license version 2.0",
@@ -44,7 +47,16 @@ TEMPLATES = {
     "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "epl-2.0-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    # whole licences
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
 }
 
 
@@ -98,7 +110,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> None:
+    def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> None:
         self.least = least
         self.templates = {k: _WORD.findall(v) for k, v in templates.items()}
         self.vocabulary = {k: Counter(v) for k, v in self.templates.items()}
@@ -179,8 +191,9 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, n_licenses, coverage (the best, 0.0 if none), licenses (template:start:end:coverage,
     comma-joined; code points, end exclusive) of every row.
 
-    A null text counts as empty.  Repeated rows give repeated results.  Reads doc_id and
-    text alone."""
+    A null or empty text has none.  Repeated rows give repeated results, an empty table an empty
+    one.  Very long texts are scanned whole, and time grows with their length.  Of spans of one
+    template that tie, the first is taken.  Reads doc_id and text alone."""
     common.bounded_batches(docs.sparkSession)
     scanner = scanner or Scanner()
 

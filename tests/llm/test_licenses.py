@@ -66,6 +66,70 @@ def test_copies_back_to_back_are_all_found():
     assert [f[0] for f in scanner.scan(text)] == ["bsd"] * 3
 
 
+def longest_common(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def brute_coverage(text: str, template: str, stretch: float = 1.25) -> float:
+    """The greatest share of the template that is a common subsequence of it and a stretch of the
+    text of so many times its length."""
+    words, own = [w for w, *_ in licenses.words_at(text)], [w for w, *_ in licenses.words_at(template)]
+    size, best = round(len(own) * stretch), 0
+    for i in range(len(words)):
+        if words[i] in own:
+            part = words[i : i + size]
+            if sum(w in own for w in part) > best:
+                best = max(best, longest_common(part, own))
+    return best / len(own)
+
+
+def test_the_query_against_brute_force_with_planted_licences(spark, tmp_path):
+    """Over the real table, into whose texts licences and edited licences are put."""
+    rng = random.Random(12)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    names, data, planted = list(licenses.TEMPLATES), [], {}
+    for r in rows:
+        text = r["text"] or ""
+        if r["doc_id"] % 3 == 0:
+            words = text.split(" ")
+            name = rng.choice(names)
+            own = licenses.TEMPLATES[name].split()
+            for i in rng.sample(range(len(own)), len(own) * rng.choice([0, 0, 1, 4]) // 10):
+                own[i] = "w" + rng.choice("klmn") * 3
+            at = rng.randrange(len(words) + 1)
+            text = " ".join([*words[:at], *own, *words[at:]])
+            planted[r["doc_id"]] = name
+        data.append((r["doc_id"], text, r["lang"], r["source"], len(text)))
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.op7_licenses(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(d for d, *_ in data)
+    exact = 0
+    for doc_id, text, *_ in data:
+        found = {f.split(":")[0]: float(f.split(":")[3]) for f in sorted(got[doc_id]["licenses"].split(","), key=lambda f: f.split(":")[3:]) if f}
+        present = set(w for w, *_ in licenses.words_at(text))
+        for name, template in licenses.TEMPLATES.items():
+            own = [w for w, *_ in licenses.words_at(template)]
+            if sum(w in present for w in own) < licenses.LEAST * len(own):
+                assert name not in found  # too few of its words
+                continue
+            want = brute_coverage(text, template)
+            if want == 1.0:
+                assert found.get(name) == 1.0, (doc_id, name)
+                exact += 1
+            elif want >= licenses.LEAST + 0.05:
+                assert found.get(name, 0.0) >= want - 0.05, (doc_id, name, want, found)
+            if name in found:  # words of a template may stand apart, by half its length at a time
+                most = want if len(own) > 40 else brute_coverage(text, template, 4)
+                assert found[name] <= most + (0.05 if len(own) > 40 else 1e-6), (doc_id, name, most, found)
+        assert got[doc_id]["n_licenses"] == len([f for f in got[doc_id]["licenses"].split(",") if f])
+    assert exact >= 40
+
+
 def test_documents(spark):
     docs = made.documents(spark)
     out = licenses.scan(docs).collect()
