@@ -118,9 +118,10 @@ def _lookalikes() -> dict[int, str]:
 _LOOKALIKES = _lookalikes()
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = frozenset(map(chr, _LOOKALIKES)) | frozenset(_INVISIBLE)
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digits in English, German, Spanish and French; the articles un and une, which stand before numbers in prose, are left out.
+_SPELLED = {w: str(d) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro - deux trois quatre cinq six sept huit neuf") for d, w in enumerate(words.split()) if w != "-"} | {"oh": "0", "zwo": "2", "fuenf": "5"}
 _DIGIT_WORD = "|".join(_SPELLED)
-_NUMBER_SEP = r"(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point)[ ]+)"
+_NUMBER_SEP = r"(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point|punkt|punto)[ ]+)"
 #: Two neighbours of _NUMBER_WORDS of which one is a word: every run that is rewritten holds such a pair.
 _PAIR = re.compile(rf"\b(?:{_DIGIT_WORD}){_NUMBER_SEP}(?:(?:{_DIGIT_WORD})\b|[0-9])|[0-9]{_NUMBER_SEP}(?:{_DIGIT_WORD})\b", re.I)
 #: Letters that match i and s where case is ignored.
@@ -140,8 +141,8 @@ _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}{_ANY_DOT
 _IP_SPOKEN = re.compile(rf"\b[0-9]{{1,3}}(?:(?:{_DOT_SPOKEN})[0-9]{{1,3}}){{3}}\b", re.I)
 _SPOKEN_DOT = re.compile(_DOT_SPOKEN, re.I)
 _SPOKEN_AT = re.compile(r"[ ]{1,3}(?:at|arroba)[ ]{1,3}", re.I)
-_NUMBER_WORDS = re.compile(rf"(?:\bplus[ ]+|\+[ ]*)?\b(?:{_DIGIT_WORD}|[0-9]+)(?:{_NUMBER_SEP}(?:{_DIGIT_WORD}|[0-9]+))+\b", re.I)
-_NUMBER_PART = re.compile(rf"(?P<word>\b(?:{_DIGIT_WORD})\b)|(?P<digits>[0-9]+)|(?P<dot>[ ]+(?:dot|point)[ ]+|[ ]*\.[ ]*)|(?P<plus>(?:plus|\+)[ ]+)|(?P<gap>[ ]*[ ,-][ ]*)", re.I)
+_NUMBER_WORDS = re.compile(rf"(?:\b(?:plus|más)[ ]+|\+[ ]*)?\b(?:{_DIGIT_WORD}|[0-9]+)(?:{_NUMBER_SEP}(?:{_DIGIT_WORD}|[0-9]+))+\b", re.I)
+_NUMBER_PART = re.compile(rf"(?P<word>\b(?:{_DIGIT_WORD})\b)|(?P<digits>[0-9]+)|(?P<dot>[ ]+(?:dot|point|punkt|punto)[ ]+|[ ]*\.[ ]*)|(?P<plus>(?:plus|más|\+)[ ]+)|(?P<gap>[ ]*[ ,-][ ]*)", re.I)
 
 
 class Rewritten:
@@ -302,7 +303,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     Counts and the digest are of the base spans, ``spans`` lists all.  A null text counts
     as empty: no spans, the digest of the empty string; its redacted text is null.
-    Repeated rows give repeated results.  Reads doc_id and text alone."""
+    Repeated rows give repeated results, an empty table an empty one.  Very long texts are
+    searched whole, in linear time.  Reads doc_id and text alone."""
     common.bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +322,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in ``text`` replaced by its kind in angle brackets, and n_chars, if
-    it is a column of docs, that of the new text.  A null text stays null."""
+    it is a column of docs, that of the new text.  A null text stays null, all rows stay; columns
+    of any other name are kept; an empty table stays empty."""
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         new = [t if t is None else redacted(t, all_spans(t)[1]) for t in batch.column("text").to_pylist()]

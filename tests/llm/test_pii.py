@@ -74,7 +74,7 @@ def test_disguises_map_back_to_the_source(text, kind, shown):
     assert (kind, text.index(shown), text.index(shown) + len(shown)) in spans
 
 
-@pytest.mark.parametrize("text", ["look at the dot on the map", "we met at noon. one two three", "at one point two or three of them came", "the server at work", "three four five", "meet me at home. Dot com is over"])
+@pytest.mark.parametrize("text", ["look at the dot on the map", "we met at noon. one two three", "at one point two or three of them came", "the server at work", "three four five", "meet me at home. Dot com is over", "un, dos, tres. cuatro y cinco", "acht oder neun, null bis drei", "un deux trois"])
 def test_prose_is_left_alone(text):
     assert pii.all_spans(text) == ([], [])
 
@@ -125,6 +125,13 @@ def test_time_is_linear_in_hostile_texts():
         ("card", "4111 1111 1111 111 one"),
         ("phone", "+4 four 7 seven 0 zero 9 zero 0 one 2 three"),
         ("phone", "plus 44 seven 700900123"),
+        ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+        ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"),
+        ("phone", "plus trois trois deux cinq zéro quatre six sept huit neuf neuf"),
+        ("ip", "zehn 8 punkt acht punkt acht punkt 8"[5:]),
+        ("ip", "ocho punto ocho punto ocho punto ocho"),
+        ("ip", "huit point huit point huit point huit"),
+        ("card", "Vier EINS eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
     ],
 )
 def test_spelled_digits_apart_are_found_whatever_else_is_said(kind, said):
