@@ -187,12 +187,14 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
 
     A null text counts as empty (16 bytes, crc 0) and groups with empty texts.  Null
-    and repeated doc_ids are rows like others.  Other columns are not read."""
+    and repeated doc_ids are rows like others; slots follow hashes of doc_id and text.  A very
+    long text is a group like others.  An empty table gives an empty one.  Other columns are not
+    read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     placed = common.written(shard(rows, "digest", "size", "doc_id", shards).select("doc_id", "size", "text_crc32", "shard"), "placed")
     n = placed.count()
-    out = common.two_level_rank(placed, ["shard"], F.col("doc_id"), [F.xxhash64("doc_id"), F.col("doc_id")], n, "slot")
+    out = common.two_level_rank(placed, ["shard"], F.struct("doc_id", "text_crc32"), [F.xxhash64("doc_id", "text_crc32"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], n, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
