@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-The words of a text are the stretches that no piece crosses: spaces (written ▁)
-and what follows them.  A word's lattice has an edge for every substring, of at
+The words of a text are the stretches that no piece crosses: spaces (written ▁) and the
+letters, the digit or the signs that follow them.  A word's lattice has an edge for every substring, of at
 most the longest piece's length, that the piece table holds; a path of edges is a
 segmentation, and a fold over the edges by end keeps the best path to each place.
 
@@ -25,7 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,14 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_WORD = re.compile("▁*[^▁]+|▁+")
-#: Words and pairs of pieces that a task keeps.
-CACHE = 500_000
-#: Longer words aren't kept.
+_WORD = "▁*[^▁]+|▁+"
+#: Words that a task keeps, and pairs of pieces.
+CACHE, PAIRS = 500_000, 2_000_000
+#: Longer words are folded one at a time and aren't kept.
 KEPT = 64
+#: Words that are folded together.
+BATCH = 8192
+_BASE = 0x9E3779B97F4A7C15
 _NONE = 1 << 60
 
 
@@ -56,11 +60,19 @@ class Pieces:
         order = {x: k for k, x in enumerate(sorted(set(scores), reverse=True))}
         self.rank = {p: order[scores[i]] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.word = self._cut()
         self.byte_of = {i: int(p[3:5], 16) for p, i in self.bytes.items()}
         #: What a piece decodes to; a byte from 80 up as the surrogate that escapes it.
         self.shown = [chr(b + (0xDC00 if b > 0x7F else 0)) if (b := self.byte_of.get(i)) is not None else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
         self.words: dict[str, tuple[int, ...]] = {}
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.stable: dict[int, bool] = {}
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def _cut(self) -> re.Pattern:
+        """What a word is: finer than what lies between spaces, if every piece is part of one."""
+        odd = "".join(sorted({re.escape(c) for p in self.ids if len(p) > 1 for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+        fine = re.compile(rf"▁*[^\W\d_{odd}]+|▁*\d|▁*(?:[^\w▁]|[_{odd}])+|▁+")
+        return fine if all(map(fine.fullmatch, self.ids)) else re.compile(_WORD)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -72,7 +84,7 @@ class Pieces:
         return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], special)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "stable": {}}
+        return self.__dict__ | {"words": {}, "stable": {}, "table": None}
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short string: the best-ranked neighbours merge, leftmost first."""
@@ -91,12 +103,25 @@ class Pieces:
                 ranks[i] = rank.get(parts[i] + parts[i + 1], _NONE)
         return parts
 
+    def _symbol(self, piece: str) -> int:
+        """A piece's id; of a character that is none, a number beyond them."""
+        i = self.ids.get(piece)
+        return len(self.pieces) + ord(piece) if i is None else i
+
+    def _shown(self, symbol: int) -> str:
+        return self.pieces[symbol] if symbol < len(self.pieces) else chr(symbol - len(self.pieces))
+
     def _survive(self, a: str, b: str) -> bool:
-        found = self.stable.get((a, b))
+        """Whether BPE turns a + b into a and b; a may be empty, at a word's start."""
+        return self._survives((self._symbol(a) + 1 << 32 if a else 0) | self._symbol(b))
+
+    def _survives(self, pair: int) -> bool:
+        found = self.stable.get(pair)
         if found is None:
-            if len(self.stable) >= CACHE:
+            if len(self.stable) >= PAIRS:
                 self.stable.clear()
-            found = self.stable[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+            a, b = self._shown((pair >> 32) - 1) if pair >> 32 else "", self._shown(pair & 0xFFFFFFFF)
+            found = self.stable[pair] = self.merge(a + b) == ([a, b] if a else [b])
         return found
 
     def path(self, word: str) -> list[str]:
@@ -122,29 +147,106 @@ class Pieces:
             out += [i] if i is not None else [self.bytes[f"<0x{b:02X}>"] for b in p.encode("utf-8", "surrogatepass")]
         return tuple(out)
 
-    def learn_words(self, words: list[str]) -> None:
-        """Has the ids of all words in self.words, but for those of over KEPT characters."""
-        known = self.words
-        fresh = [w for w in set(words) if w not in known and len(w) <= KEPT]
+    def _edges(self, codes: np.ndarray) -> np.ndarray:
+        """edges[n - 1][:, i]: the piece (-1: none) that is the n characters from place i of each
+        word of codes [words, length], looked up by a 64-bit hash of the characters."""
+        mix = lambda c: ((c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) ^ (c + np.uint64(1)) * np.uint64(0x94D049BB133111EB) >> np.uint64(29)) | np.uint64(1)
+
+        if self.table is None:
+            by: dict[int, list[str]] = {}
+            for piece in self.ids:
+                by.setdefault(len(piece), []).append(piece)
+            names, keys = [], []
+            for n, own in by.items():
+                mixed = mix(np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n))
+                names += own
+                h = np.zeros(len(own), np.uint64)
+                for k in range(n):
+                    h = h * np.uint64(_BASE) + mixed[:, k]
+                keys.append(h ^ np.uint64(n))
+            keys = np.concatenate([*keys, np.array([0, (1 << 64) - 1], np.uint64)])
+            if len(set(keys.tolist())) < len(keys):
+                raise ValueError("two pieces have one hash")
+            order, some = np.argsort(keys), np.zeros(1 << 21, bool)
+            some[keys >> np.uint64(43)] = True
+            self.table = keys[order], np.array([*(self.ids[p] for p in names), -1, -1], np.int64)[order], some
+        keys, ids, some = self.table
+        mixed = mix(codes.astype(np.uint64))
+        out, h = np.full((min(self.longest, codes.shape[1]), *codes.shape), -1, np.int64), np.zeros_like(mixed)
+        for n in range(1, len(out) + 1):
+            h = h[:, : codes.shape[1] - n + 1] * np.uint64(_BASE) + mixed[:, n - 1 :]
+            own = h ^ np.uint64(n)
+            row, col = np.nonzero(some[own >> np.uint64(43)])  # few that are no piece
+            maybe = own[row, col]
+            at = np.searchsorted(keys, maybe)
+            out[n - 1][row, col] = np.where(keys[at] == maybe, ids[at], -1)
+        return out
+
+    def fold_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of words of one length, by the fold of ``path`` over all their lattices at once."""
+        count, size, first = len(words), len(words[0]), len(self.pieces)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(count, size)
+        edges = self._edges(codes)
+        edges[0] = np.where(edges[0] < 0, codes.astype(np.int64) + first, edges[0])
+        last = np.full((size + 1, count), -1, np.int64)  # the symbol that ends the path to each place
+        last[0] = -2
+        length = np.zeros((size + 1, count), np.int64)
+        for end in range(1, size + 1):
+            open_ = np.arange(count)
+            for n in range(min(len(edges), end), 0, -1):
+                piece, before = edges[n - 1][open_, end - n], last[end - n][open_]
+                there = np.flatnonzero((piece >= 0) & (before != -1))
+                if not len(there):
+                    continue
+                pairs = (np.where(before[there] == -2, 0, before[there] + 1 << 32) | piece[there]).tolist()
+                found = list(map(self.stable.get, pairs))
+                if None in found:
+                    found = [self._survives(p) if f is None else f for p, f in zip(pairs, found, strict=True)]
+                there = there[np.array(found, bool)]
+                done = open_[there]
+                last[end, done], length[end, done] = piece[there], n
+                left = np.ones(len(open_), bool)
+                left[there] = False
+                open_ = open_[left]
+                if not len(open_):
+                    break
+        out: list[list[int]] = [[] for _ in words]
+        at, live = np.full(count, size), np.arange(count)
+        while len(live):
+            symbols, steps = last[at[live], live], length[at[live], live]
+            for w, i in zip(live.tolist(), symbols.tolist(), strict=True):
+                out[w].append(i)
+            at[live] -= steps
+            live = live[at[live] > 0]
+        return [tuple(o[::-1]) if max(o) < first else self._ids([self._shown(i) for i in o[::-1]]) for o in out]
+
+    def learn_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of all words, and of words met before; those of over KEPT characters aren't kept."""
+        words, known = set(words), self.words
+        fresh = words.difference(known)
         if len(known) + len(fresh) > CACHE:
             known.clear()
-            fresh = [w for w in set(words) if len(w) <= KEPT]
-        known.update((w, self._ids(self.path(w))) for w in fresh)
+            fresh = words
+        by: dict[int, list[str]] = {}
+        for w in fresh:
+            by.setdefault(len(w), []).append(w)
+        long = {w: self._ids(self.path(w)) for n, own in by.items() if n > KEPT for w in own}
+        for n, own in by.items():
+            for i in range(0, len(own) if n <= KEPT else 0, BATCH):
+                known.update(zip(own[i : i + BATCH], self.fold_many(own[i : i + BATCH]), strict=True))
+        return known | long if long else known
 
     def _words(self, text: str, first: bool = True) -> list[str]:
-        return _WORD.findall((SPACE if first else "") + text.replace(" ", SPACE))
+        return self.word.findall((SPACE if first else "") + text.replace(" ", SPACE))
 
     def _of_words(self, words: list[str]) -> list[int]:
-        self.learn_words(words)
-        known, out = self.words, []
-        for w in words:
-            out += known[w] if len(w) <= KEPT else self._ids(self.path(w))
-        return out
+        look = self.learn_words(words)
+        return list(chain.from_iterable(map(look.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[str | None], chars: int = 500_000) -> list[list[int]]:
+    def encode_many(self, texts: list[str | None], chars: int = 4_000_000) -> list[list[int]]:
         """Ids of each text; about ``chars`` characters' words are held at a time."""
         out: list[list[int]] = []
         at = 0
@@ -157,14 +259,8 @@ class Pieces:
                 words.append(self._words(text) if text else [])
                 size, end = size + len(text), end + 1
             if words:
-                flat = [w for own in words for w in own]
-                self.learn_words(flat)
-                known = self.words
-                for own in words:
-                    ids: list[int] = []
-                    for w in own:
-                        ids += known[w] if len(w) <= KEPT else self._ids(self.path(w))
-                    out.append(ids)
+                look = self.learn_words(chain.from_iterable(words))
+                out += [list(chain.from_iterable(map(look.__getitem__, own))) for own in words]
                 at = end
             else:
                 out.append(self._long(texts[at], chars))
