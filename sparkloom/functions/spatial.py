@@ -475,19 +475,24 @@ def geohash_decode(code: Column | str) -> Column:
 def near_join(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
     """points(lng, lat, ..) with each row of others(lng2, lat2, ..) within ``metres``, and
     ``distance``: an equi-join on cells at least that wide, a point against the cells around
-    it, so that only neighbours are compared.  Cells are as wide as ``metres`` at 85 degrees of
-    latitude; beyond that, points are not looked for."""
+    it, so that only neighbours are compared.  Each row of cells has as many columns as are wide
+    enough at its latitudes, one around a pole."""
     dlat = math.degrees(metres / RADIUS) * 1.0001
-    dlng = dlat / math.cos(math.radians(85.0))
     rows = lambda lat: F.floor(F.col(lat) / dlat).cast("long")
-    columns = max(1, int(360.0 / dlng))
-    place = lambda lng: F.pmod(F.floor((F.col(lng) + 180.0) / (360.0 / columns)), F.lit(columns)).cast("long")
-    around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    right = others.withColumn("_dy", around).withColumn("_dx", F.explode(F.array_distinct(F.array(*(F.lit(i) for i in ((-1, 0, 1) if columns > 2 else (0, 1) if columns == 2 else (0,)))))))
-    right = right.withColumn("_y", rows("lat2") + F.col("_dy")).withColumn("_x", F.pmod(place("lng2") + F.col("_dx"), F.lit(columns)))
-    left = points.withColumn("_y", rows("lat")).withColumn("_x", place("lng"))
+
+    def columns(row) -> Column:
+        """How many cells the row has: a point of the rows beside it reaches over one at most."""
+        far = F.greatest(F.abs((row - 1) * dlat), F.abs((row + 2) * dlat)) + dlat
+        reach = F.degrees(F.asin(F.sin(F.lit(math.radians(dlat))) / F.cos(F.radians(F.least(far, F.lit(89.0)) - dlat))))
+        return F.when(far >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / reach))).cast("long")
+
+    place = lambda lng, n: F.floor((F.pmod(F.col(lng) + 180.0, F.lit(360.0))) / (360.0 / n)).cast("long")
+    steps = [F.lit(i).cast("long") for i in (-1, 0, 1)]
+    right = others.withColumn("_y", F.explode(F.array(*(rows("lat2") + i for i in steps)))).withColumn("_n", columns(F.col("_y")))
+    right = right.withColumn("_x", F.explode(F.array_distinct(F.array(*(F.pmod(place("lng2", F.col("_n")) + i, F.col("_n")) for i in steps))))).drop("_n")
+    left = points.withColumn("_y", rows("lat")).withColumn("_x", F.pmod(place("lng", columns(F.col("_y"))), columns(F.col("_y"))))
     d = haversine("lng", "lat", "lng2", "lat2")
-    return left.join(right, ["_y", "_x"]).withColumn("distance", d).filter(F.col("distance") <= metres).drop("_x", "_y", "_dx", "_dy")
+    return left.join(right, ["_y", "_x"]).withColumn("distance", d).filter(F.col("distance") <= metres).drop("_x", "_y")
 
 
 def region_join(points: DataFrame, regions: DataFrame, shape: str, cell: float = 1.0) -> DataFrame:

@@ -7,12 +7,17 @@ its docstring says so.  Driver loops read only counts."""
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from sparkloom.operators.search import rrf
 from sparkloom.shared import written
 
+#: Levels of a traversal that are kept as tables of their own.
+MERGED = 16
 ENDS = ["src", "dst"]
 
 
@@ -47,27 +52,28 @@ def stats(edges: DataFrame) -> DataFrame:
 # Traversals
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out", source: bool = False) -> DataFrame:
-    """node, depth of what seeds(node) reach within hops; with ``source``, per seed: source,
-    node, depth.  Each hop joins the frontier alone, and what was seen is never joined again."""
+def bfs(edges: DataFrame, seeds: DataFrame, hops: int | None = None, direction: str = "out", source: bool = False) -> DataFrame:
+    """node, depth of what seeds(node) reach within hops (None: however far); with ``source``, per
+    seed: source, node, depth.  Each hop joins the frontier alone against edges and drops what
+    was seen."""
     e = directed(edges.select(*ENDS), direction).distinct()
     own = [F.col("node").alias("source")] if source else []
     key = ["source", "node"] if source else ["node"]
     seen = written(seeds.select(*own, "node", F.lit(0).alias("depth")).distinct(), "bfs0")
     frontier, parts = seen, [seen]
-    for depth in range(1, hops + 1):
+    for depth in itertools.count(1) if hops is None else range(1, hops + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).select(*key[:-1], F.col("dst").alias("node")).distinct()
-        before = parts[0].select(*key)
-        for p in parts[1:]:
-            before = before.unionByName(p.select(*key))
-        frontier = written(step.join(before, key, "left_anti").withColumn("depth", F.lit(depth)), f"bfs{depth}")
+        frontier = written(step.join(_all(parts).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)), f"bfs{depth}")
         if frontier.isEmpty():
             break
         parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if len(parts) > MERGED:  # a long walk's levels become one table now and then
+            parts = [written(_all(parts), f"seen{depth}")]
+    return _all(parts)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
@@ -76,34 +82,36 @@ def subgraph(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "ou
     return edges.join(inside, F.col("src") == F.col("node"), "left_semi").join(inside, F.col("dst") == F.col("node"), "left_semi")
 
 
-def shortest_path(edges: DataFrame, start, goal, most: int = 10) -> DataFrame:
+def shortest_path(edges: DataFrame, start, goal, most: int | None = None) -> DataFrame:
     """path (array of nodes) and length of a shortest path, the least among equals; no row if
-    there is none within ``most`` hops.  The frontier keeps one path a node."""
+    there is none, or none within ``most`` hops.  The frontier keeps one path a node."""
     e = edges.select(*ENDS).distinct()
     kind = edges.schema["src"].dataType
     at = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node")).withColumn("path", F.array("node"))
     seen, frontier = at.select("node"), written(at, "path0")
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         hit = frontier.filter(F.col("node") == F.lit(goal))
-        if start == goal or not hit.isEmpty():
+        if start == goal or not hit.isEmpty() or frontier.isEmpty():
             break
         step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
         frontier = written(step, f"path{depth}")
         seen = seen.unionByName(frontier.select("node"))
+        if depth % MERGED == 0:
+            seen = written(seen, f"seen{depth}")
     return frontier.filter(F.col("node") == F.lit(goal)).select("path", (F.size("path") - 1).alias("length"))
 
 
-def sssp(edges: DataFrame, start, most: int = 1000) -> DataFrame:
+def sssp(edges: DataFrame, start) -> DataFrame:
     """node, distance from start along edges of weight >= 0; Bellman and Ford's relaxation of
-    the nodes that changed alone.  A negative weight is an error."""
+    the nodes that changed alone, until none does.  A negative weight is an error."""
     if not edges.filter("weight < 0").isEmpty():
         raise ValueError("weights are at least 0")
     e = edges.groupBy(*ENDS).agg(F.min("weight").cast("double").alias("weight"))
     kind = edges.schema["src"].dataType
     dist = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"))
     changed = dist = written(dist, "sssp")
-    for i in range(most):
+    for i in itertools.count():
         step = changed.join(e, changed["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         both = written(dist.join(step, "node", "full").select("node", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("moved")), f"sssp{i}")
         dist, changed = both.select("node", "distance"), both.filter("moved").select("node", "distance")
@@ -211,11 +219,11 @@ def degrees(edges: DataFrame, direction: str = "both") -> DataFrame:
     return all_nodes.join(d, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree")).withColumn("centrality", F.col("degree") / max(1, n - 1))
 
 
-def k_core(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def k_core(edges: DataFrame) -> DataFrame:
     """node, core: peels nodes of degree under k for k = 1, 2, ..; edges shrink as k rises."""
     e = written(directed(simple(edges), "both"), "core")
     done, k, i = [], 1, 0
-    while not e.isEmpty() and k < most:
+    while not e.isEmpty():
         d = e.groupBy("src").agg(F.count("*").alias("d"))
         low = written(d.filter(F.col("d") <= k).select(F.col("src").alias("node"), F.lit(k).alias("core")), f"peel{i}")
         if low.isEmpty():
@@ -240,13 +248,13 @@ def k_core(edges: DataFrame, most: int = 10_000) -> DataFrame:
 # Centralities over shortest paths from all nodes, or from a sample of sources
 
 
-def path_counts(edges: DataFrame, sources: DataFrame, direction: str = "both", most: int = 1000) -> DataFrame:
+def path_counts(edges: DataFrame, sources: DataFrame, direction: str = "both") -> DataFrame:
     """source, node, depth, paths: how far each node is from each of sources(node) and over how
     many shortest paths.  State is sources times nodes: give a sample for large graphs."""
     e = written(directed(edges.select(*ENDS), direction).filter("src <> dst").distinct(), "edges")
     level = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")).distinct(), "level0")
     seen = level
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         step = level.join(e, level["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("depth"), "paths")
         level = written(step, f"level{depth}")
@@ -300,9 +308,9 @@ def diameter(edges: DataFrame, exact: bool = False) -> DataFrame:
         ends = path_counts(edges, nodes(edges)).groupBy("source").agg(F.max("depth").alias("far"))
         return ends.agg(F.max("far").alias("diameter"), F.min("far").alias("radius"))
     seed = nodes(edges).agg(F.min("node").alias("node"))
-    far = written(bfs(edges, seed, 1000, "both"), "sweep")
+    far = written(bfs(edges, seed, None, "both"), "sweep")
     end = far.agg(F.max_by("node", F.struct("depth", "node")).alias("node"))
-    return bfs(edges, end, 1000, "both").agg(F.max("depth").alias("diameter"), F.ceil(F.max("depth") / 2).cast("int").alias("radius"))
+    return bfs(edges, end, None, "both").agg(F.max("depth").alias("diameter"), F.ceil(F.max("depth") / 2).cast("int").alias("radius"))
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 10) -> DataFrame:
@@ -357,14 +365,9 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 
 def graph_rag(vector_hits: DataFrame, edges: DataFrame, hops: int, k: int, vector_k: float = 60.0, graph_k: float = 10.0, text_hits: DataFrame | None = None, text_k: float = 60.0) -> DataFrame:
     """Fusion of a vector result (id, s), the graph around it and maybe a text result: 1 / (k +
-    rank + 1) summed, graph ranks by hops and then id.  The lists are top-k lists."""
-    reached = bfs(edges, vector_hits.select(F.col("id").alias("node")), hops, "both")
-    lists = [(vector_hits.select("id", F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("r")), vector_k)]
-    lists.append((reached.orderBy("depth", "node").limit(1000).select(F.col("node").alias("id"), F.row_number().over(Window.orderBy("depth", "node")).alias("r")), graph_k))
+    rank + 1) summed, graph ranks by hops and then id, over all nodes that are reached."""
+    reached = bfs(edges, vector_hits.select(F.col("id").alias("node")), hops, "both").select(F.col("node").alias("id"), (-F.col("depth")).cast("double").alias("s"))
+    lists, consts = [vector_hits.select("id", "s"), reached], [vector_k, graph_k]
     if text_hits is not None:
-        lists.append((text_hits.select("id", F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("r")), text_k))
-    out = None
-    for df, c in lists:
-        part = df.select("id", (1.0 / (F.lit(c) + F.col("r"))).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        lists, consts = [*lists, text_hits.select("id", "s")], [*consts, text_k]
+    return rrf(lists, "id", "s", k, consts=consts).select("id", F.col("rrf").alias("score"))

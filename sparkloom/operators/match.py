@@ -7,17 +7,26 @@
 
 Each edge of a pattern is one equi-join of the edge table with what is bound so far, so
 Catalyst orders, prunes and shuffles them as any other joins.  Edges: (src, dst, label);
-nodes, if given: (id, label, ..)."""
+nodes, if given: (id, label, ..).
+
+Hops: * is one, *n exactly n, *m..n from m to n, *m.. from m to MOST_HOPS, *..n from 1.  Such
+steps walk from the end that is bound before or whose id the WHERE clause gives, a level at
+a time; where neither end is known, from all nodes."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph
+from sparkloom.shared import written
+
+#: What a range of hops without an upper end goes to.
+MOST_HOPS = 10
 
 _NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*\)")
 _EDGE = re.compile(r"(<?)-\s*(?:\[\s*(\w*)\s*(?::\s*(\w+))?\s*(\*\s*(\d+)?\s*(?:\.\.\s*(\d+)?)?)?\s*\]\s*)?-(>?)")
@@ -74,7 +83,9 @@ def parse_patterns(text: str) -> list[Step]:
             low, high = 1, 1
             if m[4]:
                 low = int(m[5] or 1)
-                high = int(m[6]) if m[6] else (low if m[5] and ".." not in m[4] else 10)
+                high = int(m[6]) if m[6] else MOST_HOPS if ".." in m[4] else low
+                if low > high:
+                    raise ValueError(f"at least {low} hops and at most {high}")
             out.append(Step(left, right, m[2] or f"_e{anonymous}", m[3], "in" if m[1] else "out" if m[7] else "both", low, high))
             left, alone = right, False
         if alone:
@@ -92,6 +103,7 @@ def parse_patterns(text: str) -> list[Step]:
 class Matcher:
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None) -> None:
         self.edges, self.nodes = edges, nodes
+        self.known: dict[str, str] = {}  # nodes whose id the WHERE clauses give
 
     def _all_nodes(self, label: str | None) -> DataFrame:
         if self.nodes is None:
@@ -101,27 +113,41 @@ class Matcher:
         n = self.nodes if label is None else self.nodes.filter(F.col("label") == label)
         return n.select(F.col("id").alias("node")).distinct()
 
-    def _hop(self, step: Step) -> DataFrame:
+    def _starts(self, bound: DataFrame | None, name: str) -> DataFrame | None:
+        """The nodes, as _s, that a step from this one can start from, if something says so."""
+        if bound is not None and name in bound.columns:
+            return bound.select(F.col(name).alias("_s")).distinct()
+        if name in self.known:
+            kind = self.edges.schema["src"].dataType
+            return self.edges.sparkSession.range(1).select(F.expr(self.known[name]).cast(kind).alias("_s"))
+        return None
+
+    def _hop(self, step: Step, bound: DataFrame | None = None) -> DataFrame:
         """(_s, _d[, edge label]) pairs that the step joins."""
         e = self.edges if step.label is None else self.edges.filter(F.col("label") == step.label)
         e = graph.directed(e.select("src", "dst", "label"), step.way)
         if (step.low, step.high) == (1, 1):
             return e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("label").alias(step.edge))
-        # m..n hops: pairs by length, each pair once
+        # m..n hops: pairs by length, each pair once, from the end that is known; a level is a table
         one = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
-        now = one if step.low >= 1 else None
-        found = [one] if step.low <= 1 else []
+        starts, turned = self._starts(bound, step.left[0]), False
+        if starts is None and (ends := self._starts(bound, step.right[0])) is not None:
+            starts, turned, one = ends, True, one.select(F.col("_d").alias("_s"), F.col("_s").alias("_d"))
+        found = []
         if step.low == 0:
-            found.append(self._all_nodes(None).select(F.col("node").alias("_s"), F.col("node").alias("_d")))
-            now = one
-        for k in range(2, step.high + 1):
-            now = now.withColumnRenamed("_d", "_m").join(one.withColumnRenamed("_s", "_m"), "_m").select("_s", "_d").distinct()
+            zero = self._all_nodes(None).select(F.col("node").alias("_s"))
+            zero = zero if starts is None else zero.join(starts, "_s", "left_semi")
+            found.append(zero.select("_s", F.col("_s").alias("_d")))
+        now = written(one if starts is None else one.join(starts, "_s", "left_semi"), "hop1") if step.high else None
+        for k in range(1, step.high + 1):
+            if k > 1:
+                now = now.withColumnRenamed("_d", "_m").join(one.withColumnRenamed("_s", "_m"), "_m").select("_s", "_d").distinct()
+                now = written(now, f"hop{k}")
             if k >= step.low:
                 found.append(now)
-        out = found[0]
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out.distinct().withColumn(step.edge, F.lit(None).cast("string"))
+        out = reduce(DataFrame.unionByName, found).distinct()
+        out = out.select(F.col("_d").alias("_s"), F.col("_s").alias("_d")) if turned else out
+        return out.withColumn(step.edge, F.lit(None).cast("string"))
 
     def _labelled(self, df: DataFrame, name: str, label: str | None) -> DataFrame:
         if label is None:
@@ -136,7 +162,7 @@ class Matcher:
                 own = self._all_nodes(la).select(F.col("node").alias(a))
                 bound = own if bound is None else bound.join(own, a, "left_semi") if a in bound.columns else bound.crossJoin(own)
                 continue
-            hop = self._hop(s)
+            hop = self._hop(s, bound)
             if a == b:
                 hop = hop.filter("_s = _d")
             if bound is None:
@@ -184,7 +210,11 @@ class Matcher:
 
     def run(self, text: str) -> DataFrame:
         df, out, order, limit = None, None, None, None
-        for kind, body in _clauses(text):
+        clauses = _clauses(text)
+        for kind, body in clauses:
+            if kind == "WHERE" and not re.search(r"\b(OR|NOT|CASE|EXISTS)\b", body, re.I):
+                self.known |= {m[1]: m[2] for m in re.finditer(r"(?:^|\bAND\b)\s*(\w+)\.id\s*=\s*('[^']*'|-?\d+)\s*(?=\bAND\b|$)", body, re.I)}
+        for kind, body in clauses:
             if kind == "MATCH":
                 df = self._match(df, parse_patterns(body))
             elif kind == "OPTIONAL MATCH":

@@ -242,15 +242,24 @@ def matches(text: Column | str, q: str | Node) -> Column:
 # Fusion
 
 
+def places(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``place``, the rows' numbers from 1 in a total order: ranges of it are sorted each in a
+    task, and offset by the sizes of those before, a row for each."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(sizes), "_part").withColumn("place", place).drop("_part", "_before")
+
+
 def rrf(lists: list[DataFrame], key: str, score: str, k: int, const: float = 60.0, weights: list[float] | None = None, consts: list[float] | None = None) -> DataFrame:
     """Reciprocal rank fusion: sum of weight / (const + rank + 1) over lists of (key, score),
-    greatest score first (rank 0), ties by key.  The lists are top-k lists: a rank is taken
-    in one task."""
+    greatest score first (rank 0), ties by key.  Lists may be of any length."""
     parts = []
     for i, df in enumerate(lists):
-        place = F.row_number().over(Window.orderBy(F.desc(score), key))
         c, w = (consts or [const] * len(lists))[i], (weights or [1.0] * len(lists))[i]
-        parts.append(df.select(key, (F.lit(w) / (F.lit(c) + place)).alias("rrf")))
+        parts.append(places(df.select(key, score), F.desc(score), F.col(key)).select(key, (F.lit(w) / (F.lit(c) + F.col("place"))).alias("rrf")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

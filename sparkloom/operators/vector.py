@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +55,10 @@ def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
     raise ValueError(f"no such metric: {metric}")
 
 
+#: Vectors of a query that are broadcast together.
+QUERY_BLOCK = 1024
+
+
 def topk(df: DataFrame, vector: str, query, k: int, key: str, metric: str = "l2", where: Column | None = None) -> DataFrame:
     """The k nearest rows to ``query``, after ``where``; ties to the smaller key.  Each task keeps
     its own k rows before they meet."""
@@ -70,13 +76,17 @@ def matryoshka_topk(df: DataFrame, vector: str, query: list[float], dims: int, c
 
 def maxsim(queries: DataFrame, docs: DataFrame, doc: str, vector: str, k: int, budget: int | None = None) -> DataFrame:
     """Multi-vector score: for each query vector the best inner product among a document's
-    vectors, summed.  queries(q, qv) is a query's few vectors (a budget takes its first);
-    docs has a row for each document vector."""
+    vectors, summed.  queries(q, qv) is a query's vectors (a budget takes its first); docs has a
+    row for each document vector, which meets the query in blocks of QUERY_BLOCK vectors."""
     if budget is not None:
         queries = queries.orderBy("q").limit(budget)
-    few = F.broadcast(queries.limit(1024))  # a query's vectors, 1024 at most
-    sims = docs.join(few).select(doc, "q", dot(F.col(vector), F.col("qv")).alias("s"))
-    best = sims.groupBy(doc, "q").agg(F.max("s").alias("s"))
+    own = [(r["q"], [float(x) for x in r["qv"]]) for r in queries.select("q", "qv").collect()]  # one query's vectors: a parameter
+    kind = T.StructType([T.StructField("q", queries.schema["q"].dataType), T.StructField("qv", T.ArrayType(T.DoubleType()))])
+    parts = []
+    for at in range(0, max(1, len(own)), QUERY_BLOCK):
+        few = F.broadcast(docs.sparkSession.createDataFrame(own[at : at + QUERY_BLOCK], kind))
+        parts.append(docs.join(few).select(doc, "q", dot(F.col(vector), F.col("qv")).alias("s")).groupBy(doc, "q").agg(F.max("s").alias("s")))
+    best = reduce(DataFrame.unionByName, parts)
     return best.groupBy(doc).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), doc).limit(k)
 
 
@@ -131,6 +141,13 @@ def ternary(vector: Column | str, share: float = 0.5) -> Column:
     return F.transform(v, lambda x: F.when(F.abs(x) < cut, F.lit(0)).otherwise(F.signum(x).cast("int")))
 
 
+def ternary_topk(df: DataFrame, vector: str, query: list[float], coarse: int, k: int, key: str, metric: str = "l2") -> DataFrame:
+    """Search on ternary codes by their inner product with the query's; the ``coarse`` best are ranked
+    again on the vectors."""
+    near = df.withColumn("_score", dot(ternary(vector), ternary(literal(query)))).orderBy(F.desc("_score"), key).limit(coarse)
+    return topk(near.drop("_score"), vector, query, k, key, metric)
+
+
 def product_codebooks(df: DataFrame, vector: str, parts: int = 8, codes: int = 64, sample: int = 10_000, key: str | None = None) -> list[np.ndarray]:
     """Codebooks of a product quantizer: k-means of each of ``parts`` slices, on at most ``sample``
     vectors, those of the least hash."""
