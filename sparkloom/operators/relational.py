@@ -73,20 +73,52 @@ def facet_counts(df: DataFrame, fields: list[str], limit: int) -> DataFrame:
     return counts.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= limit).drop("_at")
 
 
-def weighted_pick(df: DataFrame, weight: str, n: int, seed: int, replacement: bool = False) -> DataFrame:
-    """n rows, likelier by weight.  Without replacement: the n least of exponential
-    variates over weights.  With: draws fall into ranges of cumulative weights within hash
+def _uniform(df: DataFrame, keys: list[str], seed: int, n: int = 0) -> Column:
+    """A number from (0, 1] that a row's key and the seed decide, wherever the row lies."""
+    text = F.concat_ws("|", F.lit(f"{seed}.{n}"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys or df.columns))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1) * F.lit(2.0**-52)
+
+
+def weighted_pick(df: DataFrame, weight: str, n: int, seed: int, replacement: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """n rows, likelier by weight; which, the hashes of their keys (all columns, if none are given)
+    decide.  Without replacement: the n least of exponential variates over weights; rows of equal
+    keys are picked together.  With: draws fall into ranges of cumulative weights within hash
     buckets, buckets drawn by their sums."""
+    some = df.filter(F.col(weight) > 0)
     if not replacement:
-        return df.filter(F.col(weight) > 0).withColumn("_draw", -F.log(1 - F.rand(seed)) / F.col(weight)).orderBy("_draw").limit(n).drop("_draw")
+        return some.withColumn("_draw", -F.log(_uniform(df, keys, seed)) / F.col(weight)).orderBy("_draw").limit(n).drop("_draw")
     spark = df.sparkSession
     upto = Window.partitionBy("_b").orderBy("_r")
-    rows = written(df.filter(F.col(weight) > 0).withColumn("_r", F.rand(seed)).withColumn("_b", F.floor(F.rand(seed + 1) * 256)), "weights")
+    rows = written(some.withColumn("_r", _uniform(df, keys, seed)).withColumn("_b", F.floor(F.col("_r") * 256 * 4096) % 256), "weights")
     rows = rows.withColumn("_hi", F.sum(weight).over(upto)).withColumn("_lo", F.col("_hi") - F.col(weight))
     sums = rows.groupBy("_b").agg(F.max("_hi").alias("_sum"))
     ends = sums.withColumn("_end", F.sum("_sum").over(Window.orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_sum"))  # 256 rows
     total = ends.agg(F.max("_end")).first()[0]
-    draws = spark.range(n).select((F.rand(seed + 2) * F.lit(float(total or 0))).alias("_x"))
-    placed = draws.join(F.broadcast(ends), (F.col("_x") >= F.col("_start")) & (F.col("_x") < F.col("_end"))).select("_b", (F.col("_x") - F.col("_start")).alias("_x"))
-    hits = placed.withColumnRenamed("_b", "_c").join(rows, (F.col("_c") == F.col("_b")) & (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi")))
+    drawn = spark.range(n)
+    draws = drawn.select((_uniform(drawn, ["id"], seed, 1) * F.lit(float(total or 0))).alias("_x"))
+    placed = draws.join(F.broadcast(ends), (F.col("_x") > F.col("_start")) & (F.col("_x") <= F.col("_end"))).select("_b", (F.col("_x") - F.col("_start")).alias("_x"))
+    hits = placed.withColumnRenamed("_b", "_c").join(rows, (F.col("_c") == F.col("_b")) & (F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
     return hits.select(*df.columns)
+
+
+def _hashes(value: Column, width: int, depth: int) -> Column:
+    """A counter in each of a count-min sketch's rows."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.struct(i.alias("row"), F.pmod(F.xxhash64(value, i), F.lit(width)).cast("int").alias("bucket"))))
+
+
+def count_min(df: DataFrame, column: str, width: int = 2048, depth: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """A count-min sketch (row, bucket, n) of a column's values, or one for each of ``keys``.  No
+    sketch has more than width * depth rows, and counts meet before the shuffle."""
+    at = df.select(*(keys or []), _hashes(F.col(column).cast("string"), width, depth).alias("h"))
+    return at.groupBy(*(keys or []), "h.row", "h.bucket").agg(F.count("*").alias("n"))
+
+
+def count_min_merged(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("row", "bucket").agg(F.sum("n").alias("n"))
+
+
+def count_min_estimates(sketch: DataFrame, values: DataFrame, width: int = 2048, depth: int = 5) -> DataFrame:
+    """value, n of values(value): never under the true count, and over it by more than a width-th of
+    all rows for a value in 2^depth, about."""
+    at = values.select("value", _hashes(F.col("value").cast("string"), width, depth).alias("h")).select("value", "h.row", "h.bucket")
+    return at.join(F.broadcast(sketch), ["row", "bucket"], "left").groupBy("value").agg(F.min(F.coalesce("n", F.lit(0).cast("long"))).alias("n"))  # width * depth rows

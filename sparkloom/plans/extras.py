@@ -11,8 +11,9 @@ from sparkloom.operators import access
 from sparkloom.operators import search as X
 from sparkloom.operators import vector as V
 from sparkloom.plans import sql
+from sparkloom.plans.graphs import E as GRAPH_EDGES
 from sparkloom.plans.registry import query
-from sparkloom.plans.searching import _BM25, _METRICS, QL, Q, TOK
+from sparkloom.plans.searching import _BM25, _METRICS, QL, TOK, E, Q
 
 # User functions
 
@@ -56,10 +57,10 @@ def _(t):
     return t.spark.sql("SELECT n_nationkey, i, square FROM nation, LATERAL squares(n_regionkey + 1)")
 
 
-@query("procedure_call", "SELECT CAST(55 AS INT) AS total")
+@query("procedure_call", "SELECT CAST(count(*) * (count(*) + 1) / 2 AS INT) AS total FROM nation")
 def _(t):
     p = user.Procedure("sum_to", ["n"], "BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; WHILE i < :n DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total; END")
-    return p.call(t.spark, 10)
+    return p.call(t.spark, t.nation.count())
 
 
 # Text analysis
@@ -81,9 +82,10 @@ def _(t):
     return X.bm25(t.documents, "doc_id", "text", ["the"], 10, synonyms={"the": ["that"]}).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("fts_cjk_bigrams", "SELECT n_nationkey, CAST(3 AS INT) AS n FROM nation")
+@query("fts_cjk_bigrams", "SELECT n_nationkey, array_to_string([substr(repeat('東京都', 1 + n_nationkey % 3), i, 2) FOR i IN range(1, 3 * (1 + n_nationkey % 3))] || ['nation', lower(split_part(n_name, '_', 2))], ' ') AS g FROM nation")
 def _(t):
-    return t.nation.select("n_nationkey", F.size(X.cjk_bigrams(F.lit("東京都 tower"))).alias("n"))
+    text = F.concat(F.repeat(F.lit("東京都"), (F.col("n_nationkey") % 3 + 1).cast("int")), F.lit(" nation "), F.split_part("n_name", F.lit("_"), F.lit(2)))
+    return t.nation.select("n_nationkey", F.array_join(X.cjk_bigrams(text), " ").alias("g"))
 
 
 @query("fts_query_forms", f"SELECT doc_id, list_contains(tk, 'the') AND list_contains(tk, 'of') AS plain, contains(' ' || array_to_string(tk, ' ') || ' ', ' of the ') AS phrase, list_contains(tk, 'the') AND NOT list_contains(tk, 'by') AS web FROM (SELECT doc_id, {TOK} AS tk FROM documents)")
@@ -110,7 +112,10 @@ def _(t):
     return X.rrf([v, x], "id", "s", 12, weights=[0.7, 0.3], consts=[10.0, 60.0]).select("id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("hybrid_three_sources", None)
+_NEAR = f"{GRAPH_EDGES}, v AS ({_VEC}), g AS (SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM v UNION ALL SELECT CASE WHEN src = v.id THEN dst ELSE src END, 1 FROM e JOIN v ON v.id = src OR v.id = dst) GROUP BY id ORDER BY min(depth), id LIMIT 30)"
+
+
+@query("hybrid_three_sources", f"{_BM25}, {_NEAR}, x AS ({_FTS}), u AS (SELECT id, 1 / (60.0::DOUBLE + r) AS s FROM v UNION ALL SELECT id, 1 / (60.0::DOUBLE + r) FROM x UNION ALL SELECT id, 1 / (60.0::DOUBLE + row_number() OVER (ORDER BY depth, id)) FROM g) SELECT id, round(sum(s), 9) AS rrf FROM u GROUP BY id ORDER BY sum(s) DESC, id LIMIT 15")
 def _(t):
     from sparkloom.operators import graph
     from sparkloom.plans.graphs import parts
@@ -154,9 +159,8 @@ def _(t):
     return sql.run(t, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > :least AND o_orderpriority = :priority GROUP BY 1", least=150000, priority="2-HIGH")
 
 
-@query("join_hints", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def _(t):
-    return sql.run(t, "SELECT /*+ SHUFFLE_HASH(customer), MERGE(nation) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+for _name, _hint in (("join_hints", "SHUFFLE_HASH(customer), MERGE(nation)"), ("join_hint_broadcast", "BROADCAST(nation)"), ("join_hint_merge", "MERGE(customer, nation)"), ("join_hint_shuffle", "SHUFFLE_HASH(nation)")):
+    query(_name, "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(lambda t, h=_hint: sql.run(t, f"SELECT /*+ {h} */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"))
 
 
 @query("materialized_view_refresh", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
@@ -180,7 +184,8 @@ def _(t):
 # Scalars
 
 
-@query("text_chunks_by_sentence", None)
+@query("text_chunks_by_sentence", """WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS a, string_split(regexp_replace(text, '\\n[ \\t\\n\\x0B\\f\\r]*\\n', chr(1), 'g'), chr(1)) AS b FROM documents)
+SELECT doc_id, CAST(len(list_filter(a, lambda x: trim(x) <> '')) AS INT) AS sentences, CAST(len(list_filter(b, lambda x: trim(x) <> '')) AS INT) AS paragraphs FROM s""")
 def _(t):
     return t.documents.select("doc_id", F.size(S.chunk_sentences("text")).alias("sentences"), F.size(S.chunk_paragraphs("text")).alias("paragraphs"))
 
@@ -195,10 +200,12 @@ def _(t):
     return t.events.select("event_id", S.json_has_any("props", ["k", "x"]).alias("any"), S.json_has_all("props", ["k", "x"]).alias("all_"), S.json_merge("props", F.lit('{"k":"1","z":"2"}')).alias("merged"))
 
 
-@query("generated_ids", "SELECT c_custkey, true AS a, true AS b, true AS c, true AS d, true AS e FROM customer")
+@query("generated_ids", f"SELECT count(*) AS n, {', '.join(f'count(*) AS {c}, count(*) AS {c}_fine' for c in ('u4', 'u7', 'ul', 'nano', 'cuid'))} FROM customer")
 def _(t):
-    ids = t.customer.select("c_custkey", S.uuid_v4().alias("u4"), S.uuid_v7().alias("u7"), S.ulid().alias("ul"), S.nanoid().alias("nano"), S.cuid2().alias("cuid"))
-    return ids.select("c_custkey", (S.uuid_version("u4") == 4).alias("a"), (S.uuid_version("u7") == 7).alias("b"), S.is_ulid("ul").alias("c"), S.is_nanoid("nano").alias("d"), S.is_cuid2("cuid").alias("e"))
+    """Identifiers are of their kinds, and none comes twice."""
+    ids = t.customer.select(S.uuid_v4().alias("u4"), S.uuid_v7().alias("u7"), S.ulid().alias("ul"), S.nanoid().alias("nano"), S.cuid2().alias("cuid"))
+    fine = {"u4": S.uuid_version("u4") == 4, "u7": S.uuid_version("u7") == 7, "ul": S.is_ulid("ul"), "nano": S.is_nanoid("nano"), "cuid": S.is_cuid2("cuid")}
+    return ids.agg(F.count("*").alias("n"), *(x for c, f in fine.items() for x in (F.count_distinct(c).alias(c), F.count_if(f).alias(f"{c}_fine"))))
 
 
 @query("decimal_and_duration_text", "SELECT p_partkey, round(p_retailprice, 2) AS d, CASE WHEN p_size % 24 = 0 THEN (p_size // 24) || 'd' WHEN p_size < 24 THEN p_size || 'h' ELSE (p_size // 24) || 'd ' || (p_size % 24) || 'h' END AS t FROM part")
@@ -209,31 +216,37 @@ def _(t):
 # Quantizers, sketches, constructors, numbering
 
 
-@query("vector_product_rerank", None)
+@query("vector_product_rerank", f"SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 5")
 def _(t):
     books = V.product_codebooks(t.embeddings, "embedding", key="vec_id")
     coded = t.embeddings.withColumn("codes", V.product_codes("embedding", books))
-    return V.product_topk(coded, "embedding", "codes", books, Q, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
+    # the nearest five are among those that the codes find: 200 of them are looked at
+    return V.product_topk(coded, "embedding", "codes", books, Q, 5, "vec_id", oversample=40).select("vec_id", F.round("distance", 6).alias("d"))
 
 
-@query("vector_ternary", "SELECT vec_id, CAST(list_sum(list_transform(v, lambda x: CASE WHEN abs(x) < c THEN 0 ELSE 1 END)) AS BIGINT) AS n FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: abs(x))) / 64 * 0.5 AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
+_TERNARY = "list_transform({v}, lambda x: CASE WHEN abs(x) < list_sum(list_transform({v}, lambda y: abs(y))) / 64 * 0.5 THEN 0 ELSE sign(x) END)"
+
+
+@query("vector_ternary", f"WITH c AS (SELECT vec_id, embedding, list_inner_product(CAST({_TERNARY.format(v=E)} AS DOUBLE[]), CAST({_TERNARY.format(v=QL)} AS DOUBLE[])) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 60) SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM c ORDER BY {_METRICS['l2']}, vec_id LIMIT 10")
 def _(t):
-    return t.embeddings.select("vec_id", F.aggregate(V.ternary("embedding"), F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).alias("n"))
+    """Search by the inner product of ternary codes, the best ranked again on the vectors."""
+    return V.ternary_topk(t.embeddings, "embedding", Q, 60, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
 
 
-@query("agg_approx_percentile", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1")
+@query("agg_approx_percentile", "SELECT l_returnflag, true AS near, round(quantile_cont(l_extendedprice, 0.49), 4) AS lo, round(quantile_cont(l_extendedprice, 0.51), 4) AS hi FROM lineitem GROUP BY 1")
 def _(t):
     """Within a hundredth of the exact median's rank."""
     near = t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("a"), F.percentile("l_extendedprice", F.lit(0.49)).alias("lo"), F.percentile("l_extendedprice", F.lit(0.51)).alias("hi"))
-    return near.select("l_returnflag", F.col("a").between(F.col("lo"), F.col("hi")).alias("near"))
+    return near.select("l_returnflag", F.col("a").between(F.col("lo"), F.col("hi")).alias("near"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-@query("agg_approx_count", "SELECT count(*) >= 1 AS counted, count(*) AS n FROM events WHERE event_type = 'click'")
+@query("agg_approx_count", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    """A count-min sketch's table: counts by type are exact where hashes don't meet."""
-    sketch = t.events.agg(F.count_min_sketch("event_type", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("s"))
-    exact = t.events.filter("event_type = 'click'").agg(F.count("*").alias("n"))
-    return exact.join(sketch.select((F.octet_length("s") > 0).alias("counted"))).select("counted", "n")
+    """Estimates from daily count-min sketches: exact here, as the types are few."""
+    from sparkloom.operators import relational as R
+
+    daily = R.count_min(t.events.withColumn("day", F.to_date("ts")), "event_type", keys=["day"])
+    return R.count_min_estimates(R.count_min_merged(daily), t.events.select(F.col("event_type").alias("value")).distinct())
 
 
 @query("sequence_numbers", "SELECT count(*) AS n, CAST(min(x) AS BIGINT) AS lo, CAST(max(x) AS BIGINT) AS hi, count(DISTINCT x) AS d FROM (SELECT 100 + 5 * (row_number() OVER (ORDER BY c_custkey) - 1) AS x FROM customer)")

@@ -148,7 +148,10 @@ def _(t):
     return a.cells.select("x", "y", a.z_order().alias("z"))
 
 
-@query("array_hilbert", None)
+@query("array_hilbert", f"""WITH RECURSIVE h(x0, y0, k, x, y, d) AS (SELECT x, y, 16, x::BIGINT, y::BIGINT, 0::BIGINT FROM ({CELLS}) UNION ALL
+SELECT x0, y0, k, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN z - 1 - y ELSE y END ELSE x END, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN z - 1 - x ELSE x END ELSE y END, d + z * z * ((3 * rx) ^ ry)
+FROM (SELECT x0, y0, k - 1 AS k, (1 << (k - 1))::BIGINT AS z, (x >> (k - 1)) & 1 AS rx, (y >> (k - 1)) & 1 AS ry, x % (1 << (k - 1)) AS x, y % (1 << (k - 1)) AS y, d FROM h WHERE k > 0))
+SELECT x0 AS x, y0 AS y, d AS h FROM h WHERE k = 0""".replace("(3 * rx) ^ ry", "xor(3 * rx, ry)"))
 def _(t):
     a = cells(t)
     return a.cells.select("x", "y", a.hilbert(16).alias("h"))

@@ -89,14 +89,17 @@ def _(t):
     return R.sub_groups(t.orders, ["o_orderstatus"], ["o_orderpriority"], "n", "of_status")
 
 
-@query("agg_mergeable_sketches", None)
+@query("agg_mergeable_sketches", "SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS days, true AS users_near, true AS median_near, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.45), 4) AS lo, round(quantile_cont(value, 0.55), 4) AS hi FROM events GROUP BY 1")
 def _(t):
     """Partial sketches by day, merged by event type: distinct users and a median."""
     daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("users"), F.kll_sketch_agg_double("value").alias("values"))
-    return daily.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.count("*").alias("days"))
+    merged = daily.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("guess"), F.expr("kll_sketch_get_quantile_double(kll_merge_agg_double(values), 0.5D)").alias("median"), F.count("*").alias("days"))
+    exact = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.lit(0.45)).alias("lo"), F.percentile("value", F.lit(0.55)).alias("hi"))
+    both = merged.join(exact, "event_type")
+    return both.select("event_type", "days", (F.abs(F.col("guess") - F.col("users")) <= 0.05 * F.col("users")).alias("users_near"), F.col("median").between(F.col("lo"), F.col("hi")).alias("median_near"), "users", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-@query("agg_approx_topk", None)
+@query("agg_approx_topk", "SELECT event_type AS item, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 def _(t):
     return t.events.groupBy().agg(F.expr("approx_top_k(event_type, 3)").alias("top")).select(F.explode("top").alias("x")).select("x.item", "x.count")
 
@@ -157,9 +160,9 @@ def _(t):
     return R.facet_counts(t.orders.filter("o_totalprice > 100000"), ["o_orderstatus", "o_orderpriority"], 10)
 
 
-@query("weighted_pick", None)
+@query("weighted_pick", "SELECT p_partkey, p_size FROM part WHERE p_size > 0 ORDER BY -ln((('0x' || substr(md5('7.0|' || p_partkey), 1, 13))::BIGINT + 1) * pow(2.0::DOUBLE, -52)) / p_size LIMIT 10")
 def _(t):
-    return R.weighted_pick(t.part.select("p_partkey", "p_size"), "p_size", 10, seed=7)
+    return R.weighted_pick(t.part.select("p_partkey", "p_size"), "p_size", 10, seed=7, keys=["p_partkey"])
 
 
 @query("point_get", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
@@ -167,9 +170,11 @@ def _(t):
     return t.get("orders", o_orderkey=77).select("o_orderkey", "o_totalprice")
 
 
-@query("estimate_count", None)
+@query("estimate_count", "SELECT count(DISTINCT o_custkey) AS n, true AS near FROM orders")
 def _(t):
-    return t.orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("n"))
+    """The estimate is within a twentieth, which is over two of its standard errors."""
+    both = t.orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("estimate"), F.count_distinct("o_custkey").alias("n"))
+    return both.select("n", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
 
 
 # Further forms

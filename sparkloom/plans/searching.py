@@ -49,7 +49,7 @@ def _(t):
     return V.matryoshka_topk(t.embeddings, "embedding", Q, 16, 50, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
 
 
-@query("vector_quantized_rerank", None)
+@query("vector_quantized_rerank", f"WITH x AS (SELECT min(c)::DOUBLE AS lo, (max(c)::DOUBLE - min(c)::DOUBLE) / 255 AS step FROM (SELECT unnest(embedding) AS c FROM embeddings)), c AS (SELECT vec_id, embedding FROM embeddings, x ORDER BY list_distance(list_transform({E}, lambda v: round((v - lo) / step) * step + lo), {QL}), vec_id LIMIT 100) SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM c ORDER BY {_METRICS['l2']}, vec_id LIMIT 10")
 def _(t):
     return V.quantized_topk(t.embeddings, "embedding", Q, 10, "vec_id").select("vec_id", F.round("distance", 6).alias("d"))
 
@@ -127,19 +127,30 @@ def _(t):
     return t.nation.select(F.explode(X.ngrams("n_name", 3)).alias("g")).agg(F.count("*").alias("n"), F.count_distinct("g").alias("d"))
 
 
-@query("fts_edge_ngrams", None)
+@query("fts_edge_ngrams", "SELECT n_nationkey, array_to_string(list_sort(list_distinct(flatten([[w[1:i] FOR i IN range(2, least(len(w), 4) + 1)] FOR w IN regexp_split_to_array(lower(n_name), '[^\\pL\\pN]+') IF len(w) >= 2]))), ' ') AS g FROM nation")
 def _(t):
-    return t.nation.select("n_nationkey", F.array_join(X.edge_ngrams("n_name", 2, 4), " ").alias("g"))
+    return t.nation.select("n_nationkey", F.array_join(F.array_sort(X.edge_ngrams("n_name", 2, 4)), " ").alias("g"))
 
 
-@query("fts_and_then_or", None)
+_AND_OR = _BM25.replace("w = 'und'", "w = 'vieux'") + ", h AS (SELECT doc_id, score, (CASE WHEN a > 0 THEN 0.5 ELSE 0 END + CASE WHEN b > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS held FROM r JOIN f USING (doc_id))"
+
+
+@query("fts_and_then_or", f"{_AND_OR} SELECT doc_id, round(score * held, 6) AS score FROM h WHERE (SELECT max(held) FROM h) < 1 OR held = 1 ORDER BY score * held DESC, doc_id LIMIT 10")
 def _(t):
-    return X.and_then_or(t.documents, "doc_id", "text", ["the", "vieux"], 10)
+    return X.and_then_or(t.documents, "doc_id", "text", ["the", "vieux"], 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _field(name: str, column: str, words: tuple[str, str]) -> str:
+    """BM25 of a field of pages as CTEs: name(page_id, score)."""
+    tf = f"SELECT page_id, len(tk)::DOUBLE AS dl, len(list_filter(tk, lambda w: w = '{words[0]}'))::DOUBLE AS a, len(list_filter(tk, lambda w: w = '{words[1]}'))::DOUBLE AS b FROM (SELECT page_id, {TOK.replace('text', column)} AS tk FROM pages)"
+    idf = lambda c: f"CASE WHEN {c} > 0 THEN ln(1 + (n - d{c} + 0.5) / (d{c} + 0.5)) * {c} * 2.2 / ({c} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END"
+    stats = f"SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE a > 0)::DOUBLE AS da, count(*) FILTER (WHERE b > 0)::DOUBLE AS db FROM {name}_f"
+    return f"{name}_f AS ({tf}), {name}_s AS ({stats}), {name} AS (SELECT page_id, {idf('a')} + {idf('b')} AS score FROM {name}_f, {name}_s WHERE a > 0 OR b > 0)"
 
 
-@query("fts_weighted_fields", None)
+@query("fts_weighted_fields", f"WITH {_field('h', 'html', ('the', 'example'))}, {_field('u', 'url', ('the', 'example'))} SELECT page_id, round(sum(s), 6) AS score FROM (SELECT page_id, score AS s FROM h UNION ALL SELECT page_id, 2 * score FROM u) GROUP BY page_id ORDER BY sum(s) DESC, page_id LIMIT 10")
 def _(t):
-    return X.weighted_bm25(t.pages, "page_id", {"html": 1.0, "url": 2.0}, ["the", "http"], 10)
+    return X.weighted_bm25(t.pages, "page_id", {"html": 1.0, "url": 2.0}, ["the", "example"], 10).select("page_id", F.round("score", 6).alias("score"))
 
 
 _VEC = f"SELECT vec_id AS id, -({_METRICS['l2']}) AS s FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 30"

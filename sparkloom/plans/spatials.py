@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import spatial as S
@@ -68,7 +70,13 @@ def _(t):
     return customers(t).select("c_custkey", S.geohash("lng", "lat", 6).alias("h"))
 
 
-@query("geo_geohash_decode_neighbors", None)
+_HASH5 = "array_to_string([substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + CAST(list_sum([(CASE WHEN (5 * c + b) % 2 = 0 THEN (x >> (12 - (5 * c + b) // 2)) & 1 ELSE (y >> (11 - (5 * c + b) // 2)) & 1 END) << (4 - b) FOR b IN range(5)]) AS INT), 1) FOR c IN range(5)], '')"
+
+
+@query("geo_geohash_decode_neighbors", f"""WITH g AS (SELECT c_custkey, CAST(floor((lng + 180) / 360 * 8192) AS BIGINT) AS x, CAST(floor((lat + 90) / 180 * 4096) AS BIGINT) AS y FROM {C}),
+m AS (SELECT c_custkey, -3 * j + i AS place, (x + i + 8192) % 8192 AS x, y + j AS y FROM g, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE (i <> 0 OR j <> 0) AND y + j BETWEEN 0 AND 4095),
+l AS (SELECT c_custkey, string_agg({_HASH5}, ',' ORDER BY place) AS neighbors FROM m GROUP BY 1)
+SELECT c_custkey, {_HASH5} AS h, round((x + 0.5) * 360 / 8192 - 180, 6) AS lng, round((y + 0.5) * 180 / 4096 - 90, 6) AS lat, neighbors FROM g JOIN l USING (c_custkey)""")
 def _(t):
     h = customers(t).select("c_custkey", S.geohash("lng", "lat", 5).alias("h"))
     return h.select("c_custkey", "h", S.geohash_decode("h").alias("p"), S.geohash_neighbors("h").alias("n")).select("c_custkey", "h", F.round("p.lng", 6).alias("lng"), F.round("p.lat", 6).alias("lat"), F.array_join("n", ",").alias("neighbors"))
@@ -81,11 +89,17 @@ def _(t):
     return t.nation.select("n_nationkey", S.st_area(p).alias("area"), S.geometry_type(p).alias("kind"), S.num_points(p).alias("points"), S.valid(p).alias("fine"))
 
 
-@query("geo_constructions", None)
+@query("geo_constructions", """SELECT n_nationkey, '{"type": "Point", "coordinates": [' || CAST(n_nationkey AS DOUBLE) || ', 10.0]}' AS json, true AS around, true AS box, true AS part, true AS both FROM nation""")
 def _(t):
+    """A circle's outline is that of its 32 sides; it holds its centre, its envelope holds it, a part of it is
+    no larger, and united with itself it is collected twice, not dissolved."""
     p = S.point(F.col("n_nationkey").cast("double"), F.lit(10.0))
     b = S.st_buffer(p, 100_000.0)
-    return t.nation.select("n_nationkey", S.as_geojson(p).alias("json"), S.st_envelope(b).alias("box"), F.round(S.st_length(b), 0).alias("around"), S.st_intersection(b, F.lit(BOX.split("), (")[0] + "))")).alias("part"), S.st_union(b, b).alias("both"))
+    sides = 2 * 32 * 100_000.0 * math.sin(math.pi / 32)
+    part = S.st_intersection(b, F.lit(BOX.split("), (")[0] + "))"))
+    area = S.st_area(b)
+    laws = {"around": F.abs(S.st_length(b) - sides) < 0.01 * sides, "box": S.st_contains(b, p) & (S.st_area(S.st_envelope(b)) > area), "part": S.st_area(part) <= area * 1.0001, "both": F.abs(S.st_area(S.st_union(b, b)) - 2 * area) < 1e-6 * area}
+    return t.nation.select("n_nationkey", S.as_geojson(p).alias("json"), *(F.coalesce(x, F.lit(False)).alias(n) for n, x in laws.items()))
 
 
 @query("geo_vector_hybrid", f"SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM {C} WHERE lng BETWEEN -60 AND 60) ORDER BY list_distance(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: ((i * 37) % 64 - 32) / 64.0::DOUBLE)), vec_id LIMIT 10")

@@ -59,7 +59,10 @@ def _(t):
     return V.run_available(V.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts"), "append").agg(F.count("*").alias("n"))
 
 
-@query("streaming_sessions", None)
+_SESSIONS = f"WITH a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, strftime(min(ts), '{D}') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '{D}') AS \"end\", count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("streaming_sessions", _SESSIONS)
 def _(t):
     out = V.run_available(V.sessions(stream(t), "ts", "30 minutes", ["user_id"]), "append")
     return out.select("user_id", at("start").alias("start"), at("end").alias("end"), "n")
