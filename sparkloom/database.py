@@ -2,15 +2,18 @@
 
 ``execute`` takes Spark SQL with the extensions of ``plans.sql``, table functions (ARRAY_SLICE, TOPK,
 FACET_COUNTS, ..), and statements that Spark has no form for: GRAPH, MATCH, SEARCH, COPY, UPSERT,
-MERGE and other changes to collections.  A change makes a new image of the collection, written to
-the shared folder; readers that hold the old DataFrame keep the old image."""
+MERGE and other changes to collections, transactions, triggers and schedules.  A change makes a new
+image of the collection, written to the shared folder; readers that hold the old DataFrame keep
+the old image."""
 
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import NAMES
@@ -20,6 +23,7 @@ from sparkloom.operators.ndarray import Array
 from sparkloom.plans import sql
 from sparkloom.shared import written
 from sparkloom.sources import files
+from sparkloom.streaming import schedule
 
 
 def split_top(text: str, sep: str = ",") -> list[str]:
@@ -73,6 +77,22 @@ def _balanced(text: str, at: int) -> int:
     raise ValueError("a bracket is not closed")
 
 
+@dataclass
+class Trigger:
+    name: str
+    when: str
+    events: tuple[str, ...]
+    table: str
+    each_row: bool
+    condition: str | None
+    mode: str
+    body: str
+
+
+#: What a transaction takes back: images don't change, so their names are enough.
+_STATE = ("tables", "keys", "arrays", "indexes", "views", "trees", "triggers", "mirrors", "schedules", "centroids", "unique")
+
+
 @dataclass
 class Database:
     spark: SparkSession
@@ -83,11 +103,22 @@ class Database:
     indexes: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     views: dict[str, str] = field(default_factory=dict)
     trees: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    triggers: dict[str, Trigger] = field(default_factory=dict)
+    mirrors: dict[str, str] = field(default_factory=dict)
+    schedules: dict[str, tuple[str, str]] = field(default_factory=dict)
+    centroids: dict[str, tuple] = field(default_factory=dict)
+    unique: dict[str, list[str]] = field(default_factory=dict)
+    #: Trigger runs that wait for the end of the transaction, or for RUN TRIGGERS.
+    deferred: list[tuple[Trigger, DataFrame]] = field(default_factory=list)
+    waiting: list[tuple[Trigger, DataFrame]] = field(default_factory=list)
+    _saved: list[tuple[str | None, dict]] = field(default_factory=list)
+    _depth: int = 0
     _n: int = 0
 
     # Collections
 
     def table(self, name: str) -> DataFrame:
+        name = self.mirrors.get(name, name)
         if name in self.tables:
             return self.tables[name]
         if self.folder is not None and name in NAMES:
@@ -128,7 +159,7 @@ class Database:
         text = self._functions(text)
         text = sql.rewrite(text)
         words = set(re.findall(r"\w+", text))
-        for name in words & (set(self.tables) | (set(NAMES) if self.folder else set())):
+        for name in words & (set(self.tables) | set(self.mirrors) | (set(NAMES) if self.folder else set())):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
@@ -320,8 +351,8 @@ class Database:
             new = dml.upsert(table, rows, key, update={c: F.expr(alias(e)) for c, e in sets.items()})
         else:
             new = dml.insert_strict(table, rows, key) if key else table.unionByName(rows)
-        self.put(name, new)
-        return self._returned(self.table(name).join(rows.select(*key), key, "left_semi") if key else rows, returning)
+        new = self.commit(name, new)
+        return self._returned(new.join(rows.select(*key), key, "left_semi") if key else rows, returning)
 
     def _returning(self, body: str) -> tuple[str, str | None]:
         m = re.search(r"\bRETURNING\s+(.*)$", body, re.I | re.S)
@@ -347,7 +378,7 @@ class Database:
             changed = table.filter(hit)
             values = {c: F.expr(e).cast(table.schema[c].dataType) for c, e in sets.items()}
             out = self._returned(dml.update(changed, values, F.lit(True)), returning)
-            self.put(name, dml.update(table, values, hit))
+            self.commit(name, dml.update(table, values, hit))
             return out
         source, alias = self.table(f[1]), f[2] or f[1]
         own = lambda e: re.sub(rf"\b{alias}\.", "s.", re.sub(rf"\b{name}\.", "t.", e))
@@ -361,14 +392,14 @@ class Database:
         values = {c: F.expr(own(e)).cast(table.schema[c].dataType) for c, e in sets.items()}
         new = dml.update_from(table, keyed, list(key), values, F.expr(own(" AND ".join(rest))) if rest else None)
         changed = new.join(keyed.select(*key), list(key), "left_semi")
-        self.put(name, new)
+        self.commit(name, new)
         return self._returned(changed, returning)
 
     def _delete(self, m: re.Match, _: str) -> DataFrame:
         body, returning = self._returning(m[2] or "")
         where = F.expr(re.sub(r"^\s*WHERE\b", "", body, flags=re.I) or "true")
         gone = self._returned(self.table(m[1]).filter(where), returning)
-        self.put(m[1], dml.delete(self.table(m[1]), where))
+        self.commit(m[1], dml.delete(self.table(m[1]), where))
         return gone
 
     def _truncate(self, m: re.Match, _: str) -> DataFrame:
@@ -400,8 +431,7 @@ class Database:
                 clauses.append((when, cond, {"DELETE": "delete", "DO NOTHING": "nothing"}[re.sub(r"\s+", " ", do.upper())], None))
         before = self.table(name)
         new = dml.merge(before, source, list(key), clauses).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in before.schema))
-        self.put(name, new)
-        return dml.changes(before, self.table(name), list(key)).agg(F.count("*").alias("count"))
+        return dml.changes(before, self.commit(name, new), list(key)).agg(F.count("*").alias("count"))
 
     # Files, indexes, views
 
@@ -504,8 +534,262 @@ class Database:
         return t.agg(F.count("*").alias("rows"), *aggs).select("rows", F.explode(stats).alias("s")).select("s.*", "rows")
 
     def _explain(self, m: re.Match, _: str) -> DataFrame:
-        plan = self.select(m[1])._jdf.queryExecution().toString()
-        return self.spark.createDataFrame([(x,) for x in plan.split("\n")], "plan string")
+        """EXPLAIN: all plans; FORMATTED, COST, CODEGEN, EXTENDED or SIMPLE: Spark's form of that name; ANALYZE:
+        the plan as it was run, with the rows of the result and the seconds it took."""
+        form, text = (m[1] or "").upper(), m[2]
+        df = self.select(text)
+        if form == "ANALYZE":
+            began = time.perf_counter()
+            rows = df.count()
+            lines = [f"rows: {rows}", f"seconds: {time.perf_counter() - began:.3f}", *df._jdf.queryExecution().executedPlan().toString().split("\n")]
+        elif form:
+            mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(form.lower())
+            lines = df._jdf.queryExecution().explainString(mode).split("\n")
+        else:
+            lines = df._jdf.queryExecution().toString().split("\n")
+        return self.spark.createDataFrame([(x,) for x in lines], "plan string")
+
+    # Transactions: a statement makes new images, so names are all that is taken back
+
+    def _begin(self, _m: re.Match, _: str) -> DataFrame:
+        if self._saved:
+            raise ValueError("a transaction is open already")
+        return self._save(None)
+
+    def _save(self, name: str | None) -> DataFrame:
+        self._saved.append((name, {k: dict(getattr(self, k)) for k in _STATE} | {"deferred": list(self.deferred)}))
+        return self.spark.range(0)
+
+    def _restore(self, place: int) -> DataFrame:
+        for k, v in self._saved[place][1].items():
+            setattr(self, k, v.copy())
+        return self.spark.range(0)
+
+    def _savepoint(self, m: re.Match, _: str) -> DataFrame:
+        if not self._saved:
+            raise ValueError("no transaction is open")
+        return self._save(m[1].lower())
+
+    def _place(self, name: str) -> int:
+        found = [i for i, (n, _) in enumerate(self._saved) if n == name.lower()]
+        if not found:
+            raise ValueError(f"no such savepoint: {name}")
+        return found[-1]
+
+    def _release(self, m: re.Match, _: str) -> DataFrame:
+        del self._saved[self._place(m[1]) :]
+        return self.spark.range(0)
+
+    def _rollback(self, m: re.Match, _: str) -> DataFrame:
+        if not self._saved:
+            raise ValueError("no transaction is open")
+        place = self._place(m[1]) if m[1] else 0
+        self._restore(place)
+        del self._saved[place + 1 if m[1] else 0 :]
+        return self.spark.range(0)
+
+    def _commit(self, _m: re.Match, _: str) -> DataFrame:
+        if not self._saved:
+            raise ValueError("no transaction is open")
+        queue, self.deferred = self.deferred, []
+        try:
+            for trigger, feed in queue:
+                self._fire(trigger, feed)
+        except Exception:  # a deferred trigger that fails takes the transaction back
+            self._restore(0)
+            self._saved = []
+            raise
+        self._saved = []
+        return self.spark.range(0)
+
+    # Triggers: a statement's changes are a table (op, old, new) that the body reads
+
+    def _create_trigger(self, m: re.Match, _: str) -> DataFrame:
+        events = tuple(e.lower() for e in re.split(r"\s+OR\s+", m[3], flags=re.I))
+        self.triggers[m[1]] = Trigger(m[1], re.sub(r"\s+", " ", m[2].upper()), events, m[4], (m[5] or "ROW").upper() == "ROW", m[6], (m[7] or "SYNC").upper(), m[8].strip())
+        return self.spark.range(0)
+
+    def _feed(self, before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+        feed = dml.changes(before, after, key)
+        rest = [c for c in before.columns if c not in key]
+        whole = lambda side, op: F.when(F.col("op") != op, F.struct(*(F.col(c) if c in key else F.col(f"{side}.{c}") for c in before.columns)))
+        return feed.select("op", *key, whole("old", "insert").alias("old"), whole("new", "delete").alias("new")) if rest else feed
+
+    def commit(self, name: str, new: DataFrame) -> DataFrame:
+        """Makes ``new`` the collection's image, and runs the triggers on what it changes."""
+        own = [t for t in self.triggers.values() if t.table == name]
+        if name in self.unique and (fields := self.unique[name]):
+            n = F.count("*").over(Window.partitionBy(*fields))
+            new = new.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{name} has a value of {', '.join(fields)} twice")).cast("boolean")).otherwise(F.lit(True))).drop("_n")
+        if not own:
+            return self.put(name, new)
+        if self._depth >= 16:
+            raise RecursionError("triggers call each other more than 16 deep")
+        before, key = self.table(name), self._key(name)
+        new = written(new, name)
+        for t in (t for t in own if t.when == "BEFORE"):
+            new = written(self._before(t, before, new, key), name)
+        feed = written(self._feed(before, new, key), "changes")
+        instead = [t for t in own if t.when == "INSTEAD OF"]
+        taken = sorted({e for t in instead for e in t.events})
+        if taken:  # those changes go to the body, not to the collection
+            back = feed.filter(F.col("op").isin(*taken))
+            kept = new.join(back.select(*key), key, "left_anti")
+            new = written(kept.unionByName(back.filter("op <> 'insert'").select("old.*")), name)
+        self.put(name, new, keep=False)
+        for t in own:
+            if t.when == "BEFORE":
+                continue
+            some = feed.filter(F.col("op").isin(*t.events))
+            if t.mode == "ASYNC":
+                self.waiting.append((t, some))
+            elif t.mode == "DEFERRED" and self._saved:
+                self.deferred.append((t, some))
+            else:
+                self._fire(t, some)
+        return self.table(name)
+
+    def _before(self, t: Trigger, before: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+        """SET NEW.column = expression, .. or RAISE 'text', for the rows that the condition takes."""
+        feed = self._feed(before, new, key).filter(F.col("op").isin(*t.events))
+        hit = F.expr(t.condition) if t.condition else F.lit(True)
+        if m := re.match(r"RAISE\s+('(?:[^']|'')*')", t.body, re.I):
+            if not feed.filter(hit).isEmpty():
+                raise ValueError(literal(m[1]))
+            return new
+        m = re.match(r"SET\s+(.*)$", t.body, re.I | re.S)
+        if not m:
+            raise ValueError("a BEFORE trigger sets columns of NEW or raises")
+        sets = {re.sub(r"^new\.", "", c.strip(), flags=re.I): e for c, e in (re.split(r"\s*=\s*", x, maxsplit=1) for x in split_top(m[1]))}
+        changed = feed.filter(F.col("new").isNotNull() & F.coalesce(hit, F.lit(False)))
+        rows = changed.select(*((F.expr(sets[c]) if c in sets else F.col(f"new.{c}")).cast(new.schema[c].dataType).alias(c) for c in new.columns))
+        return dml.upsert(new, rows, key)
+
+    def _fire(self, t: Trigger, feed: DataFrame) -> None:
+        some = feed if t.condition is None else feed.filter(F.expr(t.condition))
+        if some.isEmpty():
+            return
+        body = t.body
+        if t.each_row and (m := re.match(r"((?:INSERT|UPSERT)\s+INTO\s+\w+\s*(?:\([^)]*\))?)\s*VALUES\s*\((.*)\)\s*$", body, re.I | re.S)):
+            body = f"{m[1]} SELECT {m[2]} FROM changes"
+        was = self.tables.get("changes")
+        self.tables["changes"], self._depth = some, self._depth + 1
+        try:
+            self.execute(body)
+        finally:
+            self._depth -= 1
+            self.tables.pop("changes")
+            if was is not None:
+                self.tables["changes"] = was
+
+    def _run_triggers(self, _m: re.Match, _: str) -> DataFrame:
+        """Runs what ASYNC triggers have waiting; one that fails leaves the others to run, and is told at the end."""
+        queue, self.waiting, failed = self.waiting, [], []
+        for t, feed in queue:
+            try:
+                self._fire(t, feed)
+            except Exception as e:  # noqa: BLE001
+                failed.append(f"{t.name}: {e}")
+        if failed:
+            raise RuntimeError("; ".join(failed))
+        return self.spark.createDataFrame([(len(queue),)], "count long")
+
+    def _drop_trigger(self, m: re.Match, _: str) -> DataFrame:
+        del self.triggers[m[1]]
+        return self.spark.range(0)
+
+    # Schedules
+
+    def _create_schedule(self, m: re.Match, _: str) -> DataFrame:
+        schedule.parsed(m[2])
+        self.schedules[m[1]] = (m[2], m[3])
+        return self.spark.range(0)
+
+    def run_due(self, start, end) -> list[str]:
+        """Runs each schedule's statement once for each of its minutes from start on, before end; the names, in order."""
+        names = {n: F.lit(n) for n in self.schedules}
+        plans = [schedule.runs(self.spark, c, start, end).withColumn("name", names[n]) for n, (c, _) in self.schedules.items()]
+        if not plans:
+            return []
+        order = [r["name"] for r in reduce(DataFrame.unionByName, plans).orderBy("at", "name").collect()]  # a row a run
+        for n in order:
+            self.execute(self.schedules[n][1])
+        return order
+
+    # Copies and other forms of collections
+
+    def _clone(self, m: re.Match, _: str) -> DataFrame:
+        """A clone shares the image, and diverges as either changes; AS OF: the newest versions at a system time."""
+        source = self.table(m[2])
+        if m[3]:
+            key = self._key(m[2])
+            source = dml.as_of(source, [k for k in key if k != "_ts_system"], "_ts_system", int(m[3]))
+        self.tables[m[1]] = source
+        if m[2] in self.keys:
+            self.keys[m[1]] = [k for k in self.keys[m[2]] if not m[3] or k != "_ts_system"]
+        return self.spark.range(0)
+
+    def _mirror(self, m: re.Match, _: str) -> DataFrame:
+        self.mirrors[m[1]] = m[2]
+        return self.spark.range(0)
+
+    def _convert(self, m: re.Match, _: str) -> DataFrame:
+        """TO DOCUMENT: the columns beside the key as one JSON text, doc; TO COLUMNAR (name TYPE, ..): the other way;
+        TO KV: the key as text and the rest as JSON value."""
+        name, kind, schema = m[1], m[2].upper(), m[3]
+        t, key = self.table(name), self._key(m[1])
+        rest = [c for c in t.columns if c not in key]
+        if kind == "COLUMNAR":
+            if not schema:
+                raise ValueError("columns are needed")
+            new = t.select(*key, F.from_json("doc", re.sub(r"\bTEXT\b", "STRING", schema, flags=re.I)).alias("_d")).select(*key, "_d.*")
+        elif kind == "DOCUMENT":
+            new = t.select(*key, F.to_json(F.struct(*rest)).alias("doc"))
+        else:
+            new = t.select(F.concat_ws(":", *(F.col(k).cast("string") for k in key)).alias("key"), F.to_json(F.struct(*rest)).alias("value"))
+            key = ["key"]
+        return self.put(name, new, key)
+
+    def _create_index(self, m: re.Match, _: str) -> DataFrame:
+        """UNIQUE holds from now on; FULLTEXT makes a table of postings, VECTOR one of inverted lists (both named as the
+        index); others lay the collection out by the columns, so that ranges of them skip most files."""
+        kind, name, table, cols = (m[1] or "").upper(), m[2], m[3], split_top(m[4])
+        t = self.table(table)
+        if kind == "UNIQUE":
+            self.unique[table] = cols
+            try:
+                self.commit(table, t).count()
+            except Exception:
+                del self.unique[table]
+                raise
+        elif kind == "FULLTEXT":
+            self.put(name, search.postings(t, self._key(table)[0], cols[0]))
+        elif kind == "VECTOR":
+            key = self._key(table)[0]
+            lists = max(1, round(t.count() ** 0.5))
+            books = vector.inverted_lists(t, cols[0], key, lists)
+            self.centroids[name] = (table, cols[0], books)
+            self.put(name, vector.listed(t, cols[0], books))
+        else:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.put(table, t.repartitionByRange(parts, *cols).sortWithinPartitions(*cols))
+        return self.spark.range(0)
+
+    def _approximate(self, m: re.Match, _: str) -> DataFrame:
+        """SEARCH index APPROXIMATE (ARRAY[..], k, probes)."""
+        table, column, books = self.centroids[m[1]]
+        args = split_top(m[2])
+        return vector.listed_topk(self.table(m[1]), column, books, literal(args[0]), int(args[1]), self._key(table)[0], int(args[2]))
+
+    def _array_maintained(self, m: re.Match, _: str) -> DataFrame:
+        """ARRAY_FLUSH(name): writes the cells; ARRAY_COMPACT(name, time): leaves out versions that no read from that time
+        on needs.  Gives the number of cells."""
+        args = [literal(x) for x in split_top(m[2])]
+        a = self.arrays[args[0]]
+        if m[1].upper() == "ARRAY_COMPACT":
+            a = a.compacted("_ts_system", int(args[1]))
+        self.arrays[args[0]] = a._with(written(a.cells, args[0]))
+        return self.arrays[args[0]].cells.agg(F.count("*").alias("count"))
 
     def _view_create(self, m: re.Match, _: str) -> DataFrame:
         self.views[m[1]] = m[2]
@@ -552,7 +836,22 @@ _STATEMENTS = [
         (r"SELECT\s+(TREE_CHILDREN|TREE_SUM)\s*\((.*?)\)(?:\s+FROM\s.*)?$", Database._tree),
         (r"SELECT\s+(?:\*\s+FROM\s+)?(TEMPORAL_LOOKUP|CONVERT_CURRENCY_LOOKUP|ESTIMATE_COUNT|LAST_VALUES?)\s*\((.*)\)$", Database._lookup),
         (r"ANALYZE\s+(\w+)$", Database._analyze),
-        (r"EXPLAIN\s+(.*)$", Database._explain),
+        (r"EXPLAIN\s+(?:(ANALYZE|FORMATTED|COST|CODEGEN|EXTENDED|SIMPLE)\s+)?(.*)$", Database._explain),
+        (r"BEGIN(?:\s+(?:TRANSACTION|WORK))?$", Database._begin),
+        (r"COMMIT(?:\s+(?:TRANSACTION|WORK))?$", Database._commit),
+        (r"ROLLBACK(?:\s+(?:TRANSACTION|WORK))?(?:\s+TO\s+(?:SAVEPOINT\s+)?(\w+))?$", Database._rollback),
+        (r"SAVEPOINT\s+(\w+)$", Database._savepoint),
+        (r"RELEASE\s+(?:SAVEPOINT\s+)?(\w+)$", Database._release),
+        (r"CREATE\s+TRIGGER\s+(\w+)\s+(BEFORE|AFTER|INSTEAD\s+OF)\s+((?:INSERT|UPDATE|DELETE)(?:\s+OR\s+(?:INSERT|UPDATE|DELETE))*)\s+ON\s+(\w+)(?:\s+FOR\s+EACH\s+(ROW|STATEMENT))?(?:\s+WHEN\s*\((.*?)\))?(?:\s+(SYNC|ASYNC|DEFERRED))?\s+AS\s+(.*)$", Database._create_trigger),
+        (r"DROP\s+TRIGGER\s+(\w+)$", Database._drop_trigger),
+        (r"RUN\s+TRIGGERS$", Database._run_triggers),
+        (r"CREATE\s+SCHEDULE\s+(\w+)\s+CRON\s+'([^']*)'\s+AS\s+(.*)$", Database._create_schedule),
+        (r"CREATE\s+(?:TABLE|COLLECTION)\s+(\w+)\s+CLONE\s+OF\s+(\w+)(?:\s+AS\s+OF\s+(?:SYSTEM\s+TIME\s+)?(\d+))?$", Database._clone),
+        (r"CREATE\s+MIRROR\s+(\w+)\s+OF\s+(\w+)$", Database._mirror),
+        (r"CONVERT\s+COLLECTION\s+(\w+)\s+TO\s+(DOCUMENT|COLUMNAR|KV)(?:\s*\((.*)\))?$", Database._convert),
+        (r"CREATE\s+(?:(UNIQUE|FULLTEXT|VECTOR|SPATIAL)\s+)?INDEX\s+(\w+)\s+ON\s+(\w+)\s*\((.*?)\)$", Database._create_index),
+        (r"SEARCH\s+(\w+)\s+APPROXIMATE\s*\((.*)\)$", Database._approximate),
+        (r"SELECT\s+(ARRAY_FLUSH|ARRAY_COMPACT)\s*\((.*)\)$", Database._array_maintained),
         (r"SELECT\s+SORTED_COUNT\s*\(\s*(\w+)\s*\)$", Database._sorted_count),
     )
 ]

@@ -83,6 +83,16 @@ class Array:
         df = self.cells if valid is None else dml.valid_at(self.cells, *valid, valid_at)
         return self._with(dml.as_of(df, list(self.dims), system, at))
 
+    def compacted(self, system: str, before: int, deleted: str | None = None) -> Array:
+        """Versions that no read as of ``before`` or later needs are left out: of each cell, all but the newest
+        at or before it, and that one too if it is a deletion."""
+        from pyspark.sql import Window
+
+        old = F.col(system) <= before
+        rank = F.row_number().over(Window.partitionBy(*self.dims, old.alias("_old")).orderBy(F.desc(system)))
+        kept = ~old | (F.col("_at") == 1) & (F.lit(True) if deleted is None else ~F.coalesce(F.col(deleted), F.lit(False)))
+        return self._with(self.cells.withColumn("_at", rank).filter(kept).drop("_at"))
+
     def z_order(self, bits: int = 16) -> Column:
         """Interleaved bits of the coordinates, the first dimension highest."""
         out = F.lit(0).cast("long")

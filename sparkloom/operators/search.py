@@ -15,6 +15,26 @@ STOP = {
     "de": ("der", "die", "das", "und", "oder", "ein", "eine", "in", "im", "ist", "mit", "von", "zu", "den", "dem", "des", "auf", "nicht"),
     "fr": ("le", "la", "les", "et", "ou", "un", "une", "de", "des", "du", "en", "est", "que", "qui", "dans", "pas"),
     "es": ("el", "la", "los", "las", "y", "o", "un", "una", "de", "del", "en", "es", "que", "con", "no", "por"),
+    "it": ("il", "lo", "la", "i", "gli", "le", "e", "o", "un", "una", "di", "del", "della", "in", "che", "con", "non", "per", "è"),
+    "pt": ("o", "a", "os", "as", "e", "ou", "um", "uma", "de", "do", "da", "em", "no", "na", "que", "com", "não", "por"),
+    "nl": ("de", "het", "een", "en", "of", "in", "is", "van", "op", "te", "met", "niet", "dat", "die", "voor"),
+    "sv": ("och", "en", "ett", "den", "det", "i", "på", "av", "är", "som", "med", "inte", "att", "för", "till"),
+    "da": ("og", "en", "et", "den", "det", "i", "på", "af", "er", "som", "med", "ikke", "at", "for", "til"),
+    "no": ("og", "en", "et", "den", "det", "i", "på", "av", "er", "som", "med", "ikke", "at", "for", "til"),
+    "fi": ("ja", "tai", "on", "ei", "että", "se", "joka", "kun", "niin", "mutta", "ovat", "oli"),
+    "pl": ("i", "w", "z", "na", "do", "nie", "to", "się", "jest", "że", "o", "a", "od", "po"),
+    "ru": ("и", "в", "не", "на", "с", "что", "по", "как", "это", "из", "за", "у", "к", "о"),
+    "tr": ("ve", "bir", "bu", "da", "de", "için", "ile", "ne", "mi", "çok", "ama"),
+}
+
+#: Endings that a light stem leaves off, of the Romance and Germanic languages beside English and German.
+ENDINGS = {
+    "fr": "issements issement atrices atrice ations ation ements ement euses euse ables able iques ique istes iste ités ité ives ive eurs eur aient ées ée és er ir es s e x é",
+    "es": "amientos amiento imientos imiento aciones ación adoras adores adora ador mente idades idad ables able istas ista osos osas oso osa ando iendo aron ieron ados adas ado ada idos idas ido ida ar er ir es os as o a e s",
+    "it": "amenti amento imenti imento azioni azione atrici atrice mente ità abili abile isti ista osi ose oso osa ando endo ati ate ato ata iti ite ito ita are ere ire i e o a",
+    "pt": "amentos amento imentos imento ações ação adoras adores adora ador mente idades idade áveis ável istas ista osos osas oso osa ando endo indo ados adas ado ada idos idas ido ida ar er ir es os as o a e s",
+    "nl": "heden heid ingen ing lijke lijk baar eren eer ende end en er st te e s t",
+    "sv": "heterna heten heter het arna erna orna ande ende aste ast are ar er or en et na a e s t",
 }
 
 
@@ -60,6 +80,16 @@ def stem_en(word: Column) -> Column:
     return F.regexp_replace(w, "(?<=[a-z]{3})(ing|edly|ed|ly)$", "")
 
 
+def light_stem(word: Column, lang: str) -> Column:
+    """A word without its longest ending of ENDINGS, three letters of it staying at least.  Lighter than the
+    full algorithms of functions.stem, and all in generated code."""
+    return F.regexp_replace(word, light_pattern(lang), "$1")
+
+
+def light_pattern(lang: str) -> str:
+    return f"^(.{{3,}}?)(?:{'|'.join(ENDINGS[lang].split())})$"
+
+
 # Index
 
 

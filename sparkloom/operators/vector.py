@@ -193,6 +193,55 @@ def product_topk(df: DataFrame, vector: str, codes: str, books: list[np.ndarray]
     return topk(coarse.drop("_near"), vector, query, k, key, "l2")
 
 
+def _sphere(x: np.ndarray, metric: str) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+
+def inverted_lists(df: DataFrame, vector: str, key: str, lists: int, metric: str = "l2", sample: int = 20_000) -> np.ndarray:
+    """Centroids of an inverted-file index by k-means on at most ``sample`` vectors, those of the least
+    hash; metric: l2, cosine or ip."""
+    picked = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).select(vector).limit(sample).toPandas()[vector]
+    if picked.empty:
+        return np.empty((0, 0))
+    x, rng = _sphere(np.stack([np.asarray(v, np.float64) for v in picked]), metric), np.random.default_rng(4)
+    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(8):
+        at = _closest(x, c)
+        sums, n = np.zeros_like(c), np.bincount(at, minlength=len(c))[:, None]
+        np.add.at(sums, at, x)
+        c = np.where(n > 0, sums / np.maximum(n, 1), c)
+    return c
+
+
+def _closest(x: np.ndarray, c: np.ndarray, block: int = 1024) -> np.ndarray:
+    norms = (c * c).sum(1)
+    return np.concatenate([(norms - 2 * x[i : i + block] @ c.T).argmin(1) for i in range(0, len(x), block)]) if len(x) else np.empty(0, int)
+
+
+def listed(df: DataFrame, vector: str, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
+    """df with ``list``, the inverted list of each vector (-1: none).  Written partitioned by it, a search
+    reads the files of the lists that it probes alone."""
+
+    @F.pandas_udf("int")
+    def run(v: pd.Series) -> pd.Series:
+        there = v.notna().to_numpy()
+        out = np.full(len(v), -1, np.int32)
+        if there.any() and len(centroids):
+            out[there] = _closest(_sphere(np.stack([np.asarray(x, np.float64) for x in v[there]]), metric), centroids)
+        return pd.Series(out)
+
+    return df.withColumn("list", run(F.col(vector)))
+
+
+def listed_topk(df: DataFrame, vector: str, centroids: np.ndarray, query: list[float], k: int, key: str, probes: int, metric: str = "l2") -> DataFrame:
+    """The k nearest of the ``probes`` lists whose centroids are nearest to the query; with all lists the
+    search is exact."""
+    q = _sphere(np.asarray(query, np.float64)[None], metric)[0]
+    near = centroids @ q if metric == "ip" else -((centroids - q) ** 2).sum(1)
+    wanted = np.argsort(-near, kind="stable")[:probes].tolist()
+    return topk(df.filter(F.col("list").isin(*wanted)) if wanted else df.limit(0), vector, query, k, key, metric)
+
+
 def per_query_topk(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:
     best = Window.partitionBy(query).orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

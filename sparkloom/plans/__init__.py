@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.plans import registry
 
-MODULES = ("relational", "scalars", "timeseries", "searching", "graphs", "changing", "keyvalues", "spatials", "promqls", "streams", "files", "extras")
+MODULES = ("relational", "scalars", "timeseries", "searching", "graphs", "changing", "keyvalues", "spatials", "promqls", "streams", "files", "extras", "statements", "wires")
 
 
 def _load() -> None:

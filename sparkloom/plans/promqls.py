@@ -63,7 +63,7 @@ add("promql_absent", "absent(value{type=\"none\"})", f"SELECT 'type=\"none\"' AS
 add("promql_clamp_round_math", "round(clamp(sqrt(sum by (type) (sum_over_time(value[1d]))), 3, 40), 0.5)", f"WITH {W} SELECT {TY} AS labels, step, floor(greatest(3, least(40, sqrt(sum(v)))) / 0.5 + 0.5) * 0.5 AS value FROM w GROUP BY ty, step")
 add("promql_count_values", "count_values(\"n\", sum by (user) (count_over_time(value[1d])))", f"WITH {W}, c AS (SELECT u, step, count(*) AS n FROM w GROUP BY 1, 2) SELECT 'n=\"' || n || '\"' AS labels, step, count(*)::DOUBLE AS value FROM c GROUP BY n, step")
 add("promql_holt_winters", "holt_winters(value[1d], 0.5, 0.3)", f"WITH {W}, l AS (SELECT ty, u, step, list(v ORDER BY t, v) AS a FROM w GROUP BY ty, u, step), p AS (SELECT ty, u, step, list_transform(a, lambda x: struct_pack(v := x, l := x, b := coalesce(a[2] - a[1], 0.0::DOUBLE))) AS a FROM l) SELECT {UT} AS labels, step, round(list_reduce(a, lambda s, x: struct_pack(v := x.v, l := 0.5 * x.v + 0.5 * (s.l + s.b), b := 0.3 * (0.5 * x.v + 0.5 * (s.l + s.b) - s.l) + 0.7 * s.b)).l, 6) AS value FROM p")
-add("promql_predict_linear_irate", "predict_linear(value[1d], 3600) + irate(value[1d])", f"WITH {W}, q AS (SELECT *, row_number() OVER (PARTITION BY ty, u, step ORDER BY t DESC, v DESC) AS r FROM w) SELECT {UT} AS labels, step, round(max_by(v, t) + 3600 * regr_slope(v, (t - step) / 1000.0::DOUBLE) + max(CASE WHEN r = 1 THEN v END - CASE WHEN r = 1 AND v >= v2 THEN v2 ELSE 0 END) / (max(CASE WHEN r = 1 THEN t - t2 END) / 1000.0::DOUBLE), 2) AS value FROM (SELECT *, lead(v) OVER o AS v2, lead(t) OVER o AS t2 FROM q WINDOW o AS (PARTITION BY ty, u, step ORDER BY r)) GROUP BY ty, u, step HAVING count(DISTINCT t) >= 2 AND max(CASE WHEN r = 1 THEN t - t2 END) > 0", 2)
+add("promql_predict_linear_irate", "predict_linear(value[1d], 3600) + irate(value[1d])", f"WITH {W}, q AS (SELECT *, row_number() OVER (PARTITION BY ty, u, step ORDER BY t DESC, v DESC) AS r FROM w) SELECT {UT} AS labels, step, round(max_by(v, t) + 3600 * regr_slope(v, (t - step) / 1000.0::DOUBLE) + max(CASE WHEN r = 1 THEN v END - CASE WHEN r = 1 AND v >= v2 THEN v2 ELSE 0 END) / (max(CASE WHEN r = 1 THEN t - t2 END) / 1000.0::DOUBLE), 4) AS value FROM (SELECT *, lead(v) OVER o AS v2, lead(t) OVER o AS t2 FROM q WINDOW o AS (PARTITION BY ty, u, step ORDER BY r)) GROUP BY ty, u, step HAVING count(DISTINCT t) >= 2 AND max(CASE WHEN r = 1 THEN t - t2 END) > 0", 4)
 
 
 @query("promql_histogram_quantile", """WITH b AS (SELECT l_returnflag AS f, le, count(*) FILTER (WHERE l_quantity <= le)::DOUBLE AS n FROM lineitem, (VALUES (10), (20), (30), (40), (50)) x(le) GROUP BY 1, 2),

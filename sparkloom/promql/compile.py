@@ -270,8 +270,8 @@ class Compiler:
             raise ValueError(f"{e.name} takes a range vector")
         params = [self.number(a) for a in e.args if not isinstance(a, (P.Selector, P.Subquery))]
         df = matrix.df.withColumn("labels", _without_name(F.col("labels")))
-        if e.name in _OVER_TIME:
-            out = df.groupBy("labels", "step").agg(_OVER_TIME[e.name](F.col("value"), F.col("ts"), *params).alias("value"))
+        if e.name in _OVER_TIME:  # times from the step on, as squares of whole times lose their last digits
+            out = df.groupBy("labels", "step").agg(_OVER_TIME[e.name](F.col("value"), F.col("ts") - F.col("step"), *params).alias("value"))
         else:
             window = df.groupBy("labels", "step").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("s"))
             out = window.select("labels", "step", _FOLDS[e.name](F.col("s"), *params).alias("value"))

@@ -1,5 +1,5 @@
 """Text protocols as tables, parsed by Column expressions: InfluxDB line protocol, Prometheus
-text and JSON samples, OTLP logs in JSON."""
+text and JSON samples, OTLP logs, metrics and traces in JSON."""
 
 from __future__ import annotations
 
@@ -72,6 +72,57 @@ def otlp_logs(spark: SparkSession, path: str) -> DataFrame:
     return s.select(F.col("l.timeUnixNano").cast("long").alias("time"), F.col("l.severityText").alias("severity"), F.col("l.body.stringValue").alias("body"), "service")
 
 
+_ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
+
+
+def _attributes(c: Column | str) -> Column:
+    """Attributes as a map of texts."""
+    own = F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast(_ATTRIBUTES))
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    return F.map_from_entries(F.transform(own, lambda a: F.struct(a["key"], text(a["value"]))))
+
+
+def _resources(spark: SparkSession, path: str, outer: str, scopes: str, inner: str, item: str) -> DataFrame:
+    """service and each item (i) of OTLP's JSON files."""
+    schema = f"{outer} array<struct<resource:struct<attributes:{_ATTRIBUTES}>,{scopes}:array<struct<{inner}:array<{item}>>>>>"
+    r = spark.read.schema(schema).json(path).select(F.explode(outer).alias("r"))
+    s = r.select(_attributes("r.resource.attributes")["service.name"].alias("service"), F.explode(f"r.{scopes}").alias("s"))
+    return s.select("service", F.explode(f"s.{inner}").alias("i"))
+
+
+def otlp_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """service, metric, kind, labels, time (ns), value of the points in OTLP's JSON metric files: gauges and
+    sums as they are, histograms as the samples _count, _sum and _bucket (cumulative, label le)."""
+    point = f"struct<timeUnixNano:string,asDouble:double,asInt:string,attributes:{_ATTRIBUTES}>"
+    histogram = f"struct<timeUnixNano:string,count:string,sum:double,bucketCounts:array<string>,explicitBounds:array<double>,attributes:{_ATTRIBUTES}>"
+    item = f"struct<name:string,gauge:struct<dataPoints:array<{point}>>,sum:struct<dataPoints:array<{point}>>,histogram:struct<dataPoints:array<{histogram}>>>"
+    m = _resources(spark, path, "resourceMetrics", "scopeMetrics", "metrics", item)
+    out = []
+    for kind in ("gauge", "sum"):
+        p = m.select("service", F.col("i.name").alias("metric"), F.explode(f"i.{kind}.dataPoints").alias("p"))
+        value = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
+        out.append(p.select("service", "metric", F.lit(kind).alias("kind"), _attributes("p.attributes").alias("labels"), F.col("p.timeUnixNano").cast("long").alias("time"), value.alias("value")))
+    p = m.select("service", F.col("i.name").alias("metric"), F.explode("i.histogram.dataPoints").alias("p")).withColumn("labels", _attributes("p.attributes"))
+    counts = F.transform("p.bucketCounts", lambda c: c.cast("double"))
+    le = lambda i: F.coalesce(F.get(F.col("p.explicitBounds"), i).cast("string"), F.lit("+Inf"))
+    upto = lambda i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x)
+    buckets = F.transform(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.struct(F.lit("_bucket").alias("part"), F.map_from_arrays(F.array(F.lit("le")), F.array(le(i))).alias("more"), upto(i).alias("value")))
+    none = F.create_map().cast("map<string,string>")
+    ends = F.array(F.struct(F.lit("_count").alias("part"), none.alias("more"), F.col("p.count").cast("double").alias("value")), F.struct(F.lit("_sum").alias("part"), none.alias("more"), F.col("p.sum").alias("value")))
+    h = p.select("service", "metric", "labels", F.col("p.timeUnixNano").cast("long").alias("time"), F.explode(F.concat(ends, buckets)).alias("x"))
+    out.append(h.select("service", F.concat("metric", "x.part").alias("metric"), F.lit("histogram").alias("kind"), F.map_concat("labels", "x.more").alias("labels"), "time", "x.value"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def otlp_traces(spark: SparkSession, path: str) -> DataFrame:
+    """service, trace, span, parent (null at a root), name, start and end (ns), status (0: unset, 1: ok, 2: error)
+    and labels of the spans in OTLP's JSON trace files."""
+    item = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int>,attributes:{_ATTRIBUTES}>"
+    s = _resources(spark, path, "resourceSpans", "scopeSpans", "spans", item)
+    at = lambda c: F.col(c).cast("long")
+    return s.select("service", F.col("i.traceId").alias("trace"), F.col("i.spanId").alias("span"), F.nullif(F.col("i.parentSpanId"), F.lit("")).alias("parent"), F.col("i.name").alias("name"), at("i.startTimeUnixNano").alias("start"), at("i.endTimeUnixNano").alias("end"), F.coalesce("i.status.code", F.lit(0)).alias("status"), _attributes("i.attributes").alias("labels"))
+
+
 def append_unique(batch: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """Rows of an ingest batch that the table doesn't have, by sequence number or key."""
     return batch.dropDuplicates(key).join(table.select(*key), key, "left_anti")

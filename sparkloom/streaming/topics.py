@@ -48,6 +48,15 @@ def record_changes(topic: Topic, before: DataFrame, after: DataFrame, key: list[
 CHANGES = "op string, key string, old string, new string, at timestamp"
 
 
+def server_sent(feed: DataFrame, number: str, event: str, after: int | None = None) -> DataFrame:
+    """A feed as server-sent events, ``value`` a text each, in order of ``number``: its id, its event and the other
+    columns as JSON data.  after: the last id that a client has seen."""
+    rest = [c for c in feed.columns if c not in (number, event)]
+    rows = feed if after is None else feed.filter(F.col(number) > after)
+    text = F.concat(F.lit("id: "), F.col(number).cast("string"), F.lit("\nevent: "), F.col(event), F.lit("\ndata: "), F.to_json(F.struct(*rest)), F.lit("\n\n"))
+    return rows.orderBy(number).select(number, text.alias("value"))
+
+
 def recomputing_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for a view in update mode under the RECOMPUTE policy: a group that late
     rows change is emitted again, as a ``correction`` of what was emitted before.  Batches go
