@@ -120,10 +120,22 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = frozenset(map(chr, _LOOKALIKES)) | frozenset(_INVISIBLE)
 #: Digits in English, German, Spanish and French; the articles un and une, which stand before numbers in prose, are left out.
 _SPELLED = {w: str(d) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro - deux trois quatre cinq six sept huit neuf") for d, w in enumerate(words.split()) if w != "-"} | {"oh": "0", "zwo": "2", "fuenf": "5"}
-_DIGIT_WORD = "|".join(_SPELLED)
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of any of the words that reads each letter once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by.setdefault(w[0], []).append(w[1:])
+    some = "|".join(c + _any_of(rest) for c, rest in sorted(by.items()))
+    return (f"(?:{some})" if len(by) > 1 or "" in words and by else some) + ("?" if "" in words and by else "")
+
+
+_DIGIT_WORD = _any_of(list(_SPELLED))
 _NUMBER_SEP = r"(?:[ ]*[ ,-][ ]*|[ ]*\.[ ]*|[ ]+(?:dot|point|punkt|punto)[ ]+)"
-#: Two neighbours of _NUMBER_WORDS of which one is a word: every run that is rewritten holds such a pair.
-_PAIR = re.compile(rf"\b(?:{_DIGIT_WORD}){_NUMBER_SEP}(?:(?:{_DIGIT_WORD})\b|[0-9])|[0-9]{_NUMBER_SEP}(?:{_DIGIT_WORD})\b", re.I)
+#: Two neighbours of _NUMBER_WORDS of which one is a word, in lower case: every run that is rewritten holds such a pair.
+_PAIR = re.compile(rf"\b(?:{_DIGIT_WORD}){_NUMBER_SEP}(?:(?:{_DIGIT_WORD})\b|[0-9])|[0-9]{_NUMBER_SEP}(?:{_DIGIT_WORD})\b")
 #: Letters that match i and s where case is ignored.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _BRACKETED = re.compile(r"[\[({<][ ]{0,3}(?:at|dot|@|\.)[ ]{0,3}[\])}>]", re.I)
@@ -207,8 +219,10 @@ def _plain(text: str) -> Rewritten:
 def _disguised(text: str) -> tuple[bool, bool, bool]:
     """Whether the text may hold bracketed signs, spoken dots, and spelled digits next to others."""
     low = text.lower()
+    if not text.isascii():
+        low = low.replace("\u017f", "s").replace("i\u0307", "i")
     dots = any(d in low for d in _DOTS_SPOKEN)
-    return _BRACKETED.search(text) is not None, dots, _PAIR.search(text) is not None
+    return _BRACKETED.search(text) is not None, dots, _PAIR.search(low) is not None
 
 
 def _said(text: str, brackets: bool, dots: bool, digits: bool) -> Rewritten:
