@@ -8,6 +8,7 @@ import json
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +68,28 @@ def st_circle(lng, lat, metres: float, sides: int = 32) -> Column:
     return st_buffer(point(lng, lat), metres, sides)
 
 
+_NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+
+
+def _json(c: Column) -> Column:
+    return F.ltrim(c).startswith("{")
+
+
+def _coordinate(a, i: int) -> Column:
+    """A point's coordinate from its WKT or GeoJSON text, in generated code."""
+    c = _col(a)
+    wkt_ = F.regexp_extract(c, rf"(?i)^\s*POINT\s*\(\s*({_NUMBER})\s+({_NUMBER})", i + 1)
+    own = F.coalesce(F.get_json_object(c, f"$.coordinates[{i}]"), F.get_json_object(c, f"$.geometry.coordinates[{i}]"))
+    return F.when(_json(c), own.try_cast("double")).otherwise(wkt_.try_cast("double"))
+
+
 def x_of(a) -> Column:
-    return _udf(lambda g: float(g["coordinates"][0]), T.DoubleType(), a)
+    """The longitude of a point; null of other geometries."""
+    return _coordinate(a, 0)
 
 
 def y_of(a) -> Column:
-    return _udf(lambda g: float(g["coordinates"][1]), T.DoubleType(), a)
+    return _coordinate(a, 1)
 
 
 def geohash(lng, lat, size: int) -> Column:
@@ -394,6 +411,40 @@ def st_contains(a, b) -> Column:
     return _udf(contains, T.BooleanType(), a, b)
 
 
+def st_holds(shape, lng, lat) -> Column:
+    """st_contains of a point given by its coordinates: a batch's points are held against each different
+    shape at once."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(shapes: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = np.full(len(shapes), None, object)
+        x, y = xs.to_numpy(np.float64, na_value=np.nan), ys.to_numpy(np.float64, na_value=np.nan)
+        known = shapes.notna().to_numpy() & ~np.isnan(x) & ~np.isnan(y)
+        for text, at in pd.Series(np.flatnonzero(known)).groupby(shapes.to_numpy()[known]):
+            g, i = parse(text), at.to_numpy()
+            polys = _parts(g)[2]
+            if polys:
+                out[i] = np.any([_strictly_inside(p, x[i], y[i]) for p in polys], axis=0)
+            else:
+                out[i] = [contains(g, {"type": "Point", "coordinates": [a, b]}) for a, b in zip(x[i], y[i], strict=True)]
+        return pd.Series(out)
+
+    return run(_col(shape), _col(lng), _col(lat))
+
+
+def _strictly_inside(poly: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Points inside a polygon, its holes and borders left out."""
+    odd, border = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for ring in poly:
+        for (ax, ay, *_), (bx, by, *_) in zip(ring, ring[1:], strict=False):
+            cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            near = np.abs(cross) <= 1e-12 * (1 + abs(bx - ax) + abs(by - ay))
+            border |= near & (min(ax, bx) - 1e-12 <= x) & (x <= max(ax, bx) + 1e-12) & (min(ay, by) - 1e-12 <= y) & (y <= max(ay, by) + 1e-12)
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return odd & ~border
+
+
 def st_within(a, b) -> Column:
     return st_contains(b, a)
 
@@ -438,12 +489,20 @@ def as_geojson(a) -> Column:
     return _udf(lambda g: json.dumps({"type": g["type"], "coordinates": g["coordinates"]}), T.StringType(), a)
 
 
+_KINDS = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
+
+
 def geometry_type(a) -> Column:
-    return _udf(lambda g: g["type"], T.StringType(), a)
+    c = _col(a)
+    name = F.upper(F.regexp_extract(c, r"^\s*([A-Za-z]+)", 1))
+    wkt_ = F.coalesce(*(F.when(name == k.upper(), F.lit(k)) for k in _KINDS))
+    return F.when(_json(c), F.coalesce(F.get_json_object(c, "$.geometry.type"), F.get_json_object(c, "$.type"))).otherwise(wkt_)
 
 
 def num_points(a) -> Column:
-    return _udf(lambda g: len(_all_points(g)), T.IntegerType(), a)
+    c = _col(a)
+    in_json = F.regexp_count(c, F.lit(rf"\[\s*{_NUMBER}\s*,\s*{_NUMBER}"))
+    return F.when(_json(c), in_json).otherwise(F.regexp_count(c, F.lit(rf"{_NUMBER}\s+{_NUMBER}"))).cast("int")
 
 
 def valid(a) -> Column:
@@ -510,4 +569,4 @@ def region_join(points: DataFrame, regions: DataFrame, shape: str, cell: float =
     p = points.withColumn("_x", at(F.col("lng"))).withColumn("_y", at(F.col("lat")))
     inside = F.col("lng").between(F.col("_b.w"), F.col("_b.e")) & F.col("lat").between(F.col("_b.s"), F.col("_b.n"))
     j = p.join(r, ["_x", "_y"]).filter(inside)
-    return j.filter(st_contains(shape, point("lng", "lat"))).drop("_x", "_y", "_b")
+    return j.filter(st_holds(shape, "lng", "lat")).drop("_x", "_y", "_b")

@@ -52,19 +52,28 @@ def _typed(f: Callable, out: type) -> Callable:
     return f
 
 
+#: Keys whose states a task holds at a time.
+MOST_KEYS = 100_000
+
+
 def mergeable(df: DataFrame, keys: list[str], columns: list[str], state: str, start: Callable[[], tuple], step: Callable[[tuple, tuple], tuple], merge: Callable[[tuple, tuple], tuple], finish: Callable[[tuple], object], returns: str) -> DataFrame:
     """An aggregate from partial states: each task folds its rows into a state a key, states are
-    merged by key.  state: their schema.  What is shuffled is a state for each task and key."""
+    merged by key.  state: their schema.  What is shuffled is a state for each task and key, or, of
+    very many keys, for each stretch of them that a task holds."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [f.name for f in T._parse_datatype_string(state)]
 
     def partial(frames: Iterable[pd.DataFrame]):
         held: dict[tuple, tuple] = {}
+        shown = lambda: pd.DataFrame([(*k, *s) for k, s in held.items()], columns=[*keys, *names])
         for x in frames:
             for row in x.itertuples(index=False, name=None):
                 k = row[: len(keys)]
                 held[k] = step(held[k] if k in held else start(), row[len(keys) :])
-        yield pd.DataFrame([(*k, *s) for k, s in held.items()], columns=[*keys, *names])
+            if len(held) > MOST_KEYS:  # the same key may give another state later
+                yield shown()
+                held.clear()
+        yield shown()
 
     states = df.select(*keys, *columns).mapInPandas(partial, f"{kinds}, {state}")
 

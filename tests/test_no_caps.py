@@ -81,3 +81,18 @@ def test_near_join_reaches_the_poles(spark, metres):
         return 2 * spatial.RADIUS * math.asin(min(1.0, math.sqrt(h)))
 
     assert got == [(i, j) for i, p in enumerate(spots) for j, q in enumerate(spots) if apart(p, q) <= metres]
+
+
+def test_points_and_kinds_are_read_from_either_text(spark):
+    texts = ["POINT(1.5 -2e-3)", '{"type":"Point","coordinates":[1.5,-0.002]}', " point ( 1.5  -0.002 )", "POLYGON((0 0, 4 0, 4 4, 0 0))", '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,1],[2.5,3e1]]}}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, g string")
+    got = [tuple(r) for r in df.select(spatial.x_of("g"), spatial.y_of("g"), spatial.geometry_type("g"), spatial.num_points("g")).collect()]
+    assert got == [(1.5, -0.002, "Point", 1)] * 3 + [(None, None, "Polygon", 4), (None, None, "LineString", 2), (None, None, None, None)]
+
+
+def test_points_against_shapes_at_once(spark):
+    shapes = ["POLYGON((0 0, 6 0, 6 6, 0 6, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", "MULTIPOLYGON(((0 0, 2 0, 1 3, 0 0)), ((4 4, 6 4, 5 6, 4 4)))", "POINT(3 3)"]
+    spots = [(x / 2, y / 2) for x in range(-1, 14) for y in range(-1, 14)]
+    df = spark.createDataFrame([(s, *p) for s in shapes for p in spots] + [(None, 1.0, 1.0)], "s string, lng double, lat double")
+    rows = df.select("s", "lng", "lat", spatial.st_holds("s", "lng", "lat").alias("a"), spatial.st_contains("s", spatial.point("lng", "lat")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and sum(bool(r["a"]) for r in rows) > 50
