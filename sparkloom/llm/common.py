@@ -30,10 +30,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Arrow batches to Python of at most so many rows and about so many bytes, so
-    that very long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+    """Arrow batches to Python of at most so many rows and about so many bytes, so that very long
+    texts don't add up in a worker.  Plans read the session's setting when they run, so it is only
+    ever lowered: what one operator needs, a later one doesn't undo."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > mb << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
 def two_level_rank(df: DataFrame, parts: list[str], key: Column, order: list[Column], rows: int, out: str) -> DataFrame:

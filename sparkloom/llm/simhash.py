@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -268,8 +268,9 @@ def keep_least(docs: DataFrame, name: dict[str, str], back: list[Column], ids: D
     single = rows.filter("_rows = 1").select(*back)
     if kept.filter("_rows > 1").isEmpty():
         return single
-    first = Window.partitionBy("_id", "_hash").orderBy(F.lit(1))
-    repeated = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(first)).filter("_at = 1")
+    # one of each row's repeats, which may be very many: each task keeps one of its own
+    first = F.first(F.struct(*name.values())).alias("_row")
+    repeated = rows.filter("_rows > 1").groupBy("_id", "_hash").agg(first).select("_row.*")
     return single.unionByName(repeated.select(*back))
 
 

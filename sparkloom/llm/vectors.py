@@ -190,6 +190,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
     fifth of the sample at most.  A query meets FIRST candidates at least, if there
     are so many.  An empty table gives an empty table."""
     spark = vectors.sparkSession
+    common.bounded_batches(spark)
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.select("vec_id", v.alias("v"), F.size(v).alias("d"), is_query.alias("q")).filter(F.col("vec_id").isNotNull() & fine)
@@ -259,8 +260,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, samp
         rows_, cols, scores = found
         return pd.DataFrame({"qh": q["h"].to_numpy()[rows_], "h": c["h"].to_numpy()[cols], "score": scores})
 
-    common.bounded_batches(spark, rows=10_000)
-
     def searched(begins: bool, floors: DataFrame | None, name: str) -> DataFrame:
         """The best of what the queries meet in the lists that they probe first, or in the rest."""
         shares = [max(1, -(-loads.get((p, begins), 0) // QUERIES)) for p in range(len(cells))]
