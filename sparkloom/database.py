@@ -321,9 +321,25 @@ class Database:
         attrs = re.findall(r"(\w+)\s+(\w+)", m[3])
         kinds = {"FLOAT64": "double", "INT64": "long", "STRING": "string"}
         schema = ", ".join([*(f"{d} long" for d in dims), *(f"{a} {kinds.get(k.upper(), k)}" for a, k in attrs), "_ts_system long"])
-        self.arrays[m[1]] = Array(self.spark.createDataFrame([], schema), dims, [a for a, _ in attrs])
+        extents = {d: int(n) for d, n in re.findall(r"(\w+)\s+(\d+)", m[4] or "")}
+        self.arrays[m[1]] = Array(self.spark.createDataFrame([], schema), dims, [a for a, _ in attrs], extents)
         return self.arrays[m[1]].cells
 
+    def _alter_array(self, m: re.Match, _: str) -> DataFrame:
+        """ADD ATTR name TYPE, DROP ATTR name, or TILE_EXTENTS (..)."""
+        a, what = self.arrays[m[1]], m[2]
+        if add := re.match(r"ADD\s+ATTR\s+(\w+)\s+(\w+)$", what, re.I):
+            kind = {"FLOAT64": "double", "INT64": "long", "STRING": "string"}.get(add[2].upper(), add[2])
+            new = a._with(a.cells.withColumn(add[1], F.lit(None).cast(kind)), [*a.attrs, add[1]])
+        elif drop := re.match(r"DROP\s+ATTR\s+(\w+)$", what, re.I):
+            new = a._with(a.cells.drop(drop[1]), [x for x in a.attrs if x != drop[1]])
+        elif tiles := re.match(r"TILE_EXTENTS\s*\((.*)\)$", what, re.I):
+            new = a.rechunk({d: int(n) for d, n in re.findall(r"(\w+)\s+(\d+)", tiles[1])})
+        else:
+            raise ValueError(f"an array can't {what}")
+        self.arrays[m[1]] = new
+        return new.cells
+
     def _insert(self, m: re.Match, _: str) -> DataFrame:
         upsert, name, cols, body = m[1].upper() == "UPSERT", m[2], m[3], m[4].strip()
         body, returning = self._returning(body)
@@ -622,7 +638,9 @@ class Database:
             n = F.count("*").over(Window.partitionBy(*fields))
             new = new.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{name} has a value of {', '.join(fields)} twice")).cast("boolean")).otherwise(F.lit(True))).drop("_n")
         if not own:
-            return self.put(name, new)
+            new = self.put(name, new)
+            self._listed_changes(name, new)
+            return new
         if self._depth >= 16:
             raise RecursionError("triggers call each other more than 16 deep")
         before, key = self.table(name), self._key(name)
@@ -637,6 +655,7 @@ class Database:
             kept = new.join(back.select(*key), key, "left_anti")
             new = written(kept.unionByName(back.filter("op <> 'insert'").select("old.*")), name)
         self.put(name, new, keep=False)
+        self._listed_changes(name, new)
         for t in own:
             if t.when == "BEFORE":
                 continue
@@ -775,6 +794,28 @@ class Database:
             self.put(table, t.repartitionByRange(parts, *cols).sortWithinPartitions(*cols))
         return self.spark.range(0)
 
+    def _listed_changes(self, name: str, new: DataFrame) -> None:
+        """Vector indexes of a collection follow it: rows that stay keep their lists, others are listed."""
+        for index, (table, column, books) in self.centroids.items():
+            if table == name:
+                old, key = self.table(index), self._key(name)
+                same = [*key, column]
+                kept = old.select(*same, "list").join(new.select(*same), same, "left_semi")
+                lists = kept.select(*key, "list").unionByName(vector.listed(new.join(kept.select(*key), key, "left_anti"), column, books).select(*key, "list"))
+                self.put(index, new.join(lists, key))
+
+    def _rebuild(self, m: re.Match, _: str) -> DataFrame:
+        """Centroids and lists anew, for a collection that has changed much."""
+        table, column, _books = self.centroids[m[1]]
+        t, key = self.table(table), self._key(table)[0]
+        books = vector.inverted_lists(t, column, key, max(1, round(t.count() ** 0.5)))
+        self.centroids[m[1]] = (table, column, books)
+        return self.put(m[1], vector.listed(t, column, books)).agg(F.count("*").alias("count"))
+
+    def _vector_stats(self, m: re.Match, _: str) -> DataFrame:
+        per = self.table(m[1]).groupBy("list").agg(F.count("*").alias("n"))
+        return per.agg(F.count("*").alias("lists"), F.sum("n").alias("vectors"), F.max("n").alias("largest"))
+
     def _approximate(self, m: re.Match, _: str) -> DataFrame:
         """SEARCH index APPROXIMATE (ARRAY[..], k, probes)."""
         table, column, books = self.centroids[m[1]]
@@ -818,7 +859,7 @@ _STATEMENTS = [
         (r"MATCH\s*\(", Database._match),
         (r"SEARCH\s+(\w+)\s+USING\s+(VECTOR|TEXT|FUSION)\s*\((.*)\)$", Database._search),
         (r"CREATE\s+(?:TABLE|COLLECTION)\s+(\w+)\s*\((.*)\)[^)]*$", Database._create),
-        (r"CREATE\s+ARRAY\s+(\w+)\s+DIMS\s*\((.*?)\)\s*ATTRS\s*\((.*?)\)", Database._create_array),
+        (r"CREATE\s+ARRAY\s+(\w+)\s+DIMS\s*\((.*?)\)\s*ATTRS\s*\((.*?)\)(?:\s*TILE_EXTENTS\s*\((.*?)\))?", Database._create_array),
         (r"CREATE\s+SORTED\s+INDEX\s+(\w+)\s+ON\s+(\w+)\s*\(\s*(\w+)(?:\s+DESC)?\s*\)\s*KEY\s+(\w+)", Database._sorted_index),
         (r"CREATE\s+MATERIALIZED\s+VIEW\s+(\w+)\s+AS\s+(.*)$", Database._view_create),
         (r"REFRESH\s+MATERIALIZED\s+VIEW\s+(\w+)$", Database._view_refresh),
@@ -837,6 +878,9 @@ _STATEMENTS = [
         (r"SELECT\s+(?:\*\s+FROM\s+)?(TEMPORAL_LOOKUP|CONVERT_CURRENCY_LOOKUP|ESTIMATE_COUNT|LAST_VALUES?)\s*\((.*)\)$", Database._lookup),
         (r"ANALYZE\s+(\w+)$", Database._analyze),
         (r"EXPLAIN\s+(?:(ANALYZE|FORMATTED|COST|CODEGEN|EXTENDED|SIMPLE)\s+)?(.*)$", Database._explain),
+        (r"ALTER\s+ARRAY\s+(\w+)\s+(.*)$", Database._alter_array),
+        (r"REBUILD\s+VECTOR\s+INDEX\s+(\w+)$", Database._rebuild),
+        (r"SELECT\s+VECTOR_STATS\s*\(\s*'(\w+)'\s*\)$", Database._vector_stats),
         (r"BEGIN(?:\s+(?:TRANSACTION|WORK))?$", Database._begin),
         (r"COMMIT(?:\s+(?:TRANSACTION|WORK))?$", Database._commit),
         (r"ROLLBACK(?:\s+(?:TRANSACTION|WORK))?(?:\s+TO\s+(?:SAVEPOINT\s+)?(\w+))?$", Database._rollback),

@@ -115,11 +115,29 @@ def leaderboard(events: DataFrame, ts: str, period: str, key: str, points: str,
     return sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def rate_gate(events: DataFrame, ts: str, key: str, seconds: int, limit: int, order: str) -> DataFrame:
+def rate_gate(events: DataFrame, ts: str, key: str, seconds: int, limit: int, order: str, reset: Column | None = None) -> DataFrame:
     """Fixed windows: each event with how many of its key's window remain after it, and whether
-    it was allowed."""
+    it was allowed.  reset: rows that are resets; they count nothing, and counting begins anew after
+    them."""
     from sparkloom.operators.timeseries import time_bucket
 
     w = Window.partitionBy(key, "window").orderBy(ts, order)
-    out = events.withColumn("window", time_bucket(ts, seconds)).withColumn("_n", F.row_number().over(w))
+    out = events.withColumn("window", time_bucket(ts, seconds))
+    if reset is None:
+        out = out.withColumn("_n", F.row_number().over(w))
+    else:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        counted = F.when(reset, 0).otherwise(1)
+        out = out.withColumn("_era", F.sum(F.when(reset, 1).otherwise(0)).over(upto))
+        out = out.withColumn("_n", F.sum(counted).over(Window.partitionBy(key, "window", "_era").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter(~reset).drop("_era")
     return out.withColumn("allowed", F.col("_n") <= limit).withColumn("remaining", F.greatest(F.lit(0), limit - F.col("_n"))).drop("_n")
+
+
+def fields_set(table: DataFrame, key: str, value: str, sets: DataFrame) -> DataFrame:
+    """FIELD SET on JSON values: sets(key, fields: a map of name to JSON text or plain text) are merged into
+    each key's value; absent keys get a value of those fields alone."""
+    s = sets.select(F.col(key).alias("_k"), F.col("fields").alias("_f"))
+    j = table.join(s, F.col(key).eqNullSafe(F.col("_k")), "full")
+    old = F.coalesce(F.from_json(value, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.coalesce(F.map_contains_key("_f", k), F.lit(False))), F.col("_f")))
+    return j.select(*(F.when(F.col("_f").isNotNull(), new).otherwise(F.col(value)).alias(value) if c == value else F.coalesce(key, "_k").alias(key) if c == key else F.col(c) for c in table.columns))

@@ -174,6 +174,24 @@ def highlight(text: Column | str, terms: list[str], before: str = "<b>", after:
     return F.regexp_replace(c, r"(?i)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, terms)) + r")(?![\p{L}\p{N}])", f"{before}$1{after}")
 
 
+def offsets(text: Column | str, terms: list[str]) -> Column:
+    """Where the terms stand: an array of (start, end), code points from 0, end exclusive."""
+    c = F.col(text) if isinstance(text, str) else text
+    rx = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, terms)) + r")(?![\p{L}\p{N}])"
+    sizes = lambda parts: F.transform(parts, lambda x: F.length(x))
+    gaps, hits = sizes(F.split(c, rx, -1)), sizes(F.regexp_extract_all(c, F.lit(rx), 0))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    kind = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        at = a["at"] + p["gap"]
+        end = at + p["hit"]
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
 # Queries: a & b | !c, "phrase", prefix:*
 
 

@@ -148,6 +148,100 @@ def ternary_topk(df: DataFrame, vector: str, query: list[float], coarse: int, k:
     return topk(near.drop("_score"), vector, query, k, key, metric)
 
 
+def _sample(df: DataFrame, vector: str, key: str, sample: int) -> np.ndarray:
+    picked = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).select(vector).limit(sample).toPandas()[vector]
+    return np.stack([np.asarray(v, np.float64) for v in picked]) if len(picked) else np.empty((0, 0))
+
+
+def _on_batches(vector: Column | str, f, kind: T.DataType) -> Column:
+    """f of a matrix, a row for each vector of a batch, to a matrix or an array."""
+
+    def made(v: pd.Series) -> list:
+        there = v.notna().to_numpy()
+        rows = iter(f(np.stack([np.asarray(x, np.float64) for x in v[there]]))) if there.any() else iter(())
+        return [next(rows) if t else None for t in there]
+
+    if isinstance(kind, T.StructType):
+
+        @F.pandas_udf(kind)
+        def run(v: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([x or {} for x in made(v)], columns=kind.names)
+
+    else:
+
+        @F.pandas_udf(kind)
+        def run(v: pd.Series) -> pd.Series:
+            return pd.Series(made(v), dtype=object)
+
+    return run(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def rotation(dims: int, seed: int = 7) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
+
+
+def rotated(vector: Column | str, r: np.ndarray) -> Column:
+    return _on_batches(vector, lambda x: (x @ r).tolist(), T.ArrayType(T.DoubleType()))
+
+
+def sign_codes(df: DataFrame, vector: str, center: np.ndarray, r: np.ndarray | None = None) -> DataFrame:
+    """df with ``code``: signs of the centred (and rotated) vector as bits of longs, its length from the
+    centre, and the inner product of its direction with its code's."""
+
+    def run(x: np.ndarray) -> list[dict]:
+        y = x - center if r is None else (x - center) @ r
+        norm = np.linalg.norm(y, axis=1)
+        bits = y > 0
+        fit = np.abs(y).sum(1) / np.sqrt(y.shape[1]) / np.maximum(norm, 1e-300)
+        pad = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+        words = np.packbits(pad, axis=1, bitorder="little").view(np.int64)
+        return [{"bits": w.tolist(), "norm": float(n), "fit": float(f)} for w, n, f in zip(words, norm, fit, strict=True)]
+
+    kind = T._parse_datatype_string("bits array<long>, norm double, fit double")
+    return df.withColumn("code", _on_batches(vector, run, kind))
+
+
+def sign_topk(df: DataFrame, vector: str, query: list[float], center: np.ndarray, k: int, key: str, oversample: int = 10, r: np.ndarray | None = None) -> DataFrame:
+    """L2 search on sign_codes: the inner product with the query is estimated from the code's, corrected by how
+    well the code fits; the k * oversample nearest are ranked again on the vectors."""
+    q = np.asarray(query, np.float64) - center
+    q = q if r is None else q @ r
+    far = float(np.linalg.norm(q))
+    bit = lambda i: F.shiftright(F.get(F.col("code.bits"), F.lit(i // 64)), i % 64).bitwiseAND(F.lit(1).cast("long"))
+    both = reduce(Column.__add__, (F.when(bit(i) == 1, F.lit(float(x))).otherwise(F.lit(-float(x))) for i, x in enumerate(q))) / float(np.sqrt(len(q)))
+    inner = F.col("code.norm") * F.try_divide(both, F.col("code.fit"))
+    near = F.col("code.norm") * F.col("code.norm") + far * far - 2 * F.coalesce(inner, F.lit(0.0))
+    coarse = df.withColumn("_near", near).orderBy("_near", key).limit(k * oversample)
+    return topk(coarse.drop("_near", "code"), vector, query, k, key, "l2")
+
+
+def balanced_rotation(df: DataFrame, vector: str, parts: int, key: str, sample: int = 10_000) -> np.ndarray:
+    """A rotation to principal directions, dealt to ``parts`` slices so that each has a like product of variances,
+    for product codes of the rotated vectors; from at most ``sample`` vectors, those of the least hash."""
+    x = _sample(df, vector, key, sample)
+    if not len(x):
+        return np.empty((0, 0))
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    own: list[list[int]] = [[] for _ in range(parts)]
+    logs = np.zeros(parts)
+    for i in np.argsort(-values):
+        room = [p for p in range(parts) if len(own[p]) < -(-x.shape[1] // parts)]
+        p = min(room, key=lambda p: (logs[p], len(own[p])))
+        own[p].append(i)
+        logs[p] += np.log(max(values[i], 1e-12)) - np.log(max(values[-1], 1e-12)) + 1e-9
+    return directions[:, [i for p in own for i in p]]
+
+
+def pruned_maxsim(queries: list[list[float]], docs: DataFrame, doc: str, vector: str, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
+    """maxsim of the documents that have a vector in one of the ``probes`` lists nearest to a query vector; docs has
+    the column ``list`` (see listed)."""
+    q = np.asarray(queries, np.float64)
+    wanted = sorted({int(i) for row in np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes] for i in row})
+    some = docs.filter(F.col("list").isin(*wanted)).select(doc).distinct()
+    own = docs.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(queries)], "q int, qv array<double>")
+    return maxsim(own, docs.join(some, doc, "left_semi"), doc, vector, k)
+
+
 def product_codebooks(df: DataFrame, vector: str, parts: int = 8, codes: int = 64, sample: int = 10_000, key: str | None = None) -> list[np.ndarray]:
     """Codebooks of a product quantizer: k-means of each of ``parts`` slices, on at most ``sample``
     vectors, those of the least hash."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.database import Database
-from sparkloom.operators import access, keyvalue
+from sparkloom.operators import access, graph, keyvalue, search
 from sparkloom.plans import sql
 from sparkloom.plans.registry import query, sql_query
 from sparkloom.plans.searching import _BM25, _METRICS, Q
@@ -188,6 +188,74 @@ def _(t):
     return db.execute("SELECT x, y, q FROM ARRAY_SLICE('g', '{x: [0, 3], y: [0, 5]}')")
 
 
+@query("array_alter", "SELECT * FROM (VALUES (1::BIGINT, 5.0::DOUBLE, NULL::BIGINT)) v(x, q, r)")
+def _(t):
+    db = Database(t.spark)
+    db.execute("CREATE ARRAY g DIMS (x INT64 [0..9]) ATTRS (q FLOAT64, s STRING) TILE_EXTENTS (x 4)")
+    a = db.arrays["g"]
+    db.arrays["g"] = a._with(t.spark.createDataFrame([(1, 5.0, "a", 1)], "x long, q double, s string, _ts_system long"))
+    for text in ("ALTER ARRAY g ADD ATTR r INT64", "ALTER ARRAY g DROP ATTR s", "ALTER ARRAY g TILE_EXTENTS (x 2)"):
+        db.execute(text)
+    return db.execute("SELECT x, q, r FROM ARRAY_SLICE('g', '{x: [0, 9]}')")
+
+
+@query("vector_index_lifecycle", "SELECT count(*) AS vectors, count(*) > 0 AS listed FROM embeddings WHERE vec_id % 7 <> 0")
+def _(t):
+    """An index follows deletions and changes of its collection, and is built anew."""
+    db = Database(t.spark)
+    db.put("v", t.embeddings.select("vec_id", "embedding"), ["vec_id"])
+    db.execute("CREATE VECTOR INDEX i ON v (embedding)")
+    db.execute("DELETE FROM v WHERE vec_id % 7 = 0")
+    db.execute("UPDATE v SET embedding = reverse(embedding) WHERE vec_id % 7 = 1")
+    stats = db.execute("SELECT VECTOR_STATS('i')")
+    db.execute("REBUILD VECTOR INDEX i")
+    return stats.select("vectors", (F.col("lists") > 1).alias("listed"))
+
+
+@query("index_lookup_nocase", "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#11'")
+def _(t):
+    return t.part.filter(F.lower("p_brand") == "brand#11").select("p_partkey")
+
+
+@query("kv_batch_put_field_set", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN '{\"b\":\"' || c_nationkey || '\",\"a\":\"x\"}' ELSE '{\"a\":\"1\",\"b\":\"' || c_nationkey || '\"}' END AS value FROM customer")
+def _(t):
+    table = t.customer.select(F.col("c_custkey").alias("key"), F.to_json(F.struct(F.lit("1").alias("a"), F.col("c_nationkey").cast("string").alias("b"))).alias("value"))
+    sets = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.create_map(F.lit("a"), F.lit("x")).alias("fields"))
+    return keyvalue.fields_set(table, "key", "value", sets)
+
+
+@query("kv_truncate", "SELECT 0 AS left, count(*) AS n FROM customer")
+def _(t):
+    db = database(t)
+    n = db.execute("SELECT count(*) AS n FROM c").first()["n"]
+    db.execute("TRUNCATE c")
+    return db.execute(f"SELECT CAST(count(*) AS INT) AS left, CAST({n} AS BIGINT) AS n FROM c")
+
+
+@query("kv_rate_gate_reset", "SELECT event_id, n <= 2 AS allowed FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, d, era, event_type = 'error' ORDER BY ts, event_id) AS n FROM (SELECT *, CAST(ts AS DATE) AS d, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS era FROM events)) WHERE event_type <> 'error'")
+def _(t):
+    return keyvalue.rate_gate(t.events, "ts", "user_id", 86400, 2, "event_id", reset=F.col("event_type") == "error").select("event_id", "allowed")
+
+
+@query("fts_offsets", "SELECT doc_id, CAST(len(a) - 1 AS INT) AS n, CAST(CASE WHEN len(a) > 1 THEN length(a[1]) END AS INT) AS first FROM (SELECT doc_id, regexp_split_to_array(text, '(?i)\\b(?:the|of)\\b') AS a FROM documents WHERE lang = 'en')")
+def _(t):
+    o = search.offsets("text", ["the", "of"])
+    return t.documents.filter("lang = 'en'").select("doc_id", F.size(o).alias("n"), F.get(o, F.lit(0))["start"].alias("first"))
+
+
+@query("semi_join_pushdown", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 11)")
+def _(t):
+    return t.lineitem.join(t.orders.filter("o_custkey = 11").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("graph_temporal_components", "SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation WHERE n_nationkey <= 20 AND n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey <= 20 GROUP BY 1 HAVING count(*) > 1)")
+def _(t):
+    """Edges between nations of one region, each from the greater of its ends' numbers on: components as of 20."""
+    a, b = (t.nation.select(F.col("n_nationkey").alias(k), F.col("n_regionkey").alias("r")) for k in ("src", "dst"))
+    e = a.join(b, "r").filter("src < dst").withColumn("since", F.col("dst"))
+    return graph.components(e.filter("since <= 20"))
+
+
 @query("explain_analyze", "SELECT 'rows: ' || count(*) AS plan FROM orders WHERE o_totalprice > 200000")
 def _(t):
     return Database(t.spark, t.folder).execute("EXPLAIN ANALYZE SELECT o_orderkey FROM orders WHERE o_totalprice > 200000").filter("plan LIKE 'rows: %'")

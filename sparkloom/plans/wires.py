@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.operators import crdt
 from sparkloom.operators import search as X
 from sparkloom.operators import vector as V
 from sparkloom.plans.registry import query
-from sparkloom.plans.searching import _METRICS, TOK, Q
+from sparkloom.plans.searching import _METRICS, QL, QL2, TOK, Q, Q2
 from sparkloom.shared import fresh_path
 from sparkloom.sources import protocols as L
 from sparkloom.sources import wire as W
@@ -177,6 +178,44 @@ def _(t):
     return V.listed_topk(rows, "embedding", books, Q, 5, "vec_id", 12).select("vec_id", F.round("distance", 6).alias("d"))
 
 
+_EXACT5 = f"SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 5"
+
+
+@query("vector_centred_binary", _EXACT5)
+def _(t):
+    """Signs of centred vectors; the nearest five are among the 150 that they find."""
+    center = np.zeros(64)
+    rows = V.sign_codes(t.embeddings, "embedding", center)
+    return V.sign_topk(rows, "embedding", Q, center, 5, "vec_id", 30).select("vec_id", F.round("distance", 6).alias("d"))
+
+
+@query("vector_rotated_binary", _EXACT5)
+def _(t):
+    """The same of randomly rotated vectors."""
+    center, r = np.zeros(64), V.rotation(64)
+    rows = V.sign_codes(t.embeddings, "embedding", center, r)
+    return V.sign_topk(rows, "embedding", Q, center, 5, "vec_id", 30, r).select("vec_id", F.round("distance", 6).alias("d"))
+
+
+@query("vector_optimized_product", _EXACT5)
+def _(t):
+    """Product codes of vectors rotated to balanced principal directions."""
+    r = V.balanced_rotation(t.embeddings, "embedding", 8, "vec_id")
+    turned = t.embeddings.withColumn("turned", V.rotated("embedding", r))
+    books = V.product_codebooks(turned, "turned", key="vec_id")
+    coded = turned.withColumn("codes", V.product_codes("turned", books))
+    q = (np.asarray(Q) @ r).tolist()
+    return V.product_topk(coded, "turned", "codes", books, q, 5, "vec_id", oversample=40).select("vec_id", F.round("distance", 6).alias("d"))
+
+
+@query("multi_vector_pruned", f"WITH q AS (SELECT * FROM (VALUES (0, {QL}), (1, {QL2})) v(q, qv)), s AS (SELECT e.vec_id % 20 AS doc, q.q, max(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.qv)) AS s FROM embeddings e, q GROUP BY 1, 2) SELECT doc, round(sum(s), 6) AS score FROM s GROUP BY doc ORDER BY sum(s) DESC, doc LIMIT 5")
+def _(t):
+    """Documents with a vector near to a query vector's lists; the best five are among them."""
+    docs = t.embeddings.select((F.col("vec_id") % 20).alias("doc"), "vec_id", "embedding")
+    books = V.inverted_lists(docs, "embedding", "vec_id", 16, "cosine")
+    return V.pruned_maxsim([Q, Q2], V.listed(docs, "embedding", books, "cosine"), "doc", "embedding", books, 5, 6).select("doc", F.round("score", 6).alias("score"))
+
+
 for _lang in ("fr", "es"):
     query(f"fts_light_stems_{_lang}", f"SELECT regexp_replace(w, '{X.light_pattern(_lang)}', '\\1') AS term, count(*) AS n FROM (SELECT unnest({TOK}) AS w FROM documents WHERE lang = '{_lang}') GROUP BY 1")(
         lambda t, lang=_lang: t.documents.filter(F.col("lang") == lang).select(F.explode(X.tokens("text")).alias("w")).groupBy(X.light_stem(F.col("w"), lang).alias("term")).agg(F.count("*").alias("n"))
