@@ -290,9 +290,17 @@ def matches(text: Column | str, q: str | Node) -> Column:
 # Fusion
 
 
+#: Rows that one task may sort.
+FEW = 100_000
+
+
 def places(df: DataFrame, *order: Column) -> DataFrame:
     """df with ``place``, the rows' numbers from 1 in a total order: ranges of it are sorted each in a
-    task, and offset by the sizes of those before, a row for each."""
+    task, and offset by the sizes of those before, a row for each.  A list whose plan holds it to
+    FEW rows, as a limit does, is sorted in one task."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if most.isDefined() and int(most.get()) <= FEW:
+        return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
