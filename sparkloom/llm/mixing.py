@@ -182,7 +182,8 @@ def mixed(docs: DataFrame, weights: list[float], share: float, most: float, seed
     text = F.col(name["text"])
     rows = docs.withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
     same = F.col(name["doc_id"]).eqNullSafe(F.col("_k0")) & F.col(name["source"]).eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2"))
-    taken = rows.join(picks.filter("_rows = 1"), same).withColumn("_n", F.col("_low") + F.col("_more"))
+    # picks follow the documents, so they are never broadcast, however few they are here
+    taken = rows.join(picks.filter("_rows = 1").hint("merge"), same).withColumn("_n", F.col("_low") + F.col("_more"))
     taken = taken.select(*name.values(), "_n")
     if not picks.filter("_rows > 1").isEmpty():
         # a place among equal rows: by the file part they are in, so that no task meets them all
