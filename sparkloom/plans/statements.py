@@ -118,7 +118,7 @@ def _(t):
     return db.execute("SEARCH documents USING TEXT (text, 'the und', 9)").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("search_using_fusion", f"{_BM25}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_METRICS['l2']}, vec_id) AS r FROM embeddings ORDER BY r LIMIT 18), x AS (SELECT r.doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM r JOIN embeddings ON doc_id = vec_id ORDER BY 2 LIMIT 18) SELECT id, round(sum(1 / (60.0::DOUBLE + r)), 9) AS rrf FROM (SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY id ORDER BY sum(1 / (60.0::DOUBLE + r)) DESC, id LIMIT 6".replace("count(*)::DOUBLE AS n, avg(dl)", "count(*)::DOUBLE AS n, avg(dl)").replace("FROM documents))", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)))"))
+@query("search_using_fusion", f"{_BM25}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_METRICS['l2']}, vec_id) AS r FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY r LIMIT 18), x AS (SELECT r.doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM r JOIN embeddings ON doc_id = vec_id ORDER BY 2 LIMIT 18) SELECT id, round(sum(1 / (60.0::DOUBLE + r)), 9) AS rrf FROM (SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY id ORDER BY sum(1 / (60.0::DOUBLE + r)) DESC, id LIMIT 6".replace("FROM documents))", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)))"))
 def _(t):
     """Documents with the vector of their number."""
     db = Database(t.spark)
