@@ -1,4 +1,4 @@
-"""Near copies by the exact likeness of texts' five-word shingles.
+"""Near copies by the exact likeness of texts' five-word shingles: SimHash with pivot tables.
 
 Two texts are near copies if their sets of shingles share LEAST or more of their union;
 a group is what such pairs connect.  Texts of equal sets are one node.
@@ -8,8 +8,11 @@ a group is what such pairs connect.  Texts of equal sets are one node.
   1.4e-7, and a more alike one more rarely.
 * Keys with the same nodes under them count once; the texts of nodes that share a key
   are looked up, no others.
-* Under a key, pairs are verified by their exact likeness, and only those that span the
-  key's groups are written, never all pairs.
+* A node's SimHash of 2048 bits is made once and travels with its set.  Under a key, a table
+  holds the distances to pivots chosen among the key's nodes; pairs whose greatest coordinate
+  difference is over RADIUS are never compared, the rest by popcount.  The survivors are
+  verified by their exact likeness, and only links that span the key's groups are written,
+  never all pairs.
 * A key with over MOST nodes is not gathered in a task.  Some of its nodes are asked
   against all, which mostly shows it to be one group.  Nodes that are then not of the
   key's largest group are asked against all in turn, so that no link is lost.
@@ -33,8 +36,9 @@ SHINGLE = 5
 BANDS, ROWS = 30, 4
 _TIMES = np.array([xxhash.xxh64_intdigest(b"times%d" % i, 7) | 1 for i in range(BANDS * ROWS)], np.uint64)
 _XOR = np.array([xxhash.xxh64_intdigest(b"xor%d" % i, 7) for i in range(BANDS * ROWS)], np.uint64)
-#: Share of equal MinHashes under which a pair isn't verified: 8 standard deviations below LEAST.
-MAYBE = 0.5
+#: Bits of 2048 beyond which a pair isn't verified.  A bit of two sets alike to LEAST differs with a
+#: probability of 0.15 to 0.162, or 0.188 for four hashes of five: fewer than 2e-9 of those lie beyond.
+RADIUS = 492
 #: Nodes of a key that one task compares with each other.
 MOST = 1024
 #: Nodes of a larger key that are asked first, and nodes that a task asks at a time.
@@ -77,11 +81,6 @@ def keys(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
 
 
-def signature(least: np.ndarray) -> np.ndarray:
-    """A byte for each MinHash."""
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node and the band keys (null without a word) of every document."""
     common.bounded_batches(docs.sparkSession)
@@ -95,30 +94,28 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
 
 
-def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Index pairs of likeness LEAST or more that span the groups which all such pairs make."""
-    sizes = np.array([len(s) for s in sets])
-    marks = np.stack([signature(minhashes(s)) for s in sets])
-    rest, out = np.arange(len(sets)), []
-    while rest.size:
-        stack, rest = [int(rest[0])], rest[1:]
-        while stack and rest.size:
+def spanning_links(sets: list[np.ndarray], fps: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of likeness LEAST or more that span the groups which all such pairs make; fps:
+    the sets' wide fingerprints, one a row."""
+    table, sizes = simhash.PivotTable(fps, RADIUS), np.array([len(s) for s in sets])
+    free, out = np.ones(len(sets), bool), []
+    while free.any():
+        stack = [int(free.argmax())]
+        free[stack] = False
+        while stack and free.any():
             i = stack.pop()
-            hit = np.zeros(len(rest), bool)
-            hit[_alike(sets[i], marks[i], [sets[x] for x in rest], sizes[rest], marks[rest], np.ones(len(rest), bool))] = True
-            if hit.any():
-                found = rest[hit].tolist()
-                out += [(i, j) for j in found]
-                stack += found
-                rest = rest[~hit]
+            found = _alike(sets[i], sets, sizes, table.near(fps[i], free))
+            free[found] = False
+            out += [(i, j) for j in found]
+            stack += found
     return out
 
 
-def _alike(own: np.ndarray, mark: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray, may: np.ndarray) -> list[int]:
-    """Places of the sets, of those that may, that are alike to own to LEAST or more."""
-    near = may & (np.minimum(sizes, len(own)) >= LEAST * np.maximum(sizes, len(own)) - 1e-6) & ((marks == mark).mean(axis=1) >= MAYBE)
+def _alike(own: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, near: np.ndarray) -> list[int]:
+    """Those of the indices near whose sets are alike to own to LEAST or more."""
+    near = near[5 * np.minimum(sizes[near], len(own)) >= 4 * np.maximum(sizes[near], len(own))]
     out = []
-    for x in np.flatnonzero(near).tolist():
+    for x in near.tolist():
         at = np.minimum(np.searchsorted(own, sets[x]), len(own) - 1)
         both = int((own[at] == sets[x]).sum())
         if 5 * both >= 4 * (len(sets[x]) + len(own) - both):  # LEAST, in whole numbers
@@ -144,10 +141,10 @@ def _asked(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     columns = ["t", "key", "node", "root", "cell", "block", "asks"]
     q = _of_key(queries, blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")).cast("int")).withColumn("cell", every(F.ceil(F.col("n") / MOST))).withColumn("asks", F.lit(1))
     m = _of_key(members, blocks).withColumn("cell", here).withColumn("block", every(F.col("blocks"))).withColumn("asks", F.lit(0))
-    dealt = q.select(*columns).unionByName(m.select(*columns)).join(sets, F.col("node") == F.col("_node")).select(*columns, "hashes")
+    dealt = q.select(*columns).unionByName(m.select(*columns)).join(sets, F.col("node") == F.col("_node")).select(*columns, "hashes", "fp")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, nodes, roots, own, sizes, marks, joined = None, [], [], [], None, None, []
+        group, nodes, roots, own, fps, table, joined = None, [], [], [], [], None, []
 
         def find(i: int) -> int:
             while joined[i] != i:
@@ -157,22 +154,23 @@ def _asked(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
 
         for x in frames:
             out = []
-            for *at, node_, root, asks, h in zip(*(x[c] for c in ("t", "key", "cell", "block", "node", "root", "asks", "hashes")), strict=True):
+            for *at, node_, root, asks, h, f in zip(*(x[c] for c in ("t", "key", "cell", "block", "node", "root", "asks", "hashes", "fp")), strict=True):
                 if at != group:
-                    group, nodes, roots, own, sizes, joined = at, [], [], [], None, []
-                hashes = np.frombuffer(h, np.uint64)
+                    group, nodes, roots, own, fps, table, joined = at, [], [], [], [], None, []
+                hashes, fp = np.frombuffer(h, np.uint64), np.frombuffer(f, np.uint64)
                 if asks:
                     nodes.append(node_)
                     roots.append(root)
                     own.append(hashes)
+                    fps.append(fp)
                     joined.append(len(joined))
                     continue
                 if not nodes:
                     continue
-                if sizes is None:
-                    sizes, marks, roots = np.array([len(s) for s in own]), np.stack([signature(minhashes(s)) for s in own]), np.array(roots)
+                if table is None:
+                    table, sizes, roots_, nodes_ = simhash.PivotTable(np.stack(fps), RADIUS), np.array([len(s) for s in own]), np.array(roots), np.array(nodes)
                 first = None
-                for i in _alike(hashes, signature(minhashes(hashes)), own, sizes, marks, (roots != root) & (np.array(nodes) != node_)):
+                for i in _alike(hashes, own, sizes, table.near(fp, (roots_ != root) & (nodes_ != node_))):
                     if first is None or find(i) != find(first):
                         out.append((nodes[i], node_))
                         if first is not None:
@@ -195,26 +193,28 @@ def links(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFram
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"_node": x["node"], "hashes": [shingles(t).tobytes() for t in x["text"]]})
+            sets = [shingles(t) for t in x["text"]]
+            yield pd.DataFrame({"_node": x["node"], "hashes": [s.tobytes() for s in sets], "fp": [simhash.wide(s).tobytes() for s in sets]})
 
-    sets = common.written(texts(members.select("node").distinct()).mapInPandas(pack, "_node long, hashes binary"), "shingles")
-    dealt = members.filter(F.col("n") <= MOST).join(sets, F.col("node") == F.col("_node")).select("t", "key", "node", "hashes")
+    sets = common.written(texts(members.select("node").distinct()).mapInPandas(pack, "_node long, hashes binary, fp binary"), "shingles")
+    dealt = members.filter(F.col("n") <= MOST).join(sets, F.col("node") == F.col("_node")).select("t", "key", "node", "hashes", "fp")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, nodes, sets = None, [], []
+        key, nodes, sets, fps = None, [], [], []
 
         def pairs() -> pd.DataFrame:
-            found = spanning_links(sets) if len(sets) > 1 else []
+            found = spanning_links(sets, np.stack(fps))
             return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=np.int64)
 
         for x in frames:
-            for t, k, n, h in zip(x["t"], x["key"], x["node"], x["hashes"], strict=True):
+            for t, k, n, h, f in zip(x["t"], x["key"], x["node"], x["hashes"], x["fp"], strict=True):
                 if (t, k) != key:
                     if len(sets) > 1:
                         yield pairs()
-                    key, nodes, sets = (t, k), [], []
+                    key, nodes, sets, fps = (t, k), [], [], []
                 nodes.append(n)
                 sets.append(np.frombuffer(h, np.uint64))
+                fps.append(np.frombuffer(f, np.uint64))
         if len(sets) > 1:
             yield pairs()
 

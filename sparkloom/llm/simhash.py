@@ -16,6 +16,9 @@ duplicates.  All of it is exact:
   over 3 doesn't link either.  The survivors are verified by popcount.  Only links that
   span a key's components are written, never all pairs.
 * Components by alternating stars over tables in the shared folder.
+
+For likeness under 0.95 or so 64 bits are too few: ``wide`` has 2048, and random references tell
+nothing apart at the radius that these need, so a PivotTable's are chosen of its own rows.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot%d" % i, 7) for i in range(16)]
 #: Keys with more fingerprints than this are split; 52-bit keys have at most that many.
 MOST = 4096
 SMALL = 32
+#: Longs of a wide fingerprint, and the constants that make them of one hash.
+WIDE = 32
+_STEPS = np.array([xxhash.xxh64_intdigest(b"wide%d" % i, 7) for i in range(WIDE)], np.uint64)
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
@@ -71,6 +77,55 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of 64 * WIDE bits of a set of hashes, as longs: a bit is 1 if set in over half of
+    them, each mixed anew for each long.  Zeros for an empty set."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit a byte's count
+        z = hashes[at : at + 255, None] + _STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def distances(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Hamming distances of wide fingerprints, one a row, to one."""
+    return np.bitwise_count(fps ^ fp).sum(axis=1, dtype=np.int16)
+
+
+class PivotTable:
+    """Wide fingerprints, one a row, with their distances to pivots, sorted by the first.
+
+    Each pivot is the row farthest from those before it, until every row lies within the radius
+    of one or there are ``most``.  A row whose distance to any pivot differs by over the radius
+    from that of what is looked for lies outside the radius, by the triangle inequality."""
+
+    def __init__(self, fps: np.ndarray, radius: int, most: int = 8):
+        pivots, at = [0], [distances(fps, fps[0])]
+        least = at[0]
+        while len(pivots) < most and least.max() > radius:
+            pivots.append(int(least.argmax()))
+            at.append(distances(fps, fps[pivots[-1]]))
+            least = np.minimum(least, at[-1])
+        self.radius, self.pivots = radius, fps[pivots]
+        self.order = np.argsort(at[0], kind="stable")
+        self.fps, self.at = fps[self.order], np.stack(at, axis=1)[self.order]
+
+    def candidates(self, fp: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Places in the table of rows, of those that may, that no pivot tells apart from fp."""
+        own = distances(self.pivots, fp)
+        low, high = np.searchsorted(self.at[:, 0], (own[0] - self.radius, own[0] + self.radius + 1))
+        places = low + np.flatnonzero(may[self.order[low:high]])
+        return places[np.abs(self.at[places] - own).max(axis=1) <= self.radius]
+
+    def near(self, fp: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Indices of the rows, of those that may, within the radius of fp."""
+        places = self.candidates(fp, may)
+        return self.order[places[distances(self.fps[places], fp) <= self.radius]]
+
+
 def masks(blocks: int, radius: int = 3) -> list[int]:
     """Signed masks of every choice of blocks - radius of the blocks."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import nearcopies
+from sparkloom.llm import nearcopies, simhash
 from tests.llm import made
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -68,5 +69,29 @@ def test_the_stage_against_brute_force(spark, monkeypatch, most, first, block):
     assert len(least) < len(set(bits))  # three words and three bits leave near copies
 
 
+def test_pivots_choose_the_pairs_that_are_verified(monkeypatch):
+    rng, texts = random.Random(3), []
+    for g in range(6):  # groups that have only their beginning in common, as nodes under a key may
+        base = " ".join(f"s{i}" for i in range(30)) + " " + " ".join(f"g{g}x{i}" for i in range(170))
+        texts += [edited(rng, base, i % 5) for i in range(12)]
+    texts = sorted({brute_set(t): t for t in texts}.values())
+    sets = [nearcopies.shingles(t) for t in texts]
+    verified, alike = [], nearcopies._alike
+    monkeypatch.setattr(nearcopies, "_alike", lambda own, sets, sizes, near: verified.append(len(near)) or alike(own, sets, sizes, near))
+    root = list(range(len(texts)))
+    for i, j in nearcopies.spanning_links(sets, np.stack([simhash.wide(s) for s in sets])):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert root == brute_groups(texts)
+    assert len(set(root)) == 6 and sum(verified) < 3 * len(texts)  # each node is asked about its own group's alone
+
+
+def test_few_hashes_alike_are_within_the_radius():
+    rng = random.Random(9)
+    for n in (5, 6, 10, 15, 20, 50):  # n hashes and the least likeness: n - n // 5 of them
+        for _ in range(300):
+            own = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+            assert simhash.distances(simhash.wide(own)[None], simhash.wide(own[n // 5 :]))[0] <= nearcopies.RADIUS
+
+
 def test_empty_tables(spark):
     assert nearcopies.keep_one(made.empty(spark)).collect() == []

@@ -115,3 +115,44 @@ def test_documents_against_brute_force(spark):
 def test_empty_tables(spark):
     assert simhash.near_duplicates(made.empty(spark)).collect() == []
     assert simhash.keep_one(made.empty(spark)).collect() == []
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 5, 255, 256, 700):
+        hashes = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        counts = [0] * 64 * simhash.WIDE
+        for h in hashes.tolist():
+            for at, step in enumerate(simhash._STEPS.tolist()):
+                z = (h + step) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+                for b in range(64):
+                    counts[64 * at + b] += z >> b & 1
+        want = [sum((counts[64 * at + b] * 2 > n) << b for b in range(64)) for at in range(simhash.WIDE)]
+        assert simhash.wide(hashes).tolist() == want
+
+
+def test_pivots_lose_nothing_within_the_radius_and_tell_the_rest_apart():
+    rng = np.random.default_rng(6)
+    bits = 64 * simhash.WIDE
+    rows = []
+    for _ in range(5):  # five groups, each within 300 bits of its centre
+        centre = rng.integers(0, 2, bits, dtype=np.uint8)
+        for _ in range(30):
+            row = centre.copy()
+            row[rng.choice(bits, rng.integers(0, 300), replace=False)] ^= 1
+            rows.append(np.packbits(row, bitorder="little").view(np.uint64))
+    fps = np.stack(rows)
+    table, every = simhash.PivotTable(fps, 492), np.ones(len(fps), bool)
+    assert len(table.pivots) == 5
+    left = 0
+    for i, fp in enumerate(fps):
+        within = np.flatnonzero(np.bitwise_count(fps ^ fp).sum(axis=1) <= 492)
+        assert sorted(table.near(fp, every).tolist()) == within.tolist()
+        assert sorted(table.near(fp, np.arange(len(fps)) % 2 == 0).tolist()) == [j for j in within.tolist() if j % 2 == 0]
+        asked = set(table.order[table.candidates(fp, every)].tolist())
+        assert set(within.tolist()) <= asked
+        left += len(asked - set(range(i // 30 * 30, i // 30 * 30 + 30)))
+    assert left <= 0.1 * len(fps) * 120  # of the pairs of two groups, few are compared
