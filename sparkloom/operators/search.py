@@ -156,10 +156,18 @@ def and_then_or(docs: DataFrame, key: str, text: str, query: list[str], k: int)
     return out.select(key, (F.col("score") * F.col("held")).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def _spaced(text: Column | str) -> Column:
+    """The words, each with a space before and after it; words themselves hold none."""
+    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+
+
 def phrase_count(text: Column | str, phrase: list[str]) -> Column:
-    """Places where the words of the phrase follow each other."""
-    t = tokens(text)
-    return F.when(F.size(t) >= len(phrase), F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (len(phrase) - 1))), lambda i: F.slice(t, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))))).otherwise(0)
+    """Places where the words of the phrase follow each other, found in one pass over the words."""
+    if not phrase:
+        return F.coalesce(F.size(tokens(text)) + 1, F.lit(0))
+    if not all(re.fullmatch(r"[^\W_]+", w) for w in phrase):
+        return F.lit(0)  # no word of a text looks like that
+    return F.coalesce(F.regexp_count(_spaced(text), F.lit(f"(?= {' '.join(phrase)} )")), F.lit(0))
 
 
 def fuzzy_match(text: Column | str, term: str) -> Column:
