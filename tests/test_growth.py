@@ -19,3 +19,13 @@ def test_phrases_take_one_pass(spark):
     assert count("of_the") == dict.fromkeys("abcde", 0)
     assert d.filter(search.matches("body", '!"of the"')).count() == 2
     assert time.time() - began < 60
+
+
+def test_query_forms_take_one_pass(spark):
+    """plain, phrase and web forms of one long text: the phrase took minutes."""
+    began = time.time()
+    d = spark.createDataFrame([("a", "word " * 20_000 + "of the"), ("b", "by the of"), ("d", None)], "id string, body string")
+    forms = (search.plain_query("the of"), search.phrase_query("of the"), search.web_query("the -by"))
+    got = {r[0]: tuple(r)[1:] for r in d.select("id", *(search.matches("body", f).alias(f"f{i}") for i, f in enumerate(forms))).collect()}
+    assert got["a"] == (True, True, True) and got["b"] == (True, False, False) and not got["d"][1]
+    assert time.time() - began < 60
