@@ -123,12 +123,17 @@ def sssp(edges: DataFrame, start) -> DataFrame:
 # Components, ranks, communities
 
 
+def fingerprint(edges: DataFrame):
+    """Number and hash of distinct edges; a sum of hashes would overflow."""
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*ENDS))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node): alternating large and small stars."""
     all_nodes = written(nodes(edges), "nodes")
     e = written(simple(edges), "star")
     was = None
-    while (now := e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64(*ENDS), F.lit(1 << 40)))).first()) != was and now[0]:
+    while (now := fingerprint(e)) != was and now[0]:
         was = now
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
