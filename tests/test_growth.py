@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -37,3 +38,37 @@ def test_many_edges_have_a_fingerprint(spark):
     e = spark.range(20_000_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert G.fingerprint(e)[0] == 20_000_000
     assert G.fingerprint(e) != G.fingerprint(e.filter("src > 0"))
+
+
+def ring(spark, n: int):
+    return spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+
+
+def quick(f):
+    """What f gives in under a minute; by rounds over all levels these took many."""
+    began = time.time()
+    out = f()
+    assert time.time() - began < 60
+    return out
+
+
+def test_betweenness_of_a_long_ring(spark):
+    n = 601
+    rows = quick(lambda: G.betweenness(ring(spark, n)).collect())
+    assert len(rows) == n and all(abs(r["betweenness"] - 300 * 299 / 2) < 1e-6 for r in rows)
+
+
+def test_betweenness_beyond_a_task(spark, monkeypatch):
+    """Components of over LOCAL edges go by rounds, with the same sums; so do samples of sources."""
+    rng = random.Random(3)
+    e = spark.createDataFrame([*((rng.randrange(20), rng.randrange(20)) for _ in range(30)), (50, 51), (51, 52), (60, 60)], "src long, dst long")
+    some = spark.createDataFrame([(0,), (50,), (99,)], "node long")
+    ends = lambda: [{r[0]: [round(x, 9) for x in r[1:]] for r in df.collect()} for df in (G.betweenness(e), G.betweenness(e, some), G.closeness(e), G.closeness(e, some, "out"), G.diameter(e, exact=True))]
+    in_tasks = ends()
+    monkeypatch.setattr(G.allpairs, "LOCAL", 3)
+    monkeypatch.setattr(G, "MERGED", 2)
+    assert ends() == in_tasks
+    monkeypatch.setattr(G.allpairs, "LOCAL", 4_000_000)
+    monkeypatch.setattr(G.allpairs, "WORK", 20)
+    monkeypatch.setattr(G.allpairs, "BLOCK", 40)
+    assert ends() == in_tasks
