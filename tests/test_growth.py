@@ -72,3 +72,7 @@ def test_betweenness_beyond_a_task(spark, monkeypatch):
     monkeypatch.setattr(G.allpairs, "WORK", 20)
     monkeypatch.setattr(G.allpairs, "BLOCK", 40)
     assert ends() == in_tasks
+
+
+def test_diameter_of_a_long_ring(spark):
+    assert tuple(quick(lambda: G.diameter(ring(spark, 601), exact=True).first())) == (300, 300)
