@@ -76,3 +76,8 @@ def test_betweenness_beyond_a_task(spark, monkeypatch):
 
 def test_diameter_of_a_long_ring(spark):
     assert tuple(quick(lambda: G.diameter(ring(spark, 601), exact=True).first())) == (300, 300)
+
+
+def test_closeness_of_a_long_ring(spark):
+    rows = quick(lambda: G.closeness(ring(spark, 601)).collect())
+    assert len(rows) == 601 and all(abs(r["closeness"] - 600 / (300 * 301)) < 1e-12 for r in rows)
