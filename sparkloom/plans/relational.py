@@ -178,7 +178,16 @@ def _(t):
 
 
 # Further forms
-sql_query("lateral_aggregate", "SELECT c.c_custkey, x.n, x.most FROM customer c, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10) x")
+@query("lateral_aggregate", "SELECT c.c_custkey, x.n, x.most FROM customer c, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10) x")
+def _(t):
+    """Orders meet their customer by key, and are combined before the customers' rows get them: Spark plans the
+    subquery's comparison with the outer row as a nested loop."""
+    own = t.customer.select("c_custkey", "c_acctbal")
+    hits = t.orders.join(own.distinct(), (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > F.col("c_acctbal") * 10))
+    hits = hits.groupBy("c_custkey", "c_acctbal").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    return own.join(hits, ["c_custkey", "c_acctbal"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "most")
+
+
 sql_query("join_natural", "SELECT n_name, n FROM nation NATURAL JOIN (SELECT n_nationkey, count(*) AS n FROM nation GROUP BY n_nationkey) x")
 sql_query("join_comma", "SELECT r_name, count(*) AS n FROM region, nation WHERE r_regionkey = n_regionkey GROUP BY r_name")
 sql_query("subquery_not_exists", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50)")

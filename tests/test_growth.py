@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as G
 from sparkloom.operators import search
+from sparkloom.plans import all_queries
 
 
 def test_phrases_take_one_pass(spark):
@@ -81,3 +82,14 @@ def test_diameter_of_a_long_ring(spark):
 def test_closeness_of_a_long_ring(spark):
     rows = quick(lambda: G.closeness(ring(spark, 601)).collect())
     assert len(rows) == 601 and all(abs(r["closeness"] - 600 / (300 * 301)) < 1e-12 for r in rows)
+
+
+def test_lateral_aggregate_joins_by_key(spark, tmp_path):
+    """The subquery's comparison was a nested loop over all pairs of customers and orders."""
+    c = spark.createDataFrame([(1, 10.0), (1, 10.0), (2, None), (3, float("nan")), (None, 1.0), (4, -5.0)], "c_custkey long, c_acctbal double")
+    o = spark.createDataFrame([(1, 101.0), (1, 99.0), (1, 300.0), (2, 5.0), (3, 5.0), (4, -49.0), (None, 7.0)], "o_custkey long, o_totalprice double")
+    c.write.parquet(f"{tmp_path}/customer.parquet")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    df = all_queries()["lateral_aggregate"](spark, str(tmp_path))
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, 2, 300.0), (1, 2, 300.0), (2, 0, None), (3, 0, None), (None, 0, None), (4, 1, -49.0)], key=str)
