@@ -60,10 +60,16 @@ def _attribute(key, value):
     return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
 
 
+#: Events of a row that a partition gives to a request.
+REQUEST = 1000
+
+
 def _otlp(t, outer, scopes, inner, items):
-    """A JSON file of OTLP: a resource (service) for each event type, its items from events."""
+    """JSON files of OTLP: requests of a resource (service) for an event type, each with up to REQUEST items from
+    events, as exporters send them: no request grows with the input."""
     resource = F.struct(F.array(_attribute("service.name", F.col("event_type"))).alias("attributes"))
-    own = t.events.groupBy("event_type").agg(F.collect_list(items).alias("items"))
+    some = t.events.withColumn("_batch", F.floor(F.monotonically_increasing_id() / REQUEST))
+    own = some.groupBy("event_type", "_batch").agg(F.collect_list(items).alias("items"))
     body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.col("items").alias(inner))).alias(scopes))).alias(outer))
     path = fresh_path(t.spark, outer)
     own.select(F.to_json(body).alias("value")).write.text(path)

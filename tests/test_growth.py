@@ -7,9 +7,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from sparkloom.catalog import Tables
 from sparkloom.operators import graph as G
 from sparkloom.operators import search
-from sparkloom.plans import all_queries
+from sparkloom.plans import all_queries, wires
 
 
 def test_phrases_take_one_pass(spark):
@@ -93,3 +94,15 @@ def test_lateral_aggregate_joins_by_key(spark, tmp_path):
     df = all_queries()["lateral_aggregate"](spark, str(tmp_path))
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, 2, 300.0), (1, 2, 300.0), (2, 0, None), (3, 0, None), (None, 0, None), (4, 1, -49.0)], key=str)
+
+
+def test_otlp_requests_are_bounded(spark, folder, monkeypatch):
+    """All events of a type were one row of JSON, which grew with the input."""
+    monkeypatch.setattr(wires, "REQUEST", 50)
+    t = Tables(spark, folder)
+    kinds = {}
+    for batch in ("resourceSpans",):
+        path = wires._otlp(t, batch, "scopes", "items", F.struct("event_id"))
+        found = spark.read.text(path).select(F.regexp_count("value", F.lit('"event_id"')).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        kinds[batch] = (found[0] <= 50, found[1])
+    assert set(kinds.values()) == {(True, t.events.count())}
