@@ -101,7 +101,7 @@ def test_otlp_requests_are_bounded(spark, folder, monkeypatch):
     monkeypatch.setattr(wires, "REQUEST", 50)
     t = Tables(spark, folder)
     kinds = {}
-    for batch in ("resourceSpans",):
+    for batch in ("resourceSpans", "resourceMetrics"):
         path = wires._otlp(t, batch, "scopes", "items", F.struct("event_id"))
         found = spark.read.text(path).select(F.regexp_count("value", F.lit('"event_id"')).alias("n")).agg(F.max("n"), F.sum("n")).first()
         kinds[batch] = (found[0] <= 50, found[1])
