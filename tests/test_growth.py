@@ -106,3 +106,13 @@ def test_otlp_requests_are_bounded(spark, folder, monkeypatch):
         found = spark.read.text(path).select(F.regexp_count("value", F.lit('"event_id"')).alias("n")).agg(F.max("n"), F.sum("n")).first()
         kinds[batch] = (found[0] <= 50, found[1])
     assert set(kinds.values()) == {(True, t.events.count())}
+
+
+def test_daily_sketches_are_exact(spark, tmp_path):
+    """HyperLogLog estimates missed the count of many users."""
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") % 7) * 86400)
+    e = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, (F.col("id") * 7919) % 40_000).alias("user_id"), ts.alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_type"]: (r["users"], r["days"]) for r in all_queries()["continuous_aggregate_sketches"](spark, str(tmp_path)).collect()}
+    want = {r[0]: (r[1], r[2]) for r in e.groupBy("event_type").agg(F.count_distinct("user_id"), F.count_distinct(F.to_date("ts"))).collect()}
+    assert got == want
