@@ -411,9 +411,9 @@ def st_contains(a, b) -> Column:
     return _udf(contains, T.BooleanType(), a, b)
 
 
-def st_holds(shape, lng, lat) -> Column:
+def st_holds(shape, lng, lat, border: bool = False) -> Column:
     """st_contains of a point given by its coordinates: a batch's points are held against each different
-    shape at once."""
+    shape at once.  With ``border``, points on it are held too (a hole's border as well)."""
 
     @F.pandas_udf(T.BooleanType())
     def run(shapes: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -424,25 +424,33 @@ def st_holds(shape, lng, lat) -> Column:
             g, i = parse(text), at.to_numpy()
             polys = _parts(g)[2]
             if polys:
-                out[i] = np.any([_strictly_inside(p, x[i], y[i]) for p in polys], axis=0)
+                out[i] = np.any([_inside(p, x[i], y[i], border) for p in polys], axis=0)
             else:
-                out[i] = [contains(g, {"type": "Point", "coordinates": [a, b]}) for a, b in zip(x[i], y[i], strict=True)]
+                holds = _covers if border else lambda g, p: contains(g, {"type": "Point", "coordinates": p})
+                out[i] = [holds(g, [a, b]) for a, b in zip(x[i], y[i], strict=True)]
         return pd.Series(out)
 
     return run(_col(shape), _col(lng), _col(lat))
 
 
-def _strictly_inside(poly: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Points inside a polygon, its holes and borders left out."""
-    odd, border = np.zeros(len(x), bool), np.zeros(len(x), bool)
+def st_covers(shape, lng, lat) -> Column:
+    """Whether a point given by its coordinates is in a shape or on its border."""
+    return st_holds(shape, lng, lat, True)
+
+
+def _inside(poly: list, x: np.ndarray, y: np.ndarray, border: bool) -> np.ndarray:
+    """Points inside a polygon, not in its holes; those on borders as ``border`` says.  An edge along an axis
+    is met exactly, a slanted one within rounding."""
+    odd, on = np.zeros(len(x), bool), np.zeros(len(x), bool)
     for ring in poly:
         for (ax, ay, *_), (bx, by, *_) in zip(ring, ring[1:], strict=False):
             cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-            near = np.abs(cross) <= 1e-12 * (1 + abs(bx - ax) + abs(by - ay))
-            border |= near & (min(ax, bx) - 1e-12 <= x) & (x <= max(ax, bx) + 1e-12) & (min(ay, by) - 1e-12 <= y) & (y <= max(ay, by) + 1e-12)
+            slack = 0.0 if border and (ax == bx or ay == by) else 1e-12
+            near = np.abs(cross) <= slack * (1 + abs(bx - ax) + abs(by - ay))
+            on |= near & (min(ax, bx) - slack <= x) & (x <= max(ax, bx) + slack) & (min(ay, by) - slack <= y) & (y <= max(ay, by) + slack)
             if ay != by:
                 odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    return odd & ~border
+    return odd | on if border else odd & ~on
 
 
 def st_within(a, b) -> Column:
@@ -555,7 +563,7 @@ def near_join(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
 
 
 def region_join(points: DataFrame, regions: DataFrame, shape: str, cell: float = 1.0) -> DataFrame:
-    """points(lng, lat, ..) with each region whose geometry holds the point: regions go to the
+    """points(lng, lat, ..) with each region whose geometry holds the point, its border too: regions go to the
     grid cells of ``cell`` degrees that their envelopes meet, points to theirs."""
 
     @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in "wsen"]))
@@ -569,4 +577,4 @@ def region_join(points: DataFrame, regions: DataFrame, shape: str, cell: float =
     p = points.withColumn("_x", at(F.col("lng"))).withColumn("_y", at(F.col("lat")))
     inside = F.col("lng").between(F.col("_b.w"), F.col("_b.e")) & F.col("lat").between(F.col("_b.s"), F.col("_b.n"))
     j = p.join(r, ["_x", "_y"]).filter(inside)
-    return j.filter(st_holds(shape, "lng", "lat")).drop("_x", "_y", "_b")
+    return j.filter(st_covers(shape, "lng", "lat")).drop("_x", "_y", "_b")

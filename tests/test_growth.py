@@ -8,9 +8,10 @@ import time
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import Tables
+from sparkloom.functions import spatial
 from sparkloom.operators import graph as G
 from sparkloom.operators import search
-from sparkloom.plans import all_queries, wires
+from sparkloom.plans import all_queries, spatials, wires
 
 
 def test_phrases_take_one_pass(spark):
@@ -116,3 +117,12 @@ def test_daily_sketches_are_exact(spark, tmp_path):
     got = {r["event_type"]: (r["users"], r["days"]) for r in all_queries()["continuous_aggregate_sketches"](spark, str(tmp_path)).collect()}
     want = {r[0]: (r[1], r[2]) for r in e.groupBy("event_type").agg(F.count_distinct("user_id"), F.count_distinct(F.to_date("ts"))).collect()}
     assert got == want
+
+
+def test_borders_are_covered(spark):
+    """Points on a border were left out, and those within rounding of it, where SQL's BETWEEN has them exactly."""
+    at = [(-30.0, 0.0, True), (60.0, 35.0, True), (5.0, 10.0, True), (5.0, 5.0, False), (60.0, 35.00000000000001, False), (-30.000000000000004, 1.0, False), (1.0, 34.99999999999999, True)]
+    d = spark.createDataFrame(at, "lng double, lat double, held boolean")
+    rows = d.select("held", spatial.st_covers(F.lit(spatials.BOX), "lng", "lat").alias("got"), spatial.st_holds(F.lit(spatials.BOX), "lng", "lat").alias("strict")).collect()
+    assert [r["got"] for r in rows] == [r["held"] for r in rows]
+    assert [r["strict"] for r in rows] == [False] * len(rows)
