@@ -126,3 +126,9 @@ def test_borders_are_covered(spark):
     rows = d.select("held", spatial.st_covers(F.lit(spatials.BOX), "lng", "lat").alias("got"), spatial.st_holds(F.lit(spatials.BOX), "lng", "lat").alias("strict")).collect()
     assert [r["got"] for r in rows] == [r["held"] for r in rows]
     assert [r["strict"] for r in rows] == [False] * len(rows)
+
+
+def test_region_join_has_borders(spark):
+    p = spark.createDataFrame([(0.0, 0.0), (30.0, 20.0), (30.000000000000004, 20.0), (10.0, 5.0)], "lng double, lat double")
+    r = spark.createDataFrame([("POLYGON((0 0, 30 0, 30 20, 0 20, 0 0))",)], "shape string")
+    assert sorted((x["lng"], x["lat"]) for x in spatial.region_join(p, r, "shape", 10.0).collect()) == [(0.0, 0.0), (10.0, 5.0), (30.0, 20.0)]
