@@ -205,13 +205,13 @@ def _(t):
 
 @query("vector_optimized_product", _EXACT5)
 def _(t):
-    """Product codes of vectors rotated to balanced principal directions."""
+    """Product codes of vectors rotated to balanced principal directions, with their errors: exact."""
     r = V.balanced_rotation(t.embeddings, "embedding", 8, "vec_id")
     turned = t.embeddings.withColumn("turned", V.rotated("embedding", r))
     books = V.product_codebooks(turned, "turned", key="vec_id")
-    coded = turned.withColumn("codes", V.product_codes("turned", books))
+    coded = turned.withColumn("codes", V.product_codes("turned", books)).withColumn("error", V.product_errors("turned", books))
     q = (np.asarray(Q) @ r).tolist()
-    return V.product_topk(coded, "turned", "codes", books, q, 5, "vec_id", oversample=40).select("vec_id", F.round("distance", 6).alias("d"))
+    return V.product_topk(coded, "turned", "codes", books, q, 5, "vec_id", oversample=40, error="error").select("vec_id", F.round("distance", 6).alias("d"))
 
 
 @query("multi_vector_pruned", f"WITH q AS (SELECT * FROM (VALUES (0, {QL}), (1, {QL2})) v(q, qv)), s AS (SELECT e.vec_id % 20 AS doc, q.q, max(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.qv)) AS s FROM embeddings e, q GROUP BY 1, 2) SELECT doc, round(sum(s), 6) AS score FROM s GROUP BY doc ORDER BY sum(s) DESC, doc LIMIT 5")

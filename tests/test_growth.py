@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import Tables
 from sparkloom.functions import spatial
 from sparkloom.operators import graph as G
 from sparkloom.operators import search
+from sparkloom.operators import vector as V
 from sparkloom.plans import all_queries, spatials, wires
 
 
@@ -132,3 +134,21 @@ def test_region_join_has_borders(spark):
     p = spark.createDataFrame([(0.0, 0.0), (30.0, 20.0), (30.000000000000004, 20.0), (10.0, 5.0)], "lng double, lat double")
     r = spark.createDataFrame([("POLYGON((0 0, 30 0, 30 20, 0 20, 0 0))",)], "shape string")
     assert sorted((x["lng"], x["lat"]) for x in spatial.region_join(p, r, "shape", 10.0).collect()) == [(0.0, 0.0), (10.0, 5.0), (30.0, 20.0)]
+
+
+def cloud(spark, n: int):
+    """Vectors of nearly random directions, of which short codes know little, and the true five next to a query."""
+    x, q = np.random.default_rng(11).normal(size=(n, 64)), np.random.default_rng(12).normal(size=64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    return df, q.tolist(), np.argsort(((x - q) ** 2).sum(1), kind="stable")[:5].tolist()
+
+
+def test_balanced_product_search_is_whole(spark):
+    """With one candidate a result, codes alone miss neighbours."""
+    df, q, best = cloud(spark, 600)
+    r = V.balanced_rotation(df, "v", 8, "id")
+    turned = df.withColumn("t", V.rotated("v", r))
+    books = V.product_codebooks(turned, "t", codes=4, key="id")
+    coded = turned.withColumn("c", V.product_codes("t", books)).withColumn("e", V.product_errors("t", books))
+    found = lambda **more: [x["id"] for x in V.product_topk(coded, "t", "c", books, (np.asarray(q) @ r).tolist(), 5, "id", 1, **more).collect()]
+    assert found() != best and found(error="e") == best
