@@ -223,9 +223,9 @@ def _(t):
 @query("vector_product_rerank", f"SELECT vec_id, round({_METRICS['l2']}, 6) AS d FROM embeddings ORDER BY {_METRICS['l2']}, vec_id LIMIT 5")
 def _(t):
     books = V.product_codebooks(t.embeddings, "embedding", key="vec_id")
-    coded = t.embeddings.withColumn("codes", V.product_codes("embedding", books))
-    # the nearest five are among those that the codes find: 200 of them are looked at
-    return V.product_topk(coded, "embedding", "codes", books, Q, 5, "vec_id", oversample=40).select("vec_id", F.round("distance", 6).alias("d"))
+    coded = t.embeddings.withColumn("codes", V.product_codes("embedding", books)).withColumn("error", V.product_errors("embedding", books))
+    # 200 of those that the codes find are looked at first, then those that the errors don't rule out
+    return V.product_topk(coded, "embedding", "codes", books, Q, 5, "vec_id", oversample=40, error="error").select("vec_id", F.round("distance", 6).alias("d"))
 
 
 _TERNARY = "list_transform({v}, lambda x: CASE WHEN abs(x) < list_sum(list_transform({v}, lambda y: abs(y))) / 64 * 0.5 THEN 0 ELSE sign(x) END)"

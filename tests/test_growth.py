@@ -152,3 +152,11 @@ def test_balanced_product_search_is_whole(spark):
     coded = turned.withColumn("c", V.product_codes("t", books)).withColumn("e", V.product_errors("t", books))
     found = lambda **more: [x["id"] for x in V.product_topk(coded, "t", "c", books, (np.asarray(q) @ r).tolist(), 5, "id", 1, **more).collect()]
     assert found() != best and found(error="e") == best
+
+
+def test_product_search_of_few_rows_is_whole(spark):
+    df, q, best = cloud(spark, 600)
+    books = V.product_codebooks(df, "v", codes=4, key="id")
+    coded = df.withColumn("c", V.product_codes("v", books)).withColumn("e", V.product_errors("v", books))
+    assert [x["id"] for x in V.product_topk(coded, "v", "c", books, q, 5, "id", 1, "e").collect()] == best
+    assert V.product_topk(coded.filter("id < 3"), "v", "c", books, q, 5, "id", 1, "e").count() == 3
