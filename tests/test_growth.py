@@ -167,3 +167,17 @@ def test_sign_search_is_whole(spark):
     for r in (None, V.rotation(64)):
         rows = V.sign_codes(df, "v", np.zeros(64), r)
         assert [x["id"] for x in V.sign_topk(rows, "v", q, np.zeros(64), 5, "id", 1, r).collect()] == best
+
+
+def uses(spark, tmp_path, monkeypatch, f) -> int:
+    """How many of the tables that f(edges) writes, and its result, are made from the edges' own files."""
+    path, seen = f"{tmp_path}/e", []
+    spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0), (2, 3, 0.5)], "src long, dst long, weight double").write.parquet(path)
+    real = G.written
+    monkeypatch.setattr(G, "written", lambda df, name: (seen.append(df), real(df, name))[1])
+    seen.append(f(spark.read.parquet(path)))
+    return sum(any(x.startswith(f"file:{path}") or x.startswith(f"file://{path}") for x in df.inputFiles()) for df in seen)
+
+
+def test_shortest_paths_make_edges_once(spark, tmp_path, monkeypatch):
+    assert uses(spark, tmp_path, monkeypatch, lambda e: G.sssp(e, 0)) == 1
