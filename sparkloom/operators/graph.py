@@ -58,18 +58,27 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int | None = None, direction:
     seed: source, node, depth.  Each hop joins the frontier alone against edges and drops what
     was seen."""
     e = directed(edges.select(*ENDS), direction).distinct()
+    if hops is None or hops > 2:  # a table: each hop would make the edges again
+        e = written(e, "edges")
+    return _walked(e, seeds, hops, direction, source)
+
+
+def _walked(e: DataFrame, seeds: DataFrame, hops: int | None = None, direction: str = "both", source: bool = False) -> DataFrame:
+    """bfs over distinct edges that are directed as they are followed."""
     own = [F.col("node").alias("source")] if source else []
     key = ["source", "node"] if source else ["node"]
     seen = written(seeds.select(*own, "node", F.lit(0).alias("depth")).distinct(), "bfs0")
     frontier, parts = seen, [seen]
     for depth in itertools.count(1) if hops is None else range(1, hops + 1):
+        # without direction a step leads to the level before, the same or a new one
+        known = parts[-2:] if direction == "both" else parts
         step = frontier.join(e, frontier["node"] == e["src"]).select(*key[:-1], F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(_all(parts).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)), f"bfs{depth}")
+        frontier = written(step.join(_all(known).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)), f"bfs{depth}")
         if frontier.isEmpty():
             break
         parts.append(frontier)
-        if len(parts) > MERGED:  # a long walk's levels become one table now and then
-            parts = [written(_all(parts), f"seen{depth}")]
+        if len(parts) > MERGED + 2:  # a long walk's levels become one table now and then; the last two stay
+            parts = [written(_all(parts[:-2]), f"seen{depth}"), *parts[-2:]]
     return _all(parts)
 
 
@@ -206,12 +215,14 @@ def _triangle_list(edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """node, triangles of every node."""
+    edges = written(edges.select(*ENDS).distinct(), "edges")  # made once, not for each of its uses
     per = _triangle_list(edges).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     return nodes(edges).join(per, "node", "left").fillna(0, ["triangles"])
 
 
 def local_clustering(edges: DataFrame) -> DataFrame:
     """node, lcc: 2 * triangles / (degree * (degree - 1)); 0 where the degree is under 2."""
+    edges = written(edges.select(*ENDS).distinct(), "edges")
     degree = directed(simple(edges), "both").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
     d = F.col("d")
     lcc = F.when(d >= 2, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0))
@@ -349,10 +360,11 @@ def diameter(edges: DataFrame, exact: bool = False) -> DataFrame:
     by a double sweep from the least node."""
     if exact:
         return _distances(edges, None).agg(F.max("far").alias("diameter"), F.min("far").alias("radius"))
-    seed = nodes(edges).agg(F.min("node").alias("node"))
-    far = written(bfs(edges, seed, None, "both"), "sweep")
+    e = written(directed(edges.select(*ENDS), "both").distinct(), "edges")
+    seed = e.agg(F.min("src").alias("node"))
+    far = written(_walked(e, seed), "sweep")
     end = far.agg(F.max_by("node", F.struct("depth", "node")).alias("node"))
-    return bfs(edges, end, None, "both").agg(F.max("depth").alias("diameter"), F.ceil(F.max("depth") / 2).cast("int").alias("radius"))
+    return _walked(e, end).agg(F.max("depth").alias("diameter"), F.ceil(F.max("depth") / 2).cast("int").alias("radius"))
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 10) -> DataFrame:

@@ -181,3 +181,9 @@ def uses(spark, tmp_path, monkeypatch, f) -> int:
 
 def test_shortest_paths_make_edges_once(spark, tmp_path, monkeypatch):
     assert uses(spark, tmp_path, monkeypatch, lambda e: G.sssp(e, 0)) == 1
+
+
+def test_sweeps_make_edges_once(spark, tmp_path, monkeypatch):
+    assert uses(spark, tmp_path, monkeypatch, G.diameter) == 1
+    t = spark.createDataFrame([(0,)], "node long")
+    assert uses(spark, tmp_path / "two", monkeypatch, lambda e: G.bfs(e, t)) == 1
