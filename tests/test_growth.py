@@ -187,3 +187,9 @@ def test_sweeps_make_edges_once(spark, tmp_path, monkeypatch):
     assert uses(spark, tmp_path, monkeypatch, G.diameter) == 1
     t = spark.createDataFrame([(0,)], "node long")
     assert uses(spark, tmp_path / "two", monkeypatch, lambda e: G.bfs(e, t)) == 1
+
+
+def test_estimates_are_apart_from_exact_counts(spark, folder):
+    """One aggregation of both kept the estimate's registers for each key."""
+    plan = all_queries()["estimate_count"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "keys=[o_custkey" in x]
