@@ -108,17 +108,19 @@ class Array:
         if len(self.dims) != 2:
             raise ValueError("the curve is over two dimensions")
         (a, (alo, _)), (b, (blo, _)) = self.dims.items()
-        # the curve is a fold over the bits from the highest: a state (x, y, d) that turns quadrants
-        bit = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-        start = F.struct((F.col(a) - alo).cast("long").alias("x"), (F.col(b) - blo).cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-
-        def step(s: Column, k: Column) -> Column:
-            size = F.pow(F.lit(2.0), k).cast("long")
-            rx, ry = F.floor(s["x"] / size) % 2, F.floor(s["y"] / size) % 2
-            d = s["d"] + size * size * F.when(rx == 1, F.when(ry == 1, F.lit(2)).otherwise(F.lit(3))).otherwise(F.when(ry == 1, F.lit(1)).otherwise(F.lit(0)))
-            x, y = s["x"] % size, s["y"] % size
-            flip = (ry == 0) & (rx == 1)
-            fx, fy = F.when(flip, size - 1 - x).otherwise(x), F.when(flip, size - 1 - y).otherwise(y)
-            return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.cast("long").alias("d"))
-
-        return F.aggregate(bit, start, step)["d"]
+        # bits from the highest choose a quadrant each; the ends are then swapped (2) or complemented (1) for the bits
+        # below, so that a state of two bits and the pair of bits look up the digit and the next state in a long
+        digits, after = 0, 0
+        for i in range(16):
+            swap, flip, bit = i >> 3, i >> 2 & 1, (i >> 1 & 1, i & 1)
+            rx, ry = (bit[::-1] if swap else bit)[0] ^ flip, (bit[::-1] if swap else bit)[1] ^ flip
+            digits |= ((3 * rx) ^ ry) << 2 * i
+            after |= (2 * (swap ^ (ry == 0)) + (flip ^ (ry == 0 and rx == 1))) << 2 * i
+        x, y = (F.col(a) - alo).cast("long"), (F.col(b) - blo).cast("long")
+        one, three = F.lit(1).cast("long"), F.lit(3).cast("long")
+        found = lambda table, i: F.call_function("shiftright", F.lit(table).cast("long"), i).bitwiseAND(three)
+        state, d = F.lit(0).cast("long"), F.lit(0).cast("long")
+        for k in range(bits - 1, -1, -1):
+            at = ((state * 4 + F.shiftright(x, k).bitwiseAND(one) * 2 + F.shiftright(y, k).bitwiseAND(one)) * 2).cast("int")
+            state, d = found(after, at), d.bitwiseOR(F.shiftleft(found(digits, at), 2 * k))
+        return d

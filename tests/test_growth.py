@@ -13,6 +13,7 @@ from sparkloom.functions import spatial
 from sparkloom.operators import graph as G
 from sparkloom.operators import search
 from sparkloom.operators import vector as V
+from sparkloom.operators.ndarray import Array
 from sparkloom.plans import all_queries, spatials, wires
 
 
@@ -193,3 +194,23 @@ def test_estimates_are_apart_from_exact_counts(spark, folder):
     """One aggregation of both kept the estimate's registers for each key."""
     plan = all_queries()["estimate_count"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "keys=[o_custkey" in x]
+
+
+def test_hilbert_places_are_generated_code(spark):
+    """A fold over the bits ran outside of generated code, a row's bits at a time."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(1 << 16), rng.randrange(1 << 16)) for _ in range(200)]
+    a = Array(spark.createDataFrame(rows, "x long, y long"), {"x": (0, (1 << 16) - 1), "y": (0, (1 << 16) - 1)}, [])
+
+    def place(x, y, d=0):
+        for k in range(15, -1, -1):
+            size = 1 << k
+            rx, ry = x >> k & 1, y >> k & 1
+            d, x, y = d + size * size * ((3 * rx) ^ ry), x % size, y % size
+            if ry == 0:
+                x, y = (size - 1 - y, size - 1 - x) if rx else (y, x)
+        return d
+
+    df = a.cells.withColumn("h", a.hilbert(16))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["h"] == place(r["x"], r["y"]) for r in df.collect())
