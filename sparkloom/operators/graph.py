@@ -207,10 +207,13 @@ def _ranked(edges: DataFrame) -> DataFrame:
 
 
 def _triangle_list(edges: DataFrame) -> DataFrame:
+    """x, y, z of each triangle: an edge's ends compare their lists of higher neighbours, which no degree makes
+    longer than sqrt(2 * edges), so that pairs of neighbours aren't rows of a shuffle."""
     e = _ranked(edges)
-    a, b = e.select(F.col("src").alias("x"), F.col("dst").alias("y")), e.select(F.col("src").alias("x"), F.col("dst").alias("z"))
-    wedges = a.join(b, "x").filter("y <> z")
-    return wedges.join(e, (F.col("y") == F.col("src")) & (F.col("z") == F.col("dst")), "left_semi")
+    above = written(e.groupBy(F.col("src").alias("x")).agg(F.collect_list("dst").alias("above")), "above")
+    own = above.select("x", F.col("above").alias("zs"), F.explode("above").alias("y"))
+    both = own.join(above.select(F.col("x").alias("y"), F.col("above").alias("others")), "y")
+    return both.select("x", "y", F.explode(F.array_intersect("zs", "others")).alias("z"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

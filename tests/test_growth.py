@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import Tables
@@ -214,3 +215,7 @@ def test_hilbert_places_are_generated_code(spark):
     df = a.cells.withColumn("h", a.hilbert(16))
     assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert all(r["h"] == place(r["x"], r["y"]) for r in df.collect())
+
+
+def test_clustering_makes_edges_once(spark, tmp_path, monkeypatch):
+    assert uses(spark, tmp_path, monkeypatch, G.local_clustering) == 1
