@@ -517,21 +517,83 @@ def valid(a) -> Column:
     return _udf(is_valid, T.BooleanType(), a)
 
 
+def _cells(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rows of geohashes of one size."""
+    text = np.frombuffer("".join(codes).encode("latin-1", "replace"), np.uint8).reshape(-1, size)
+    digits = _DIGITS[text]
+    if (digits < 0).any():
+        raise ValueError("no geohash")
+    xy = [np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)]
+    for b in range(5 * size):
+        xy[b % 2] = xy[b % 2] * 2 + (digits[:, b // 5] >> (4 - b % 5) & 1)
+    return xy[0], xy[1]
+
+
+def _codes(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    n = 5 * size
+    xb, yb = (n + 1) // 2, n // 2
+    out = np.zeros((len(x), size), np.int64)
+    for b in range(n):
+        out[:, b // 5] = out[:, b // 5] * 2 + (x >> (xb - 1 - b // 2) & 1 if b % 2 == 0 else y >> (yb - 1 - b // 2) & 1)
+    letters = np.frombuffer(_BASE32.encode(), np.uint8)[out]
+    return np.ascontiguousarray(letters).view(f"S{size}").ravel().astype(str)
+
+
+#: The digit of a character, -1 if it has none.
+_DIGITS = np.full(256, -1, np.int64)
+_DIGITS[np.frombuffer(_BASE32.encode(), np.uint8)] = np.arange(32)
+#: Sizes whose cells are whole numbers of a long.
+WHOLE = 12
+
+
+def _by_size(x: pd.Series, f) -> pd.Series:
+    """f(codes, size) of a batch's codes of each size at once; null and empty texts are left to f by themselves."""
+    out = np.full(len(x), None, object)
+    known = x.notna().to_numpy()
+    sizes = x.str.len().where(known, 0).to_numpy().astype(int)
+    for size in np.unique(sizes[known]):
+        at = np.flatnonzero(known & (sizes == size))
+        made = np.empty(len(at), object)
+        made[:] = f(x.to_numpy()[at], int(size))
+        out[at] = made
+    return pd.Series(out)
+
+
+def _around(codes: np.ndarray, size: int) -> list[list[str]]:
+    if not 0 < size <= WHOLE:
+        return [_neighbors(c) for c in codes]
+    x, y = _cells(codes, size)
+    xs, ys = 1 << (5 * size + 1) // 2, 1 << 5 * size // 2
+    steps = [(i, j) for j in (1, 0, -1) for i in (-1, 0, 1) if i or j]
+    found = np.stack([_codes((x + i) % xs, (y + j) % ys, size) for i, j in steps], axis=1).tolist()
+    for r in np.flatnonzero((y == 0) | (y == ys - 1)):  # none beyond a pole
+        found[r] = [c for c, (_, j) in zip(found[r], steps, strict=True) if 0 <= y[r] + j < ys]
+    return found
+
+
 def geohash_neighbors(code: Column | str) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda c: None if c is None else _neighbors(c))
+        return _by_size(x, _around)
 
     return run(_col(code))
 
 
+def _middles(codes: np.ndarray, size: int) -> list[tuple[float, float]]:
+    if not 0 < size <= WHOLE:
+        return [((w + e) / 2, (s + n) / 2) for w, s, e, n in map(geohash_bounds, codes)]
+    x, y = _cells(codes, size)
+    xs, ys = 1 << (5 * size + 1) // 2, 1 << 5 * size // 2
+    return list(zip(((x + 0.5) * 360 / xs - 180).tolist(), ((y + 0.5) * 180 / ys - 90).tolist(), strict=True))
+
+
 def geohash_decode(code: Column | str) -> Column:
     """struct(lng, lat) of the cell's middle."""
 
     @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("lng", "lat")]))
     def run(x: pd.Series) -> pd.DataFrame:
-        b = [geohash_bounds(c) for c in x]
-        return pd.DataFrame({"lng": [(w + e) / 2 for w, _, e, _ in b], "lat": [(s + n) / 2 for _, s, _, n in b]})
+        b = [p or (None, None) for p in _by_size(x, _middles)]
+        return pd.DataFrame({"lng": [p[0] for p in b], "lat": [p[1] for p in b]}, dtype=float)
 
     return run(_col(code))
 

@@ -227,3 +227,21 @@ def test_triangles_are_found_without_rows_of_pairs(spark):
     found = G._triangle_list(e)
     assert sorted({x for r in found.collect() for x in r}) == [0, 1, *range(1000, 1030)] and found.count() == 30
     assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_geohashes_are_read_by_batches(spark):
+    """Each code's eight neighbours were made bit by bit; now a batch's at once, with the same results."""
+    rng = random.Random(9)
+    codes = ["".join(rng.choice(spatial._BASE32) for _ in range(n)) for n in (1, 2, 5, 5, 6, 9, 12, 13) for _ in range(20)] + ["00000", "bpbpb", "zzzzz", "pbpbp", None]
+    d = spark.createDataFrame([(c,) for c in codes], "h string")
+    rows = d.select("h", spatial.geohash_neighbors("h").alias("n"), spatial.geohash_decode("h").alias("p")).collect()
+    for r in rows:
+        if r["h"] is None:
+            assert r["n"] is None
+            continue
+        w, s, e, n = spatial.geohash_bounds(r["h"])
+        assert r["n"] == spatial._neighbors(r["h"]) and abs(r["p"]["lng"] - (w + e) / 2) < 1e-9 and abs(r["p"]["lat"] - (s + n) / 2) < 1e-9
+    monkey = pd.Series(["u4pru"] * 50_000)
+    began = time.time()
+    assert len(spatial._by_size(monkey, spatial._around)) == 50_000
+    assert time.time() - began < 2
