@@ -14,6 +14,7 @@ from sparkloom.plans import sql
 from sparkloom.plans.graphs import E as GRAPH_EDGES
 from sparkloom.plans.registry import query
 from sparkloom.plans.searching import _BM25, _METRICS, QL, TOK, E, Q
+from sparkloom.shared import written
 
 # User functions
 
@@ -204,12 +205,24 @@ def _(t):
     return t.events.select("event_id", S.json_has_any("props", ["k", "x"]).alias("any"), S.json_has_all("props", ["k", "x"]).alias("all_"), S.json_merge("props", F.lit('{"k":"1","z":"2"}')).alias("merged"))
 
 
+#: Identifiers that a task compares.
+IDS = 200_000
+
+
 @query("generated_ids", f"SELECT count(*) AS n, {', '.join(f'count(*) AS {c}, count(*) AS {c}_fine' for c in ('u4', 'u7', 'ul', 'nano', 'cuid'))} FROM customer")
 def _(t):
     """Identifiers are of their kinds, and none comes twice."""
-    ids = t.customer.select(S.uuid_v4().alias("u4"), S.uuid_v7().alias("u7"), S.ulid().alias("ul"), S.nanoid().alias("nano"), S.cuid2().alias("cuid"))
+    n = t.customer.count()
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 5 * n // IDS)
+    rows = t.customer.select("c_custkey").repartition(parts)  # as one file's rows may lie in one task
+    ids = rows.select(S.uuid_v4().alias("u4"), S.uuid_v7().alias("u7"), S.ulid().alias("ul"), S.nanoid().alias("nano"), S.cuid2().alias("cuid"))
     fine = {"u4": S.uuid_version("u4") == 4, "u7": S.uuid_version("u7") == 7, "ul": S.is_ulid("ul"), "nano": S.is_nanoid("nano"), "cuid": S.is_cuid2("cuid")}
-    return ids.agg(F.count("*").alias("n"), *(x for c, f in fine.items() for x in (F.count_distinct(c).alias(c), F.count_if(f).alias(f"{c}_fine"))))
+    # a row for each identifier, dealt out by it before any is compared: made once, and no task holds more than its share
+    kinds = written(ids.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("id"), f.alias("fine")) for c, f in fine.items()))).alias("x")).select("x.*"), "ids")
+    each = kinds.repartition(parts, "kind", "id").groupBy("kind", "id").agg(F.count_if("fine").alias("fine"))
+    sums = each.groupBy("kind").agg(F.count("*").alias("d"), F.sum("fine").alias("fine"))
+    own = lambda c, x: F.coalesce(F.sum(F.when(F.col("kind") == c, F.col(x))), F.lit(0))
+    return sums.agg(F.lit(n).cast("long").alias("n"), *(x for c in fine for x in (own(c, "d").alias(c), own(c, "fine").alias(f"{c}_fine"))))
 
 
 @query("decimal_and_duration_text", "SELECT p_partkey, round(p_retailprice, 2) AS d, CASE WHEN p_size % 24 = 0 THEN (p_size // 24) || 'd' WHEN p_size < 24 THEN p_size || 'h' ELSE (p_size // 24) || 'd ' || (p_size % 24) || 'h' END AS t FROM part")
