@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.shared import written
+
 RADIUS = 6_371_000.0
 _BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
@@ -601,6 +603,11 @@ def geohash_decode(code: Column | str) -> Column:
 # Joins
 
 
+#: Pairs that a task of near_join compares, about, and the most tasks.
+PAIRS = 4_000_000
+TASKS = 20_000
+
+
 def near_join(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
     """points(lng, lat, ..) with each row of others(lng2, lat2, ..) within ``metres``, and
     ``distance``: an equi-join on cells at least that wide, a point against the cells around
@@ -621,7 +628,18 @@ def near_join(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
     right = right.withColumn("_x", F.explode(F.array_distinct(F.array(*(F.pmod(place("lng2", F.col("_n")) + i, F.col("_n")) for i in steps))))).drop("_n")
     left = points.withColumn("_y", rows("lat")).withColumn("_x", F.pmod(place("lng", columns(F.col("_y"))), columns(F.col("_y"))))
     d = haversine("lng", "lat", "lng2", "lat2")
-    return left.join(right, ["_y", "_x"]).withColumn("distance", d).filter(F.col("distance") <= metres).drop("_x", "_y")
+    # a task compares some PAIRS pairs: partitions follow their number, and a cell of more has its points dealt to salts
+    cell = ["_y", "_x"]
+    sizes = left.groupBy(*cell).agg(F.count("*").alias("_l")).join(right.groupBy(*cell).agg(F.count("*").alias("_r")), cell)
+    sizes = written(sizes.withColumn("_pairs", F.col("_l") * F.col("_r")), "cells")
+    total = sizes.agg(F.sum("_pairs")).first()[0] or 0
+    parts = min(TASKS, max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total // PAIRS))
+    hot = sizes.filter(F.col("_pairs") > PAIRS).select(*cell, F.ceil(F.col("_pairs") / PAIRS).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = left.join(hot, cell, "left").withColumn("_s", F.pmod(F.xxhash64(*points.columns), salts).cast("int")).drop("_salts")
+    right = right.join(hot, cell, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    met = left.repartition(parts, *cell, "_s").join(right.repartition(parts, *cell, "_s"), [*cell, "_s"])
+    return met.withColumn("distance", d).filter(F.col("distance") <= metres).drop("_x", "_y", "_s")
 
 
 def region_join(points: DataFrame, regions: DataFrame, shape: str, cell: float = 1.0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -253,3 +254,16 @@ def test_generated_ids_are_dealt_out(spark, folder):
     assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
     row = df.first().asDict()
     assert set(row.values()) == {row["n"]} and row["n"] == Tables(spark, folder).customer.count()
+
+
+def test_near_pairs_are_dealt_out(spark, monkeypatch):
+    """All pairs of a crowded cell were compared in one task."""
+    monkeypatch.setattr(spatial, "PAIRS", 500)
+    p = spark.range(300).select("id", (F.col("id") % 17 / 1000).alias("lng"), (F.col("id") % 13 / 1000).alias("lat"))
+    o = spark.range(40).select(F.col("id").alias("other"), (F.col("id") % 7 / 1000).alias("lng2"), (F.col("id") % 5 / 1000).alias("lat2"))
+    near = spatial.near_join(p, o, 800.0)
+    want = p.crossJoin(o).filter(spatial.haversine("lng", "lat", "lng2", "lat2") <= 800.0).select("id", "other")
+    got = near.withColumn("at", F.spark_partition_id()).select("id", "other", "at").collect()
+    assert sorted((r["id"], r["other"]) for r in got) == sorted(map(tuple, want.collect())) and got
+    sizes = Counter(r["at"] for r in got)
+    assert max(sizes.values()) < len(got) / 4
